@@ -65,3 +65,65 @@ o AS (
   FROM n LEFT JOIN g ON n.doc_id = g.doc_id)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM o
 """
+
+SQL["op1_ann"] = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, b.vec_id, list_distance(q.x, b.x) AS score
+  FROM v q JOIN v b ON q.vec_id <> b.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank, vec_id, score FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+SQL["op7_pq_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.93),
+reach(id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.id, l.b FROM reach JOIN l ON reach.r = l.a),
+c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+SQL["op3_url_filter"] = r"""
+WITH p AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(verdict, rule, rhost, rpath) AS (VALUES
+  ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
+  ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),
+f AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
+t AS (
+  SELECT page_id, list_distinct(
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x) ||
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g')) ||
+    list_transform(list_filter(string_split(coalesce(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), ''), '&'), lambda x: x <> ''), lambda x: 'q:' || split_part(x, '=', 1)) ||
+    CASE WHEN regexp_extract(url, '://[^#]*(#)', 1) = '#' THEN ['f:#'] ELSE [] END) AS tokens FROM p),
+u AS (SELECT page_id, unnest(tokens) AS tok FROM t),
+n AS (SELECT count(*) AS n FROM f),
+lu AS (SELECT u.page_id, u.tok, f.verdict FROM u JOIN f USING (page_id)),
+sets AS (
+  SELECT page_id, verdict, [tok] AS s FROM lu
+  UNION ALL SELECT a.page_id, a.verdict, [a.tok, b.tok] FROM lu a JOIN lu b ON a.page_id = b.page_id AND a.tok < b.tok
+  UNION ALL SELECT a.page_id, a.verdict, [a.tok, b.tok, c.tok] FROM lu a JOIN lu b ON a.page_id = b.page_id AND a.tok < b.tok JOIN lu c ON a.page_id = c.page_id AND b.tok < c.tok),
+agg AS (SELECT s, verdict, count(*) AS both_n FROM sets GROUP BY s, verdict),
+ante AS (SELECT s, sum(both_n) AS all_n FROM agg GROUP BY s),
+mined AS (
+  SELECT agg.s, agg.verdict, both_n / CAST(all_n AS DOUBLE) AS conf, both_n,
+         row_number() OVER (ORDER BY both_n / CAST(all_n AS DOUBLE) DESC, both_n DESC, len(agg.s), array_to_string(agg.s, ' ')) AS k
+  FROM agg JOIN ante ON agg.s = ante.s, n WHERE both_n >= ceil(0.01 * n) AND both_n / CAST(all_n AS DOUBLE) >= 0.6),
+fire AS (
+  SELECT t.page_id, arg_min(m.verdict, m.k) AS verdict FROM t JOIN (SELECT * FROM mined WHERE k <= 1000) m ON list_has_all(t.tokens, m.s) GROUP BY t.page_id)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, fire.verdict, 'allow') AS verdict
+FROM p LEFT JOIN f ON f.page_id = p.page_id LEFT JOIN fire ON fire.page_id = p.page_id
+"""

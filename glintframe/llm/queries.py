@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintframe.llm import langid, mixing, quality, sharding, spm, substring
+from glintframe.llm import ann, langid, mixing, pq_dedup, quality, sharding, spm, substring, url_rules
 from glintframe.llm.common import table
 
 #: The SentencePiece model of the tokenizer query.
@@ -20,6 +20,28 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
+#: The rules of the URL query.
+URL_RULES = [
+    url_rules.Rule("allow", "org/"),
+    url_rules.Rule("block", "example.org/es/"),
+    url_rules.Rule("block", "example.org/en/1"),
+    url_rules.Rule("allow", "com/fr/"),
+    url_rules.Rule("block", "com/de/"),
+]
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The association rules learn from the URLs that the explicit rules judge."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fit = url_rules.explicit(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url")), URL_RULES)
+    labelled = pages.select("url", fit["verdict"].alias("label")).where("label is not null")
+    return url_rules.filtered(pages, URL_RULES, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -42,6 +64,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mixed(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -56,5 +82,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_sharding, op5_language_id, op6_quality, op8_mixing, op9_substring_dedup, op10_sentencepiece)
+    f.__name__: f for f in (op1_ann, op3_url_filter, op4_sharding, op5_language_id, op6_quality, op7_pq_dedup, op8_mixing, op9_substring_dedup, op10_sentencepiece)
 }
