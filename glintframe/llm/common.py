@@ -38,6 +38,15 @@ def partitions_for(df: DataFrame, bytes_each: int) -> int:
     return max(least, min(-(-size // bytes_each), 100_000))
 
 
+def small_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most about `size` bytes, as long texts fill batches that count rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(key, str(size))) >= size or int(conf.get(key, "0")) <= 0:
+        conf.set(key, str(size))
+    return df
+
+
 def hashed_share(key: Column, seed: str, share: Column | float) -> Column:
     """True for about `share` of the keys, the same ones each time."""
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < F.lit(1 << 30) * share

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintframe.llm import ann, langid, mixing, pq_dedup, quality, sharding, spm, substring, url_rules
+from glintframe.llm import ann, langid, mixing, ngram_join, pq_dedup, quality, sharding, spm, substring, url_rules
 from glintframe.llm.common import table
 
 #: The SentencePiece model of the tokenizer query.
@@ -34,6 +34,10 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The association rules learn from the URLs that the explicit rules judge."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -82,5 +86,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op3_url_filter, op4_sharding, op5_language_id, op6_quality, op7_pq_dedup, op8_mixing, op9_substring_dedup, op10_sentencepiece)
+    f.__name__: f for f in (op1_ann, op2_ngram_jaccard, op3_url_filter, op4_sharding, op5_language_id, op6_quality, op7_pq_dedup, op8_mixing, op9_substring_dedup, op10_sentencepiece)
 }

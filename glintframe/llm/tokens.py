@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK, SLICE = 4 << 20, 1 << 20
+CHUNK, SLICE = 2 << 20, 1 << 19
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _LOWER = _BYTE.copy()
