@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintframe.llm import mixing, quality, spm, substring
+from glintframe.llm import mixing, ngram_join, quality, spm, substring
 from glintframe.llm.common import table
 from glintframe.llm.queries import SPM_MODEL, quality_model
 
@@ -25,6 +25,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
+def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of documents whose shingle sets have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.one_of_each(docs)
+
+
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages repeated from earlier documents; a text without any stays as it is, one with nothing left is dropped."""
     cut = substring.removal(docs)
@@ -46,6 +51,7 @@ def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", ngram_stage),
     ("substring dedup", substring_stage),
     ("mixing sources to target weights", mixing_stage),
     ("SentencePiece encoding", tokenize_stage),
