@@ -1 +1 @@
-
+"""Structured Streaming: speech sessions."""
