@@ -6,8 +6,8 @@
    returns to every larger document the hashes that it has to give up. A first pass
    over the bucket keeps one entry for each distinct hash, so a window that occurs
    in any number of documents costs no memory; the second pass streams.
-3. Each document finds its windows with those hashes and merges them into maximal
-   removal intervals of words.
+3. Documents and what they lose meet in groups of bounded size, by doc_id. Each document
+   finds its windows with those hashes and merges them into maximal removal intervals.
 
 Hashes have 64 bits; of w windows about w**2 / 2**65 pairs collide by chance.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,20 +43,32 @@ def windows(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarra
     return rolled[index], first
 
 
-def _packed(width: int, buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("runs", pa.binary()), ("hashes", pa.binary())])
+_PACK = pa.schema([("at", pa.int32()), ("docs", pa.binary()), ("runs", pa.binary()), ("hashes", pa.binary())])
+_PACK_DDL = "at int, docs binary, runs binary, hashes binary"
 
+
+def _group(docs: np.ndarray, groups: int) -> np.ndarray:
+    """The group of documents in which a doc_id is settled: CRC-32 of its digits modulo groups, as in SQL."""
+    ids, inverse = np.unique(docs, return_inverse=True)
+    return np.array([zlib.crc32(b"%d" % d) % groups for d in ids.tolist()], np.int32)[inverse]
+
+
+def _pack(docs: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """One row for each value of at: its documents, how many hashes follow for each, and those hashes."""
+    order = np.argsort(at, kind="stable")
+    at, docs, hashes = at[order], docs[order], hashes[order]
+    cut = np.flatnonzero(np.concatenate([np.ones(1, bool), at[1:] != at[:-1]]))
+    rows: list[tuple] = []
+    for a, b in zip(cut, [*cut[1:], len(at)], strict=True):
+        run = np.flatnonzero(np.concatenate([np.ones(1, bool), docs[a + 1 : b] != docs[a : b - 1]]))
+        rows.append((int(at[a]), docs[a:b][run].tobytes(), np.diff(np.append(run, b - a)).astype(np.uint32).tobytes(), hashes[a:b].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _PACK.types, strict=True)], schema=_PACK)
+
+
+def _hashed(width: int, buckets: int):
     def flush(docs: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
-        d, h = np.concatenate(docs), np.concatenate(hashes)
-        bucket = (h % tokens.U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
-        order = np.argsort(bucket, kind="stable")
-        bucket, d, h = bucket[order], d[order], h[order]
-        cut = np.flatnonzero(np.concatenate([np.ones(1, bool), bucket[1:] != bucket[:-1]]))
-        rows: list[tuple] = []
-        for a, b in zip(cut, [*cut[1:], len(h)], strict=True):
-            run = np.flatnonzero(np.concatenate([np.ones(1, bool), d[a + 1 : b] != d[a : b - 1]]))
-            rows.append((int(bucket[a]), d[a:b][run].tobytes(), np.diff(np.append(run, b - a)).astype(np.uint32).tobytes(), h[a:b].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        h = np.concatenate(hashes)
+        return _pack(np.concatenate(docs), h, (h % tokens.U(buckets)).astype(np.int32))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[np.ndarray] = []
@@ -123,7 +136,13 @@ def _smallest(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], docs[first]
 
 
-def _given_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settled(lost: list[tuple[np.ndarray, np.ndarray]], groups: int) -> pa.RecordBatch:
+    docs, hashes = (np.concatenate(x) for x in zip(*lost, strict=True))
+    order = np.argsort(docs, kind="stable")
+    return _pack(docs[order], hashes[order], _group(docs[order], groups))
+
+
+def _given_up(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
     spool = _Spool()
     keys, least = np.empty(0, np.uint64), np.empty(0, np.int64)
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -134,75 +153,76 @@ def _given_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs, hashes = _unpacked(part)
             held.append((hashes, docs))
             count += len(docs)
-            if count > max(1 << 20, len(keys)):
+            if count > max(1 << 19, len(keys)):
                 keys, least = _smallest(*(np.concatenate(x) for x in zip((keys, least), *held, strict=True)))
                 held, count = [], 0
     keys, least = _smallest(*(np.concatenate(x) for x in zip((keys, least), *held, strict=True)))
+    lost: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
     for part in spool:
         docs, hashes = _unpacked(part)
         lose = docs > least[np.searchsorted(keys, hashes)]
         if lose.any():
-            docs, hashes = docs[lose], hashes[lose]
-            cut = np.flatnonzero(np.concatenate([np.ones(1, bool), docs[1:] != docs[:-1]]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs[cut]), pa.array([hashes[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(docs)], strict=True)], pa.binary())],
-                ["doc_id", "lost"],
-            )
+            lost.append((docs[lose], hashes[lose]))
+            count += len(lost[-1][0])
+        if count >= FLUSH:
+            yield _settled(lost, groups)
+            lost, count = [], 0
+    if count:
+        yield _settled(lost, groups)
 
 
-def kept_words(text: str, lost: list[bytes] | None, width: int) -> tuple[list[bytes], np.ndarray | None]:
-    """The text's words and which of them stay (None: all)."""
+def kept_words(text: str, lost: np.ndarray | None, width: int) -> tuple[list[bytes], np.ndarray | None]:
+    """The text's words and which of them stay (None: all), where windows with hashes in lost go."""
     raw = text.encode()
     parts = raw.split()
-    if not lost:
+    if lost is None or not len(lost):
         return parts, None
-    gone = np.frombuffer(b"".join(lost), np.uint64)
     hashes, _ = windows(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), width)
-    hit = np.flatnonzero(np.isin(hashes, gone))
+    hit = np.flatnonzero(np.isin(hashes, lost))
     edge = np.zeros(len(parts) + 1, np.int64)
     edge[hit] += 1
     np.add.at(edge, hit + width, -1)
     return parts, np.cumsum(edge[:-1]) == 0
 
 
-def lost_windows(docs: DataFrame, width: int = 13) -> DataFrame:
-    """(doc_id, lost): packed hashes of the windows that also start in a document with a smaller doc_id."""
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n = common.partitions_for(docs, BUCKET_BYTES)
-    packed = known.mapInArrow(_packed(width, n), "bucket int, docs binary, runs binary, hashes binary")
-    return packed.repartition(n, "bucket").mapInArrow(_given_up, "doc_id long, lost binary").groupBy("doc_id").agg(F.collect_list("lost").alias("lost"))
-
-
 def removal(docs: DataFrame, width: int = 13) -> DataFrame:
     """Removes from every text the words that a window repeated from a smaller doc_id covers.
 
-    Returns docs' doc_id and text with `n_words` and `n_removed` (long), `kept` (the
-    words that stay, joined by one space; a binary UTF-8 string as text) and
-    `kept_sha256`. A null text has no words; a null doc_id takes no part and keeps all
-    its words; rows with one doc_id are one document's and take nothing from each other.
-    Other columns of docs pass through; clashing names are replaced.
+    Returns docs' rows with `n_words` and `n_removed` (long), `kept` (the words that stay,
+    joined by one space) and `kept_sha256`. A null text has no words; a null doc_id takes
+    no part and keeps all its words; rows with one doc_id are one document's and take
+    nothing from each other. Other columns of docs pass through; clashing names are
+    replaced. An empty table gives no rows.
     """
-    own = ["n_words", "n_removed", "kept", "kept_sha256", "lost"]
-    rest = docs.drop(*own)
-    lost = lost_windows(docs, width).withColumnRenamed("doc_id", "__doc_id")
-    joined = rest.join(lost, rest["doc_id"].cast("long") == lost["__doc_id"], "left").drop("__doc_id")
-    out = common.schema_with(rest, n_words=T.LongType(), n_removed=T.LongType(), kept=T.StringType(), kept_sha256=T.StringType())
+    rest = common.small_batches(docs.drop("n_words", "n_removed", "kept", "kept_sha256", "at"))
+    names = rest.columns
+    known = rest.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    n = common.partitions_for(docs, BUCKET_BYTES)
+    packed = known.mapInArrow(_hashed(width, n), _PACK_DDL)
+    lost = packed.repartition(n, "at").mapInArrow(lambda batches: _given_up(batches, n), _PACK_DDL)
+
+    def settle(texts: pa.Table, gone: pa.Table) -> pa.Table:
+        losses: dict[int, list[np.ndarray]] = {}
+        for part in zip(*(gone.column(c).to_pylist() for c in ("docs", "runs", "hashes")), strict=True):
+            ids, runs, hashes = (np.frombuffer(x, t) for x, t in zip(part, (np.int64, np.uint32, np.uint64), strict=True))
+            for doc, h in zip(ids.tolist(), np.split(hashes, np.cumsum(runs)[:-1]), strict=True):
+                losses.setdefault(doc, []).append(h)
+        n_words, n_removed, kept, sha = [], [], [], []
+        for doc, text in zip(texts.column("doc_id"), texts.column("text"), strict=True):
+            own = losses.get(doc.as_py())
+            parts, stay = kept_words(text.as_py() or "", None if own is None else np.concatenate(own), width)
+            left = parts if stay is None else [w for w, s in zip(parts, stay.tolist(), strict=True) if s]
+            line = b" ".join(left)
+            n_words.append(len(parts))
+            n_removed.append(len(parts) - len(left))
+            kept.append(line)
+            sha.append(hashlib.sha256(line).hexdigest())
+        new = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha, pa.string())]
+        return pa.table([*(texts.column(c) for c in names), *new], names=[*names, "n_words", "n_removed", "kept", "kept_sha256"])
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, kept, sha = [], [], [], []
-            for text, lost_here in zip(batch.column("text"), batch.column("lost"), strict=True):
-                parts, stay = kept_words(text.as_py() or "", lost_here.as_py(), width)
-                left = parts if stay is None else [w for w, s in zip(parts, stay.tolist(), strict=True) if s]
-                line = b" ".join(left)
-                n_words.append(len(parts))
-                n_removed.append(len(parts) - len(left))
-                kept.append(line)
-                sha.append(hashlib.sha256(line).hexdigest())
-            fields = [n for n in batch.schema.names if n != "lost"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in fields), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha)],
-                [*fields, "n_words", "n_removed", "kept", "kept_sha256"],
-            )
-
-    return joined.mapInArrow(apply, out)
+    out = common.schema_with(rest, n_words=T.LongType(), n_removed=T.LongType(), kept=T.StringType(), kept_sha256=T.StringType())
+    # a row without doc_id may go anywhere
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5("text"), F.lit(""))
+    grouped = rest.withColumn("at", (F.crc32(key) % n).cast("int"))
+    return grouped.groupBy("at").cogroup(lost.groupBy("at")).applyInArrow(settle, out)
