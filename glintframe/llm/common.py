@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import pyarrow as pa
@@ -21,14 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage: rows go to the shared folder named in spark.checkpoint.dir.
 
-    Only where the session names none (a local test) a temporary folder serves.
+    Only where the session names none (a local test) a temporary folder serves. What
+    earlier steps have shuffled and nothing refers to any more is then cleared.
     """
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
         )
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark's cleaner follows the driver's garbage collector
+    return out
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:

@@ -13,7 +13,7 @@ others by hash. The order bears on work only, never on results.
    accumulates at most the smaller count in each. Pairs whose bound is too low go.
 3. Exact overlap of what remains, from the whole sets.
 
-A column with many rows pairs each row with its WINDOW neighbours by size only; that
+A column with many rows pairs each row with its WINDOW neighbours by size and a few hubs; that
 joins groups of near copies at a cost linear in their size. Then rows of one column
 that are in different components are paired in full (an ordinary join on the column),
 so no component is missed and copies of copies are not expanded into all pairs.
@@ -26,14 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintframe.llm import common, tokens
 from glintframe.llm.components import components
 
 #: Sampled documents, frequent shingles kept (at 16 bytes), column blocks, neighbours by size.
-SAMPLE, FREQUENT, BLOCKS, WINDOW = 8192, 65_536, 256, 8
+SAMPLE, FREQUENT, BLOCKS, WINDOW = 32_768, 262_144, 256, 8
+#: In a column of more than HUGE rows each row also meets HUBS rows spread over the sizes.
+HUGE, HUBS = 64, 16
+#: Rows of a column's largest component that its other rows meet before all of them are paired.
+FEW = 24
+#: Up to so many doc_ids (8 bytes each) are broadcast to find their texts; beyond, texts are shuffled to them.
+BROADCAST_IDS = 1_000_000
 ROWS_A_FLUSH, BUCKET_BYTES = 1 << 19, 8 << 20
 
 
@@ -143,7 +149,7 @@ def _columns(buckets: int):
     return emit
 
 
-def _product(percent: int):
+def _product(percent: int, window: int = WINDOW):
     """Pairs (a, b) of rows that share a first column, and the entries (h, row, n, at) of columns with more rows than WINDOW neighbours cover."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,23 +163,31 @@ def _product(percent: int):
         row, n, at, h = (np.concatenate(got.pop(c)) for c in kinds)
         order = np.lexsort((row, n, h))
         row, n, at, h = row[order], n[order].astype(np.int64), at[order].astype(np.int64), h[order]
+        start = np.flatnonzero(np.concatenate([np.ones(1, bool), h[1:] != h[:-1]]))
+        size = np.diff(np.append(start, len(h)))
         a, b = [], []
-        for k in range(1, WINDOW + 1):
-            i = np.flatnonzero(h[k:] == h[:-k])
-            if not len(i):
-                break
-            j = i + k
+
+        def meet(i: np.ndarray, j: np.ndarray) -> None:
             ok = np.minimum(n[i] - at[i], n[j] - at[j]) >= needed(n[i], n[j], percent)
             a.append(np.minimum(row[i[ok]], row[j[ok]]))
             b.append(np.maximum(row[i[ok]], row[j[ok]]))
+
+        for k in range(1, window + 1):
+            i = np.flatnonzero(h[k:] == h[:-k])
+            if not len(i):
+                break
+            meet(i, i + k)
+        huge = size > HUGE
+        i = np.flatnonzero(np.repeat(huge, size))
+        for k in range(HUBS if len(i) else 0):
+            j = np.repeat((start + size * (2 * k + 1) // (2 * HUBS))[huge], size[huge])
+            meet(i[i != j], j[i != j])
         if a:
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
             m = len(pairs)
             none = pa.nulls(m, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none], ["a", "b", "h", "n", "at"])
-        start = np.flatnonzero(np.concatenate([np.ones(1, bool), h[1:] != h[:-1]]))
-        size = np.diff(np.append(start, len(h)))
-        large = np.repeat(size > WINDOW + 1, size)
+        large = np.repeat(size > window + 1, size)
         if large.any():
             yield pa.RecordBatch.from_arrays([pa.array(row[large]), pa.nulls(int(large.sum()), pa.int64()), pa.array(h[large].view(np.int64)), pa.array(n[large]), pa.array(at[large])], ["a", "b", "h", "n", "at"])
 
@@ -209,12 +223,14 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 sets = [h.tobytes() for h in shingle_sets(data, bounds, words)]
                 yield pa.RecordBatch.from_arrays([rows[at:to], pa.array(sets, pa.binary())], ["row", "hashes"])
 
-    named = docs.join(ids, docs["doc_id"] == ids["row"], "left_semi")
+    ids = common.checkpointed(ids)
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    named = docs.join(few, docs["doc_id"] == few["row"], "left_semi")
     named = named.groupBy(F.col("doc_id").alias("row")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return named.mapInArrow(emit, "row long, hashes binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose exact overlap is enough."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,17 +243,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(int((both[1:] == both[:-1]).sum()) >= needed(len(p), len(q), percent))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
+    pairs = common.checkpointed(pairs)
+    sets = common.checkpointed(_sets(docs, pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), words))
     side = lambda c: sets.select(F.col("row").alias(c), F.col("hashes").alias(f"hashes_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(emit, "a long, b long")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hashes_a", "hashes_b")
+    return common.checkpointed(met.mapInArrow(emit, "a long, b long"))
+
 
+def _across(large: DataFrame, groups: DataFrame, percent: int, few: int | None = None) -> DataFrame:
+    """Pairs of rows of one large column that are in different components so far.
 
-def _across(large: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows of one large column that are in different components so far."""
+    few: only with so many rows of the column's largest component, to join most rows to it at little cost.
+    """
     named = large.join(groups.withColumnRenamed("id", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     counts = named.groupBy("h", "component").agg(F.count("*").alias("m"))
     main = counts.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
     open_ = named.join(main, "h")
-    x, y = open_.where("component != main").alias("x"), open_.alias("y")
+    other = open_
+    if few is not None:
+        place = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("row"), "row"))
+        other = open_.where("component = main").withColumn("place", place).where(F.col("place") <= few).drop("place")
+    x, y = open_.where("component != main").alias("x"), other.alias("y")
     c = lambda s: F.col(s)
     enough = (F.least(c("x.n") - c("x.at"), c("y.n") - c("y.at")) * (100 + percent)) >= (c("x.n") + c("y.n")) * percent
     once = (c("y.component") == c("y.main")) | (c("x.row") < c("y.row"))
@@ -245,6 +271,26 @@ def _across(large: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
 
 
+def _rows(incidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (doc_id, n, set, chosen: whether it stands for its doc_id) and the matrix's rows (set, row, n, first, blocks)."""
+    whole = common.checkpointed(incidence)
+    twice = whole.groupBy("doc_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 != t1").drop("t1")
+    marked = whole.join(twice, "doc_id", "left").withColumn("chosen", F.expr("doc_id is not null and set is not null and (t0 is null or t = t0)"))
+    some = F.min(F.struct("doc_id", "n", "first", "blocks"))
+    rows = marked.where("chosen").groupBy("set").agg(some.alias("r")).select("set", F.col("r.doc_id").alias("row"), "r.n", "r.first", "r.blocks")
+    members = common.checkpointed(marked.select("doc_id", "n", "set", "chosen"))
+    return members, common.checkpointed(rows)
+
+
+def _candidates(rows: DataFrame, buckets: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that the first columns and the blocks leave, and the entries (h, row, n, at) of large columns."""
+    packed = rows.select("row", "n", "first").mapInArrow(_columns(buckets), "bucket int, row binary, n binary, at binary, h binary")
+    product = packed.repartition(buckets, "bucket").mapInArrow(_product(percent), "a long, b long, h long, n long, at long")
+    product = common.checkpointed(product)
+    pairs = _bounded(product.where("b is not null").select("a", "b").distinct(), rows, percent)
+    return pairs, product.where("b is null").select("h", F.col("a").alias("row"), "n", "at")
+
+
 def joined(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every document of (doc_id, text).
 
@@ -257,30 +303,19 @@ def joined(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = texts.where("doc_id is not null")
     full = known.where("text is not null")
-    incidence = _incidence(texts, frequent_shingles(full, words), words, percent)
-    incidence = common.checkpointed(incidence)
-    some = F.min(F.struct("doc_id", "n", "first", "blocks"))
-    twice = incidence.groupBy("doc_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 != t1").drop("t1")
-    once = incidence.join(twice, "doc_id", "left").where("doc_id is not null and set is not null and (t0 is null or t = t0)")
-    rows = once.groupBy("set").agg(some.alias("r"))
-    rows = common.checkpointed(rows.select("set", F.col("r.doc_id").alias("row"), "r.n", "r.first", "r.blocks"))
-    buckets = common.partitions_for(docs, BUCKET_BYTES)
-    packed = rows.select("row", "n", "first").mapInArrow(_columns(buckets), "bucket int, row binary, n binary, at binary, h binary")
-    product = packed.repartition(buckets, "bucket").mapInArrow(_product(percent), "a long, b long, h long, n long, at long")
-    product = common.checkpointed(product)
-    pairs = common.checkpointed(_bounded(product.where("b is not null").select("a", "b").distinct(), rows, percent))
-    large = product.where("b is null").select("h", F.col("a").alias("row"), "n", "at")
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).union(large.select("row")).distinct()
-    sets = common.checkpointed(_sets(full, wanted, words))
-    links = common.checkpointed(_linked(pairs, sets, percent))
+    members, rows = _rows(_incidence(texts, frequent_shingles(full, words), words, percent))
+    pairs, large = _candidates(rows, common.partitions_for(docs, BUCKET_BYTES), percent)
+    links = _linked(pairs, full, words, percent)
     groups = common.checkpointed(components(links))
-    more = common.checkpointed(_bounded(_across(large, groups, percent), rows, percent))
-    more = common.checkpointed(_linked(more, sets, percent))
-    edges = groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
-    same = once.select("doc_id", "set").join(rows.select("set", "row"), "set").where("doc_id != row").select(F.col("doc_id").alias("a"), F.col("row").alias("b"))
+    for few in (FEW, None):
+        more = _linked(_bounded(_across(large, groups, percent, few), rows, percent), full, words, percent)
+        edges = groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
+        if few is not None:
+            groups = common.checkpointed(components(edges))
     # equal sets are stars around their row
+    same = members.join(rows.select("set", "row"), "set").where("chosen and doc_id != row").select(F.col("doc_id").alias("a"), F.col("row").alias("b"))
     final = components(edges.union(same)).withColumnRenamed("id", "doc_id")
-    out = incidence.select("doc_id", F.col("n").alias("n_shingles"))
+    out = members.select("doc_id", F.col("n").alias("n_shingles"))
     return out.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
