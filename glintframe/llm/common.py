@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,9 @@ from pyspark.sql import types as T
 
 #: Words are maximal runs of anything but these bytes: space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Seconds between two clearings of what checkpoints have cut off.
+CLEAR_S = 4.0
+_cleared = 0.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,16 +35,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
         )
     out = df.checkpoint()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark's cleaner follows the driver's garbage collector
+    global _cleared
+    if time.monotonic() - _cleared >= CLEAR_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # Spark's cleaner follows the driver's garbage collector
+        _cleared = time.monotonic()
     return out
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
-    """Shuffle partitions so that each gets about bytes_each of df's size as the optimizer estimates it."""
+    """Shuffle partitions so that each gets about bytes_each of df's size as the optimizer estimates it.
+
+    Of a table whose size is not known (the estimate is then enormous) the session's setting stands.
+    """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(least, min(-(-size // bytes_each), 100_000))
+    return least if size >= 1 << 55 else max(least, min(-(-size // bytes_each), 100_000))
 
 
 def small_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:

@@ -9,8 +9,7 @@ pieces (byte fallback), so that decoding gives back any text exactly. On ties th
 longest last piece wins.
 
 Models of kind BPE score a piece by the negative of its merge rank; encoding here is
-the best sum of these scores, as SentencePiece itself gives for the same pieces under
-its unigram kind, not the order of merges.
+the best sum of these scores, not the order of merges.
 
 Pieces hold the space sign only at their start, so the best path of a text is that of
 its parts, each a run of spaces and the run of other characters after it. Parts that
