@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from glintframe.llm import common, tokens
 
 #: Expected labelled sample rows, latent axes, voting neighbours, terms of words.
-SAMPLE, AXES, NEIGHBOURS, WORDS = 4000, 48, 25, 4096
+SAMPLE, AXES, NEIGHBOURS, WORDS = 2000, 48, 25, 4096
 BLOCK = 256
 _KIND = np.full(256, 15, np.uint8)  # bytes of other than ASCII characters count as lower-case letters
 for _k, _group in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", ".", ",;:", "!", "?", "|", "$%&*#", "'\"`", "()[]{}<>", "/\\@_=+~^", "-")):
@@ -70,10 +70,12 @@ def fit_rows(texts: list[str | None], labels: list[int], axes: int = AXES, seed:
     y = np.array(labels, np.float32)
     if not len(y):
         return Model(np.ones(STYLES + WORDS, np.float32), np.zeros((STYLES + WORDS, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5)
-    terms = np.stack([counts(t) for t in texts])
-    weights = np.log((1 + len(y)) / (1 + (terms > 0).sum(0))).astype(np.float32) + np.float32(0.1)
-    x = np.log1p(terms) * weights
-    del terms
+    x = np.empty((len(y), STYLES + WORDS), np.float32)  # in place, as the driver holds it
+    for row, t in zip(x, texts, strict=True):
+        row[:] = counts(t)
+    weights = np.log((1 + len(y)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + np.float32(0.1)
+    np.log1p(x, out=x)
+    x *= weights
     for part in (x[:, :STYLES], x[:, STYLES:]):
         norm = np.linalg.norm(part, axis=1, keepdims=True)
         part /= np.where(norm > 0, norm, 1)
