@@ -33,7 +33,7 @@ from glintframe.llm import common, tokens
 from glintframe.llm.components import components
 
 #: Sampled documents, frequent shingles kept (at 16 bytes), column blocks, neighbours by size.
-SAMPLE, FREQUENT, BLOCKS, WINDOW = 32_768, 262_144, 256, 8
+SAMPLE, FREQUENT, BLOCKS, WINDOW = 32_768, 262_144, 256, 16
 #: In a column of more than HUGE rows each row also meets HUBS rows spread over the sizes.
 HUGE, HUBS = 64, 16
 #: Rows of a column's largest component that its other rows meet before all of them are paired.
