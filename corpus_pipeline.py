@@ -26,8 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of documents whose shingle sets have a Jaccard similarity of 0.9 or more."""
-    return ngram_join.one_of_each(docs)
+    """Keeps the smallest doc_id of each group of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return ngram_join.one_of_each(docs, words=5, percent=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

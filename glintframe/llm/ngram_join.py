@@ -319,7 +319,7 @@ def joined(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     return out.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; rows without a doc_id stay."""
     groups = joined(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     return docs.join(groups, docs["doc_id"] == groups["__keep"], "left_semi").unionByName(docs.where("doc_id is null"))

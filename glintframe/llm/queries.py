@@ -35,7 +35,7 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.joined(table(spark, sf_dir, "documents"))
+    return ngram_join.joined(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glintframe.llm import oracles, queries
-from tests.llm.test_operators import brute_components, brute_removal
+from tests.llm.test_operators import brute_components, brute_removal, reach, shingles
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -75,3 +75,21 @@ def test_pipeline_stage_by_stage(spark):
     got = final.collect()
     assert got and {r.doc_id for r in got} <= {r.doc_id for r in three}
     assert all(codec.decode(r.ids) == r.text and r.n_ids == len(r.ids) for r in got)
+
+
+def test_ngram_stage_takes_five_words_and_four_fifths(spark):
+    """Copies between the two thresholds: ten spread edits in 500 words, one in 55; and twelve edits in 500, which stay."""
+    import corpus_pipeline as pipe
+
+    def edited(words, places):
+        return " ".join(f"x{k}" if k in places else w for k, w in enumerate(words))
+
+    long, short = [f"w{k}" for k in range(500)], [f"v{k}" for k in range(55)]
+    texts = [" ".join(long), edited(long, range(25, 500, 50)), " ".join(short), edited(short, {27}), edited(long, range(20, 500, 40)), "v0 v1 v2", None]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for docs in (made, spark.read.parquet(f"{DATA}/documents.parquet")):
+        sets = {r.doc_id: shingles(r.text, 5) for r in docs.collect()}
+        links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        root = reach(sets, links)
+        assert sorted(r.doc_id for r in pipe.ngram_stage(spark, docs, str(DATA)).collect()) == sorted(d for d in root if root[d] == d)
