@@ -174,7 +174,7 @@ def _spaced_sql(t: str) -> str:
 
 @query(f"SELECT page_id, {_spaced_sql('url || replace(substr(html, 1, 2000), chr(32), chr(44))')} AS spaced FROM pages")
 def space_restore_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat("url", F.replace(F.substring("html", 1, 2000), F.lit(" "), F.lit(",")))
+    text = F.concat("url", F.replace("html", F.lit(" "), F.lit(",")))
     return table(spark, sf_dir, "pages").select("page_id", X.spaced(text).alias("spaced"))
 
 
