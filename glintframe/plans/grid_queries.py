@@ -169,11 +169,25 @@ def sharpest_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_image(spark, sf_dir, G.sharpest, "n int, x double, y double")
 
 
+def _resized(image: np.ndarray, size: int, axis: int) -> np.ndarray:
+    """The image with `size` rows (axis 0) or columns (axis 1): means of bands where it shrinks, nearest neighbours where it grows; all of it takes part."""
+    have = image.shape[axis]
+    if have > size:
+        start = np.arange(size) * have // size
+        band = np.diff(np.append(start, have)).reshape((-1, 1, 1) if axis == 0 else (1, -1, 1))
+        return np.add.reduceat(image, start, axis=axis, dtype=np.float64) / band
+    return np.take(image, np.minimum((np.arange(size) + 0.5) * have / size, have - 1).astype(int), axis=axis)
+
+
 def _normalized(image: np.ndarray, width: int, height: int, mean, std) -> np.ndarray:
-    """Nearest-neighbour resize to width x height and per-channel normalization."""
-    ys = np.minimum((np.arange(height) + 0.5) * image.shape[0] / height, image.shape[0] - 1).astype(int)
-    xs = np.minimum((np.arange(width) + 0.5) * image.shape[1] / width, image.shape[1] - 1).astype(int)
-    return (image[ys][:, xs] / 255.0 - np.array(mean)) / np.array(std)
+    """Resize to width x height and per-channel normalization."""
+    return (_resized(_resized(image, height, 0), width, 1) / 255.0 - np.array(mean)) / np.array(std)
+
+
+def _image(content: bytes) -> np.ndarray:
+    """All bytes as rows of 32 RGB pixels; the last row is padded with zeros."""
+    rows = max(1, -(-len(content) // 96))
+    return np.frombuffer(content.ljust(rows * 96, b"\0"), np.uint8).reshape(rows, 32, 3)
 
 
 # Input sizes, means and deviations of the detector, orientation classifier and image encoder.
@@ -186,14 +200,13 @@ _PREP = {
 
 @query()
 def image_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of prepared tensors of images made from document bytes."""
+    """Means of prepared tensors of images made from document bytes; an image is as tall as its document is long."""
 
     def prep(batches):
         for pdf in batches:
             rows = []
             for key, content in zip(pdf["doc_id"], pdf["content"], strict=True):
-                raw = np.frombuffer(content, np.uint8)[:3072]
-                image = np.resize(raw if len(raw) else np.zeros(1, np.uint8), (32, 32, 3))
+                image = _image(bytes(content))
                 for name, (w, h, mean, std) in _PREP.items():
                     rows.append((key, name, w, h, round(float(_normalized(image, w, h, mean, std).mean()), 6)))
             yield pd.DataFrame(rows, columns=["doc_id", "model", "w", "h", "mean"])
