@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,8 +76,6 @@ def stt_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        import uuid
-
         home = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
         run = stt.sessions(frames, GAP, LONGEST).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
         run.awaitTermination()
@@ -100,9 +99,24 @@ _SAMPLES = "samples AS (SELECT user_id, list(value ORDER BY ts) AS l FROM events
 
 @query(f"WITH {_SAMPLES}, m AS (SELECT user_id, l, unnest(range((len(l) + 1) // 2)) AS i FROM samples) SELECT user_id, CAST(i AS INTEGER) AS i, round((l[2 * i + 1] + coalesce(l[2 * i + 2], 0)) / 2, 6) AS x FROM m")
 def mono_mixdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interleaved stereo to mono; the last lone sample counts half."""
-    samples = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "value"))), lambda r: r["value"]).alias("l"))
-    return samples.select("user_id", F.posexplode(audio.mono(F.col("l"), 2)).alias("i", "x")).withColumn("x", F.round("x", 6))
+    """Interleaved stereo to mono; the last lone sample counts half.
+
+    Samples are dealt out by ranges of (user, time), so a user with most of them is many
+    tasks: a sample's number is its place in its range after the counts of the user's earlier ranges.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mono-")
+    home = f"{shared.rstrip('/')}/mono-{uuid.uuid4().hex}"
+    order = ["ts", "value", "event_id"]
+    ranges = table(spark, sf_dir, "events").select("user_id", *order).repartitionByRange("user_id", *order)
+    ranges.withColumn("range", F.spark_partition_id()).write.parquet(home)
+    rows = spark.read.parquet(home)
+    counts = rows.groupBy("user_id", "range").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("user_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col("user_id").alias("u"), F.col("range").alias("r"), F.coalesce(earlier, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("user_id", "range").orderBy(*order)) - 1
+    placed = rows.withColumn("place", place).join(counts, F.col("user_id").eqNullSafe(F.col("u")) & (F.col("range") == F.col("r")))
+    frames = placed.groupBy("user_id", F.expr("(before + place) div 2").cast("int").alias("i")).agg(F.sum("value").alias("x"), F.count("*").alias("n"), F.count("value").alias("known"))
+    return frames.select("user_id", "i", F.round(F.when(F.col("n") == F.col("known"), F.col("x") / 2), 6).alias("x"))
 
 
 @query("SELECT user_id, count(*) AS samples, count(*) >= 131 // 2 AS enough FROM events GROUP BY user_id")

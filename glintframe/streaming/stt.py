@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import sqlite3
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +13,38 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "stream_id long, seq long, type string, text string"
 FRAMES = "stream_id long, ts timestamp, seq long, type string, text string"
+#: Frames of a stream that are sorted in memory (more of a batch are sorted on disk), and server frames given at once.
+HELD, GIVEN = 1 << 16, 1 << 14
+
+
+def in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(seq, time in seconds, type, text) of all frames in order of seq; no more than about HELD are in memory."""
+    frames, count = [], 0
+    with contextlib.ExitStack() as stack:
+        db = None
+
+        def spool() -> None:
+            nonlocal count
+            while frames:
+                db.executemany("INSERT INTO frames VALUES (?, ?, ?, ?)", frames.pop(0))
+            count = 0
+
+        for pdf in rows:
+            frames.append([(r.seq, r.ts.timestamp(), r.type, r.text) for r in pdf.itertuples()])
+            count += len(pdf)
+            del pdf
+            if count > HELD:
+                if db is None:
+                    home = stack.enter_context(tempfile.TemporaryDirectory(prefix="frames-"))
+                    db = stack.enter_context(contextlib.closing(sqlite3.connect(f"{home}/frames.db", isolation_level=None)))
+                    for rule in ("PRAGMA journal_mode = OFF", "PRAGMA synchronous = OFF", "PRAGMA temp_store = FILE", "CREATE TABLE frames (seq INTEGER, at REAL, type TEXT, text TEXT)", "BEGIN"):
+                        db.execute(rule)
+                spool()
+        if db is None:
+            yield from sorted((f for part in frames for f in part), key=lambda f: f[0])
+        else:
+            spool()
+            yield from db.execute("SELECT seq, at, type, text FROM frames ORDER BY seq, rowid")
 
 
 class Session(StatefulProcessor):
@@ -28,7 +63,6 @@ class Session(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         text, began, last = self.state.get() if self.state.exists() else ("", -1.0, -1.0)
-        frames = pd.concat(list(rows)).sort_values("seq")
         out: list[tuple] = []
 
         def end(seq: int) -> None:
@@ -38,25 +72,29 @@ class Session(StatefulProcessor):
             out.append((key[0], seq, "endpoint", None))
             text, began = "", -1.0
 
-        for row in frames.itertuples():
-            at = row.ts.timestamp()
+        def given() -> pd.DataFrame:
+            pdf = pd.DataFrame(out, columns=["stream_id", "seq", "type", "text"])
+            out.clear()
+            return pdf
+
+        for seq, at, kind, said in in_order(rows):
             if began >= 0 and at - last > self.gap:
-                end(row.seq)
-            if row.type == "reset":
-                text, began = "", -1.0
-            elif row.type == "close":
+                end(seq)
+            if kind in ("reset", "close"):
                 text, began = "", -1.0
             else:
                 if began < 0:
                     began = at
-                if row.text and row.text != text:
-                    text = row.text
-                    out.append((key[0], row.seq, "partial", text))
+                if said and said != text:
+                    text = said
+                    out.append((key[0], seq, "partial", text))
                 if at - began >= self.longest:
-                    end(row.seq)
+                    end(seq)
             last = at
+            if len(out) >= GIVEN:
+                yield given()
         self.state.update((text, began, last))
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "type", "text"])
+        yield given()
 
     def close(self) -> None:
         pass
