@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from glintframe.llm import common
 
-#: Least share of the labelled URLs, least confidence, most tokens of a rule, most rules kept (the best).
-SUPPORT, CONFIDENCE, TOKENS, RULES = 0.01, 0.6, 3, 1000
+#: Least share of the labelled URLs, least confidence, most tokens of a rule.
+SUPPORT, CONFIDENCE, TOKENS = 0.01, 0.6, 3
 DEFAULT = "allow"
 
 
@@ -69,8 +70,8 @@ def explicit(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, tokens: int = TOKENS, rules: int = RULES) -> list[tuple[tuple[str, ...], str]]:
-    """(tokens, label) of the best rules from (tokens, label), best first.
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, tokens: int = TOKENS) -> list[tuple[tuple[str, ...], str]]:
+    """(tokens, label) of all rules that (tokens, label) support, best first.
 
     Order: confidence, support, fewer tokens, then the tokens' text. At most
     tokens_per_url / support itemsets of a size are frequent, which bounds the work of the driver.
@@ -81,10 +82,20 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("label=")) & (F.size("antecedent") <= tokens) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("label="))))
     text = F.array_join(F.array_sort("antecedent"), " ")
-    best = found.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), text).limit(rules).select("antecedent", F.col("consequent")[0].alias("label")).collect()
+    best = found.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), text).select("antecedent", F.col("consequent")[0].alias("label")).collect()
     return [(tuple(sorted(r["antecedent"])), r["label"].removeprefix("label=")) for r in best]
 
 
+def decisive(rules: list[tuple[tuple[str, ...], str]]) -> list[tuple[tuple[str, ...], str]]:
+    """Of rules, best first, those that can decide: a rule behind another of the same label on some of its tokens never does."""
+    out, seen = [], set()
+    for tokens, label in rules:
+        if not any((part, label) in seen for n in range(1, len(tokens)) for part in combinations(tokens, n)):
+            out.append((tokens, label))
+            seen.add((tokens, label))
+    return out
+
+
 def inverted(rules: list[tuple[tuple[str, ...], str]]) -> dict[str, list[int]]:
     index: dict[str, list[int]] = defaultdict(list)
     for k, (tokens, _) in enumerate(rules):
@@ -112,7 +123,7 @@ def filtered(pages: DataFrame, rules: list[Rule], labelled: DataFrame) -> DataFr
     host and path and no tokens: no rule fits and the verdict is DEFAULT. Equal rows are
     judged alike; clashing columns of pages are replaced.
     """
-    found = mine(labelled.select(tokens_of(F.col("url")).alias("tokens"), "label"))
+    found = decisive(mine(labelled.select(tokens_of(F.col("url")).alias("tokens"), "label")))
     index = inverted(found)
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
