@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 from glintframe.llm import common
 
 DIMENSIONS, N = 512, 3
-#: Expected sample texts for each language, and how many languages (the most frequent) are learned.
-SAMPLE, LANGUAGES = 1000, 256
+#: Expected sample texts for each language.
+SAMPLE = 1000
+#: Languages whose sums a task holds at once.
+HELD = 4096
 #: Characters taken at once; a longer text is bundled in parts.
 PART = 1 << 18
 #: n-gram vectors that a worker keeps ready; a part has no more n-grams than that.
@@ -113,34 +115,38 @@ def bundle(text: str | None, letters: Letters, n: int = N) -> np.ndarray | None:
     return total
 
 
-def fit(labelled: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """Prototypes from (doc_id, text, lang): about `sample` texts of each of the `languages` most frequent languages.
+def fit(labelled: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """Prototypes from (doc_id, text, lang): about `sample` texts of each language.
 
     The sample is fixed by a hash of doc_id; null languages and texts are left out.
-    Only languages * dimensions sums reach the driver.
+    Only the sums reach the driver: 8 * dimensions bytes a language, which each worker holds, too.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    shares = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    shares = known.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
     chosen = known.join(F.broadcast(shares), "lang").where(common.hashed_share(F.col("doc_id"), "langid", share)).select("lang", "text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, total = letters_of(dimensions), {}
+
+        def held() -> Iterator[pa.RecordBatch]:
+            while total:
+                lang, v = total.popitem()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(range(dimensions), pa.int32()), pa.array(np.rint(v).astype(np.int64))], ["lang", "at", "value"])
+
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if (v := bundle(text, letters)) is not None:
                     total[lang] = total.get(lang, 0) + v
-        for lang, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(range(dimensions), pa.int32()), pa.array(np.rint(v).astype(np.int64))], ["lang", "at", "value"])
+                    if len(total) > HELD:
+                        yield from held()
+        yield from held()
 
     parts = chosen.coalesce(64).mapInArrow(sums, "lang string, at int, value long")
-    rows = parts.groupBy("lang", "at").agg(F.sum("value").alias("value")).collect()
-    names = sorted({r["lang"] for r in rows})
-    out = np.zeros((len(names), dimensions))
-    place = {x: k for k, x in enumerate(names)}
-    for r in rows:
-        out[place[r["lang"]], r["at"]] = r["value"]
-    return names, out
+    whole = parts.groupBy("lang", "at").agg(F.sum("value").alias("value")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("v"))
+    rows = whole.select("lang", "v.value").orderBy("lang").toArrow()
+    values = rows.column("value").combine_chunks()
+    return rows.column("lang").to_pylist(), values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
 
 
 def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFrame:
