@@ -70,15 +70,17 @@ def scan(index: Index, q: np.ndarray, q_ids: np.ndarray, b: np.ndarray, b_ids: n
     start = vectors.squares(q, b[:first])
     start[q_ids[:, None] == b_ids[None, :first]] = np.inf
     limit = np.sqrt(np.partition(start, k - 1, axis=1)[:, k - 1]) if first > k else np.full(len(q), np.inf)
+    slack = lambda i, j: 1e-12 * (1 + lengths[0][i] + lengths[1][j])  # noqa: E731  # of partial squares, which come from differences of lengths
+    lengths = (q**2).sum(1), (b**2).sum(1)
     at = COLUMNS
     part = vectors.squares(qr[:, :at], br[:, :at])
-    bound = lambda d: (limit * (1 + SIGMAS / math.sqrt(d)) * math.sqrt(d / dims)) ** 2 + 1e-12
-    i, j = np.nonzero((part <= bound(min(at, dims))[:, None]) & (q_ids[:, None] != b_ids[None]))
+    bound = lambda d: (limit * (1 + SIGMAS / math.sqrt(d)) * math.sqrt(d / dims)) ** 2
+    i, j = np.nonzero((part <= bound(min(at, dims))[:, None] + slack(np.s_[:, None], np.s_[None])) & (q_ids[:, None] != b_ids[None]))
     part = part[i, j]
     while at < dims and len(i):
         part = part + ((qr[i, at : at + COLUMNS] - br[j, at : at + COLUMNS]) ** 2).sum(1)
         at += COLUMNS
-        keep = part <= (bound(at)[i] if at < dims else (limit[i] * (1 + 1e-9)) ** 2 + 1e-12)
+        keep = part <= (bound(at)[i] if at < dims else (limit[i] * (1 + 1e-9)) ** 2) + slack(i, j)
         i, j, part = i[keep], j[keep], part[keep]
     d = exact(q[i], b[j])
     order = np.lexsort((b_ids[j], d, i))
