@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,11 +51,19 @@ def read_wav(content: bytes) -> tuple[list[float], int]:
 
 
 def wav_samples(files: DataFrame) -> DataFrame:
-    """(path, rate, samples) of (path, content)."""
+    """(path, rate, samples, error) of (path, content). A null or malformed file has an error and neither rate nor samples."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [read_wav(bytes(c)) for c in pdf["content"]]
-            yield pd.DataFrame({"path": pdf["path"], "rate": [g[1] for g in got], "samples": [g[0] for g in got]})
+    def one(content) -> tuple:
+        try:
+            samples, rate = read_wav(bytes(content))
+            return rate, samples, None
+        except (ValueError, TypeError, ZeroDivisionError, struct.error) as e:
+            return None, None, str(e) or type(e).__name__
 
-    return files.select("path", "content").mapInPandas(read, "path string, rate int, samples array<double>")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rate, samples, error = zip(*map(one, batch.column("content").to_pylist()), strict=True) if len(batch) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(rate, pa.int32()), pa.array(samples, pa.list_(pa.float64())), pa.array(error, pa.string())], ["path", "rate", "samples", "error"])
+
+    kind = dict(files.dtypes)["path"]
+    return files.select("path", "content").mapInArrow(read, f"path {kind}, rate int, samples array<double>, error string")

@@ -13,6 +13,7 @@ MARKS = r"[\x{0300}-\x{036F}\x{1AB0}-\x{1AFF}\x{1DC0}-\x{1DFF}\x{20D0}-\x{20FF}\
 TOKEN = r"[\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}\s]"
 #: White space as strip() and \s of text handling see it.
 BLANK = r"[\s\x1C-\x1F\u0085   -     　]"
+# Signs that end a sentence and a clause; lengths beyond which a sentence, and a single line, are split.
 SENTENCE_END, CLAUSE_END = "。！？.!?\\n", "，；,;"
 #: A longer sentence is split at clauses, too; a single longer line is split into sentences.
 LONG_SENTENCE, LONG_LINE = 120, 100
@@ -61,7 +62,8 @@ def sentences(text: Column) -> Column:
     return F.when(F.size(whole) == 0, F.array(text)).otherwise(whole)
 
 
-#: Places where a space was lost, in the order in which they are mended.
+# Places where a space was lost, in the order in which they are mended. Digits are ASCII ones, as the
+# engines compared take \d differently.
 LOST_SPACES = [
     (r"([a-zA-Z])([0-9])", "$1 $2"),
     (r"([0-9])([a-zA-Z])", "$1 $2"),

@@ -1,68 +1,90 @@
 """Zero-shot classification of vectors against a two-level taxonomy of prompt vectors.
 
-The taxonomy is a small dimension (about a thousand prompts); it is collected once,
-behind a check of its size, and travels with the task. A block of vectors then meets
-all prompts in one matrix product, so vectors are neither exploded nor shuffled. A
-taxonomy beyond the bound is met by a join instead.
+The taxonomy is a small dimension (about a thousand prompts). It travels with the tasks
+in blocks of at most BLOCK prompts; a block of vectors meets a block of prompts in one
+matrix product, so vectors are neither exploded nor shuffled. Where there are several
+blocks, the best of each category are compared once more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glintframe.functions.vectors import cosine
-
-#: Prompts that may travel with a task.
-MOST_PROMPTS = 20_000
+#: Prompts that travel with a task at once.
+BLOCK = 20_000
 #: Softmax factor, least probability and number of tags kept.
 SCALE, LEAST, TOP = 100.0, 0.02, 5
 
+_BEST = "vec_id long, cat_idx int, sub_idx long, sim double"
 
-def best_prompts(vectors: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """(vec_id, cat_idx, sub_idx, sim): of each category the most similar prompt, the first on ties.
 
-    vectors: (vec_id, v); taxonomy: (cat_idx, sub_idx, v). A zero norm gives similarity 0.
+def _rows(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, matrix, norms) of the arrays that are not null; null components count as 0.
+
+    Short arrays are filled with zeros up to the width and long ones cut, which leaves every dot
+    product one over the shorter length; norms are of whole arrays.
     """
-    rows = taxonomy.select("cat_idx", "sub_idx", "v").orderBy("cat_idx", "sub_idx").limit(MOST_PROMPTS + 1).collect()
-    if len(rows) > MOST_PROMPTS:
-        return _best_by_join(vectors, taxonomy)
-    if not rows:
-        return vectors.select("vec_id", F.lit(0).alias("cat_idx"), F.lit(0).alias("sub_idx"), F.lit(0.0).alias("sim")).limit(0)
-    prompts = np.array([r["v"] for r in rows], np.float64)
-    cats = np.array([r["cat_idx"] for r in rows], np.int32)
-    subs = np.array([r["sub_idx"] for r in rows], np.int64)
+    at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    known = column.take(pa.array(at))
+    lengths = known.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = known.flatten().cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(at)), lengths)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    norms = np.sqrt(np.bincount(row, flat * flat, len(at)))
+    width = int(lengths.max(initial=0)) if width is None else width
+    out = np.zeros((len(at), width))
+    inside = place < width
+    out[row[inside], place[inside]] = flat[inside]
+    return at, out, norms
+
+
+def _against(vectors: DataFrame, block: pa.Table) -> DataFrame:
+    """The best prompt of each category of a block, in order of (cat_idx, sub_idx)."""
+    at, prompts, size = _rows(block.column("v").combine_chunks())
+    cats = block.column("cat_idx").to_numpy()[at].astype(np.int32)
+    subs = block.column("sub_idx").to_numpy()[at].astype(np.int64)
     names, first = np.unique(cats, return_index=True)
     spans = list(zip(first, [*first[1:], len(cats)], strict=True))
-    size = np.linalg.norm(prompts, axis=1, keepdims=True)
-    prompts = prompts / np.where(size > 0, size, 1)
+    prompts = (prompts / np.where(size > 0, size, 1)[:, None]).T
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                v = np.array(part.column("v").to_pylist(), np.float64).reshape(len(part), -1)
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                sims = (v / np.where(n > 0, n, 1)) @ prompts.T
+            for start in range(0, len(batch), 1024):
+                part = batch.slice(start, 1024)
+                rows, v, n = _rows(part.column("v"), len(prompts))
+                sims = (v / np.where(n > 0, n, 1)[:, None]) @ prompts
                 best = np.stack([a + sims[:, a:b].argmax(1) for a, b in spans], 1)
                 k = len(names)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id").take(pa.array(np.repeat(np.arange(len(part)), k))), pa.array(np.tile(names, len(part))), pa.array(subs[best].ravel()), pa.array(np.take_along_axis(sims, best, 1).ravel())],
+                    [part.column("vec_id").take(pa.array(np.repeat(rows, k))), pa.array(np.tile(names, len(rows))), pa.array(subs[best].ravel()), pa.array(np.take_along_axis(sims, best, 1).ravel())],
                     ["vec_id", "cat_idx", "sub_idx", "sim"],
                 )
 
-    return vectors.select("vec_id", "v").mapInArrow(score, "vec_id long, cat_idx int, sub_idx long, sim double")
+    return vectors.select("vec_id", "v").mapInArrow(score, _BEST)
 
 
-def _best_by_join(vectors: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    pairs = vectors.select("vec_id", F.col("v").alias("q")).join(taxonomy.select("cat_idx", "sub_idx", "v"))
-    scored = pairs.select("vec_id", "cat_idx", "sub_idx", cosine(F.col("q"), F.col("v")).alias("sim"))
+def best_prompts(vectors: DataFrame, taxonomy: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(vec_id, cat_idx, sub_idx, sim): of each category the most similar prompt, the first on ties.
+
+    vectors: (vec_id, v); taxonomy: (cat_idx, sub_idx, v). A dot product runs over the shorter of
+    two lengths, norms over whole vectors; a zero norm gives similarity 0. A null vector gives
+    no row, a null prompt takes no part, a null component counts as 0. Without prompts: no rows.
+    """
+    ordered = taxonomy.select("cat_idx", "sub_idx", "v").where("v is not null and cat_idx is not null").orderBy("cat_idx", "sub_idx")
+    table = ordered.toArrow()
+    parts = [_against(vectors, table.slice(at, block)) for at in range(0, len(table), block)]
+    if not parts:
+        return vectors.select("vec_id", F.lit(0).alias("cat_idx"), F.lit(0).cast("long").alias("sub_idx"), F.lit(0.0).alias("sim")).limit(0)
+    if len(parts) == 1:
+        return parts[0]
     best = F.max_by(F.struct("sub_idx", "sim"), F.struct("sim", -F.col("sub_idx")))
-    return scored.groupBy("vec_id", "cat_idx").agg(best.alias("b")).select("vec_id", "cat_idx", "b.sub_idx", "b.sim")
+    return reduce(DataFrame.union, parts).groupBy("vec_id", "cat_idx").agg(best.alias("b")).select("vec_id", "cat_idx", "b.sub_idx", "b.sim")
 
 
 def softmax(best: DataFrame, scale: float = SCALE) -> DataFrame:

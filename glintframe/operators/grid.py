@@ -56,13 +56,7 @@ def components(grid: DataFrame, threshold: float = 0.3, dilations: int = 0) -> D
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         prob = _map(pdf)
-        mask = prob > threshold
-        for _ in range(dilations):
-            wide = np.pad(mask, 1)
-            grown = np.any([wide[1 + dy : wide.shape[0] - 1 + dy, 1 + dx : wide.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-            mask = mask.copy()
-            mask[1:-1, 1:-1] |= grown[1:-1, 1:-1]
-        parts = label(mask)
+        parts = label(grown(prob > threshold, dilations))
         rows = []
         for k in range(1, parts.max() + 1):
             y, x = np.nonzero(parts == k)
@@ -80,8 +74,8 @@ def text_boxes(grid: DataFrame, width: int, height: int, scale: float = 1.0) ->
 
     found = components(grid, dilations=2).where("area >= 9 and w >= 3 and h >= 3 and score >= 0.5")
     c = F.col
-    grown = found.select("image_id", "component", "score", *unclipped(c("x"), c("y"), c("w"), c("h"), width, height, 1.6))
-    return grown.select("image_id", "component", "score", *((c(u) * scale).alias(n) for u, n in (("ux", "x"), ("uy", "y"), ("uw", "w"), ("uh", "h"))))
+    wider = found.select("image_id", "component", "score", *unclipped(c("x"), c("y"), c("w"), c("h"), width, height, 1.6))
+    return wider.select("image_id", "component", "score", *((c(u) * scale).alias(n) for u, n in (("ux", "x"), ("uy", "y"), ("uw", "w"), ("uh", "h"))))
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -102,23 +96,24 @@ def hull(points: np.ndarray) -> np.ndarray:
 
 
 def tight_rectangle(points: np.ndarray) -> tuple[float, float, float, float, float]:
-    """(cx, cy, w, h, angle) of the smallest rectangle with a side along an edge of a hull; the first of equals; w >= h."""
-    best = None
-    edges = np.roll(points, -1, axis=0) - points
-    for dx, dy in edges:
-        length = float(np.hypot(dx, dy))
-        if length < 1e-6:
-            continue
-        u = np.array([dx, dy]) / length
-        v = np.array([-u[1], u[0]])
-        a, b = points @ u, points @ v
-        w, h = a.max() - a.min(), b.max() - b.min()
-        if best is None or w * h < best[0]:
-            centre = u * (a.max() + a.min()) / 2 + v * (b.max() + b.min()) / 2
-            best = (w * h, centre[0], centre[1], w, h, float(np.arctan2(dy, dx)))
-    if best is None:
-        return float(points[0][0]), float(points[0][1]), 0.0, 0.0, 0.0
-    _, cx, cy, w, h, angle = best
+    """(cx, cy, w, h, angle) of the smallest rectangle with a side along an edge of a hull; the first of equals; w >= h.
+
+    Projections stay multiples of the edge's length until the end, so that rectangles of equal area over whole numbers compare as equal.
+    """
+    p = np.asarray(points, float)
+    edges = np.roll(p, -1, axis=0) - p
+    square = (edges**2).sum(1)
+    at = np.flatnonzero(square >= 1e-12)
+    if not len(at):
+        return float(p[0][0]), float(p[0][1]), 0.0, 0.0, 0.0
+    dx, dy, square = edges[at, 0], edges[at, 1], square[at]
+    along, across = np.outer(dx, p[:, 0]) + np.outer(dy, p[:, 1]), np.outer(dx, p[:, 1]) - np.outer(dy, p[:, 0])
+    a0, a1, b0, b1 = along.min(1), along.max(1), across.min(1), across.max(1)
+    k = int(np.argmin((a1 - a0) * (b1 - b0) / square))
+    cx = (dx[k] * (a1[k] + a0[k]) / 2 - dy[k] * (b1[k] + b0[k]) / 2) / square[k]
+    cy = (dy[k] * (a1[k] + a0[k]) / 2 + dx[k] * (b1[k] + b0[k]) / 2) / square[k]
+    length = np.sqrt(square[k])
+    w, h, angle = (a1[k] - a0[k]) / length, (b1[k] - b0[k]) / length, float(np.arctan2(dy[k], dx[k]))
     if w < h:
         w, h, angle = h, w, angle + np.pi / 2
     while angle > np.pi / 2:
@@ -128,6 +123,68 @@ def tight_rectangle(points: np.ndarray) -> tuple[float, float, float, float, flo
     return float(cx), float(cy), float(w), float(h), float(angle)
 
 
+def corners_of(cx: float, cy: float, w: float, h: float, angle: float) -> np.ndarray:
+    """The corners of a turned rectangle."""
+    half = np.array([[-w, -h], [w, -h], [w, h], [-w, h]]) / 2
+    turn = np.array([[np.cos(angle), np.sin(angle)], [-np.sin(angle), np.cos(angle)]])
+    return half @ turn + [cx, cy]
+
+
+def in_reading_order(corners: np.ndarray) -> np.ndarray:
+    """Top left, top right, bottom right, bottom left: two by x on each side, those by y."""
+    c = corners[np.lexsort((corners[:, 1], corners[:, 0]))]
+    left, right = c[:2][np.argsort(c[:2, 1], kind="stable")], c[2:][np.argsort(c[2:, 1], kind="stable")]
+    return np.stack([left[0], right[0], right[1], left[1]])
+
+
+def mean_inside(prob: np.ndarray, corners: np.ndarray) -> float:
+    """Mean of the pixels in a convex quadrilateral, edges included; 0 without any."""
+    y, x = np.indices(prob.shape)
+    turns = [(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) for a, b in zip(corners, np.roll(corners, -1, axis=0), strict=True)]
+    inside = (np.max(turns, axis=0) <= 0) | (np.min(turns, axis=0) >= 0)
+    return float(prob[inside].mean()) if inside.any() else 0.0
+
+
+# Mask threshold, least score, least side, growth, most share of a side that a box may span, components looked at.
+MASK, SCORE, SIDE, GROWTH, SPAN, MOST = 0.3, 0.5, 3, 1.6, 0.8, 1000
+
+
+def grown(mask: np.ndarray, times: int) -> np.ndarray:
+    """A mask grown by one pixel on all sides, `times` times; the border is never written."""
+    for _ in range(times):
+        wide = np.pad(mask, 1)
+        around = np.any([wide[1 + dy : wide.shape[0] - 1 + dy, 1 + dx : wide.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
+        mask = mask.copy()
+        mask[1:-1, 1:-1] |= around[1:-1, 1:-1]
+    return mask
+
+
+def turned_boxes(prob: np.ndarray, scale: float = 1.0) -> list[tuple[int, float, float, float, float, float, float]]:
+    """(component, cx, cy, w, h, angle, score) of a probability map's turned text boxes, in the picture's coordinates."""
+    height, width = prob.shape
+    parts = label(grown(prob > MASK, 2))
+    out = []
+    for k in range(1, min(int(parts.max()), MOST) + 1):
+        y, x = np.nonzero(parts == k)
+        if len(x) < SIDE * SIDE or np.ptp(x) + 1 > int(SPAN * width) or np.ptp(y) + 1 > int(SPAN * height):
+            continue
+        around = hull(np.stack([x, y], 1))
+        if len(around) < 3:
+            continue
+        cx, cy, w, h, angle = tight_rectangle(around)
+        if h < SIDE or (score := mean_inside(prob, corners_of(cx, cy, w, h, angle))) < SCORE:
+            continue
+        grow = w * h * GROWTH / (2 * (w + h))
+        if h + 2 * grow < SIDE + 2:
+            continue
+        c = in_reading_order(corners_of(cx, cy, w + 2 * grow, h + 2 * grow, angle) * scale)
+        if not np.isfinite(c).all() or np.ptp(c[:, 0]) > SPAN * width * scale or np.ptp(c[:, 1]) > SPAN * height * scale:
+            continue
+        (cx, cy), top, side = (c[0] + c[2]) / 2, c[1] - c[0], c[3] - c[0]
+        out.append((k, float(cx), float(cy), float(np.hypot(*top)), float(np.hypot(*side)), float(np.arctan2(top[1], top[0])), score))
+    return out
+
+
 def sharpest(points: np.ndarray, keep: int = 4) -> list[tuple[int, float, float]]:
     """The vertices of a hull that turn most, numbered in the hull's order; none for a hull with fewer."""
     p = points.astype(float)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Scorer(Protocol):
@@ -43,6 +45,50 @@ def run(blobs: DataFrame, name: str, key: str = "path", content: str = "content"
     return blobs.select(key, content).mapInPandas(score, f"{key} {kind}, {schema}")
 
 
+def routed(blobs: DataFrame, default: str) -> DataFrame:
+    """(path, model, and the models' columns) of blobs (path, content, model): each by the model that it names, else by the default.
+
+    The models offered must have one schema. A batch is split by model, so each is called once for a batch.
+    """
+    known = dict(_FACTORIES)
+    schema = known[default]().schema
+    same = [n for n, f in known.items() if f().schema == schema]
+    names = [part.split()[0] for part in schema.split(",")]
+    asked = F.when(F.col("model").isin(same), F.col("model")).otherwise(default)
+    kind = dict(blobs.dtypes)["path"]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, part in pdf.groupby("model"):
+                model = _open.setdefault(name, known[name]())
+                rows = [(k, name, *r) for k, found in zip(part["path"], model.score(part["content"]), strict=True) for r in found]
+                yield pd.DataFrame(rows, columns=["path", "model", *names])
+
+    return blobs.select("path", "content", asked.alias("model")).mapInPandas(score, f"path {kind}, model string, {schema}")
+
+
+def by_image(crops: DataFrame, name: str) -> DataFrame:
+    """(image_id, box_id, and the model's columns) of crops (image_id, box_id, pixels): one call an image, rows filled with zeros to the widest."""
+    factory = _FACTORIES[name]
+    schema = factory().schema
+    names = [part.split()[0] for part in schema.split(",")]
+    listed = crops.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_id", "pixels"))).alias("crops"))
+    listed = listed.select("image_id", F.transform("crops", lambda c: c["box_id"]).alias("box_id"), F.transform("crops", lambda c: c["pixels"]).alias("pixels"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _open.setdefault(name, factory())
+        for pdf in batches:
+            rows = []
+            for image, boxes, pixels in zip(pdf["image_id"], pdf["box_id"], pdf["pixels"], strict=True):
+                wide = np.zeros((len(pixels), max(map(len, pixels))))
+                for row, p in zip(wide, pixels, strict=True):
+                    row[: len(p)] = p
+                rows += [(image, box, *r) for box, r in zip(boxes, model.score(wide), strict=True)]
+            yield pd.DataFrame(rows, columns=["image_id", "box_id", *names])
+
+    return listed.mapInPandas(score, f"image_id long, box_id int, {schema}")
+
+
 class Stub:
     """A stand-in without weights: length and first byte of a blob."""
 
@@ -52,4 +98,22 @@ class Stub:
         return [[(len(c), c[0] if len(c) else -1)] for c in content]
 
 
+class Last(Stub):
+    """Another stand-in: length and last byte."""
+
+    def score(self, content: pd.Series) -> list[list[tuple]]:
+        return [[(len(c), c[-1] if len(c) else -1)] for c in content]
+
+
+class Rows:
+    """A stand-in for a recognizer: the sum of a row's pixels and the width that it was given."""
+
+    schema = "total double, padded int"
+
+    def score(self, wide: np.ndarray) -> list[tuple]:
+        return [(float(t), wide.shape[1]) for t in wide.sum(1)]
+
+
 register("stub", Stub)
+register("stub-last", Last)
+register("stub-rows", Rows)

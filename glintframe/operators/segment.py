@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import functions as F
 
 
 def costs(words: list[str]) -> dict[str, float]:
@@ -31,14 +27,3 @@ def segment(run: str, cost: dict[str, float], longest: int) -> list[str]:
             out.append(piece)
         end = a
     return out[::-1]
-
-
-def segmenter(words: list[str]):
-    cost, longest = costs(words), max(map(len, words))
-
-    @F.pandas_udf("array<string>")
-    def split(runs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in runs:
-            yield pd.Series([segment(r, cost, longest) for r in series])
-
-    return split

@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from glintframe.plans.registry import query
 from glintframe.sources.tables import literal
 
-# Model files by category; a member of an archive follows the #.
+# A manifest of our own: two categories share a file, an archive holds two members (after the #), some files are there.
 MANIFEST = [
-    ("clip/vit-b-16.img.fp32.onnx", "https://models.example.org/clip/vit-b-16.img.fp32.onnx", "clip"),
-    ("clip/vit-b-16.txt.fp32.onnx", "https://models.example.org/clip/vit-b-16.txt.fp32.onnx", "clip"),
-    ("ocr/server_det.onnx", "https://models.example.org/ocr/server_det.onnx", "ocr_server"),
-    ("ocr/cls.onnx", "https://models.example.org/ocr/cls.onnx", "ocr_server"),
-    ("ocr/server_rec.onnx", "https://models.example.org/ocr/server_rec.onnx", "ocr_server"),
-    ("ocr/mobile_det.onnx", "https://models.example.org/ocr/mobile_det.onnx", "ocr_mobile"),
-    ("ocr/mobile_rec.onnx", "https://models.example.org/ocr/mobile_rec.onnx", "ocr_mobile"),
-    ("ocr/cls.onnx", "https://models.example.org/ocr/cls.onnx", "ocr_mobile"),
-    ("face/det_10g.onnx", "https://models.example.org/face/pack.zip#det_10g.onnx", "face"),
-    ("face/w600k_r50.onnx", "https://models.example.org/face/pack.zip#w600k_r50.onnx", "face"),
+    ("tags/picture-encoder.onnx", "https://files.example.net/tags/picture-encoder.onnx", "clip"),
+    ("tags/caption-encoder.onnx", "https://files.example.net/tags/caption-encoder.onnx", "clip"),
+    ("tags/words.txt", "https://files.example.net/tags/words.txt", "clip"),
+    ("lines/large/find.onnx", "https://files.example.net/lines/large.tar#find.onnx", "ocr_server"),
+    ("lines/large/read.onnx", "https://files.example.net/lines/large.tar#read.onnx", "ocr_server"),
+    ("lines/turn.onnx", "https://files.example.net/lines/turn.onnx", "ocr_server"),
+    ("lines/small/both.onnx", "https://files.example.net/lines/small-both.onnx", "ocr_mobile"),
+    ("lines/turn.onnx", "https://files.example.net/lines/turn.onnx", "ocr_mobile"),
+    ("people/find.onnx", "https://files.example.net/people.zip#find.onnx", "face"),
 ]
-PRESENT = [("clip/vit-b-16.img.fp32.onnx",), ("clip/vit-b-16.txt.fp32.onnx",), ("ocr/mobile_det.onnx",), ("ocr/mobile_rec.onnx",)]
+PRESENT = [("tags/picture-encoder.onnx",), ("tags/caption-encoder.onnx",), ("tags/words.txt",), ("lines/small/both.onnx",)]
+#: In the order in which they are fetched.
 CATEGORIES = [("clip", True), ("ocr_server", True), ("ocr_mobile", True), ("face", True), ("stt", False)]
 
 
@@ -37,12 +37,16 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     return literal(spark, "rel_path, url, category", MANIFEST), literal(spark, "rel_path", PRESENT), literal(spark, "category, enabled", CATEGORIES)
 
 
-@query(f"WITH {_BASE}, m AS (SELECT DISTINCT rel_path, url FROM manifest m WHERE category IN (SELECT category FROM categories WHERE enabled) AND NOT EXISTS (SELECT 1 FROM present p WHERE p.rel_path = m.rel_path)) SELECT split_part(url, '#', 1) AS download, count(*) AS files, contains(min(url), '#') AS archive FROM m GROUP BY 1")
+_ORDERED = _values("ordered", "category, ord", [(c, k) for k, (c, enabled) in enumerate(CATEGORIES) if enabled])
+
+
+@query(f"WITH {_BASE}, {_ORDERED}, m AS (SELECT DISTINCT rel_path, url FROM manifest m WHERE category IN (SELECT category FROM categories WHERE enabled) AND NOT EXISTS (SELECT 1 FROM present p WHERE p.rel_path = m.rel_path)) SELECT split_part(url, '#', 1) AS download, count(*) AS files, contains(min(url), '#') AS archive, CAST(min((SELECT min(o.ord) FROM ordered o JOIN manifest f ON f.category = o.category WHERE f.rel_path = m.rel_path)) AS INTEGER) AS step FROM m GROUP BY 1")
 def missing_model_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is to be downloaded: files of enabled categories that are not there; an archive once for all its members."""
-    manifest, present, categories = _tables(spark)
-    missing = manifest.join(categories.where("enabled"), "category", "left_semi").join(present, "rel_path", "left_anti").select("rel_path", "url").distinct()
-    return missing.groupBy(F.split_part("url", F.lit("#"), F.lit(1)).alias("download")).agg(F.count("*").alias("files"), F.contains(F.min("url"), F.lit("#")).alias("archive"))
+    """What is to be downloaded: files of enabled categories that are not there; an archive once for all its members, in the step of the first category that needs it."""
+    manifest, present, _ = _tables(spark)
+    ordered = literal(spark, "category, ord", [(c, k) for k, (c, enabled) in enumerate(CATEGORIES) if enabled])
+    missing = manifest.join(ordered, "category").join(present, "rel_path", "left_anti").groupBy("rel_path", "url").agg(F.min("ord").alias("ord"))
+    return missing.groupBy(F.split_part("url", F.lit("#"), F.lit(1)).alias("download")).agg(F.count("*").alias("files"), F.contains(F.min("url"), F.lit("#")).alias("archive"), F.min("ord").alias("step"))
 
 
 @query(f"WITH {_BASE}, f AS (SELECT m.category, p.rel_path IS NOT NULL AS here FROM manifest m LEFT JOIN present p ON p.rel_path = m.rel_path), r AS (SELECT c.category, c.enabled, coalesce(bool_and(f.here), true) AS ready FROM categories c LEFT JOIN f ON f.category = c.category GROUP BY ALL) SELECT category, enabled, ready, category NOT IN ('clip') AS blocks, bool_or(ready AND enabled) OVER () AS any_ready FROM r")
@@ -138,6 +142,42 @@ def catalog_localized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("who", "tag", "s_ord", "section", F.coalesce("s_text", "section").alias("title"), F.coalesce("s_about", F.lit("")).alias("about"), "m_ord", "model", shown.alias("name"))
 
 
+SECTIONS = [(0, "ocr"), (1, "clip"), (2, "face"), (3, "stt"), (4, "sidecar")]
+# section, place, id, enabled, ready
+MODELS = [("ocr", 0, "ocr.large", True, True), ("ocr", 1, "ocr.small", True, False), ("clip", 0, "clip.default", True, True), ("face", 0, "face.default", False, True), ("stt", 0, "stt.words", True, False)]
+_SECTIONS = ", ".join([_values("sections", "ord, section", SECTIONS), _values("models", "section, place, id, enabled, ready", MODELS)])
+
+
+@query(f"""WITH {_SECTIONS}, m AS (SELECT section, to_json(list({{'id': id, 'state': CASE WHEN ready THEN 'ready' ELSE 'not_downloaded' END, 'action': CASE WHEN ready THEN 'remove' ELSE 'download' END}} ORDER BY place)) AS models, count(*) AS n FROM models WHERE enabled GROUP BY section)
+SELECT ord, s.section, CAST(coalesce(n, 0) AS BIGINT) AS n, coalesce(CAST(m.models AS VARCHAR), '[]') AS models FROM sections s LEFT JOIN m ON m.section = s.section""")
+def catalog_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with their enabled models nested, each with its state and what can be done; a section without any stays, empty."""
+    ready = lambda yes, no: F.when(F.col("ready"), yes).otherwise(no)
+    one = F.struct("place", F.struct("id", ready("ready", "not_downloaded").alias("state"), ready("remove", "download").alias("action")).alias("model"))
+    models = literal(spark, "section, place, id, enabled, ready", MODELS).where("enabled").groupBy("section").agg(F.array_sort(F.collect_list(one)).alias("l"))
+    rows = literal(spark, "ord, section", SECTIONS).join(models, "section", "left")
+    nested = F.coalesce(F.to_json(F.transform("l", lambda r: r["model"])), F.lit("[]"))
+    return rows.select("ord", "section", F.coalesce(F.nullif(F.size("l"), F.lit(-1)), F.lit(0)).cast("long").alias("n"), nested.alias("models"))
+
+
+@query(f"""WITH {_values('h', 'id, loaded, phase, error', HEALTH)} SELECT bool_or(loaded) AS any_loaded, '{{' || string_agg('"' || id || '":' || CAST(json_object('loaded', loaded, 'device', CASE WHEN loaded THEN 'cpu' ELSE 'none' END, 'error', coalesce(error, '')) AS VARCHAR), ',' ORDER BY id) || '}}' AS models FROM h""")
+def health_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: a map from each model to whether it is loaded, where, and what went wrong."""
+    state = F.struct("loaded", F.when(F.col("loaded"), "cpu").otherwise("none").alias("device"), F.coalesce("error", F.lit("")).alias("error"))
+    entries = F.array_sort(F.collect_list(F.struct("id", state.alias("state"))))
+    return literal(spark, "id, loaded, phase, error", HEALTH).agg(F.bool_or("loaded").alias("any_loaded"), F.to_json(F.map_from_entries(entries)).alias("models"))
+
+
+PATHS = [("/srv/data/perception",), ("/srv/data/ai-models",), ("/srv/data/perception/",), ("/srv/my-perception",), ("/srv/perception/x",), ("/perception",), ("models",)]
+
+
+@query(f"WITH {_values('p', 'path', PATHS)} SELECT path, CASE WHEN regexp_matches(rtrim(path, '/'), '/(perception|ai-models)$') THEN CASE WHEN regexp_matches(path, '^/[^/]+/*$') THEN '/' ELSE regexp_replace(rtrim(path, '/'), '/[^/]*$', '') END ELSE path END AS root FROM p")
+def models_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder above one whose last part is one of the two names; any other path as it is."""
+    # The two names.
+    return literal(spark, "path", PATHS).select("path", F.when(F.rlike("path", F.lit("/(perception|ai-models)/*$")), F.regexp_replace(F.regexp_replace("path", "/+[^/]+/*$", ""), "^$", "/")).otherwise(F.col("path")).alias("root"))
+
+
 IDS = [("ocr.pp-ocrv5-mobile",), ("ocr.got-ocr-2",), ("ocr.other",), ("clip.default",), ("face.x.y",), ("stt.sense.voice",), ("sidecar.a",), ("noid",), ("what.x",)]
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +10,7 @@ from pyspark.sql import functions as F
 from glintframe.operators import grid as G
 from glintframe.operators import scorer
 from glintframe.plans.registry import query
-from glintframe.sources.tables import boxes, table
+from glintframe.sources.tables import BOXES_SQL, boxes, shared_folder, table
 
 IMAGES, WIDTH, HEIGHT = 20, 16, 12
 _GRID = f"""grid AS (SELECT CAST(i AS BIGINT) AS image_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, ((x * x * 3 + y * y * 5 + i * 7 + x * y) % 17) / 17.0::DOUBLE * 0.45 AS prob
@@ -108,13 +105,27 @@ def _per_image(spark: SparkSession, sf_dir: str, one, schema: str) -> DataFrame:
     return listed.mapInPandas(run, f"image_id long, {schema}")
 
 
-@query()
+_HULL = f"""{BOXES_SQL}, pts AS (SELECT DISTINCT image_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM boxes),
+e AS (SELECT p.image_id, p.x AS px, p.y AS py, q.x - p.x AS dx, q.y - p.y AS dy FROM pts p JOIN pts q ON p.image_id = q.image_id AND (p.x <> q.x OR p.y <> q.y)),
+hull AS (SELECT e.image_id, px, py, dx, dy, max(dx * r.x + dy * r.y) AS a1, min(dx * r.x + dy * r.y) AS a0, max(dx * r.y - dy * r.x) AS b1, min(dx * r.y - dy * r.x) AS b0 FROM e JOIN pts r ON r.image_id = e.image_id GROUP BY ALL
+  HAVING bool_and(dx * (r.y - py) - dy * (r.x - px) > 0 OR (dx * (r.y - py) - dy * (r.x - px) = 0 AND dx * (r.x - px) + dy * (r.y - py) BETWEEN 0 AND dx * dx + dy * dy))),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY CASE WHEN dx > 0 THEN 0 WHEN dx = 0 AND dy > 0 THEN 1 WHEN dx < 0 THEN 2 ELSE 3 END, CASE WHEN dx <> 0 THEN dy / CAST(dx AS DOUBLE) END) - 1 AS n FROM hull),
+alone AS (SELECT image_id, min(x) AS x, min(y) AS y FROM pts GROUP BY image_id HAVING count(*) = 1)"""
+
+
+@query(f"WITH {_HULL} SELECT image_id, CAST(n AS INTEGER) AS n, CAST(px AS INTEGER) AS x, CAST(py AS INTEGER) AS y FROM ordered UNION ALL SELECT image_id, 0, CAST(x AS INTEGER), CAST(y AS INTEGER) FROM alone")
 def convex_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hulls of each image's box origins."""
     return _per_image(spark, sf_dir, lambda h: [(n, int(x), int(y)) for n, (x, y) in enumerate(h)], "n int, x int, y int")
 
 
-@query()
+_FOLD = lambda a: f"CASE WHEN {a} > pi() / 2 THEN {a} - pi() WHEN {a} < -pi() / 2 THEN {a} + pi() ELSE {a} END"
+
+
+@query(f"""WITH {_HULL}, k AS (SELECT *, CAST(dx * dx + dy * dy AS DOUBLE) AS sq, row_number() OVER (PARTITION BY image_id ORDER BY CAST((a1 - a0) * (b1 - b0) AS DOUBLE) / (dx * dx + dy * dy), n) AS k FROM ordered),
+r AS (SELECT image_id, (dx * (a1 + a0) / 2.0::DOUBLE - dy * (b1 + b0) / 2.0::DOUBLE) / sq AS cx, (dy * (a1 + a0) / 2.0::DOUBLE + dx * (b1 + b0) / 2.0::DOUBLE) / sq AS cy, (a1 - a0) / sqrt(sq) AS w, (b1 - b0) / sqrt(sq) AS h, atan2(dy, dx) AS a FROM k WHERE k = 1),
+t AS (SELECT image_id, cx, cy, greatest(w, h) AS w, least(w, h) AS h, CASE WHEN w < h THEN a + pi() / 2 ELSE a END AS a FROM r), u AS (SELECT * REPLACE ({_FOLD('a')} AS a) FROM t)
+SELECT image_id, round(cx, 4) AS cx, round(cy, 4) AS cy, round(w, 4) AS w, round(h, 4) AS h, round({_FOLD('a')}, 4) AS angle FROM u UNION ALL SELECT image_id, CAST(x AS DOUBLE), CAST(y AS DOUBLE), 0.0, 0.0, 0.0 FROM alone""")
 def min_area_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_image(spark, sf_dir, lambda h: [tuple(round(v, 4) for v in G.tight_rectangle(h.astype(float)))], "cx double, cy double, w double, h double, angle double")
 
@@ -141,26 +152,19 @@ def text_box_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rotated_box_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rotated boxes of components: hull, tight rectangle, score, unclip, limits."""
+    """Turned boxes of components: hull, tight rectangle, score inside it, growth, limits, the picture's scale. Each image has a bar, turned by its number."""
+    width, height = 64, 48
+    cells = spark.range(IMAGES * width * height).selectExpr(f"id div {width * height} as image_id", f"cast(id % {width} as int) as x", f"cast(id div {width} % {height} as int) as y", f"(id div {width * height}) % 5 * 0.2D as turn")
+    bar = F.expr("abs((x - 32) + turn * (y - 24)) <= 9 and abs((y - 24) - turn * (x - 32)) <= 5")
+    cells = cells.select("image_id", "x", "y", F.when(bar, 0.9).otherwise(0.05).alias("prob"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        prob = np.zeros((HEIGHT, WIDTH))
+        prob = np.zeros((height, width))
         prob[pdf["y"], pdf["x"]] = pdf["prob"]
-        parts = G.label(prob > 0.3)
-        rows = []
-        for k in range(1, min(parts.max(), 1000) + 1):
-            y, x = np.nonzero(parts == k)
-            h = G.hull(np.stack([x, y], 1))
-            if len(h) < 3 or max(np.ptp(x) + 1, np.ptp(y) + 1) > 0.8 * max(WIDTH, HEIGHT):
-                continue
-            cx, cy, w, hh, angle = G.tight_rectangle(h.astype(float))
-            grow = w * hh * 1.6 / (2 * (w + hh)) if w + hh > 0 else 0.0
-            score = float(prob[y, x].mean())
-            if min(w, hh) >= 1 and score >= 0.3 and np.isfinite([cx, cy, w, hh]).all():
-                rows.append((pdf["image_id"].iloc[0], k, cx, cy, w + 2 * grow, hh + 2 * grow, angle, score))
+        rows = [(pdf["image_id"].iloc[0], *r) for r in G.turned_boxes(prob, 2.0)]
         return pd.DataFrame(rows, columns=["image_id", "component", "cx", "cy", "w", "h", "angle", "score"])
 
-    return _grid(spark).groupBy("image_id").applyInPandas(one, "image_id long, component int, cx double, cy double, w double, h double, angle double, score double")
+    return cells.groupBy("image_id").applyInPandas(one, "image_id long, component int, cx double, cy double, w double, h double, angle double, score double")
 
 
 @query()
@@ -215,22 +219,39 @@ def image_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInPandas(prep, "doc_id long, model string, w int, h int, mean double")
 
 
-@query()
+@query("SELECT label, vec_id, CAST(len(embedding) AS INTEGER) AS dims, (SELECT md5(string_agg(concat(label, ':', vec_id), ';' ORDER BY label, vec_id)) FROM embeddings WHERE vec_id < 100) AS fingerprint FROM embeddings WHERE vec_id < 100")
 def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived vectors kept in Parquet under the taxonomy's fingerprint, and read back; another fingerprint finds nothing."""
+    """Derived vectors kept in Parquet under the taxonomy's fingerprint; made where nothing stands under it."""
     from glintframe.functions.vectors import l2_normalized
+    from glintframe.operators.cache import kept
     from glintframe.plans.vector_queries import taxonomy_fingerprint
 
     mark = taxonomy_fingerprint(spark, sf_dir).first()["fingerprint"]
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cache-")
-    home = f"{shared.rstrip('/')}/cache-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "embeddings").where("vec_id < 100").select("label", "vec_id", l2_normalized(F.col("embedding")).alias("v"))
-    rows.withColumn("fingerprint", F.lit(mark)).write.partitionBy("fingerprint").parquet(home)
-    return spark.read.parquet(home).where(F.col("fingerprint") == mark).select("label", "vec_id", F.size("v").alias("dims"), "fingerprint")
+    found = kept(spark, f"{shared_folder(spark)}/embedding-cache", mark, lambda: rows, rows.schema)
+    return found.select("label", "vec_id", F.size("v").alias("dims"), F.lit(mark).alias("fingerprint"))
 
 
-@query()
+@query("SELECT doc_id AS path, octet_length(encode(text)) AS size, CASE WHEN text = '' THEN -1 ELSE CAST('0x' || substr(hex(encode(text)), 1, 2) AS INTEGER) END AS first FROM documents")
 def scorer_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as blobs through a registered model (a stub without weights)."""
-    blobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return scorer.run(blobs, "stub")
+    return scorer.run(_blobs(spark, sf_dir).select("path", "content"), "stub")
+
+
+def _blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = F.when(F.col("doc_id") % 4 == 0, "stub").when(F.col("doc_id") % 4 == 1, "stub-last").when(F.col("doc_id") % 4 == 2, "no such model")
+    return docs.select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"), asked.alias("model"))
+
+
+@query("SELECT doc_id AS path, CASE WHEN doc_id % 4 = 1 THEN 'stub-last' ELSE 'stub' END AS model, octet_length(encode(text)) AS size, CASE WHEN text = '' THEN -1 WHEN doc_id % 4 = 1 THEN CAST('0x' || right(hex(encode(text)), 2) AS INTEGER) ELSE CAST('0x' || substr(hex(encode(text)), 1, 2) AS INTEGER) END AS first FROM documents")
+def scorer_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each blob goes to the model that it asks for, or to the default one where it asks for none or an unknown one."""
+    return scorer.routed(_blobs(spark, sf_dir), "stub")
+
+
+@query(f"WITH {BOXES_SQL}, s AS (SELECT image_id, box_id, w, (SELECT sum((i * 7 + box_id) % 11) FROM range(1, w + 1) r(i)) AS total FROM boxes) SELECT image_id, box_id, CAST(total AS DOUBLE) AS total, CAST(max(w) OVER (PARTITION BY image_id) AS INTEGER) AS padded FROM s")
+def scorer_by_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call of the recognizer for each image: its crops filled with zeros to the widest."""
+    pixels = F.transform(F.sequence(F.lit(1), F.col("w").cast("int")), lambda i: ((i * 7 + F.col("box_id")) % 11).cast("double"))
+    return scorer.by_image(boxes(spark, sf_dir).select("image_id", "box_id", pixels.alias("pixels")), "stub-rows")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glintframe.operators import align, ctc, layout
+from glintframe.operators import align, ctc, layout, restore
 from glintframe.plans.registry import query
 from glintframe.sources.tables import LINES_SQL, literal, table, text_lines
 
@@ -137,3 +137,11 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = rows.select("image_id", F.posexplode(F.split("text", "(?<=[,.]) ")).alias("block_no", "text"))
     plain = rows.select("image_id", F.regexp_replace(F.regexp_replace("text", " the ", " thhe + "), "(?<=[,.]) ", "\n").alias("text"))
     return align.hybrid(blocks, plain)
+
+
+@query()
+def hybrid_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged lines, mended by the documents' word frequencies."""
+    merged = hybrid_merge(spark, sf_dir).select(F.struct("image_id", "block_no").alias("id"), "text")
+    done = restore.restored(merged, restore.frequencies(table(spark, sf_dir, "documents")))
+    return done.select("id.image_id", "id.block_no", "text")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,10 +9,10 @@ from pyspark.sql import functions as F
 
 from glintframe.functions import audio
 from glintframe.plans.registry import query
-from glintframe.sources.tables import table
+from glintframe.sources.tables import shared_folder, table
 
-#: Silence that ends an utterance and the longest utterance, in seconds, at the pace of the events table.
-GAP, LONGEST = 20_000, 100_000
+#: Silence that ends an utterance with a text, and one without; the longest utterance: in seconds, at the pace of the events table.
+GAP, IDLE, LONGEST = 20_000, 60_000, 100_000
 _SESSIONS = f"""e AS (SELECT *, epoch_us(ts) / 1000000.0::DOUBLE AS s FROM events),
 g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY ts) > {GAP} OR lag(s) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM e),
 i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM g)"""
@@ -49,17 +48,40 @@ def stt_partial_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("before is null or before != event_type").select("event_id", "user_id", F.col("event_type").alias("text"))
 
 
-@query(f"WITH {_SESSIONS}, k AS (SELECT user_id, island, s, s - min(s) OVER (PARTITION BY user_id, island) AS age FROM i) SELECT user_id, CAST(floor(age / {LONGEST}) AS BIGINT) AS part, count(*) AS frames, round(max(age), 3) AS age FROM k GROUP BY user_id, island, part")
+def _walk_sql(idle: float) -> str:
+    """Frame by frame: whether this one starts an utterance, when that began, whether it has a text, whether it is over."""
+    cut = f'(w."over" OR f.s - w.s > CASE WHEN w.said THEN {GAP} ELSE {idle} END)'
+    return f"""f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_us(ts) / 1000000.0::DOUBLE AS s, event_type <> 'error' AS said FROM events),
+w(user_id, k, s, u, began, said, "over", why) AS (
+  SELECT user_id, k, s, 1::BIGINT, s, said, false, CAST(NULL AS VARCHAR) FROM f WHERE k = 1
+  UNION ALL
+  SELECT f.user_id, f.k, f.s, CASE WHEN {cut} THEN w.u + 1 ELSE w.u END, CASE WHEN {cut} THEN f.s ELSE w.began END, f.said OR (w.said AND NOT {cut}),
+    f.s - CASE WHEN {cut} THEN f.s ELSE w.began END >= {LONGEST}, CASE WHEN {cut} THEN CASE WHEN w."over" THEN 'length' ELSE 'silence' END END
+  FROM w JOIN f ON f.user_id = w.user_id AND f.k = w.k + 1),
+u AS (SELECT user_id, u, min(s) AS began, max(s) AS ended, count(*) AS frames, bool_or(said) AS said, bool_or("over") AS over_ FROM w GROUP BY user_id, u),
+r AS (SELECT u.*, coalesce(n.why, CASE WHEN over_ THEN 'length' ELSE 'open' END) AS reason FROM u LEFT JOIN w n ON n.user_id = u.user_id AND n.u = u.u + 1 AND n.why IS NOT NULL)"""
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select(F.col("user_id").alias("stream_id"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("said"))
+
+
+@query(f"WITH RECURSIVE {_walk_sql(GAP)} SELECT user_id, u AS part, frames, round(ended - began, 3) AS age, reason FROM r")
 def stt_max_length_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Utterances cut every so many seconds from their start."""
-    one = Window.partitionBy("user_id").orderBy("ts")
-    s = F.unix_micros("ts") / 1e6
-    rows = _events(spark, sf_dir).withColumn("s", s)
-    rows = rows.withColumn("new", F.when(F.col("s") - F.lag("s").over(one) <= GAP, 0).otherwise(1))
-    rows = rows.withColumn("island", F.sum("new").over(one.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("age", F.col("s") - F.min("s").over(Window.partitionBy("user_id", "island")))
-    rows = rows.withColumn("part", F.floor(F.col("age") / LONGEST).cast("long"))
-    return rows.groupBy("user_id", "island", "part").agg(F.count("*").alias("frames"), F.round(F.max("age"), 3).alias("age")).drop("island")
+    """Utterances that end by silence, or at the first frame that reaches the longest duration; the next frame starts anew."""
+    from glintframe.streaming.stt import Rules, utterances
+
+    rows = utterances(_recorded(spark, sf_dir), Rules(GAP, LONGEST, GAP))
+    return rows.select(F.col("stream_id").alias("user_id"), F.col("utterance").alias("part"), "frames", F.round(F.col("ended") - F.col("began"), 3).alias("age"), "reason")
+
+
+@query(f"WITH RECURSIVE {_walk_sql(IDLE)} SELECT user_id, u AS part, frames, said, round(ended - began, 3) AS age, reason FROM r")
+def stt_endpoint_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three rules: a long silence ends any utterance, a shorter one an utterance that has a text, and so does its duration."""
+    from glintframe.streaming.stt import Rules, utterances
+
+    rows = utterances(_recorded(spark, sf_dir), Rules(GAP, LONGEST, IDLE))
+    return rows.select(F.col("stream_id").alias("user_id"), F.col("utterance").alias("part"), "frames", "said", F.round(F.col("ended") - F.col("began"), 3).alias("age"), "reason")
 
 
 @query()
@@ -71,13 +93,12 @@ def stt_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir)
     kind = F.when(F.col("event_type") == "error", "reset").otherwise("audio")
     frames = frames.select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), kind.alias("type"), F.col("event_type").alias("text"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        home = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-        run = stt.sessions(frames, GAP, LONGEST).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
+        home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+        run = stt.sessions(frames, GAP, LONGEST, IDLE).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
         if before is None:
@@ -104,8 +125,7 @@ def mono_mixdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     Samples are dealt out by ranges of (user, time), so a user with most of them is many
     tasks: a sample's number is its place in its range after the counts of the user's earlier ranges.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mono-")
-    home = f"{shared.rstrip('/')}/mono-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/mono-{uuid.uuid4().hex}"
     order = ["ts", "value", "event_id"]
     ranges = table(spark, sf_dir, "events").select("user_id", *order).repartitionByRange("user_id", *order)
     ranges.withColumn("range", F.spark_partition_id()).write.parquet(home)
@@ -119,20 +139,35 @@ def mono_mixdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select("user_id", "i", F.round(F.when(F.col("n") == F.col("known"), F.col("x") / 2), 6).alias("x"))
 
 
+# The header of a WAV file of 16-bit stereo at 16,000 frames a second, with 8 bytes of samples.
+_WAV_HEAD = "524946462C00000057415645666D74201000000001000200803E000000FA0000040010006461746108000000"
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN 16000 END AS rate, CASE WHEN event_id % 10 <> 0 THEN ((event_id % 30000) + (event_id % 7)) / 65536.0::DOUBLE END AS a, CASE WHEN event_id % 10 <> 0 THEN ((event_id % 11) + (event_id % 20000)) / 65536.0::DOUBLE END AS b, event_id % 10 = 0 AS failed FROM events")
+def wav_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two stereo frames, read and mixed to mono; a file cut within its header gives an error row."""
+    low = lambda n: F.concat(F.substring(F.lpad(F.hex(n), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(n), 4, "0"), 1, 2))
+    samples = [low(F.col("event_id") % m) for m in (30000, 7, 11, 20000)]
+    whole = F.unhex(F.concat(F.lit(_WAV_HEAD), *samples))
+    content = F.when(F.col("event_id") % 10 == 0, F.substring(whole, 1, 20)).otherwise(whole)
+    found = audio.wav_samples(table(spark, sf_dir, "events").select(F.col("event_id").alias("path"), content.alias("content")))
+    return found.select(F.col("path").alias("event_id"), "rate", F.get("samples", 0).alias("a"), F.get("samples", 1).alias("b"), F.col("error").isNotNull().alias("failed"))
+
+
 @query("SELECT user_id, count(*) AS samples, count(*) >= 131 // 2 AS enough FROM events GROUP BY user_id")
 def audio_min_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At least half a second of samples at a rate of 131."""
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("samples")).withColumn("enough", F.col("samples") >= 131 // 2)
 
 
-@query("WITH a AS (SELECT user_id, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last FROM events GROUP BY user_id), n AS (SELECT *, max(last) OVER () AS now FROM a) SELECT user_id, CAST(greatest(now - last, 0) AS BIGINT) AS idle_s, last > 0 AND now - last >= 36000 AS evict, count(*) FILTER (WHERE last > 0 AND now - last >= 36000) OVER () AS evicted FROM n")
+@query("WITH a AS (SELECT user_id, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last FROM events GROUP BY user_id), n AS (SELECT *, max(last) OVER () AS now FROM a) SELECT user_id, CAST(greatest(now - last, 0) AS BIGINT) AS idle_s, round(greatest(now - last, 0) * 1000.0::DOUBLE, 1) AS idle_ms, last > 0 AND now - last >= 36000 AS evict, count(*) FILTER (WHERE last > 0 AND now - last >= 36000) OVER () AS evicted FROM n")
 def idle_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots idle for ten hours or more; a clock behind the last use counts as no time."""
     last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("last"))
     now = last.agg(F.max("last").alias("now"))
     rows = last.join(F.broadcast(now), F.lit(True)).withColumn("idle_s", F.greatest(F.col("now") - F.col("last"), F.lit(0))).withColumn("evict", F.expr("last > 0 and idle_s >= 36000"))
     n = rows.agg(F.count_if("evict").alias("evicted"))
-    return rows.join(F.broadcast(n), F.lit(True)).select("user_id", "idle_s", "evict", "evicted")
+    return rows.join(F.broadcast(n), F.lit(True)).select("user_id", "idle_s", F.round(F.col("idle_s") * 1000.0, 1).alias("idle_ms"), "evict", "evicted")
 
 
 @query("WITH p AS (SELECT event_id, user_id, ts, CAST(floor(value / 20) AS INTEGER) AS percent, lag(CAST(floor(value / 20) AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) SELECT event_id, user_id, percent, CASE WHEN percent >= 5 THEN 'ready' WHEN percent > 0 THEN 'downloading' ELSE 'pending' END AS status FROM p WHERE before IS NULL OR before <> percent")

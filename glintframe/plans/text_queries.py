@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glintframe.functions import text as X
+from glintframe.operators import restore as R
 from glintframe.operators import wordpiece as W
 from glintframe.plans.registry import query
 from glintframe.sources.tables import literal, table
@@ -132,6 +130,7 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VLM = "'(' || doc_id % 50 || ',20),(3,' || doc_id % 70 || ') ' || text"
+# The form of a line that names its box.
 _BOX = r"\(([0-9]+),([0-9]+)\),\(([0-9]+),([0-9]+)\)\s*(.*)"
 
 
@@ -172,44 +171,49 @@ def _spaced_sql(t: str) -> str:
     return t
 
 
-@query(f"SELECT page_id, {_spaced_sql('url || replace(substr(html, 1, 2000), chr(32), chr(44))')} AS spaced FROM pages")
+@query(f"SELECT page_id, {_spaced_sql('url || replace(html, chr(32), chr(44))')} AS spaced FROM pages")
 def space_restore_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("url", F.replace("html", F.lit(" "), F.lit(",")))
     return table(spark, sf_dir, "pages").select("page_id", X.spaced(text).alias("spaced"))
 
 
-# Our own words, the frequent ones first; rank gives frequency.
-_WORDS = "the of and to in is that for with this they from there other about python which their would these water number people numpy after first never where great again world three under while along might something often always those paper group music between example country children".split()
-
-
 @query()
 def word_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long runs of letters split into the likeliest words by a unigram table (dynamic programming, Arrow batches)."""
-    from glintframe.operators.segment import segmenter
-
-    runs = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z']{8,}"), F.lit(0))).alias("run"))
-    return runs.distinct().select("item_id", "run", F.array_join(segmenter(_WORDS)(F.lower("run")), " ").alias("words"))
+    """Texts without their spaces, long runs of letters split into the likeliest words by the documents' word frequencies."""
+    words = R.frequencies(table(spark, sf_dir, "documents"))
+    runs = table(spark, sf_dir, "benchmark").select("item_id", F.replace("text", F.lit(" "), F.lit("")).alias("run"))
+    return runs.select("item_id", R.run_splitter(R.ranked(words))("run").alias("words"))
 
 
-_DICT_SQL = "dict(word, freq) AS (VALUES " + ", ".join(f"('{w}', {1.0 / (k + 2):.6f}::DOUBLE)" for k, w in enumerate(_WORDS)) + ")"
+_MISREAD = "substr(tok, 1, 2) || 'q' || substr(tok, 4)"
 
 
-@query(f"""WITH {_DICT_SQL}, t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS tok FROM benchmark),
-e AS (SELECT tok, lower(tok) AS low FROM t WHERE length(tok) BETWEEN 5 AND 20 AND tok <> upper(tok) AND lower(tok) NOT IN (SELECT word FROM dict)),
-c AS (SELECT tok, word, row_number() OVER (PARTITION BY tok ORDER BY levenshtein(low, word), freq DESC, word) AS k FROM e JOIN dict ON abs(length(low) - length(word)) <= 2 AND levenshtein(low, word) <= 2 WHERE freq > 5e-7)
-SELECT tok, CASE WHEN tok[1] <> lower(tok[1]) AND tok[2:] = lower(tok[2:]) THEN upper(word[1]) || lower(word[2:]) WHEN tok = upper(tok) THEN upper(word) ELSE word END AS fixed FROM c WHERE k = 1""")
+@query(f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), dict AS (SELECT word, count(*) / CAST((SELECT count(*) FROM w) AS DOUBLE) AS freq FROM w GROUP BY word),
+t AS (SELECT DISTINCT {_MISREAD} AS tok FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS tok FROM benchmark)),
+e AS (SELECT tok, lower(tok) AS low FROM t WHERE length(tok) BETWEEN 5 AND 20 AND tok <> upper(tok)),
+u AS (SELECT DISTINCT low FROM e WHERE low NOT IN (SELECT word FROM dict WHERE freq > 5e-7)),
+c AS (SELECT low, word, row_number() OVER (PARTITION BY low ORDER BY levenshtein(low, word), freq DESC, word) AS k FROM u JOIN dict ON abs(length(low) - length(word)) <= 2 AND levenshtein(low, word) <= 2 WHERE freq > 5e-7)
+SELECT e.tok, CASE WHEN tok[1] <> lower(tok[1]) AND tok[2:] = lower(tok[2:]) THEN upper(word[1]) || lower(word[2:]) WHEN tok = upper(tok) THEN upper(word) ELSE word END AS fixed FROM e JOIN c ON c.low = e.low WHERE k = 1""")
 def spell_correct_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corrections of unknown words: the nearest dictionary word within two edits, the more frequent first, in the word's case.
+    """Corrections of misread words: the nearest of the documents' words within two edits, the more frequent first, in the word's case.
 
-    Distinct words meet the dictionary (a bounded dimension) on length first.
+    Words meet on what is left of them without up to two letters, an ordinary join on a key.
     """
-    words = literal(spark, "word, freq", [(w, round(1.0 / (k + 2), 6)) for k, w in enumerate(_WORDS)])
-    toks = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("tok")).distinct()
+    words = R.frequencies(table(spark, sf_dir, "documents"))
+    toks = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("tok")).select(F.expr(_MISREAD).alias("tok")).distinct()
     toks = toks.where("length(tok) between 5 and 20 and tok != upper(tok)").withColumn("low", F.lower("tok"))
-    unknown = toks.join(words, toks["low"] == words["word"], "left_anti").withColumn("n", F.explode(F.sequence(F.length("low") - 2, F.length("low") + 2)))
-    near = unknown.join(words.withColumn("n", F.length("word")).where("freq > 5e-7"), "n").withColumn("d", F.levenshtein("low", "word")).where("d <= 2")
-    best = near.groupBy("tok").agg(F.min(F.struct("d", (-F.col("freq")).alias("f"), "word"))["word"].alias("word"))
-    return best.select("tok", X.case_like(F.col("tok"), F.col("word")).alias("fixed"))
+    unknown = toks.select("low").distinct().join(words.select(F.col("word").alias("low")), "low", "left_anti")
+    best = R.corrections(unknown, words)
+    return toks.join(best, "low").select("tok", X.case_like(F.col("tok"), F.col("word")).alias("fixed"))
+
+
+@query()
+def text_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain over benchmark texts as they are, without spaces, and with a misread letter."""
+    kinds = F.array("text", F.replace("text", F.lit(" "), F.lit("")), F.regexp_replace("text", "ea", "eq"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(kinds).alias("kind", "text")).withColumn("id", F.struct("item_id", "kind"))
+    done = R.restored(rows.select("id", "text"), R.frequencies(table(spark, sf_dir, "documents")))
+    return done.select("id.item_id", "id.kind", F.col("text").alias("restored"))
 
 
 @query(r"SELECT page_id, regexp_extract('INFO: Uvicorn running on ' || url || '/ (Press CTRL+C)', 'Uvicorn running on (http\S*)', 1) AS raw, rtrim(regexp_extract('INFO: Uvicorn running on ' || url || '/ (Press CTRL+C)', 'Uvicorn running on (http\S*)', 1), '/') AS url, split_part(url || '#entry.onnx', '#', 1) AS archive, split_part(url || '#entry.onnx', '#', 2) AS entry FROM pages")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import math
 import sqlite3
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "stream_id long, seq long, type string, text string"
@@ -47,23 +51,90 @@ def in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             yield from db.execute("SELECT seq, at, type, text FROM frames ORDER BY seq, rowid")
 
 
+@dataclass(frozen=True)
+class Rules:
+    """When an utterance ends, in seconds: silence after it has a text, silence without one, and its longest duration."""
+
+    gap: float
+    longest: float
+    idle: float = math.inf
+
+    def silent(self, pause: float, said: bool) -> bool:
+        return pause > (self.gap if said else self.idle)
+
+
+def utterances(frames: DataFrame, rules: Rules) -> DataFrame:
+    """(stream_id, utterance from 1, began, ended, frames, said, reason) of recorded frames (stream_id, ts, seq, said).
+
+    The rules of the stateful stream over a table: silence (`silence`) ends an utterance before the
+    next frame, its longest duration (`length`) at the first frame that reaches it; the next frame
+    starts anew; the last one is `open`. Times are in seconds. Spark sorts each stream's frames and a
+    task goes through them once, so a stream of any length takes the memory of one batch. Rows without
+    stream_id or ts are left out; ties of ts go by seq.
+    """
+    rows = frames.where("stream_id is not null and ts is not null").select("stream_id", (F.unix_micros("ts") / 1e6).alias("at"), "seq", F.coalesce("said", F.lit(False)).alias("said"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["stream_id", "utterance", "began", "ended", "frames", "said", "reason"]
+        out: list[tuple] = []
+        stream, utterance, began, ended, count, spoke = None, 0, 0.0, 0.0, 0, False
+
+        def given() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.string())
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for key, at, said in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "at", "said")), strict=True):
+                if count and (key != stream or rules.silent(at - ended, spoke)):
+                    out.append((stream, utterance, began, ended, count, spoke, "open" if key != stream else "silence"))
+                    count = 0
+                if key != stream:
+                    stream, utterance, ended = key, 0, at
+                if not count:
+                    utterance, began, spoke = utterance + 1, at, False
+                ended, count, spoke = at, count + 1, spoke or said
+                if at - began >= rules.longest:
+                    out.append((stream, utterance, began, ended, count, spoke, "length"))
+                    count = 0
+            if out:
+                yield given()
+        if count:
+            out.append((stream, utterance, began, ended, count, spoke, "open"))
+            yield given()
+
+    ordered = rows.repartition("stream_id").sortWithinPartitions("stream_id", "at", "seq")
+    return ordered.mapInArrow(cut, "stream_id long, utterance long, began double, ended double, frames long, said boolean, reason string")
+
+
 class Session(StatefulProcessor):
     """One stream's frames in order of seq: audio, reset, close.
 
     A change of the recognized text gives a `partial`. Silence of `gap` seconds after the
-    last frame, or an utterance of `longest` seconds, gives a `final` (if there is a text)
-    and an `endpoint`. A reset forgets the utterance; a close ends the stream and its open partial is lost.
+    last frame of an utterance with a text (`idle` without one), or an utterance of `longest`
+    seconds, gives a `final` (if there is a text) and an `endpoint`. A reset forgets the
+    utterance; a close ends the stream: its open partial is lost and its state goes. A timer in
+    event time does the same for a stream that falls silent: once the watermark has passed the
+    silence that ends its utterance (`expires`, where none does), that ends and the state goes.
     """
 
-    def __init__(self, gap: float, longest: float) -> None:
-        self.gap, self.longest = gap, longest
+    def __init__(self, gap: float, longest: float, idle: float = math.inf, expires: float = 3600.0) -> None:
+        self.rules, self.expires = Rules(gap, longest, idle), expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("utterance", "text string, began double, last double")
+        self.handle = handle
+        self.state = handle.getValueState("utterance", "text string, began double, last double, seq long")
+
+    def _frames(self, out: list[tuple]) -> pd.DataFrame:
+        pdf = pd.DataFrame(out, columns=["stream_id", "seq", "type", "text"])
+        out.clear()
+        return pdf
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        text, began, last = self.state.get() if self.state.exists() else ("", -1.0, -1.0)
+        text, began, last, seq = self.state.get() if self.state.exists() else ("", -1.0, -1.0, -1)
         out: list[tuple] = []
+        closed = False
 
         def end(seq: int) -> None:
             nonlocal text, began
@@ -72,14 +143,10 @@ class Session(StatefulProcessor):
             out.append((key[0], seq, "endpoint", None))
             text, began = "", -1.0
 
-        def given() -> pd.DataFrame:
-            pdf = pd.DataFrame(out, columns=["stream_id", "seq", "type", "text"])
-            out.clear()
-            return pdf
-
         for seq, at, kind, said in in_order(rows):
-            if began >= 0 and at - last > self.gap:
+            if began >= 0 and self.rules.silent(at - last, bool(text)):
                 end(seq)
+            closed = kind == "close"
             if kind in ("reset", "close"):
                 text, began = "", -1.0
             else:
@@ -88,18 +155,34 @@ class Session(StatefulProcessor):
                 if said and said != text:
                     text = said
                     out.append((key[0], seq, "partial", text))
-                if at - began >= self.longest:
+                if at - began >= self.rules.longest:
                     end(seq)
             last = at
             if len(out) >= GIVEN:
-                yield given()
-        self.state.update((text, began, last))
-        yield given()
+                yield self._frames(out)
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if closed:
+            self.state.clear()
+        else:
+            self.state.update((text, began, last, seq))
+            wait = self.rules.gap if text else min(self.rules.idle, self.expires)
+            self.handle.registerTimer(int((last + wait) * 1000) + 1)
+        yield self._frames(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        text, began, _, seq = self.state.get() if self.state.exists() else ("", -1.0, -1.0, -1)
+        self.state.clear()
+        out = [(key[0], seq, "final", text)] if text else []
+        if began >= 0:
+            out.append((key[0], seq, "endpoint", None))
+        yield self._frames(out)
 
     def close(self) -> None:
         pass
 
 
-def sessions(frames: DataFrame, gap: float, longest: float) -> DataFrame:
-    """Server frames of a stream of client frames (stream_id, ts, seq, type, text)."""
-    return frames.groupBy("stream_id").transformWithStateInPandas(Session(gap, longest), OUTPUT, "Append", "None")
+def sessions(frames: DataFrame, gap: float, longest: float, idle: float = math.inf, expires: float = 3600.0, late: float = 60.0) -> DataFrame:
+    """Server frames of a stream of client frames (stream_id, ts, seq, type, text), which come up to `late` seconds late."""
+    marked = frames.withWatermark("ts", f"{late:g} seconds")
+    return marked.groupBy("stream_id").transformWithStateInPandas(Session(gap, longest, idle, expires), OUTPUT, "Append", "EventTime")

@@ -45,10 +45,18 @@ class State:
         self.value = value
 
 
+class Handle:
+    def listTimers(self):
+        return iter(())
+
+    def registerTimer(self, at):
+        pass
+
+
 def served(frames, size):
     """A session's output over pieces of `size` frames, and the most pieces that were alive at once."""
     session = stt.Session(20, 100)
-    session.state = State()
+    session.state, session.handle = State(), Handle()
     alive, most = [], 0
 
     def pieces():
@@ -60,7 +68,7 @@ def served(frames, size):
             yield pdf
             del pdf
 
-    out = [tuple(r) for pdf in session.handleInputRows((1,), pieces(), None) for r in pdf.itertuples(index=False)]
+    out = [tuple(r) for pdf in session.handleInputRows((1,), pieces(), session.handle) for r in pdf.itertuples(index=False)]
     return out, session.state.value, most
 
 
