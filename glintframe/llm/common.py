@@ -2,64 +2,69 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glintframe.sources.tables import shared_folder
+
 #: Words are maximal runs of anything but these bytes: space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Seconds between two clearings of what checkpoints have cut off.
-CLEAR_S = 4.0
-_cleared = 0.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of an Arrow batch of texts in the registered queries.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage: rows go to the shared folder named in spark.checkpoint.dir.
-
-    Only where the session names none (a local test) a temporary folder serves. What
-    earlier steps have shuffled and nothing refers to any more is then cleared.
-    """
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage: df's rows as a table in the shared folder, computed once. It stays until it is discarded."""
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-        )
-    out = df.checkpoint()
-    global _cleared
-    if time.monotonic() - _cleared >= CLEAR_S:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # Spark's cleaner follows the driver's garbage collector
-        _cleared = time.monotonic()
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
     return out
 
 
-def partitions_for(df: DataFrame, bytes_each: int) -> int:
-    """Shuffle partitions so that each gets about bytes_each of df's size as the optimizer estimates it.
+def discard(*tables: DataFrame) -> None:
+    """Empties written tables that nothing reads any more."""
+    for t in tables:
+        t.sparkSession.range(0).write.mode("overwrite").parquet(t.written_to)
+
+
+def extent(docs: DataFrame, column: str = "text") -> tuple[int, int]:
+    """Rows, and bytes of a text column."""
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(column).cast("string")).cast("long")), F.lit(0))).first()
+    return n, size
+
 
-    Of a table whose size is not known (the estimate is then enormous) the session's setting stands.
+def pieces(spark: SparkSession, size: int, bytes_each: int) -> int:
+    """Shuffle partitions so that each stands for bytes_each of `size` bytes; the session's number at least, 32,768 at most."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // bytes_each), 32_768))
+
+
+def prepared(spark: SparkSession) -> None:
+    """Session settings of the registered queries; operators themselves set none.
+
+    Arrow batches are bounded by bytes, as batches that count rows grow with the texts. Shuffle
+    files go when the query that made them has ended.
     """
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return least if size >= 1 << 55 else max(least, min(-(-size // bytes_each), 100_000))
-
-
-def small_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
-    """df, in a session whose Arrow batches hold at most about `size` bytes, as long texts fill batches that count rows."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    conf = df.sparkSession.conf
-    if int(conf.get(key, str(size))) >= size or int(conf.get(key, "0")) <= 0:
-        conf.set(key, str(size))
-    return df
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't use yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def hashed_share(key: Column, seed: str, share: Column | float) -> Column:

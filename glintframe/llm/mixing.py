@@ -15,6 +15,8 @@ source with most of the rows does not meet in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def seed_hash(seed: str, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *(F.coalesce(k.cast("string"), F.lit("null")) for k in keys)))
 
 
+def order_hash(seed: str) -> Column:
+    """Orders documents by doc_id; those without one by their text, so that they don't meet in one place."""
+    return seed_hash(seed, F.when(F.col("doc_id").isNull(), F.concat(F.lit("null"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))).otherwise(F.col("doc_id").cast("string")))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
     """(source, source_size, n) to target: shares of the whole size by weight, at most cap times a source's own size.
 
@@ -64,9 +71,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.
     each doc_id (rows that share a doc_id and size may swap theirs). An empty table
     gives no rows. Columns of docs other than doc_id, text and source play no part.
     """
-    rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
-    rows = rows.withColumn("band", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int")).withColumn("h", seed_hash(seed, F.col("doc_id")))
-    rows = common.checkpointed(rows.withColumn("salt", F.conv(F.substring("h", 1, 2), 16, 10).cast("int")))
+    rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), order_hash(seed).alias("h"))
+    rows = rows.withColumn("band", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int"))
+    rows = common.written(rows.withColumn("salt", F.conv(F.substring("h", 1, 2), 16, 10).cast("int")))
     same = lambda a, b, names: [a[n].eqNullSafe(b[n]) for n in names]
     cells = rows.groupBy("source", "band", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     bands = cells.groupBy("source", "band").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
@@ -88,12 +95,18 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix") -> DataFrame:
     """The rows of docs, each as often as it is taken; those taken no time are left out.
 
-    Rows with the same doc_id, source and size share out the copies planned for them.
+    Rows with the same doc_id, source and size share out the copies planned for them; rows
+    without a doc_id stand by their text. Columns of docs pass through, whatever their names.
     """
+    row, nth, copy = (common.free(docs, c) for c in ("row", "nth", "copy"))
+    most = math.ceil(cap) + 1
+    times = [f"times_{k}" for k in range(1, most + 1)]
     plan = mixed(docs, weights, cap, seed)
-    key = lambda source, size: seed_hash("row", F.col("doc_id"), source, size)
-    plan = plan.groupBy(key(F.col("source"), F.col("size")).alias("__key")).agg(F.sort_array(F.collect_list("copies"), False).alias("__copies")).where("__copies[0] > 0")
-    own = docs.withColumn("__key", key(F.col("source").cast("string"), n_words(F.col("text"))))
-    taken = own.join(plan, "__key").withColumn("__k", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
-    times = F.element_at("__copies", F.col("__k")).cast("int")
-    return taken.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    key = lambda h, source, size: seed_hash("row", h, source, size)
+    # of the rows with one key, how many are taken at least k times
+    plan = plan.groupBy(key(F.col("h"), F.col("source"), F.col("size")).alias(row)).agg(*(F.count_if(F.col("copies") >= k).alias(c) for k, c in enumerate(times, 1))).where("times_1 > 0")
+    plan = plan.select(F.col(row), F.array(*times).alias(copy))
+    own = docs.withColumn(row, key(order_hash(seed), F.col("source").cast("string"), n_words(F.col("text"))))
+    taken = own.join(plan, row).withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(row)))
+    each = F.filter(F.col(copy), lambda n: n >= F.col(nth))
+    return taken.withColumn(copy, F.explode(each)).select(*docs.columns)

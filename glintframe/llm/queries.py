@@ -8,8 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintframe.llm import ann, langid, mixing, ngram_join, pq_dedup, quality, sharding, spm, substring, url_rules
-from glintframe.llm.common import table
+from glintframe.llm import ann, common, langid, mixing, ngram_join, pq_dedup, quality, sharding, spm, substring, url_rules
 
 #: The SentencePiece model of the tokenizer query.
 SPM_MODEL = os.environ.get("GLINTFRAME_SPM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -20,6 +19,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder, in a prepared session."""
+    common.prepared(spark)
+    return common.table(spark, sf_dir, name)
+
+
 #: The rules of the URL query.
 URL_RULES = [
     url_rules.Rule("allow", "org/"),

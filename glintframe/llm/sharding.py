@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintframe.llm import common
-from glintframe.llm.mixing import seed_hash
+from glintframe.llm.mixing import order_hash, seed_hash
 
 
 def _before(*by: str):
@@ -29,12 +29,14 @@ def shards(docs: DataFrame, n_shards: int = 24, seed: str = "shard") -> DataFram
 
     size: UTF-8 bytes of the text (null: none) plus 8. text_crc32 of a null text is
     null. Shards hold equal numbers of rows, or one apart ("rows"). A null source is a
-    source of its own; equal rows get places of their own; an empty table gives none.
+    source of its own; rows without a doc_id stand by their text; equal rows get places
+    of their own (ties of all of fraction, source, hash, doc_id, size and CRC-32 are
+    interchangeable); an empty table gives none. Other columns of docs play no part.
     """
     text = F.col("text").cast("string")
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = rows.withColumn("h", seed_hash(seed, F.col("doc_id"))).withColumn("hi", _hex("h", 1, 2).cast("int")).withColumn("lo", _hex("h", 3, 2).cast("int"))
-    rows = common.checkpointed(rows)
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), order_hash(seed).alias("h"))
+    rows = rows.withColumn("hi", _hex("h", 1, 2).cast("int")).withColumn("lo", _hex("h", 3, 2).cast("int"))
+    rows = common.written(rows)
     cells = rows.groupBy("source", "hi", "lo").agg(F.count("*").alias("n"))
     groups = cells.groupBy("source", "hi").agg(F.sum("n").alias("n"))
     sources = groups.groupBy("source").agg(F.sum("n").alias("source_n"))
@@ -50,7 +52,7 @@ def shards(docs: DataFrame, n_shards: int = 24, seed: str = "shard") -> DataFram
     placed = r.select("doc_id", "source", "size", "text_crc32", "h", fraction.alias("fraction"))
     # 2**20 cells of the fraction, in two levels of 2**10
     placed = placed.withColumn("cell", F.least(F.floor(F.col("fraction") * (1 << 20)), F.lit((1 << 20) - 1)).cast("int"))
-    placed = common.checkpointed(placed.withColumn("top", F.shiftright("cell", 10)))
+    placed = common.written(placed.withColumn("top", F.shiftright("cell", 10)))
     fine = placed.groupBy("top", "cell").agg(F.count("*").alias("n"))
     coarse = fine.groupBy("top").agg(F.sum("n").alias("n"))
     t = coarse.select("top", F.coalesce(F.sum("n").over(Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)), zero).alias("at_top"), F.sum("n").over(Window.partitionBy()).alias("total"))
