@@ -5,18 +5,22 @@ and a column for each shingle, a 64-bit hash. Columns stand in one order: shingl
 that a sample shows to be frequent come last, the more frequent the later, and all
 others by hash. The order bears on work only, never on results.
 
-1. Product over the first columns of each row. A row of n entries linked with any
-   other shares one of its first n - ceil(t n) + 1 entries, so only these are
-   multiplied, column by column. Sizes and the entries' places bound what a pair can
-   still accumulate; pairs below what the threshold needs are discarded.
-2. Bound by blocks of columns. The hash splits all columns into BLOCKS blocks; a pair
-   accumulates at most the smaller count in each. Pairs whose bound is too low go.
-3. Exact overlap of what remains, from the whole sets.
-
-A column with many rows pairs each row with its WINDOW neighbours by size and a few hubs; that
-joins groups of near copies at a cost linear in their size. Then rows of one column
-that are in different components are paired in full (an ordinary join on the column),
-so no component is missed and copies of copies are not expanded into all pairs.
+1. The product runs over the first columns of each row. Linked rows of n entries share
+   one of their first n - ceil(t n) + 1 entries, so no link is missed. The hash deals
+   columns out to blocks; a block's task multiplies its columns and adds up, for each
+   pair of rows, the overlap there. Sums over the blocks give a pair's overlap in the
+   first columns; what is left of either row bounds the rest. Pairs that can't reach
+   the overlap that their sizes need are discarded.
+2. Of the remaining pairs, each row's best and then those across components are
+   multiplied over all columns, which gives their overlap exactly.
+
+A column of more than SMALL rows is split from its block. In it each row first meets
+NEAR neighbours by size and a few hubs, which joins groups of near copies at a cost
+linear in their size. Then rows outside a column's largest component meet the row of it
+that has most large columns, as near copies with few changes of their own are linked
+with most. At last all rows in different components meet in a join on the column, where
+sizes bound how many columns linked rows share and so which of them need be looked at. No
+component is missed, and copies of copies are not expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -26,21 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintframe.llm import common, tokens
 from glintframe.llm.components import components
 
-#: Sampled documents, frequent shingles kept (at 16 bytes), column blocks, neighbours by size.
-SAMPLE, FREQUENT, BLOCKS, WINDOW = 32_768, 262_144, 256, 16
-#: In a column of more than HUGE rows each row also meets HUBS rows spread over the sizes.
-HUGE, HUBS = 64, 16
-#: Rows of a column's largest component that its other rows meet before all of them are paired.
-FEW = 24
+#: Sampled documents, frequent shingles kept (at 16 bytes).
+SAMPLE, FREQUENT = 32_768, 262_144
+#: Rows of a column that is multiplied within its block; in a larger one each row meets so many neighbours by size, and so many hubs.
+SMALL, NEAR, HUBS = 16, 2, 2
 #: Up to so many doc_ids (8 bytes each) are broadcast to find their texts; beyond, texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
-ROWS_A_FLUSH, BUCKET_BYTES = 1 << 19, 8 << 20
+#: Entries that a map task packs at once; bytes of text for each block of columns.
+ROWS_A_FLUSH, BLOCK_BYTES = 1 << 19, 8 << 20
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -65,10 +68,23 @@ def prefix_length(n, percent: int):
     return n + (percent * n) // -100 + 1
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Hashes of the shingles that occur in 3 or more of about SAMPLE documents, rarest first; at most FREQUENT."""
-    share = min(1.0, SAMPLE / max(docs.count(), 1))
-    some = docs.where(common.hashed_share(F.col("doc_id"), "ngram order", share))
+def suffix(n: Column, percent: int) -> Column:
+    """Entries of a row of n behind its first columns."""
+    return F.ceil(n * percent / F.lit(100)).cast("long") - 1
+
+
+def enough(overlap: Column, percent: int) -> Column:
+    """Whether rows of sizes n_a and n_b with that overlap in the first columns can be linked.
+
+    The first columns of one row end before those of the other; past that end it has only its suffix to share.
+    """
+    rest = F.greatest(suffix(F.col("n_a"), percent), suffix(F.col("n_b"), percent))
+    return (overlap + rest) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+
+
+def frequent_shingles(docs: DataFrame, n: int, words: int) -> np.ndarray:
+    """Hashes of the shingles that occur in 3 or more of about SAMPLE of the n documents, rarest first; at most FREQUENT."""
+    some = docs.where(common.hashed_share(F.col("doc_id"), "ngram order", min(1.0, SAMPLE / max(n, 1))))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,26 +92,27 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
                 sets = list(shingle_sets(data, bounds, words))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
-    rows = some.select("text").mapInArrow(emit, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    return np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
+    counted = some.select("text").mapInArrow(emit, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
+    rows = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
+    return rows.column("h").to_numpy()[::-1].copy().view(np.uint64)
 
 
 def _incidence(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, t (a hash of the text), n, set (128-bit digest), first (hashes of the first columns, in order), blocks (counts)."""
+    """doc_id, t (a hash of the text), n, set (128-bit digest), first (hashes of the first columns, in order)."""
     order = np.argsort(frequent)
-    known, rank = frequent[order], order
+    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int32)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = shared.value
         for batch in batches:
             texts, ids = common.text_column(batch, "text"), batch.column("doc_id")
             for at, to, data, bounds in tokens.chunks(texts):
-                n, digest, first, blocks = [], [], [], []
+                n, digest, first = [], [], []
                 for h in shingle_sets(data, bounds, words):
                     n.append(len(h))
                     if not len(h):
                         digest.append(None)
                         first.append(None)
-                        blocks.append(None)
                         continue
                     digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     p = prefix_length(len(h), percent)
@@ -104,32 +121,30 @@ def _incidence(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
                         often = known[place] == h
                         rare = h[~often][:p]
                         if len(rare) < p:
-                            hot, hot_rank = h[often], rank[place[often]]
-                            rare = np.concatenate([rare, hot[np.argsort(hot_rank)][: p - len(rare)]])
+                            hot = h[often]
+                            rare = np.concatenate([rare, hot[np.argsort(rank[place[often]])][: p - len(rare)]])
                         first.append(rare.tobytes())
                     else:
                         first.append(h[:p].tobytes())
-                    count = np.bincount((h % tokens.U(BLOCKS)).astype(np.int64), minlength=BLOCKS)
-                    blocks.append(np.minimum(count, 255).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([ids[at:to], batch.column("t")[at:to], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.binary()), pa.array(blocks, pa.binary())], ["doc_id", "t", "n", "set", "first", "blocks"])
+                yield pa.RecordBatch.from_arrays([ids[at:to], batch.column("t")[at:to], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.binary())], ["doc_id", "t", "n", "set", "first"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(emit, "doc_id long, t long, n long, set binary, first binary, blocks binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(emit, "doc_id long, t long, n long, set binary, first binary")
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("row", pa.binary()), ("n", pa.binary()), ("at", pa.binary()), ("h", pa.binary())])
+_PACKED = pa.schema([("block", pa.int32()), ("row", pa.binary()), ("n", pa.binary()), ("h", pa.binary())])
 
 
-def _columns(buckets: int):
-    """Packs the first columns' entries (row, size, place, hash) by bucket of the hash."""
+def _columns(blocks: int):
+    """Packs the first columns' entries (row, size, hash) by block of columns."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        row, n, at, h = (np.concatenate(x) for x in zip(*held, strict=True))
-        bucket = (h % tokens.U(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
-        cut = np.flatnonzero(np.concatenate([np.ones(1, bool), bucket[1:] != bucket[:-1]]))
-        parts = [np.split(x[order], cut[1:]) for x in (row, n, at, h)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *(pa.array([p.tobytes() for p in x], pa.binary()) for x in parts)], schema=_PACKED)
+        row, n, h = (np.concatenate(x) for x in zip(*held, strict=True))
+        block = (h % tokens.U(blocks)).astype(np.int32)
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        cut = np.flatnonzero(np.concatenate([np.ones(1, bool), block[1:] != block[:-1]]))
+        parts = [np.split(x[order], cut[1:]) for x in (row, n, h)]
+        return pa.RecordBatch.from_arrays([pa.array(block[cut]), *(pa.array([p.tobytes() for p in x], pa.binary()) for x in parts)], schema=_PACKED)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -138,7 +153,7 @@ def _columns(buckets: int):
                 h = np.frombuffer(first, np.uint64)
                 for a in range(0, len(h), ROWS_A_FLUSH):
                     part = h[a : a + ROWS_A_FLUSH]
-                    held.append((np.full(len(part), row, np.int64), np.full(len(part), n, np.int32), np.arange(a, a + len(part), dtype=np.int32), part))
+                    held.append((np.full(len(part), row, np.int64), np.full(len(part), n, np.int32), part))
                     count += len(part)
                     if count >= ROWS_A_FLUSH:
                         yield flush(held)
@@ -149,89 +164,96 @@ def _columns(buckets: int):
     return emit
 
 
-def _product(percent: int, window: int = WINDOW):
-    """Pairs (a, b) of rows that share a first column, and the entries (h, row, n, at) of columns with more rows than WINDOW neighbours cover."""
+_PRODUCT = "a long, b long, n_a long, n_b long, overlap int, seed boolean, h long"
+
+
+def _multiplied(h: np.ndarray, row: np.ndarray, n: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """A block's product: (a, b, sizes, overlap) of pairs of rows; from columns of more than SMALL rows seeds, without overlap, and their entries (a, n_a, h)."""
+    order = np.lexsort((row, n, h))
+    h, row, n = h[order], row[order], n[order].astype(np.int64)
+    start = np.flatnonzero(np.concatenate([np.ones(1, bool), h[1:] != h[:-1]]))
+    size = np.diff(np.append(start, len(h)))
+    large = np.repeat(size > SMALL, size)
+    ids, of = np.unique(row, return_inverse=True)
+    size_of = np.empty(len(ids), np.int64)
+    size_of[of] = n
+    met: dict[bool, list[np.ndarray]] = {False: [], True: []}
+
+    def meet(i: np.ndarray, j: np.ndarray, seed: bool) -> None:
+        ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
+        i, j = of[i[ok]], of[j[ok]]
+        met[seed].append(np.minimum(i, j) * len(ids) + np.maximum(i, j))
+
+    for k in range(1, SMALL):
+        i = np.flatnonzero((h[k:] == h[:-k]) & ~large[k:])
+        if not len(i):
+            break
+        meet(i, i + k, False)
+    for k in range(1, NEAR + 1):
+        i = np.flatnonzero((h[k:] == h[:-k]) & large[k:])
+        meet(i, i + k, True)
+    many = size > SMALL
+    i = np.flatnonzero(large)
+    for k in range(HUBS if len(i) else 0):
+        j = np.repeat((start + size * (2 * k + 1) // (2 * HUBS))[many], size[many])
+        meet(i[i != j], j[i != j], True)
+    for seed, keys in met.items():
+        pairs, overlap = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.int64),) * 2
+        for at in range(0, len(pairs), 1 << 16):
+            a, b = np.divmod(pairs[at : at + (1 << 16)], len(ids))
+            m = len(a)
+            count = np.zeros(m, np.int32) if seed else overlap[at : at + m].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(size_of[a]), pa.array(size_of[b]), pa.array(count), pa.array(np.full(m, seed)), pa.nulls(m, pa.int64())], ["a", "b", "n_a", "n_b", "overlap", "seed", "h"])
+    if large.any():
+        m = int(large.sum())
+        none = pa.nulls(m, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(row[large]), none, pa.array(n[large]), none, pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.array(h[large].view(np.int64))], ["a", "b", "n_a", "n_b", "overlap", "seed", "h"])
+
+
+def _product(percent: int):
+    """One block a partition, or several one after another."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"row": np.int64, "n": np.int32, "at": np.int32, "h": np.uint64}
+        kinds = {"h": np.uint64, "row": np.int64, "n": np.int32}
         got: dict[str, list] = {c: [] for c in kinds}
+        now = None
         for batch in batches:
-            for c, kind in kinds.items():
-                got[c] += [np.frombuffer(x, kind) for x in batch.column(c).to_pylist()]
-        if not got["h"]:
-            return
-        row, n, at, h = (np.concatenate(got.pop(c)) for c in kinds)
-        order = np.lexsort((row, n, h))
-        row, n, at, h = row[order], n[order].astype(np.int64), at[order].astype(np.int64), h[order]
-        start = np.flatnonzero(np.concatenate([np.ones(1, bool), h[1:] != h[:-1]]))
-        size = np.diff(np.append(start, len(h)))
-        a, b = [], []
-
-        def meet(i: np.ndarray, j: np.ndarray) -> None:
-            ok = np.minimum(n[i] - at[i], n[j] - at[j]) >= needed(n[i], n[j], percent)
-            a.append(np.minimum(row[i[ok]], row[j[ok]]))
-            b.append(np.maximum(row[i[ok]], row[j[ok]]))
-
-        for k in range(1, window + 1):
-            i = np.flatnonzero(h[k:] == h[:-k])
-            if not len(i):
-                break
-            meet(i, i + k)
-        huge = size > HUGE
-        i = np.flatnonzero(np.repeat(huge, size))
-        for k in range(HUBS if len(i) else 0):
-            j = np.repeat((start + size * (2 * k + 1) // (2 * HUBS))[huge], size[huge])
-            meet(i[i != j], j[i != j])
-        if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            m = len(pairs)
-            none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none], ["a", "b", "h", "n", "at"])
-        large = np.repeat(size > window + 1, size)
-        if large.any():
-            yield pa.RecordBatch.from_arrays([pa.array(row[large]), pa.nulls(int(large.sum()), pa.int64()), pa.array(h[large].view(np.int64)), pa.array(n[large]), pa.array(at[large])], ["a", "b", "h", "n", "at"])
+            for block, *part in zip(*(batch.column(c).to_pylist() for c in ("block", *kinds)), strict=True):
+                if block != now and got["h"]:
+                    yield from _multiplied(*(np.concatenate(x) for x in got.values()), percent)
+                    got = {c: [] for c in kinds}
+                now = block
+                for c, x in zip(kinds, part, strict=True):
+                    got[c].append(np.frombuffer(x, kinds[c]))
+        if got["h"]:
+            yield from _multiplied(*(np.concatenate(x) for x in got.values()), percent)
 
     return emit
 
 
-def _bounded(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose overlap can be enough by the counts of the column blocks."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.slice(at, 4096)
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, BLOCKS) for c in ("blocks_a", "blocks_b"))
-                most = np.minimum(x, y).sum(1, dtype=np.int64)
-                na, nb = part.column("n_a").to_numpy(), part.column("n_b").to_numpy()
-                ok = (most >= needed(na, nb, percent)) | (np.minimum(x, y).max(1) == 255)
-                yield part.filter(pa.array(ok)).select(["a", "b"])
-
-    side = lambda c: rows.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("blocks").alias(f"blocks_{c}"))
-    small, big = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(small * 100 >= big * percent)
-    return joined.select("a", "b", "n_a", "n_b", "blocks_a", "blocks_b").mapInArrow(emit, "a long, b long")
+def _named(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id ids (row: distinct) holds."""
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(few, docs["doc_id"] == few["row"], "left_semi")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(row, hashes) of the documents named in ids (row)."""
+def _sets(texts: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """(row, hashes) of the whole sets of documents; of those that share a doc_id, of the text that stands for it."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("row")
+            rows = batch.column("doc_id")
             for at, to, data, bounds in tokens.chunks(common.text_column(batch, "text")):
                 sets = [h.tobytes() for h in shingle_sets(data, bounds, words)]
                 yield pa.RecordBatch.from_arrays([rows[at:to], pa.array(sets, pa.binary())], ["row", "hashes"])
 
-    ids = common.checkpointed(ids)
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    named = docs.join(few, docs["doc_id"] == few["row"], "left_semi")
-    named = named.groupBy(F.col("doc_id").alias("row")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    return named.mapInArrow(emit, "row long, hashes binary")
+    if repeated:
+        texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return texts.select("doc_id", "text").mapInArrow(emit, "row long, hashes binary")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose exact overlap is enough."""
+def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
+    """Pairs (a, b) whose overlap over all columns is enough."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,83 +265,119 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
                 ok.append(int((both[1:] == both[:-1]).sum()) >= needed(len(p), len(q), percent))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    pairs = common.checkpointed(pairs)
-    sets = common.checkpointed(_sets(docs, pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), words))
+    pairs = common.written(pairs)
+    ids = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    ids = common.written(ids)
+    sets = common.written(_sets(_named(texts, ids), words, repeated))
     side = lambda c: sets.select(F.col("row").alias(c), F.col("hashes").alias(f"hashes_{c}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hashes_a", "hashes_b")
-    return common.checkpointed(met.mapInArrow(emit, "a long, b long"))
+    out = common.written(met.mapInArrow(emit, "a long, b long"))
+    common.discard(pairs, ids, sets)
+    return out
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs whose rows are not in one component so far."""
+    side = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"component_{c}"))
+    known = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return known.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).drop("component_a", "component_b")
+
 
+def _placed(large: DataFrame) -> DataFrame:
+    """Entries of large columns (h, row, n) with k, the row's number of them, and r, this one's rank among them: columns of few rows first."""
+    rows = large.groupBy("h").agg(F.count("*").alias("m"))
+    one = Window.partitionBy("row")
+    placed = large.join(rows, "h").withColumn("r", F.row_number().over(one.orderBy("m", "h"))).withColumn("k", F.count("*").over(one))
+    return placed.select("h", "row", "n", "r", "k")
 
-def _across(large: DataFrame, groups: DataFrame, percent: int, few: int | None = None) -> DataFrame:
-    """Pairs of rows of one large column that are in different components so far.
 
-    few: only with so many rows of the column's largest component, to join most rows to it at little cost.
+def _across(large: DataFrame, groups: DataFrame, percent: int, hubs: bool = False) -> DataFrame:
+    """Pairs (a, b) of rows that share large columns, are in different components so far and can be linked.
+
+    Linked rows share at least `least` of their first columns, so of large ones that they share the one with the
+    fewest rows has least - 1 behind it in the order of either row; if they share none, a small one shows them.
+    hubs: only pairs with that row of a column's largest component that has the most large columns.
     """
     named = large.join(groups.withColumnRenamed("id", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     counts = named.groupBy("h", "component").agg(F.count("*").alias("m"))
-    main = counts.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    main = counts.groupBy("h").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     open_ = named.join(main, "h")
     other = open_
-    if few is not None:
-        place = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("row"), "row"))
-        other = open_.where("component = main").withColumn("place", place).where(F.col("place") <= few).drop("place")
+    if hubs:
+        hub = F.max(F.struct("k", "row", "n", "r", "component")).alias("y")
+        other = open_.where("component = main").groupBy("h", "main").agg(hub).select("h", "main", "y.k", "y.row", "y.n", "y.r", "y.component")
     x, y = open_.where("component != main").alias("x"), other.alias("y")
     c = lambda s: F.col(s)
-    enough = (F.least(c("x.n") - c("x.at"), c("y.n") - c("y.at")) * (100 + percent)) >= (c("x.n") + c("y.n")) * percent
+    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    least = F.ceil((c("x.n") + c("y.n")) * percent / F.lit(100 + percent)) - F.greatest(suffix(c("x.n"), percent), suffix(c("y.n"), percent))
+    early = (c("x.r") + least <= c("x.k") + 1) & (c("y.r") + least <= c("y.k") + 1)
     once = (c("y.component") == c("y.main")) | (c("x.row") < c("y.row"))
-    met = x.join(y, (c("x.h") == c("y.h")) & (c("x.component") != c("y.component")) & once & enough)
+    met = x.join(y, (c("x.h") == c("y.h")) & (c("x.component") != c("y.component")) & once & sizes & early)
     return met.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
 
 
-def _rows(incidence: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (doc_id, n, set, chosen: whether it stands for its doc_id) and the matrix's rows (set, row, n, first, blocks)."""
-    whole = common.checkpointed(incidence)
-    twice = whole.groupBy("doc_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 != t1").drop("t1")
+def _rows(whole: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of an incidence table: its rows with `chosen` (whether one stands for its doc_id), the matrix's rows (set, row, n, first), and a table of doc_ids that repeat."""
+    twice = common.written(whole.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k"), F.min("t").alias("t0")).where("k > 1").drop("k"))
     marked = whole.join(twice, "doc_id", "left").withColumn("chosen", F.expr("doc_id is not null and set is not null and (t0 is null or t = t0)"))
-    some = F.min(F.struct("doc_id", "n", "first", "blocks"))
-    rows = marked.where("chosen").groupBy("set").agg(some.alias("r")).select("set", F.col("r.doc_id").alias("row"), "r.n", "r.first", "r.blocks")
-    members = common.checkpointed(marked.select("doc_id", "n", "set", "chosen"))
-    return members, common.checkpointed(rows)
-
-
-def _candidates(rows: DataFrame, buckets: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that the first columns and the blocks leave, and the entries (h, row, n, at) of large columns."""
-    packed = rows.select("row", "n", "first").mapInArrow(_columns(buckets), "bucket int, row binary, n binary, at binary, h binary")
-    product = packed.repartition(buckets, "bucket").mapInArrow(_product(percent), "a long, b long, h long, n long, at long")
-    product = common.checkpointed(product)
-    pairs = _bounded(product.where("b is not null").select("a", "b").distinct(), rows, percent)
-    return pairs, product.where("b is null").select("h", F.col("a").alias("row"), "n", "at")
+    some = F.min(F.struct("doc_id", "n", "first"))
+    rows = marked.where("chosen").groupBy("set").agg(some.alias("r")).select("set", F.col("r.doc_id").alias("row"), "r.n", "r.first")
+    return marked, rows, twice
 
 
-def joined(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every document of (doc_id, text).
 
-    Words are runs of other than ASCII white space, A-Z lower-cased. Two documents link
-    when 100 * intersection >= percent * union of their sets of `words`-word shingles; a
-    shorter text is one shingle; null and empty texts, and rows without a doc_id, link
-    with nothing. component_id is the smallest doc_id reachable. Each input row gives a
-    row; of rows that share a doc_id but not the text, one stands for the document.
+    Words are runs of other than ASCII white space, A-Z lower-cased, of whole texts of any
+    length. Two documents link when 100 * intersection >= percent * union of their sets of
+    `words`-word shingles; a shorter text is one shingle; null and empty texts, and rows
+    without a doc_id, link with nothing. component_id is the smallest doc_id reachable.
+    Each input row gives a row; of rows that share a doc_id but not the text, one stands
+    for the document. Other columns of docs, whatever their names, play no part.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = texts.where("doc_id is not null")
-    full = known.where("text is not null")
-    members, rows = _rows(_incidence(texts, frequent_shingles(full, words), words, percent))
-    pairs, large = _candidates(rows, common.partitions_for(docs, BUCKET_BYTES), percent)
-    links = _linked(pairs, full, words, percent)
-    groups = common.checkpointed(components(links))
-    for few in (FEW, None):
-        more = _linked(_bounded(_across(large, groups, percent, few), rows, percent), full, words, percent)
-        edges = groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
-        if few is not None:
-            groups = common.checkpointed(components(edges))
+    full = texts.where("doc_id is not null and text is not null")
+    n, size = common.extent(full)
+    whole = common.written(_incidence(texts, frequent_shingles(full, n, words), words, percent))
+    members, rows, twice = _rows(whole)
+    repeated = not twice.isEmpty()
+    blocks = common.pieces(docs.sparkSession, size, BLOCK_BYTES)
+    packed = rows.select("row", "n", "first").mapInArrow(_columns(blocks), "block int, row binary, n binary, h binary")
+    product = common.written(packed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_product(percent), _PRODUCT))
+    large = product.where("b is null").select("h", F.col("a").alias("row"), F.col("n_a").alias("n"))
+    sums = product.where("b is not null").groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"), F.bool_or("seed").alias("seed"))
+    sums = common.written(sums)
+    # entries in large columns, whose overlaps are not in the sums
+    large = common.written(_placed(large))
+    more = large.where("r = 1").select("row", "k")
+    side = lambda c: more.select(F.col("row").alias(c), F.col("k").alias(f"k_{c}"))
+    both = sums.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    unseen = F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0)))
+    passing = common.written(both.where(F.col("seed") | enough(F.col("overlap") + unseen, percent)).select("a", "b", "n_a", "n_b", "overlap", "seed"))
+    # each row with the partner of its largest overlap
+    ends = passing.select(F.col("a").alias("row"), "a", "b", "overlap").union(passing.select("b", "a", "b", "overlap"))
+    best = ends.groupBy("row").agg(F.max_by(F.struct("a", "b"), F.struct("overlap", "a", "b")).alias("p")).select("p.a", "p.b")
+    exact = lambda pairs: _linked(pairs.select("a", "b").distinct(), full, words, percent, repeated)
+    edges = lambda g: g.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    first = exact(best.union(passing.where("seed").select("a", "b")))
+    groups = common.written(components(first))
+    second = exact(_apart(passing.where("not seed").select("a", "b"), groups).union(_across(large, groups, percent, hubs=True)))
+    merged = common.written(components(edges(groups).union(second)))
+    third = exact(_across(large, merged, percent))
     # equal sets are stars around their row
-    same = members.join(rows.select("set", "row"), "set").where("chosen and doc_id != row").select(F.col("doc_id").alias("a"), F.col("row").alias("b"))
-    final = components(edges.union(same)).withColumnRenamed("id", "doc_id")
+    named = members.where("chosen").select("doc_id", "set")
+    same = named.join(named.groupBy("set").agg(F.min("doc_id").alias("row")), "set").where("doc_id != row").select(F.col("doc_id").alias("a"), F.col("row").alias("b"))
+    final = components(edges(merged).union(third).union(same)).withColumnRenamed("id", "doc_id")
+    common.discard(product, large, sums, passing, first, groups, second, merged, third)
     out = members.select("doc_id", F.col("n").alias("n_shingles"))
     return out.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; rows without a doc_id stay."""
-    groups = joined(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(groups, docs["doc_id"] == groups["__keep"], "left_semi").unionByName(docs.where("doc_id is null"))
+    """The rows of docs whose doc_id is the smallest of its component; rows without a doc_id stay.
+
+    Of rows that share a doc_id, all stay or all go. Columns of docs pass through, whatever their names.
+    """
+    keep = common.free(docs, "keep")
+    groups = joined(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias(keep)).distinct()
+    return docs.join(groups, docs["doc_id"].cast("long") == groups[keep], "left_semi").unionByName(docs.where("doc_id is null"))
