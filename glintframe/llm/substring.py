@@ -1,11 +1,12 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length token window, counted over all documents.
 
-1. Every document's windows are hashed. Hashes go to buckets by their value, packed
-   as arrays, so that a shuffled row holds thousands of them.
-2. A bucket's task finds for each hash the smallest document that holds it, and
-   returns to every larger document the hashes that it has to give up. A first pass
-   over the bucket keeps one entry for each distinct hash, so a window that occurs
-   in any number of documents costs no memory; the second pass streams.
+1. Every document's windows are hashed. A map task combines FLUSH windows at a time: of
+   each hash the smallest document stays to be counted, and larger ones are known to
+   lose it there and then. So a window that very many documents share reaches the
+   counting task once for each flush, not once for each document.
+2. What stays goes to buckets by ranges of the hash, packed as arrays, so that a
+   shuffled row holds hundreds of them. Spark sorts a partition's buckets; one bucket at
+   a time gives for each hash its smallest document, and all others lose it.
 3. Documents and what they lose meet in groups of bounded size, by doc_id. Each document
    finds its windows with those hashes and merges them into maximal removal intervals.
 
@@ -15,22 +16,22 @@ Hashes have 64 bits; of w windows about w**2 / 2**65 pairs collide by chance.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glintframe.llm import common, tokens
 
-#: A map task hands on its windows after so many; a bucket's arrays stay in memory up to so many bytes.
-FLUSH, IN_MEMORY = 1 << 20, 96 << 20
-#: Bytes of input for each bucket.
-BUCKET_BYTES = 8 << 20
+#: Windows that a task combines, or loses that it hands on, at once.
+FLUSH = 1 << 20
+#: Bytes of text for each partition and group of documents; buckets of a partition.
+PIECE_BYTES, BUCKETS = 8 << 20, 4
 
 
 def windows(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,8 +44,14 @@ def windows(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarra
     return rolled[index], first
 
 
-_PACK = pa.schema([("at", pa.int32()), ("docs", pa.binary()), ("runs", pa.binary()), ("hashes", pa.binary())])
-_PACK_DDL = "at int, docs binary, runs binary, hashes binary"
+#: A row holds documents, how many hashes follow for each, and those hashes: of a bucket, or lost by a group of documents.
+_PACK = pa.schema([("at", pa.int32()), ("lost", pa.bool_()), ("docs", pa.binary()), ("runs", pa.binary()), ("hashes", pa.binary())])
+_PACK_DDL = "at int, lost boolean, docs binary, runs binary, hashes binary"
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([np.ones(1, bool), x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
 
 
 def _group(docs: np.ndarray, groups: int) -> np.ndarray:
@@ -53,22 +60,41 @@ def _group(docs: np.ndarray, groups: int) -> np.ndarray:
     return np.array([zlib.crc32(b"%d" % d) % groups for d in ids.tolist()], np.int32)[inverse]
 
 
-def _pack(docs: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """One row for each value of at: its documents, how many hashes follow for each, and those hashes."""
-    order = np.argsort(at, kind="stable")
+def _pack(docs: np.ndarray, hashes: np.ndarray, at: np.ndarray, lost: bool) -> pa.RecordBatch:
+    """One row for each value of at."""
+    order = np.lexsort((docs, at))
     at, docs, hashes = at[order], docs[order], hashes[order]
-    cut = np.flatnonzero(np.concatenate([np.ones(1, bool), at[1:] != at[:-1]]))
+    cut = _starts(at)
     rows: list[tuple] = []
-    for a, b in zip(cut, [*cut[1:], len(at)], strict=True):
-        run = np.flatnonzero(np.concatenate([np.ones(1, bool), docs[a + 1 : b] != docs[a : b - 1]]))
-        rows.append((int(at[a]), docs[a:b][run].tobytes(), np.diff(np.append(run, b - a)).astype(np.uint32).tobytes(), hashes[a:b].tobytes()))
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(at)], strict=True):
+        run = _starts(docs[a:b])
+        rows.append((int(at[a]), lost, docs[a:b][run].tobytes(), np.diff(np.append(run, b - a)).astype(np.uint32).tobytes(), hashes[a:b].tobytes()))
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _PACK.types, strict=True)], schema=_PACK)
 
 
-def _hashed(width: int, buckets: int):
-    def flush(docs: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
-        h = np.concatenate(hashes)
-        return _pack(np.concatenate(docs), h, (h % tokens.U(buckets)).astype(np.int32))
+def _unpacked(docs: bytes, runs: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(runs, np.uint32)), np.frombuffer(hashes, np.uint64)
+
+
+def _contest(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(documents, hashes) that stay, one document a hash, and (documents, hashes) that lose."""
+    order = np.lexsort((docs, hashes))
+    docs, hashes = docs[order], hashes[order]
+    start = _starts(hashes)
+    least = np.repeat(docs[start], np.diff(np.append(start, len(docs))))
+    lose = docs > least
+    lose[1:] &= (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])
+    return docs[start], hashes[start], docs[lose], hashes[lose]
+
+
+def _hashed(width: int, buckets: int, groups: int):
+    """Windows of whole texts, combined FLUSH at a time."""
+
+    def flush(docs: list[np.ndarray], hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        stay, h, lose, g = _contest(np.concatenate(docs), np.concatenate(hashes))
+        yield _pack(stay, h, ((h >> tokens.U(32)) * tokens.U(buckets) >> tokens.U(32)).astype(np.int32), False)
+        if len(lose):
+            yield _pack(lose, g, _group(lose, groups), True)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[np.ndarray] = []
@@ -78,98 +104,54 @@ def _hashed(width: int, buckets: int):
             texts, ids = common.text_column(batch, "text"), batch.column("doc_id").to_numpy()
             for a, b, data, bounds in tokens.chunks(texts):
                 h, first = windows(data, bounds, width)
+                of = np.repeat(ids[a:b], np.diff(first))
                 for at in range(0, len(h), FLUSH):  # a very long text goes on in parts
-                    of = np.repeat(ids[a:b], np.diff(first))[at : at + FLUSH]
-                    docs.append(of)
+                    docs.append(of[at : at + FLUSH])
                     hashes.append(h[at : at + FLUSH])
-                    held += len(of)
+                    held += len(docs[-1])
                     if held >= FLUSH:
-                        yield flush(docs, hashes)
+                        yield from flush(docs, hashes)
                         docs, hashes, held = [], [], 0
         if held:
-            yield flush(docs, hashes)
+            yield from flush(docs, hashes)
 
     return emit
 
 
-class _Spool:
-    """Arrays that can be gone through twice; beyond IN_MEMORY bytes they lie in this task's own temporary file."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[bytes, bytes, bytes]] = []
-        self.size, self.file = 0, None
-
-    def add(self, *part: bytes) -> None:
-        self.size += sum(map(len, part))
-        if self.file is None and self.size > IN_MEMORY:
-            self.file = tempfile.TemporaryFile()
-            for old in self.parts:
-                self._write(old)
-            self.parts = []
-        if self.file is None:
-            self.parts.append(part)
-        else:
-            self._write(part)
-
-    def _write(self, part) -> None:
-        self.file.write(np.array([len(x) for x in part], np.int64).tobytes())
-        for x in part:
-            self.file.write(x)
-
-    def __iter__(self):
-        yield from self.parts
-        if self.file is not None:
-            self.file.seek(0)
-            while head := self.file.read(24):
-                yield tuple(self.file.read(int(n)) for n in np.frombuffer(head, np.int64))
-
-
-def _unpacked(part) -> tuple[np.ndarray, np.ndarray]:
-    docs, runs, hashes = (np.frombuffer(x, t) for x, t in zip(part, (np.int64, np.uint32, np.uint64), strict=True))
-    return np.repeat(docs, runs), hashes
-
-
-def _smallest(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    first = np.concatenate([np.ones(1, bool), keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, bool)
-    return keys[first], docs[first]
-
+def _counted(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """What documents lose, by group. Rows come in the order of their buckets; those already lost pass on."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    lost: list[tuple[np.ndarray, np.ndarray]] = []
+    now, count = None, 0
 
-def _settled(lost: list[tuple[np.ndarray, np.ndarray]], groups: int) -> pa.RecordBatch:
-    docs, hashes = (np.concatenate(x) for x in zip(*lost, strict=True))
-    order = np.argsort(docs, kind="stable")
-    return _pack(docs[order], hashes[order], _group(docs[order], groups))
+    def settle() -> None:
+        nonlocal held, count
+        if held:
+            _, _, docs, hashes = _contest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            lost.append((docs, hashes))
+            count += len(docs)
+            held = []
 
+    def hand_on() -> Iterator[pa.RecordBatch]:
+        nonlocal lost, count
+        docs, hashes = (np.concatenate(x) for x in zip(*lost, strict=True)) if lost else (np.empty(0, np.int64),) * 2
+        lost, count = [], 0
+        if len(docs):
+            yield _pack(docs, hashes, _group(docs, groups), True)
 
-def _given_up(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
-    spool = _Spool()
-    keys, least = np.empty(0, np.uint64), np.empty(0, np.int64)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    count = 0
     for batch in batches:
-        for part in zip(*(batch.column(n).to_pylist() for n in ("docs", "runs", "hashes")), strict=True):
-            spool.add(*part)
-            docs, hashes = _unpacked(part)
-            held.append((hashes, docs))
-            count += len(docs)
-            if count > max(1 << 19, len(keys)):
-                keys, least = _smallest(*(np.concatenate(x) for x in zip((keys, least), *held, strict=True)))
-                held, count = [], 0
-    keys, least = _smallest(*(np.concatenate(x) for x in zip((keys, least), *held, strict=True)))
-    lost: list[tuple[np.ndarray, np.ndarray]] = []
-    count = 0
-    for part in spool:
-        docs, hashes = _unpacked(part)
-        lose = docs > least[np.searchsorted(keys, hashes)]
-        if lose.any():
-            lost.append((docs[lose], hashes[lose]))
-            count += len(lost[-1][0])
-        if count >= FLUSH:
-            yield _settled(lost, groups)
-            lost, count = [], 0
-    if count:
-        yield _settled(lost, groups)
+        passing = batch.column("lost")
+        yield batch.filter(passing)
+        own = batch.filter(pc.invert(passing))
+        for at, *part in zip(*(own.column(c).to_pylist() for c in ("at", "docs", "runs", "hashes")), strict=True):
+            if at != now:
+                settle()
+                now = at
+                if count >= FLUSH:
+                    yield from hand_on()
+            held.append(_unpacked(*part))
+    settle()
+    yield from hand_on()
 
 
 def kept_words(text: str, lost: np.ndarray | None, width: int) -> tuple[list[bytes], np.ndarray | None]:
@@ -192,15 +174,15 @@ def removal(docs: DataFrame, width: int = 13) -> DataFrame:
     Returns docs' rows with `n_words` and `n_removed` (long), `kept` (the words that stay,
     joined by one space) and `kept_sha256`. A null text has no words; a null doc_id takes
     no part and keeps all its words; rows with one doc_id are one document's and take
-    nothing from each other. Other columns of docs pass through; clashing names are
-    replaced. An empty table gives no rows.
+    nothing from each other. Other columns of docs pass through, whatever their names;
+    those named like the four new ones are replaced. An empty table gives no rows.
     """
-    rest = common.small_batches(docs.drop("n_words", "n_removed", "kept", "kept_sha256", "at"))
-    names = rest.columns
+    rest = docs.drop("n_words", "n_removed", "kept", "kept_sha256")
+    names, at = rest.columns, common.free(rest, "at")
     known = rest.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n = common.partitions_for(docs, BUCKET_BYTES)
-    packed = known.mapInArrow(_hashed(width, n), _PACK_DDL)
-    lost = packed.repartition(n, "at").mapInArrow(lambda batches: _given_up(batches, n), _PACK_DDL)
+    n = common.pieces(docs.sparkSession, common.extent(known)[1], PIECE_BYTES)
+    packed = known.mapInArrow(_hashed(width, BUCKETS * n, n), _PACK_DDL)
+    lost = packed.repartition(n, "at").sortWithinPartitions("at").mapInArrow(lambda batches: _counted(batches, n), _PACK_DDL)
 
     def settle(texts: pa.Table, gone: pa.Table) -> pa.Table:
         losses: dict[int, list[np.ndarray]] = {}
@@ -223,6 +205,6 @@ def removal(docs: DataFrame, width: int = 13) -> DataFrame:
 
     out = common.schema_with(rest, n_words=T.LongType(), n_removed=T.LongType(), kept=T.StringType(), kept_sha256=T.StringType())
     # a row without doc_id may go anywhere
-    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5("text"), F.lit(""))
-    grouped = rest.withColumn("at", (F.crc32(key) % n).cast("int"))
-    return grouped.groupBy("at").cogroup(lost.groupBy("at")).applyInArrow(settle, out)
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(F.col("text").cast("string")), F.lit(""))
+    grouped = rest.withColumn(at, (F.crc32(key) % n).cast("int"))
+    return grouped.groupBy(at).cogroup(lost.groupBy("at")).applyInArrow(settle, out)
