@@ -36,7 +36,7 @@ from glintframe.llm import common
 SPACE = "▁"
 UNKNOWN = 10.0
 #: Parts that a worker process keeps ready.
-CACHE = 800_000
+CACHE = 100_000
 _NEVER = float("-inf")
 _PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -150,7 +150,10 @@ def _shipped(df: DataFrame, path: str):
 
 
 def encoded(docs: DataFrame, model: str, column: str = "text") -> DataFrame:
-    """docs with `ids` (array<int>) of the whole text; null text: null, empty text: no ids."""
+    """docs with `ids` (array<int>) of the whole text; null text: null, empty text: no ids.
+
+    Other columns pass through; one of docs named `ids` is replaced.
+    """
     opened = _shipped(docs, model)
     rest = docs.drop("ids")
 
