@@ -1,52 +1,64 @@
 """A corpus pipeline of five stages; each writes Parquet that the next one reads.
 
 run() applies STAGES to `documents`. Between stages a table is written to the shared
-folder named in spark.checkpoint.dir (a temporary folder where none is set).
+folder named in spark.checkpoint.dir.
+
+All stages: an empty table gives an empty one; texts are taken whole, of any length;
+columns of documents pass through, further ones too, whatever their names.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintframe.llm import mixing, ngram_join, quality, spm, substring
-from glintframe.llm.common import table
-from glintframe.llm.queries import SPM_MODEL, quality_model
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from glintframe.llm import common, mixing, ngram_join, quality, spm, substring
+from glintframe.llm.queries import SPM_MODEL, quality_model, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects."""
-    model = quality_model(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    """Drops the documents that the quality classifier rejects.
+
+    Null and empty texts score the share of good labels, so they stay unless labels are mostly
+    bad; equal texts share one fate; a null doc_id doesn't matter.
+    """
+    scored = quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.where("predicted = 1").select(*docs.columns)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    """Keeps the smallest doc_id of each group of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Null and empty texts and rows without a doc_id stay, as they link with nothing. Of rows that share
+    a doc_id all stay or all go.
+    """
     return ngram_join.one_of_each(docs, words=5, percent=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages repeated from earlier documents; a text without any stays as it is, one with nothing left is dropped."""
+    """Cuts passages repeated from earlier documents; a text without any stays as it is, one with nothing left is dropped.
+
+    Null and empty texts stay; rows without a doc_id keep all their words; rows that share a doc_id
+    take nothing from each other.
+    """
     cut = substring.removal(docs)
     whole = F.col("n_removed") == 0
-    text = F.when(whole, F.col("text")).otherwise(F.col("kept"))
-    out = cut.where(whole | (F.col("kept") != "")).withColumn("text", text)
-    return out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    rows = cut.where(whole | (F.col("kept") != ""))
+    new = {"text": F.when(whole, F.col("text")).otherwise(F.col("kept")), "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length("kept").cast("long"))}
+    return rows.withColumns({c: v for c, v in new.items() if c in docs.columns}).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix of sources wants it."""
+    """Takes each document as often as the mix of sources wants it, at most 3 times on average over a source.
+
+    A null source is a source of its own; null and empty texts have size 0; each of equal rows is taken by itself.
+    """
     return mixing.mix(docs)
 
 
 def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds token ids and their number."""
-    return spm.encoded(docs, SPM_MODEL).withColumn("n_ids", F.size("ids").cast("long"))
+    """Adds token ids and their number; a null text has null in both. Columns `ids` and `n_ids` of docs are replaced."""
+    return spm.encoded(docs, SPM_MODEL).withColumn("n_ids", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")))
 
 
 STAGES = [
@@ -63,10 +75,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    home = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}")
-        docs = spark.read.parquet(f"{home}/{k}")
+    for _, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir))
     return docs
