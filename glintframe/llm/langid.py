@@ -27,50 +27,47 @@ DIMENSIONS, N = 512, 3
 SAMPLE = 1000
 #: Languages whose sums a task holds at once.
 HELD = 4096
-#: Characters taken at once; a longer text is bundled in parts.
-PART = 1 << 18
-#: n-gram vectors that a worker keeps ready; a part has no more n-grams than that.
-GRAMS = 1 << 18
+#: Characters taken at once, a longer text is bundled in parts; n-grams whose vectors are made at once.
+PART, GRAMS = 1 << 16, 2048
+#: Letters whose vectors a worker keeps ready.
+READY = 1 << 14
 _MASK = (1 << 21) - 1
 
 
 class Letters:
-    """Vectors of code points and of n-grams, made as they come; at most GRAMS n-grams are kept ready."""
+    """Vectors of code points, drawn as they come, in every permutation that an n-gram needs; at most READY are kept."""
 
-    def __init__(self, dimensions: int) -> None:
-        self.dimensions = dimensions
-        self.letters: dict[int, np.ndarray] = {}
+    def __init__(self, dimensions: int, n: int = N) -> None:
+        self.dimensions, self.n = dimensions, n
         self._empty()
 
     def _empty(self) -> None:
-        self.rows: dict[int, int] = {}
-        self.vectors = np.empty((1024, self.dimensions), np.int8)
+        self.points = np.empty(0, np.int64)  # in order; row i of each turned table is that of points[i]
+        self.turned = [np.empty((0, self.dimensions), np.int8) for _ in range(self.n)]
 
     def letter(self, point: int) -> np.ndarray:
-        if point not in self.letters:
-            self.letters[point] = np.random.default_rng(point).integers(0, 2, self.dimensions, dtype=np.int8) * 2 - 1
-        return self.letters[point]
-
-    def gram(self, key: int, n: int) -> np.ndarray:
-        """The vector of an n-gram given as 21-bit code points in one integer."""
-        out = self.letter(key & _MASK)
-        for place in range(1, n):
-            out = out * np.roll(self.letter((key >> (21 * place)) & _MASK), place)
-        return out
+        return np.random.default_rng(point).integers(0, 2, self.dimensions, dtype=np.int8) * 2 - 1
 
-    def grams(self, keys: np.ndarray, n: int) -> np.ndarray:
-        if len(self.rows) + len(keys) > GRAMS:
+    def _learn(self, points: np.ndarray) -> None:
+        new = np.setdiff1d(points, self.points)
+        if not len(new):
+            return
+        if len(self.points) + len(new) > READY:
             self._empty()
-        at = []
-        for key in keys.tolist():
-            row = self.rows.get(key)
-            if row is None:
-                row = self.rows[key] = len(self.rows)
-                if row == len(self.vectors):
-                    self.vectors = np.vstack([self.vectors, np.empty_like(self.vectors)])
-                self.vectors[row] = self.gram(key, n)
-            at.append(row)
-        return self.vectors[at]
+            new = points
+        drawn = np.stack([self.letter(p) for p in new.tolist()])
+        order = np.argsort(np.concatenate([self.points, new]), kind="stable")
+        self.points = np.concatenate([self.points, new])[order]
+        self.turned = [np.concatenate([old, np.roll(drawn, place, axis=1)])[order] for place, old in enumerate(self.turned)]
+
+    def grams(self, keys: np.ndarray) -> np.ndarray:
+        """The vectors of n-grams, each given as 21-bit code points in one integer, the last letter lowest."""
+        letters = [(keys >> (21 * place)) & _MASK for place in range(self.n)]
+        self._learn(np.unique(np.concatenate(letters)))
+        out = self.turned[0][np.searchsorted(self.points, letters[0])]
+        for place in range(1, self.n):
+            out *= self.turned[place][np.searchsorted(self.points, letters[place])]
+        return out
 
 
 @functools.cache
@@ -98,33 +95,34 @@ def points_of(text: str) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), points, np.zeros(1, np.int64)]) if points[-1] else np.concatenate([np.zeros(1, np.int64), points])
 
 
-def bundle(text: str | None, letters: Letters, n: int = N) -> np.ndarray | None:
+def bundle(text: str | None, letters: Letters) -> np.ndarray | None:
     """The text's vector, of whole numbers; None without a letter."""
     points = points_of(text) if text else ()
     if not len(points):
         return None
-    total = np.zeros(letters.dimensions)
+    n, total = letters.n, np.zeros(letters.dimensions)
     for at in range(0, max(1, len(points) - n + 1), PART):
         part = points[at : at + PART + n - 1]
         keys = np.zeros(max(0, len(part) - n + 1), np.int64)
         for place in range(n):
             keys |= part[n - 1 - place : len(part) - place] << (21 * place)
         grams, counts = np.unique(keys, return_counts=True)
-        if len(grams):
-            total += counts.astype(np.float32) @ letters.grams(grams, n).astype(np.float32)
+        for k in range(0, len(grams), GRAMS):
+            total += counts[k : k + GRAMS].astype(np.float32) @ letters.grams(grams[k : k + GRAMS]).astype(np.float32)
     return total
 
 
 def fit(labelled: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Prototypes from (doc_id, text, lang): about `sample` texts of each language.
 
-    The sample is fixed by a hash of doc_id; null languages and texts are left out.
+    The sample is fixed by a hash of doc_id (of the text, where that is null); null
+    languages and texts are left out; repeated rows count each time.
     Only the sums reach the driver: 8 * dimensions bytes a language, which each worker holds, too.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     shares = known.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
-    chosen = known.join(F.broadcast(shares), "lang").where(common.hashed_share(F.col("doc_id"), "langid", share)).select("lang", "text")
+    chosen = known.join(F.broadcast(shares), "lang").where(common.hashed_share(F.coalesce(F.col("doc_id"), F.xxhash64("text")), "langid", share)).select("lang", "text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, total = letters_of(dimensions), {}
@@ -153,6 +151,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFr
     """docs with `lang_pred` and `score`: the nearest prototype (ties: the first by name) and its cosine, not below 0.
 
     Text null or without a letter: `und` with score 0; so is every text where nothing was learned.
+    Equal texts get equal answers. Other columns pass through; those named like the new two are replaced.
     """
     rest = docs.drop("lang_pred", "score")
     norm = np.linalg.norm(prototypes, axis=1, keepdims=True) if len(names) else np.ones((0, 1))
