@@ -65,14 +65,14 @@ def latent(terms: np.ndarray, weights: np.ndarray, axes: np.ndarray) -> np.ndarr
     return y / np.where(norm > 0, norm, 1)
 
 
-def fit_rows(texts: list[str | None], labels: list[int], axes: int = AXES, seed: int = 7) -> Model:
-    """A model of sample rows held in memory; without rows, every text gets 0.5."""
+def fit_rows(terms: list[tuple[np.ndarray, np.ndarray]], labels: list[int], axes: int = AXES, seed: int = 7) -> Model:
+    """A model of sample rows, each (numbers of its terms, counts); without rows, every text gets 0.5."""
     y = np.array(labels, np.float32)
     if not len(y):
         return Model(np.ones(STYLES + WORDS, np.float32), np.zeros((STYLES + WORDS, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5)
-    x = np.empty((len(y), STYLES + WORDS), np.float32)  # in place, as the driver holds it
-    for row, t in zip(x, texts, strict=True):
-        row[:] = counts(t)
+    x = np.zeros((len(y), STYLES + WORDS), np.float32)  # changed in place, as the driver holds it
+    for row, (at, count) in zip(x, terms, strict=True):
+        row[at] = count
     weights = np.log((1 + len(y)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + np.float32(0.1)
     np.log1p(x, out=x)
     x *= weights
@@ -91,43 +91,67 @@ def fit_rows(texts: list[str | None], labels: list[int], axes: int = AXES, seed:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of (doc_id, text, quality): about `sample` rows, fixed by a hash of doc_id, reach the driver.
+    """A model of (doc_id, text, quality): about `sample` rows, fixed by a hash of doc_id.
 
-    Rows whose label is null are left out.
+    Executors count the terms; a row's terms and counts (at most 48 KB, whatever the text's
+    length) reach the driver. Rows whose label or doc_id is null are left out. Of rows that
+    share a doc_id one votes: that of the smallest (text, label).
     """
-    known = labelled.where(F.col("quality").isNotNull())
-    n = known.select("doc_id").count()
-    rows = known.where(common.hashed_share(F.col("doc_id"), "quality", min(1.0, sample / max(n, 1)))).select("doc_id", "text", "quality").collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["quality"]))
-    return fit_rows([r["text"] for r in rows], [int(r["quality"] > 0) for r in rows])
+    known = labelled.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    n = known.agg(F.approx_count_distinct("doc_id", 0.01)).first()[0]
+    few = known.where(common.hashed_share(F.col("doc_id"), "quality", min(1.0, sample / max(n, 1))))
+    one = few.groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("r")).select("doc_id", F.col("r.text").alias("text"), F.col("r.quality").cast("double").alias("quality"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [counts(t.as_py()) for t in common.text_column(batch, "text")]
+            at = [np.flatnonzero(x) for x in found]
+            columns = [pa.array([i.astype(np.int32).tobytes() for i in at], pa.binary()), pa.array([x[i].tobytes() for x, i in zip(found, at, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *columns], ["doc_id", "quality", "at", "count"])
+
+    rows = one.mapInArrow(count, common.schema_with(one.select("doc_id", "quality"), at=T.BinaryType(), count=T.BinaryType())).orderBy("doc_id").toArrow()
+    terms = [(np.frombuffer(a.as_py(), np.int32), np.frombuffer(c.as_py(), np.float32)) for a, c in zip(rows.column("at"), rows.column("count"), strict=True)]
+    return fit_rows(terms, [int(v > 0) for v in rows.column("quality").to_pylist()])
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs' text for a bounded sample of labelled documents; labels: (doc_id, quality).
 
-    The labels are sampled first, so the broadcast side has about `sample` rows.
+    The labels are sampled by a hash of doc_id first, and of several for a doc_id the smallest
+    counts, so the broadcast side has about `sample` rows.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    share = min(1.0, sample / max(known.count(), 1))
-    few = known.where(common.hashed_share(F.col("doc_id"), "quality", share))
+    share = min(1.0, sample / max(known.agg(F.approx_count_distinct("doc_id", 0.01)).first()[0], 1))
+    few = known.where(common.hashed_share(F.col("doc_id"), "quality", share)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
 
 def votes(y: np.ndarray, model: Model, neighbours: int) -> np.ndarray:
-    """Scores of unit vectors: the prior counts as one neighbour of similarity 0.1."""
+    """Scores of unit vectors: the prior counts as one neighbour of similarity 0.1.
+
+    Of equally near labelled rows the first in the sample's order, that of doc_id, vote.
+    """
     if not len(model.labels):
         return np.full(len(y), model.prior)
     near = y @ model.vectors.T
     k = min(neighbours, near.shape[1])
-    at = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-    weight = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64) ** 4
-    return (weight * model.labels[at]).sum(1) / (weight.sum(1) + 0.1) + model.prior * 0.1 / (weight.sum(1) + 0.1)
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+    row, at = np.nonzero(near >= least)
+    value = near[row, at]
+    order = np.lexsort((at, -value, row))
+    row, at, value = row[order], at[order], value[order]
+    chosen = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, at = row[chosen], at[chosen]
+    weight = np.maximum(value[chosen], 0).astype(np.float64) ** 4
+    total = np.bincount(row, weight, len(y)) + 0.1
+    return (np.bincount(row, weight * model.labels[at], len(y)) + model.prior * 0.1) / total
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, neighbours: int = NEIGHBOURS) -> DataFrame:
     """docs with `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 if score >= threshold).
 
-    A null or empty text has no terms and gets the share of label 1 in the sample.
+    A null or empty text has no terms and gets the share of label 1 in the sample. Equal texts
+    get equal scores. Other columns pass through; those named like the new two are replaced.
     """
     rest = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
