@@ -121,9 +121,9 @@ ante AS (SELECT s, sum(both_n) AS all_n FROM agg GROUP BY s),
 mined AS (
   SELECT agg.s, agg.verdict, both_n / CAST(all_n AS DOUBLE) AS conf, both_n,
          row_number() OVER (ORDER BY both_n / CAST(all_n AS DOUBLE) DESC, both_n DESC, len(agg.s), array_to_string(agg.s, ' ')) AS k
-  FROM agg JOIN ante ON agg.s = ante.s, n WHERE both_n >= ceil(0.01 * n) AND both_n / CAST(all_n AS DOUBLE) >= 0.6),
+  FROM agg JOIN ante ON agg.s = ante.s, n WHERE both_n >= greatest(2, ceil(0.01 * n)) AND both_n / CAST(all_n AS DOUBLE) >= 0.6),
 fire AS (
-  SELECT t.page_id, arg_min(m.verdict, m.k) AS verdict FROM t JOIN (SELECT * FROM mined WHERE k <= 1000) m ON list_has_all(t.tokens, m.s) GROUP BY t.page_id)
+  SELECT t.page_id, arg_min(m.verdict, m.k) AS verdict FROM t JOIN mined m ON list_has_all(t.tokens, m.s) GROUP BY t.page_id)
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, fire.verdict, 'allow') AS verdict
 FROM p LEFT JOIN f ON f.page_id = p.page_id LEFT JOIN fire ON fire.page_id = p.page_id
 """

@@ -1,17 +1,22 @@
 """URL filters: explicit host and path rules, and association rules for what they leave open.
 
-Spark's FP-growth mines combinations of URL tokens from labelled URLs, each a
-transaction of its tokens and its label. Rules that lead from tokens to a label are
-pruned by support and confidence. To judge a URL, an inverted index from tokens to
+Spark's FP-growth mines combinations of URL tokens from labelled URLs. As it knows no
+limit on the size of a set, a URL gives one transaction for each combination of up to
+TOKENS of its frequent tokens, of that combination and the label; a URL with very many
+tokens then costs a power of their number and not an exponential. Rules that lead from
+tokens to a label are pruned by support and confidence. To judge a URL, an inverted index from tokens to
 rules counts how many tokens of each rule the URL has; of the rules that are whole, the
 most confident one decides.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import pyarrow as pa
@@ -21,8 +26,10 @@ from pyspark.sql import functions as F
 
 from glintframe.llm import common
 
-#: Least share of the labelled URLs, least confidence, most tokens of a rule.
-SUPPORT, CONFIDENCE, TOKENS = 0.01, 0.6, 3
+#: Least share of the labelled URLs and least number of them, least confidence, most tokens of a rule.
+SUPPORT, LEAST, CONFIDENCE, TOKENS = 0.01, 2, 0.6, 3
+#: Labelled URLs to mine from, about; of more, a sample fixed by a hash of the URL.
+SAMPLE = 1_000_000
 DEFAULT = "allow"
 
 
@@ -70,20 +77,38 @@ def explicit(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, tokens: int = TOKENS) -> list[tuple[tuple[str, ...], str]]:
-    """(tokens, label) of all rules that (tokens, label) support, best first.
+def combinations_of(labelled: DataFrame, most: int) -> DataFrame:
+    """(combination, label): of each row of (tokens: distinct and in order, label) every combination of up to `most` tokens."""
+    one = lambda taken, rest: F.transform(rest, lambda t, i: F.struct(F.concat(taken, F.array(t)).alias("taken"), F.slice(rest, i + 2, F.size(rest)).alias("rest")))
+    level = labelled.select("label", F.array().cast("array<string>").alias("taken"), F.col("tokens").alias("rest"))
+    out = None
+    for _ in range(most):
+        level = level.select("label", F.explode(one(F.col("taken"), F.col("rest"))).alias("c")).select("label", "c.taken", "c.rest")
+        found = level.select(F.col("taken").alias("combination"), "label")
+        out = found if out is None else out.union(found)
+    return out
+
 
-    Order: confidence, support, fewer tokens, then the tokens' text. At most
-    tokens_per_url / support itemsets of a size are frequent, which bounds the work of the driver.
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, tokens: int = TOKENS, least: int = LEAST) -> list[tuple[tuple[str, ...], str]]:
+    """(tokens, label) of all rules of up to `tokens` tokens that (tokens: distinct ones, label) support, best first.
+
+    Order: confidence, support, fewer tokens, then the tokens' text. Frequent tokens and
+    rules reach the driver: at most a URL's tokens, and a URL's combinations, over the support.
     """
-    baskets = labelled.where("label is not null").select(F.concat("tokens", F.array(F.concat(F.lit("label="), F.col("label")))).alias("items"))
-    if baskets.isEmpty():
+    known = labelled.where("label is not null").select("tokens", "label")
+    fewest = max(least, math.ceil(support * known.count()))
+    often = [r[0] for r in known.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= fewest).collect()]
+    if not often:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("label=")) & (F.size("antecedent") <= tokens) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("label="))))
-    text = F.array_join(F.array_sort("antecedent"), " ")
-    best = found.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), text).select("antecedent", F.col("consequent")[0].alias("label")).collect()
-    return [(tuple(sorted(r["antecedent"])), r["label"].removeprefix("label=")) for r in best]
+    known = known.select(F.array_sort(F.filter("tokens", lambda t: t.isin(often))).alias("tokens"), "label")
+    baskets = combinations_of(known, tokens).select(F.array(F.to_json("combination"), F.concat(F.lit("label="), F.col("label"))).alias("items"))
+    # as FP-growth wants a share: the least number of baskets over all
+    k = F.size("tokens").cast("long")
+    n = known.agg(F.sum(sum((reduce(lambda x, i: x * (k - i) / F.lit(i + 1), range(m), F.lit(1.0)) for m in range(1, tokens + 1)), F.lit(0.0)))).first()[0]
+    model = FPGrowth(itemsCol="items", minSupport=(fewest - 0.5) / n, minConfidence=confidence).fit(baskets)
+    rules = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("label="))).select("confidence", "support", F.col("antecedent")[0].alias("combination"), F.col("consequent")[0].alias("label"))
+    found = [(-r["confidence"], -r["support"], json.loads(r["combination"]), r["label"].removeprefix("label=")) for r in rules.collect()]
+    return [(tuple(c), label) for *_, c, label in sorted(found, key=lambda r: (r[0], r[1], len(r[2]), " ".join(r[2]), r[3]))]
 
 
 def decisive(rules: list[tuple[tuple[str, ...], str]]) -> list[tuple[tuple[str, ...], str]]:
@@ -116,24 +141,28 @@ def judge(tokens: list[str], rules: list[tuple[tuple[str, ...], str]], index: di
     return rules[best][1] if best < len(rules) else DEFAULT
 
 
-def filtered(pages: DataFrame, rules: list[Rule], labelled: DataFrame) -> DataFrame:
+def filtered(pages: DataFrame, rules: list[Rule], labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """pages with host, path, rule and verdict.
 
     labelled: (url, label) to learn from. A null url, or one without `://`, has an empty
-    host and path and no tokens: no rule fits and the verdict is DEFAULT. Equal rows are
-    judged alike; clashing columns of pages are replaced.
+    host and path and no tokens: no rule fits and the verdict is DEFAULT. Urls are taken
+    whole, of any length. Equal rows are judged alike. Other columns of pages pass through,
+    whatever their names; those named like the four new ones are replaced.
     """
-    found = decisive(mine(labelled.select(tokens_of(F.col("url")).alias("tokens"), "label")))
+    n = labelled.count()
+    some = labelled.where(common.hashed_share(F.col("url"), "url rules", sample / n)) if n > sample else labelled
+    found = decisive(mine(some.select(tokens_of(F.col("url")).alias("tokens"), "label")))
     index = inverted(found)
+    own = pages.drop("host", "path", "rule", "verdict")
+    names = own.columns
+    tokens, learned, fit = (common.free(own, c) for c in ("tokens", "learned", "fit"))
 
-    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdicts = [judge(t or [], found, index) for t in batch.column("__tokens").to_pylist()]
-            yield batch.set_column(batch.schema.names.index("__learned"), "__learned", pa.array(verdicts, pa.string()))
+            verdicts = [judge(t or [], found, index) for t in batch.column(tokens).to_pylist()]
+            yield batch.set_column(batch.schema.names.index(learned), learned, pa.array(verdicts, pa.string()))
 
-    own = pages.drop("host", "path", "rule", "verdict")
-    names = own.columns
-    own = own.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "__tokens": tokens_of(F.col("url")), "__learned": F.lit(None).cast("string")})
-    own = own.withColumn("__fit", explicit(F.col("host"), F.col("path"), rules))
-    own = own.mapInArrow(learned, own.schema)
-    return own.select(*names, "host", "path", F.col("__fit.rule").alias("rule"), F.coalesce("__fit.verdict", "__learned").alias("verdict"))
+    own = own.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), tokens: tokens_of(F.col("url")), learned: F.lit(None).cast("string")})
+    own = own.withColumn(fit, explicit(F.col("host"), F.col("path"), rules))
+    own = own.mapInArrow(judged, own.schema)
+    return own.select(*names, "host", "path", F.col(fit)["rule"].alias("rule"), F.coalesce(F.col(fit)["verdict"], F.col(learned)).alias("verdict"))
