@@ -1,17 +1,21 @@
-"""Embedding near-dedup by product quantisation, without loss.
+"""Embedding near-dedup by product quantisation.
 
-Unit vectors have cosine >= t exactly when they are at most r = sqrt(2 - 2t) apart.
+Exact copies (equal label and components) are first taken together, so a group of them
+costs what one vector costs. Unit vectors have cosine >= t exactly when they are at most
+r = sqrt(2 - 2t) apart.
 
 * Coarse lists: each vector is in the list of its nearest centre and keeps the codes
   of its residual in SUBSPACES subspaces, with the length of what the codes leave out.
-* Probes: a vector visits each list whose cell comes within r of it. The plane halfway
-  between its own centre and the list's bounds that distance from below.
+* Probes: a vector visits its PROBES nearest lists, or more: as many as a sample shows to
+  hold the given share of vectors at cosine t from it. A pair is found where either of
+  the two visits the other's list, and counts once.
 * In a list, table lookups give its distance to every coded vector; less the length
-  left out, that is a lower bound. What stays within r is reranked by exact cosine.
+  left out, that is a lower bound. What stays within r is reranked by exact cosine, so
+  nothing below the threshold is linked and nothing in a visited list is missed.
 
-So no pair at or over the threshold is missed, and none below it is linked. Lists are
-met in blocks of base rows and of visiting rows, and a task gives one row for each
-vector of its blocks: the number of its links and a spanning tree's root.
+Lists are split in blocks of base rows, which are shipped once; visitors stream by. A
+task gives one row for each linked vector of a meeting: the number of its links and a
+spanning tree's root.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ from glintframe.llm.components import components
 
 SAMPLE, SUBSPACES, CODES = 8192, 8, 256
 #: Vectors of one label that a list should hold; lists at most; rows of a block and of a chunk of visitors.
-LIST_ROWS, LISTS, BLOCK, VISITORS = 512, 1024, 512, 1024
-#: Up to so many (label, list) counts are broadcast.
-BROADCAST_COUNTS = 100_000
+LIST_ROWS, LISTS, BLOCK, VISITORS = 256, 1024, 1024, 512
+#: Lists that are visited at least; share of vectors at the least cosine whose list must be visited; vectors to calibrate with.
+PROBES, RECALL, CALIBRATE = 8, 0.995, 2048
 
 
 @dataclass
@@ -40,29 +44,39 @@ class Index:
     centers: np.ndarray
     books: list[np.ndarray]
     cuts: list[int]
+    probes: int
 
     @property
     def dimensions(self) -> int:
         return self.centers.shape[1]
 
 
-def fit(sample: np.ndarray, lists: int) -> Index:
+def fit(sample: np.ndarray, lists: int, least: float) -> Index:
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     c = vectors.centers(x, min(lists, len(x)))
     rest = x - c[vectors.squares(x, c).argmin(1)]
     cuts = [round(i * x.shape[1] / SUBSPACES) for i in range(SUBSPACES + 1)]
-    return Index(c, [vectors.centers(rest[:, a:b], min(CODES, len(x)), rounds=6) for a, b in zip(cuts, cuts[1:], strict=False)], cuts)
-
-
-def encode(index: Index, unit: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """Of unit vectors: own list, lists to visit, codes, and the length that the codes leave out."""
-    d = vectors.squares(unit, index.centers)
-    own = d.argmin(1)
-    between = np.sqrt(vectors.squares(index.centers, index.centers))[own]
-    gap = d - d[np.arange(len(d)), own][:, None]
-    visit = gap <= 2 * (radius + 1e-6) * between
-    visit[np.arange(len(d)), own] = True
-    rest = unit - index.centers[own]
+    books = [vectors.centers(rest[:, a:b], min(CODES, len(x)), rounds=6) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return Index(c, books, cuts, min(len(c), max(PROBES, probes_for(x, c, least))))
+
+
+def probes_for(x: np.ndarray, centers: np.ndarray, least: float, share: float = RECALL) -> int:
+    """How many nearest lists hold, for `share` of unit vectors x, a vector at cosine `least` in a random direction."""
+    b = x[np.random.default_rng(5).permutation(len(x))[:CALIBRATE]]
+    turn = np.random.default_rng(6).standard_normal(b.shape)
+    turn -= (turn * b).sum(1, keepdims=True) * b
+    norm = np.linalg.norm(turn, axis=1, keepdims=True)
+    q = least * b + math.sqrt(1 - least**2) * turn / np.where(norm > 0, norm, 1)
+    own = vectors.squares(b, centers).argmin(1)
+    d = vectors.squares(q, centers)
+    ranks = np.sort((d < d[np.arange(len(d)), own][:, None]).sum(1))
+    return int(ranks[max(0, math.ceil(share * len(ranks)) - 1)]) + 1
+
+
+def encode(index: Index, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of unit vectors: lists to visit, their own first; codes; and the length that the codes leave out."""
+    visits = np.argsort(vectors.squares(unit, index.centers), axis=1, kind="stable")[:, : index.probes]
+    rest = unit - index.centers[visits[:, 0]]
     codes = np.empty((len(unit), SUBSPACES), np.uint8)
     made = np.empty_like(rest)
     for m, (a, b) in enumerate(zip(index.cuts, index.cuts[1:], strict=False)):
@@ -71,7 +85,7 @@ def encode(index: Index, unit: np.ndarray, radius: float) -> tuple[np.ndarray, l
             continue
         codes[:, m] = vectors.squares(rest[:, a:b], index.books[m]).argmin(1)
         made[:, a:b] = index.books[m][codes[:, m]]
-    return own, [np.flatnonzero(v) for v in visit], codes, np.linalg.norm(rest - made, axis=1)
+    return visits, codes, np.linalg.norm(rest - made, axis=1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -79,15 +93,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def links_in_block(index: Index, cell: int, q: np.ndarray, q_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray, codes: np.ndarray, left_out: np.ndarray, least: float, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def links_in_block(index: Index, cell: int, q: np.ndarray, q_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray, codes: np.ndarray, left_out: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions (of q, of b) of pairs of different vectors whose exact cosine is at least `least`."""
-    unit = _unit(q)
-    rest = unit - index.centers[cell]
+    radius = math.sqrt(2 - 2 * least)
+    rest = _unit(q) - index.centers[cell]
     d = np.zeros((len(q), len(b)))
     for m, (x, y) in enumerate(zip(index.cuts, index.cuts[1:], strict=False)):
         if x < y:
             d += vectors.squares(rest[:, x:y], index.books[m])[:, codes[:, m]]
-    at_q, at_b = np.nonzero((np.sqrt(d) - left_out[None] <= radius + 1e-6) & (q_ids[:, None] != b_ids[None]))
+    at_q, at_b = np.nonzero((d <= ((radius + 1e-6 + left_out) ** 2)[None]) & (q_ids[:, None] != b_ids[None]))
     keep = np.zeros(len(at_q), bool)
     qd, bd = q.astype(np.float64), b.astype(np.float64)
     qn, bn = np.sqrt((qd**2).sum(1)), np.sqrt((bd**2).sum(1))
@@ -97,79 +111,104 @@ def links_in_block(index: Index, cell: int, q: np.ndarray, q_ids: np.ndarray, b:
     return at_q[keep], at_b[keep]
 
 
+def roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest id that each position reaches by links (i, j)."""
+    root = ids.copy()
+    while len(i):
+        before = root.copy()
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        if (before == root).all():
+            break
+    return root
+
+
+def _linked(vectors_: DataFrame, length: int, n: int, labels: int, least: float) -> DataFrame | None:
+    """(vec_id, first, n_links, root) of linked vectors of one length of (vec_id, label, embedding): first is the smallest of its exact copies.
+
+    A row's n_links and root are of one meeting; a vector's rows add up. None without a valid vector.
+    """
+    sample = vectors.sample(vectors_, n, SAMPLE, "pq")
+    if not len(sample) and n <= SAMPLE:
+        sample = vectors.sample(vectors_, n, n, "pq")
+    if not len(sample):
+        return None
+    index = fit(sample, max(1, min(LISTS, round(n / max(labels, 1) / LIST_ROWS))), least)
+    kind = np.float64 if dict(vectors_.dtypes)["embedding"] == "array<double>" else np.float32
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = vectors.read(batch.column("embedding"), index.dimensions)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), batch.column("label").take(pa.array(at)), vectors.bytes_of(x.astype(kind))], ["vec_id", "label", "x"])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                visits, codes, left_out = encode(index, _unit(vectors.matrix(batch.column("x"), kind)))
+                more = [pa.array(list(visits), pa.list_(pa.int32())), vectors.bytes_of(codes), pa.array(left_out, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "visits", "codes", "left_out"])
+
+    packed = common.written(vectors_.select("vec_id", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(pack, "vec_id long, label string, x binary"))
+    one = packed.groupBy("label", "x").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    coded = common.written(one.mapInArrow(assign, "label string, x binary, vec_id long, copies long, visits array<int>, codes binary, left_out double"))
+    base = coded.withColumn("list", F.col("visits")[0])
+    visiting = coded.select("vec_id", "label", "copies", F.col("visits")[0].alias("own"), F.explode("visits").alias("list"), "x")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for rows, visitors in vectors.meetings(batches, ["label", "list"], VISITORS):
+            if rows is not seen:
+                seen = rows
+                b, codes = vectors.matrix(rows.column("x"), kind), vectors.matrix(rows.column("codes"), np.uint8)
+                b_ids, left_out, b_copies = (rows.column(c).to_numpy() for c in ("vec_id", "left_out", "copies"))
+                b_visits = rows.column("visits").flatten().to_numpy().reshape(len(rows), -1)
+            q_ids, q_copies, own = (visitors.column(c).to_numpy() for c in ("vec_id", "copies", "own"))
+            i, j = links_in_block(index, rows.column("list")[0].as_py(), vectors.matrix(visitors.column("x"), kind), q_ids, b, b_ids, codes, left_out, least)
+            if not len(i):
+                continue
+            # where b doesn't visit q's list, it learns of the link here
+            alone = ~(b_visits[j] == own[i][:, None]).any(1)
+            n_q = np.bincount(i, b_copies[j], len(q_ids)).astype(np.int64)
+            n_b = np.bincount(j[alone], q_copies[i[alone]], len(b_ids)).astype(np.int64)
+            ids = np.concatenate([q_ids, b_ids])
+            root = roots(ids, i, j + len(q_ids))
+            touched = np.unique(np.concatenate([i, j + len(q_ids)]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[touched]), pa.array(np.concatenate([n_q, n_b])[touched]), pa.array(root[touched])], ["vec_id", "n", "root"])
+
+    width = 80 + length * np.dtype(kind).itemsize
+    found = common.written(vectors.dealt(base, visiting, ["label", "list"], BLOCK, width).mapInArrow(met, "vec_id long, n long, root long"))
+    several = coded.where("copies > 1").select("label", "x", F.col("vec_id").alias("first"), "copies")
+    copies = packed.join(several, ["label", "x"]).select("vec_id", "first", "copies")
+    return found.select("vec_id", F.lit(None).cast("long").alias("first"), "n", "root").unionByName(copies.select("vec_id", "first", (F.col("copies") - 1).alias("n"), F.col("first").alias("root")))
+
+
 def near_duplicates(table: DataFrame, least: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vec_id of (vec_id, embedding, label).
 
-    Vectors link when their labels are equal and not null and their cosine in double
-    precision is at least `least` (over 0). Null, zero, non-finite vectors and those of
-    another length than most have no links. Rows that share a vec_id are one vector, the
-    smallest (label, embedding); rows without a vec_id are left out. No rows: no rows.
+    Vectors link when their labels are equal and not null, their lengths are equal, and their
+    cosine in double precision is at least `least` (over 0). Null, empty, zero and non-finite
+    vectors have no links. Rows that share a vec_id are one vector, the smallest (label,
+    embedding); rows without a vec_id are left out. No rows: no rows. Other columns of table
+    play no part.
     """
-    radius = math.sqrt(2 - 2 * least)
     rows = vectors.one_row_each(table, "label", "embedding")
     known = rows.where("label is not null and embedding is not null")
-    n, labels = known.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    sample = vectors.sample(known, n, SAMPLE, "pq")
+    labels = known.agg(F.approx_count_distinct("label")).first()[0]
+    found = None
+    for length, n in vectors.lengths(known):
+        part = _linked(known.where(F.size("embedding") == length), length, n, labels, least) if n > 1 else None
+        found = part if found is None else found if part is None else found.unionByName(part)
     ids = rows.select("vec_id")
-    if not len(sample):
+    if found is None:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    index = fit(sample, max(1, min(LISTS, round(n / max(labels, 1) / LIST_ROWS))))
-    wide = dict(rows.dtypes)["embedding"] == "array<double>"
-    kind = np.float64 if wide else np.float32
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, x = vectors.read(batch.column("embedding"), index.dimensions)
-            if not len(at):
-                continue
-            own, visits, codes, left_out = encode(index, _unit(x), radius)
-            x = x.astype(kind)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(pa.array(at)), batch.column("label").cast(pa.string()).take(pa.array(at)), pa.array(own, pa.int32()), pa.array(visits, pa.list_(pa.int32())), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(left_out, pa.float64())],
-                ["vec_id", "label", "own", "visits", "x", "codes", "left_out"],
-            )
-
-    coded = common.checkpointed(known.mapInArrow(assign, "vec_id long, label string, own int, visits array<int>, x binary, codes binary, left_out double"))
-    visiting = coded.select("vec_id", "label", F.explode("visits").alias("list"), "x")
-    base = coded.select("vec_id", "label", F.col("own").alias("list"), "x", "codes", "left_out")
-    held = base.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    come = visiting.groupBy("label", "list").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("chunks"))
-    counts = common.checkpointed(held.join(come, ["label", "list"]))
-    if counts.count() <= BROADCAST_COUNTS:
-        counts = F.broadcast(counts)
-    salt = lambda seed, of: F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id")), F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = base.join(counts, ["label", "list"]).select("label", "list", salt("block", "blocks").alias("block"), every("chunks").alias("chunk"), "vec_id", "x", "codes", "left_out")
-    right = visiting.join(counts, ["label", "list"]).select("label", "list", every("blocks").alias("block"), salt("chunk", "chunks").alias("chunk"), "vec_id", "x", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("left_out"))
-
-    def met(group: pa.Table) -> pa.Table:
-        ids_ = group.column("vec_id").to_numpy()
-        x = np.frombuffer(b"".join(group.column("x").to_pylist()), kind).reshape(len(ids_), -1)
-        is_base = group.column("codes").is_valid().to_numpy()
-        b, q = np.flatnonzero(is_base), np.flatnonzero(~is_base)
-        out: dict[str, np.ndarray] = {"vec_id": np.empty(0, np.int64), "n": np.empty(0, np.int64), "root": np.empty(0, np.int64)}
-        if len(b) and len(q):
-            codes = np.frombuffer(b"".join(group.column("codes").drop_null().to_pylist()), np.uint8).reshape(len(b), -1)
-            i, j = links_in_block(index, group.column("list")[0].as_py(), x[q], ids_[q], x[b], ids_[b], codes, group.column("left_out").to_numpy()[b], least, radius)
-            i, j = q[i], b[j]
-            root = ids_.copy()
-            while len(i):
-                low = np.minimum(root[i], root[j])
-                before = root.copy()
-                np.minimum.at(root, i, low)
-                np.minimum.at(root, j, low)
-                if (before == root).all():
-                    break
-            n_links = np.bincount(i, minlength=len(ids_))
-            seen = np.zeros(len(ids_), bool)
-            seen[i] = seen[j] = True
-            out = {"vec_id": ids_[seen], "n": n_links[seen].astype(np.int64), "root": root[seen]}
-        return pa.table(out)
-
-    found = left.unionByName(right).groupBy("label", "list", "block", "chunk").applyInArrow(met, "vec_id long, n long, root long")
-    found = common.checkpointed(found)
+    found = common.written(found)
     groups = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "vec_id")
-    links = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    out = ids.join(links, "vec_id", "left").join(groups, "vec_id", "left")
+    links = found.groupBy("vec_id").agg(F.sum("n").alias("n"), F.max("first").alias("first"))
+    # copies have the links of the first of them, besides each other
+    of_first = links.where("first is null or first = vec_id").select(F.col("vec_id").alias("first"), F.col("n").alias("n_first"))
+    counted = links.withColumn("first", F.coalesce("first", "vec_id")).join(of_first, "first").select("vec_id", F.col("n_first").alias("n_links"))
+    out = ids.join(counted, "vec_id", "left").join(groups, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
