@@ -14,11 +14,11 @@ others by hash. The order bears on work only, never on results.
 2. Of the remaining pairs, each row's best and then those across components are
    multiplied over all columns, which gives their overlap exactly.
 
-A column of more than SMALL rows is split from its block. In it each row first meets
-NEAR neighbours by size and a few hubs, which joins groups of near copies at a cost
-linear in their size. Then rows outside a column's largest component meet the row of it
-that has most large columns, as near copies with few changes of their own are linked
-with most. At last all rows in different components meet in a join on the column, where
+A column of more than SMALL rows is split from its block. Near copies with few changes
+of their own have most large columns and are linked with most, so in the column that it
+shares with most rows each row first meets the row that has most: one pair a row, which
+joins groups of near copies at a cost linear in their size. Then rows outside a column's
+largest component meet the row of it that has most large columns. At last all rows in different components meet in a join on the column, where
 sizes bound how many columns linked rows share and so which of them need be looked at. No
 component is missed, and copies of copies are not expanded into all pairs.
 """
@@ -38,8 +38,8 @@ from glintframe.llm.components import components
 
 #: Sampled documents, frequent shingles kept (at 16 bytes).
 SAMPLE, FREQUENT = 32_768, 262_144
-#: Rows of a column that is multiplied within its block; in a larger one each row meets so many neighbours by size, and so many hubs.
-SMALL, NEAR, HUBS = 16, 2, 2
+#: Rows of a column that is multiplied within its block.
+SMALL = 16
 #: Up to so many doc_ids (8 bytes each) are broadcast to find their texts; beyond, texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 #: Entries that a map task packs at once; bytes of text for each block of columns.
@@ -164,11 +164,11 @@ def _columns(blocks: int):
     return emit
 
 
-_PRODUCT = "a long, b long, n_a long, n_b long, overlap int, seed boolean, h long"
+_PRODUCT = "a long, b long, n_a long, n_b long, overlap int, h long"
 
 
 def _multiplied(h: np.ndarray, row: np.ndarray, n: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """A block's product: (a, b, sizes, overlap) of pairs of rows; from columns of more than SMALL rows seeds, without overlap, and their entries (a, n_a, h)."""
+    """A block's product: (a, b, sizes, overlap) of pairs of rows; of columns of more than SMALL rows their entries (a, n_a, h)."""
     order = np.lexsort((row, n, h))
     h, row, n = h[order], row[order], n[order].astype(np.int64)
     start = np.flatnonzero(np.concatenate([np.ones(1, bool), h[1:] != h[:-1]]))
@@ -177,37 +177,23 @@ def _multiplied(h: np.ndarray, row: np.ndarray, n: np.ndarray, percent: int) ->
     ids, of = np.unique(row, return_inverse=True)
     size_of = np.empty(len(ids), np.int64)
     size_of[of] = n
-    met: dict[bool, list[np.ndarray]] = {False: [], True: []}
-
-    def meet(i: np.ndarray, j: np.ndarray, seed: bool) -> None:
-        ok = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
-        i, j = of[i[ok]], of[j[ok]]
-        met[seed].append(np.minimum(i, j) * len(ids) + np.maximum(i, j))
-
+    keys: list[np.ndarray] = []
     for k in range(1, SMALL):
         i = np.flatnonzero((h[k:] == h[:-k]) & ~large[k:])
         if not len(i):
             break
-        meet(i, i + k, False)
-    for k in range(1, NEAR + 1):
-        i = np.flatnonzero((h[k:] == h[:-k]) & large[k:])
-        meet(i, i + k, True)
-    many = size > SMALL
-    i = np.flatnonzero(large)
-    for k in range(HUBS if len(i) else 0):
-        j = np.repeat((start + size * (2 * k + 1) // (2 * HUBS))[many], size[many])
-        meet(i[i != j], j[i != j], True)
-    for seed, keys in met.items():
-        pairs, overlap = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.int64),) * 2
-        for at in range(0, len(pairs), 1 << 16):
-            a, b = np.divmod(pairs[at : at + (1 << 16)], len(ids))
-            m = len(a)
-            count = np.zeros(m, np.int32) if seed else overlap[at : at + m].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(size_of[a]), pa.array(size_of[b]), pa.array(count), pa.array(np.full(m, seed)), pa.nulls(m, pa.int64())], ["a", "b", "n_a", "n_b", "overlap", "seed", "h"])
+        i = i[n[i] * 100 >= n[i + k] * percent]  # a column's rows stand by size
+        i, j = of[i], of[i + k]
+        keys.append(np.minimum(i, j) * len(ids) + np.maximum(i, j))
+    names = ["a", "b", "n_a", "n_b", "overlap", "h"]
+    pairs, overlap = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.int64),) * 2
+    for at in range(0, len(pairs), 1 << 16):
+        a, b = np.divmod(pairs[at : at + (1 << 16)], len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(size_of[a]), pa.array(size_of[b]), pa.array(overlap[at : at + (1 << 16)].astype(np.int32)), pa.nulls(len(a), pa.int64())], names)
     if large.any():
         m = int(large.sum())
         none = pa.nulls(m, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(row[large]), none, pa.array(n[large]), none, pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.array(h[large].view(np.int64))], ["a", "b", "n_a", "n_b", "overlap", "seed", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array(row[large]), none, pa.array(n[large]), none, pa.nulls(m, pa.int32()), pa.array(h[large].view(np.int64))], names)
 
 
 def _product(percent: int):
@@ -291,6 +277,13 @@ def _placed(large: DataFrame) -> DataFrame:
     return placed.select("h", "row", "n", "r", "k")
 
 
+def _seeds(large: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each row with the one that has most large columns, in its own column of most rows."""
+    hubs = large.groupBy("h").agg(F.max(F.struct("k", "row", "n")).alias("y"))
+    met = large.where("r = k").join(hubs, "h").where("row != y.row").where(F.least("n", "y.n") * 100 >= F.greatest("n", "y.n") * percent)
+    return met.select(F.least("row", "y.row").alias("a"), F.greatest("row", "y.row").alias("b"))
+
+
 def _across(large: DataFrame, groups: DataFrame, percent: int, hubs: bool = False) -> DataFrame:
     """Pairs (a, b) of rows that share large columns, are in different components so far and can be linked.
 
@@ -345,7 +338,7 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     packed = rows.select("row", "n", "first").mapInArrow(_columns(blocks), "block int, row binary, n binary, h binary")
     product = common.written(packed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_product(percent), _PRODUCT))
     large = product.where("b is null").select("h", F.col("a").alias("row"), F.col("n_a").alias("n"))
-    sums = product.where("b is not null").groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"), F.bool_or("seed").alias("seed"))
+    sums = product.where("b is not null").groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
     sums = common.written(sums)
     # entries in large columns, whose overlaps are not in the sums
     large = common.written(_placed(large))
@@ -353,15 +346,15 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     side = lambda c: more.select(F.col("row").alias(c), F.col("k").alias(f"k_{c}"))
     both = sums.join(side("a"), "a", "left").join(side("b"), "b", "left")
     unseen = F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0)))
-    passing = common.written(both.where(F.col("seed") | enough(F.col("overlap") + unseen, percent)).select("a", "b", "n_a", "n_b", "overlap", "seed"))
+    passing = common.written(both.where(enough(F.col("overlap") + unseen, percent)).select("a", "b", "overlap"))
     # each row with the partner of its largest overlap
     ends = passing.select(F.col("a").alias("row"), "a", "b", "overlap").union(passing.select("b", "a", "b", "overlap"))
     best = ends.groupBy("row").agg(F.max_by(F.struct("a", "b"), F.struct("overlap", "a", "b")).alias("p")).select("p.a", "p.b")
     exact = lambda pairs: _linked(pairs.select("a", "b").distinct(), full, words, percent, repeated)
     edges = lambda g: g.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    first = exact(best.union(passing.where("seed").select("a", "b")))
+    first = exact(best.union(_seeds(large, percent)))
     groups = common.written(components(first))
-    second = exact(_apart(passing.where("not seed").select("a", "b"), groups).union(_across(large, groups, percent, hubs=True)))
+    second = exact(_apart(passing.select("a", "b"), groups).union(_across(large, groups, percent, hubs=True)))
     merged = common.written(components(edges(groups).union(second)))
     third = exact(_across(large, merged, percent))
     # equal sets are stars around their row
