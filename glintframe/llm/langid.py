@@ -119,7 +119,7 @@ def fit(labelled: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE)
     languages and texts are left out; repeated rows count each time.
     Only the sums reach the driver: 8 * dimensions bytes a language, which each worker holds, too.
     """
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     shares = known.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
     chosen = known.join(F.broadcast(shares), "lang").where(common.hashed_share(F.coalesce(F.col("doc_id"), F.xxhash64("text")), "langid", share)).select("lang", "text")
