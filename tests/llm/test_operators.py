@@ -108,12 +108,20 @@ def test_substring_edge_tables(spark):
     assert got == [(0, 0), (1, 0), (1, 0), (2, 14)]
 
 
-def test_spool_reads_twice(monkeypatch):
-    monkeypatch.setattr(substring, "IN_MEMORY", 10)
-    spool = substring._Spool()
-    for k in range(3):
-        spool.add(b"abc", bytes([k] * k), b"xyz")
-    assert list(spool) == list(spool) == [(b"abc", bytes([k] * k), b"xyz") for k in range(3)]
+def test_substring_in_small_parts(docs, monkeypatch):
+    """Many flushes and buckets give what one gives; a caller's columns come through, whatever their names."""
+    monkeypatch.setattr(substring, "PIECE_BYTES", 1 << 16)
+    clash = docs.withColumn("at", F.col("doc_id") * 2).withColumn("lost", F.lit("x")).withColumn("hashes", F.lit(1))
+    got = substring.removal(clash).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_removal(corpus())
+    assert all(r["at"] == 2 * r.doc_id and r.lost == "x" and r.hashes == 1 for r in got)
+
+
+def test_contest_of_windows():
+    docs, hashes = np.array([5, 3, 3, 9, 5, 9]), np.array([1, 1, 1, 1, 2, 2], np.uint64)
+    stay, h, lose, g = substring._contest(docs, hashes)
+    assert (stay.tolist(), h.tolist()) == ([3, 5], [1, 2])
+    assert sorted(zip(lose.tolist(), g.tolist())) == [(5, 1), (9, 1), (9, 2)]
 
 
 def shingles(text, n=3):
@@ -137,35 +145,51 @@ def reach(ids, links):
     return {i: find(i) for i in ids}
 
 
-def brute_components(rows, percent=90):
-    sets = {d: shingles(t) for d, t, *_ in rows}
+def brute_components(rows, percent=90, n=3):
+    sets = {d: shingles(t, n) for d, t, *_ in rows}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     root = reach(sets, links)
     return {d: (len(sets[d]), root[d]) for d in sets}
 
 
-def test_ngram_join(docs):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.joined(docs.withColumn("n", F.lit(1))).collect()}
-    assert got == brute_components(corpus())
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_ngram_join(docs, n, percent):
+    clash = docs.withColumn("n", F.lit(1)).withColumn("row", F.lit("r")).withColumn("h", F.lit(2)).withColumn("keep", F.lit(3))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.joined(clash, n, percent).collect()}
+    assert got == brute_components(corpus(), percent, n)
 
 
-def test_ngram_join_groups_of_near_copies(spark, monkeypatch):
-    """More near copies than a column's window, so that the rounds across components work."""
+@pytest.mark.parametrize("edits, n, percent", [(3, 3, 90), (5, 5, 80), (9, 3, 90)])
+def test_ngram_join_groups_of_near_copies(spark, edits, n, percent):
+    """More near copies than a small column's rows, so that the rounds across components work."""
     rng = random.Random(8)
     base = [f"w{k}" for k in range(100)]
     rows = []
     for k in range(90):
         text = list(base)
-        for at in rng.sample(range(100), rng.randint(0, 3)):
+        for at in rng.sample(range(100), rng.randint(0, edits)):
             text[at] = f"x{rng.randint(0, 9)}"
         rows.append((k, " ".join(text), None, None, 0))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.joined(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == brute_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.joined(spark.createDataFrame(rows, DOCS), n, percent).collect()}
+    want = brute_components(rows, percent, n)
+    assert got == want and 1 < len({c for _, c in want.values()}) or edits < 9
+
+
+def test_product_sums_overlaps():
+    """Sums over the columns of a block; a column of more than SMALL rows gives its entries in place of sums."""
+    small = [(1, r, 10) for r in range(4)] + [(2, r, 10) for r in (0, 2)] + [(3, 5, 10), (3, 6, 30)]
+    many = [(9, r, 10) for r in range(100, 100 + ngram_join.SMALL + 1)]
+    h, row, n = (np.array(x) for x in zip(*small, *many, strict=True))
+    parts = [b.to_pylist() for b in ngram_join._multiplied(h.astype(np.uint64), row, n.astype(np.int32), 90)]
+    out = [r for p in parts for r in p]
+    sums = {(r["a"], r["b"]): r["overlap"] for r in out if r["b"] is not None}
+    assert sums == {(a, b): 1 + ((a, b) == (0, 2)) for a in range(4) for b in range(a + 1, 4)}
+    assert sorted(r["a"] for r in out if r["b"] is None) == [r for _, r, _ in many]
 
 
 def test_ngram_join_edges(spark):
     rows = [(3, "A b", None, None, 0), (1, "a B", None, None, 0), (2, None, None, None, 0), (2, None, None, None, 0), (5, "", None, None, 0), (7, "p q r s", None, None, 0), (7, "p q r s", None, None, 0)]
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.joined(spark.createDataFrame(rows, DOCS)).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.joined(spark.createDataFrame(rows, DOCS), 3, 90).collect())
     assert got == [(1, 1, 1), (2, 0, 2), (2, 0, 2), (3, 1, 1), (5, 0, 5), (7, 2, 7), (7, 2, 7)]
     assert ngram_join.joined(spark.createDataFrame([], DOCS)).count() == 0
     kept = sorted(r.doc_id for r in ngram_join.one_of_each(spark.createDataFrame(rows[:2] + rows[4:5], DOCS)).collect())

@@ -61,7 +61,7 @@ def test_pipeline_stage_by_stage(spark):
     left = one.orderBy("doc_id").collect()
     assert {r.doc_id for r in left} == {k for k, v in scored.items() if v}
     rows = [(r.doc_id, r.text) for r in left]
-    roots = brute_components(rows)
+    roots = brute_components(rows, 80, 5)
     two = pipe.ngram_stage(spark, spark.createDataFrame(left, docs.schema), sf).collect()
     assert {r.doc_id for r in two} == {d for d, _ in rows if roots[d][1] == d}
     cut = brute_removal([(r.doc_id, r.text) for r in two])
