@@ -13,6 +13,8 @@ from glintframe.sources.tables import shared_folder
 
 #: Words are maximal runs of anything but these bytes: space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What stands between plain words, once A-Z are lower-cased: all of ASCII but 0-9 and a-z.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of an Arrow batch of texts in the registered queries.
 BATCH_BYTES = 4 << 20
@@ -38,6 +40,12 @@ def discard(*tables: DataFrame) -> None:
         t.sparkSession.range(0).write.mode("overwrite").parquet(t.written_to)
 
 
+def plain_words(text: Column) -> Column:
+    """Lower-cased (A-Z only) runs of letters, digits and anything beyond ASCII; null without any."""
+    found = F.filter(F.split(F.translate(text.cast("string"), UPPER, LOWER), BETWEEN), lambda w: w != "")
+    return F.when(F.size(found) > 0, found)
+
+
 def extent(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows, and bytes of a text column."""
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(column).cast("string")).cast("long")), F.lit(0))).first()

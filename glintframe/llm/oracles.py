@@ -141,3 +141,33 @@ c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
+
+PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_PLAIN_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{PLAIN}')"
+
+SQL["op12_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark),
+x AS (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda p: array_to_string(w[p : p + 9], ' '))) AS k, least(len(w), 10) AS l FROM b WHERE len(w) > 0),
+lens AS (SELECT DISTINCT l FROM x),
+s AS (SELECT doc_id, l, p, array_to_string(w[p : p + l - 1], ' ') AS k FROM (SELECT doc_id, l, w, unnest(range(1, len(w) - l + 2)) AS p FROM d, lens)),
+hit AS (SELECT DISTINCT s.doc_id, s.p, s.l, x.item_id FROM s JOIN x ON s.k = x.k),
+i AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY doc_id),
+h AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + l)) AS i FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
+"""
+
+SQL["op13_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_PLAIN_WORDS} AS w FROM documents),
+c AS (SELECT row, doc_id, w, len(w) AS n FROM d WHERE len(w) > 0),
+t AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM c),
+q AS (SELECT DISTINCT item_id, unnest({_PLAIN_WORDS}) AS term FROM benchmark),
+p AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM c) WHERE term IN (SELECT term FROM q) GROUP BY row, term),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), t),
+s AS (
+  SELECT q.item_id, p.row, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p ON q.term = p.term JOIN f ON f.term = q.term JOIN c ON c.row = p.row, t GROUP BY q.item_id, p.row),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s JOIN c ON s.row = c.row WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintframe.llm import ann, common, langid, mixing, ngram_join, pq_dedup, quality, sharding, spm, substring, url_rules
+from glintframe.llm import ann, common, decontaminate, langid, mixing, ngram_join, pq_dedup, quality, ranked, sharding, spm, substring, url_rules, whiten
 
 #: The SentencePiece model of the tokenizer query.
 SPM_MODEL = os.environ.get("GLINTFRAME_SPM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -90,6 +90,23 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(table(spark, sf_dir, "documents"), SPM_MODEL)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op2_ngram_jaccard, op3_url_filter, op4_sharding, op5_language_id, op6_quality, op7_pq_dedup, op8_mixing, op9_substring_dedup, op10_sentencepiece)
+    f.__name__: f
+    for f in (
+        op1_ann, op2_ngram_jaccard, op3_url_filter, op4_sharding, op5_language_id, op6_quality, op7_pq_dedup, op8_mixing, op9_substring_dedup, op10_sentencepiece,
+        op11_whitening, op12_decontamination, op13_ranked_search,
+    )
 }
