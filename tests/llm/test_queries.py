@@ -26,7 +26,7 @@ def rows_of(names, rows):
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
 def test_same_rows_as_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = queries.QUERIES[name](spark, str(DATA))
     got = con.execute(oracles.SQL[name])
