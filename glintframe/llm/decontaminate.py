@@ -104,7 +104,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     prefixes = common.written(ordered.where("least.rarity > 0").select(F.col("least.h").alias("h"), F.col("least.at").alias("offset"), "window"))
     candidates = met.join(small(prefixes, BROADCAST), "h").withColumn("at", F.col("at") - F.col("offset"))
     candidates = candidates.where((F.col("at") >= 0) & (F.col("at") + F.size("window") <= F.col("n")))
-    by_text = candidates.groupBy("key").agg(F.collect_set(F.struct("at", "window")).alias("candidates"))
+    # written, so that the join below has an exchange of its own, whose hot texts adaptive execution splits
+    by_text = common.written(candidates.groupBy("key").agg(F.collect_set(F.struct("at", "window")).alias("candidates")))
 
     rows = docs.select(*kept, digest(F.col("text")).alias(key))
     joined = rows.join(by_text.withColumnsRenamed({"key": key, "candidates": found}), key, "left").withColumn(words, common.plain_words(F.col("text")))
@@ -119,6 +120,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
     hit = judged.where("n_hit > 0").select(F.col(key).alias("key"), F.explode(found).alias("window")).distinct()
     items = hit.join(item_windows.where("item_id is not null"), "window").groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
-    digests = items.select(F.col("key").alias(key), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    digests = common.written(items.select(F.col("key").alias(key), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256")))
     out = judged.join(digests, key, "left")
     return out.select(*kept, "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
