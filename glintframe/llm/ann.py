@@ -112,13 +112,9 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _of_length(rows: DataFrame, length: int, n: int, k: int) -> DataFrame | None:
-    """The k nearest of the asking ones of n rows (vec_id, embedding, asks) of one length; None without a valid vector."""
+def _of_length(rows: DataFrame, length: int, n: int, k: int) -> DataFrame:
+    """The k nearest of the asking ones of n rows (vec_id, embedding, asks) of one length, all of which take part."""
     sample = vectors.sample(rows, n, SAMPLE, "ann")
-    if not len(sample):  # none in the sample, so few at most: all are looked at
-        sample = vectors.sample(rows, n, n, "ann") if n <= SAMPLE else sample
-    if not len(sample):
-        return None
     index = fit(sample, n, k)
     kind = np.float64 if dict(rows.dtypes)["embedding"] == "array<double>" else np.float32
 
@@ -171,9 +167,9 @@ def search(table: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """
     asks = common.free(table, "asks")
     marked = table.where("embedding is not null and vec_id is not null").withColumn(asks, F.coalesce(queries, F.lit(False)))
-    rows = vectors.one_row_each(marked, "embedding", asks).withColumnRenamed(asks, "asks")
+    rows = vectors.one_row_each(marked, "embedding", asks).withColumnRenamed(asks, "asks").where(vectors.taking_part("embedding"))
     out = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for length, n in vectors.lengths(rows):
-        found = _of_length(rows.where(F.size("embedding") == length), length, n, k) if n > 1 else None
-        out = out if found is None else out.unionByName(found)
+        if n > 1:
+            out = out.unionByName(_of_length(rows.where(F.size("embedding") == length), length, n, k))
     return out

@@ -124,16 +124,12 @@ def roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _linked(vectors_: DataFrame, length: int, n: int, labels: int, least: float) -> DataFrame | None:
-    """(vec_id, first, n_links, root) of linked vectors of one length of (vec_id, label, embedding): first is the smallest of its exact copies.
+def _linked(vectors_: DataFrame, length: int, n: int, labels: int, least: float) -> DataFrame:
+    """(vec_id, first, n_links, root) of linked vectors of one length of (vec_id, label, embedding), all of which take part: first is the smallest of its exact copies.
 
-    A row's n_links and root are of one meeting; a vector's rows add up. None without a valid vector.
+    A row's n_links and root are of one meeting; a vector's rows add up.
     """
     sample = vectors.sample(vectors_, n, SAMPLE, "pq")
-    if not len(sample) and n <= SAMPLE:
-        sample = vectors.sample(vectors_, n, n, "pq")
-    if not len(sample):
-        return None
     index = fit(sample, max(1, min(LISTS, round(n / max(labels, 1) / LIST_ROWS))), least)
     kind = np.float64 if dict(vectors_.dtypes)["embedding"] == "array<double>" else np.float32
 
@@ -194,12 +190,13 @@ def near_duplicates(table: DataFrame, least: float = 0.93) -> DataFrame:
     play no part.
     """
     rows = vectors.one_row_each(table, "label", "embedding")
-    known = rows.where("label is not null and embedding is not null")
+    known = rows.where(F.col("label").isNotNull() & vectors.taking_part("embedding"))
     labels = known.agg(F.approx_count_distinct("label")).first()[0]
     found = None
     for length, n in vectors.lengths(known):
-        part = _linked(known.where(F.size("embedding") == length), length, n, labels, least) if n > 1 else None
-        found = part if found is None else found if part is None else found.unionByName(part)
+        if n > 1:
+            part = _linked(known.where(F.size("embedding") == length), length, n, labels, least)
+            found = part if found is None else found.unionByName(part)
     ids = rows.select("vec_id")
     if found is None:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

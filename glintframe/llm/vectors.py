@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glintframe.llm import common
@@ -28,6 +28,12 @@ def matrix(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
+def taking_part(column: str) -> Column:
+    """Whether a vector takes part: neither null, empty nor zero, and all of it finite."""
+    finite = F.forall(column, lambda c: c.isNotNull() & (F.abs(c.cast("double")) < float("inf")))
+    return F.coalesce(finite & F.exists(column, lambda c: c != 0), F.lit(False))
+
+
 def lengths(rows: DataFrame) -> list[tuple[int, int]]:
     """(length, number) of the vectors of each length from 1, the most frequent first. Each length is indexed by itself."""
     size = F.size("embedding")
@@ -36,7 +42,7 @@ def lengths(rows: DataFrame) -> list[tuple[int, int]]:
 
 
 def sample(vectors: DataFrame, n: int, size: int, seed: str) -> np.ndarray:
-    """The valid ones of about `size` of n vectors of one length, fixed by a hash of vec_id."""
+    """About `size` of n vectors of one length that take part, all if n is no more; fixed by a hash of vec_id."""
     rows = vectors.where(common.hashed_share(F.col("vec_id"), seed, min(1.0, size / max(n, 1)))).orderBy("vec_id").select("embedding").collect()
     x = np.array([[np.nan if v is None else v for v in r[0]] for r in rows], np.float64)
     return x[np.isfinite(x).all(1) & (x != 0).any(1)] if len(x) else np.empty((0, 0))

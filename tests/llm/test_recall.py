@@ -95,6 +95,34 @@ def test_pq_dedup_recall(spark, monkeypatch, n):
     assert all((c == k) == kept for k, (_, c, kept) in got.items())
 
 
+def test_pq_dedup_recall_at_50_000_with_its_own_parameters(spark):
+    """Near copies of every tenth vector; uniform vectors of 64 dimensions have no other links."""
+    n, rng = 50_000, np.random.default_rng(7)
+    x = unit(n, 3)
+    first = np.arange(0, n, 10)
+    cos = rng.uniform(0.9, 0.999, len(first))
+    turn = rng.standard_normal((len(first), 64))
+    turn -= (turn * x[first]).sum(1, keepdims=True) * x[first]
+    x[first + 1] = cos[:, None] * x[first] + np.sqrt(1 - cos**2)[:, None] * turn / np.linalg.norm(turn, axis=1, keepdims=True)
+    a, b = (x[i].astype(np.float64) for i in (first, first + 1))
+    linked = (a * b).sum(1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)) >= 0.93
+    got = {r.vec_id: r.n_links for r in pq_dedup.near_duplicates(frame(spark, x, np.zeros(n))).where("n_links > 0").collect()}
+    assert set(got) <= {int(v) for k in (0, 1) for v in first[linked] + k}
+    assert len(got) >= 0.99 * 2 * linked.sum()
+
+
+@pytest.mark.parametrize("ids", [(11, 22, 33), (99_997, 99_998, 99_999), (5, 50_000, 77_777, 80_001)])
+def test_the_few_valid_of_very_many_rows(spark, ids):
+    """All but a few of 100,000 vectors are zero, null or not finite: those few are found whatever their ids."""
+    some = {0: "array(0f, 0f)", 1: "cast(null as array<float>)", 2: "array(float('nan'), 1f)", 3: "array(cast(null as float), 1f)"}
+    odd = "case " + " ".join(f"when id % 4 = {k} then {v}" for k, v in some.items()) + " end"
+    rows = spark.range(100_000).selectExpr("id as vec_id", f"case when id in {ids} then array(1f, 2f) else {odd} end as embedding", "1 as label")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pq_dedup.near_duplicates(rows).where("n_links > 0").collect()}
+    assert got == {i: (len(ids) - 1, ids[0]) for i in ids}
+    found = ann.search(rows, F.lit(True)).collect()
+    assert {(r.query_id, r.vec_id, r.score) for r in found} == {(i, j, 0.0) for i in ids for j in ids if i != j}
+
+
 def test_vectors_of_several_lengths(spark):
     """Each length is indexed by itself: equal vectors of a rare length are found and linked."""
     rows = [(k, [float(k), 1.0, 2.0], 1) for k in range(20)] + [(100, [1.0, 2.0], 1), (101, [1.0, 2.0], 1), (102, [2.0, 4.1], 1), (103, [1.0], 1), (104, [], 1), (105, [0.0, 0.0], 1)]

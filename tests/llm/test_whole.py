@@ -151,14 +151,15 @@ def pipeline_rows():
 def test_pipeline_stages_take_odd_rows(spark, tmp_path):
     import corpus_pipeline as pipe
 
-    docs = clashing(spark.createDataFrame(pipeline_rows(), DOCS))
+    new = ["score", "predicted", "n_words", "n_removed", "kept", "KEPT_SHA256", "own_score"]  # names that its operators give, too
+    docs = clashing(spark.createDataFrame(pipeline_rows(), DOCS)).withColumns({c: F.lit(f"caller's {c}") for c in new})
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1), (2, 1), (3, None), (None, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for k, (_, stage) in enumerate(pipe.STAGES):
         out = common.written(stage(spark, now, str(tmp_path)))
         assert k == len(pipe.STAGES) - 1 or out.columns == docs.columns
-        assert all(r[c] == f"caller's {c}" for r in out.collect() for c in NAMES)
+        assert all(r[c] == f"caller's {c}" for r in out.collect() for c in [*NAMES, *new])
         now = out
     ids = [r.doc_id for r in now.collect()]
     assert 1 in ids and 2 not in ids  # the copy goes, its first stays
