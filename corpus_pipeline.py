@@ -9,21 +9,30 @@ columns of documents pass through, further ones too, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintframe.llm import common, mixing, ngram_join, quality, spm, substring
 from glintframe.llm.queries import SPM_MODEL, quality_model, table
 
 
+def aside(docs: DataFrame, *new: str) -> tuple[DataFrame, list[Column]]:
+    """docs with those of its columns renamed that an operator would replace, and the columns that bring docs' own names back."""
+    names = []
+    for c in docs.columns:
+        names.append(common.free(docs.toDF(*names, *docs.columns[len(names) :]), "own_" + c) if c.lower() in new else c)
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects.
 
     Null and empty texts score the share of good labels, so they stay unless labels are mostly
     bad; equal texts share one fate; a null doc_id doesn't matter.
     """
-    scored = quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
-    return scored.where("predicted = 1").select(*docs.columns)
+    rows, own = aside(docs, "score", "predicted")
+    scored = quality.score(rows, quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.where("predicted = 1").select(*own)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +50,12 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts stay; rows without a doc_id keep all their words; rows that share a doc_id
     take nothing from each other.
     """
+    docs, own = aside(docs, "n_words", "n_removed", "kept", "kept_sha256")
     cut = substring.removal(docs)
     whole = F.col("n_removed") == 0
     rows = cut.where(whole | (F.col("kept") != ""))
     new = {"text": F.when(whole, F.col("text")).otherwise(F.col("kept")), "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length("kept").cast("long"))}
-    return rows.withColumns({c: v for c, v in new.items() if c in docs.columns}).select(*docs.columns)
+    return rows.withColumns({c: v for c, v in new.items() if c in docs.columns}).select(*own)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
