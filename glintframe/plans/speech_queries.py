@@ -84,30 +84,79 @@ def stt_endpoint_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("stream_id").alias("user_id"), F.col("utterance").alias("part"), "frames", "said", F.round(F.col("ended") - F.col("began"), 3).alias("age"), "reason")
 
 
-@query()
+#: Seconds that frames may come late.
+LATE = 60
+#: Frames of the events, and the time up to which the stream's watermark lets them out: whole seconds that it has passed.
+_RELEASED = f"""m AS (SELECT max(epoch_ms(ts)) - {LATE * 1000} AS w FROM events),
+f AS (SELECT user_id, event_id, event_type, epoch_us(ts) / 1000000.0::DOUBLE AS s, w / 1000.0::DOUBLE AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k
+  FROM events, m WHERE (epoch_us(ts) // 1000000 + 1) * 1000 <= w)"""
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, DataFrame]:
+    """A session of its own, whose state is kept in RocksDB, and the events as a stream in it."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    frames = own.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*").parquet(sf_dir)
+    return own, frames.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(f"""WITH RECURSIVE {_RELEASED},
+w(user_id, k, seq, s, now, text, began, "silent", part, "full") AS (
+  SELECT user_id, k, event_id, s, now, CASE WHEN event_type = 'error' THEN '' ELSE event_type END, CASE WHEN event_type <> 'error' THEN s END, false, CASE WHEN event_type <> 'error' THEN event_type END, false FROM f WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, event_id, s, now, CASE WHEN event_type = 'error' OR s - coalesce(b, s) >= {LONGEST} THEN '' ELSE event_type END,
+    CASE WHEN event_type <> 'error' AND s - coalesce(b, s) < {LONGEST} THEN coalesce(b, s) END, cut, CASE WHEN event_type <> 'error' AND event_type <> t THEN event_type END, event_type <> 'error' AND s - coalesce(b, s) >= {LONGEST}
+  FROM (SELECT f.*, w.began IS NOT NULL AND f.s - w.s > {GAP} AS cut, CASE WHEN w.began IS NOT NULL AND f.s - w.s > {GAP} THEN '' ELSE w.text END AS t, CASE WHEN w.began IS NULL OR f.s - w.s <= {GAP} THEN w.began END AS b
+    FROM w JOIN f ON f.user_id = w.user_id AND f.k = w.k + 1)),
+e AS (SELECT p.user_id, p.seq, p.text FROM w n JOIN w p ON p.user_id = n.user_id AND p.k = n.k - 1 WHERE n."silent"
+  UNION ALL SELECT w.user_id, w.seq, f.event_type FROM w JOIN f USING (user_id, k) WHERE w."full"
+  UNION ALL SELECT user_id, seq, text FROM w WHERE k = (SELECT max(k) FROM w z WHERE z.user_id = w.user_id) AND began IS NOT NULL AND now - s > {GAP})
+SELECT user_id AS stream_id, seq, 'partial' AS type, part AS text FROM w WHERE part IS NOT NULL
+UNION ALL SELECT user_id, seq, 'final', text FROM e UNION ALL SELECT user_id, seq, 'endpoint', NULL FROM e""")
 def stt_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of speech frames through the stateful session operator; all that is there is taken once."""
     from glintframe.streaming import stt
 
-    schema = table(spark, sf_dir, "events").schema
-    frames = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir)
+    _, frames = _streamed(spark, sf_dir)
     kind = F.when(F.col("event_type") == "error", "reset").otherwise("audio")
-    frames = frames.select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), kind.alias("type"), F.col("event_type").alias("text"))
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-        run = stt.sessions(frames, GAP, LONGEST, IDLE).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
-        run.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+    frames = frames.select(F.col("user_id").alias("stream_id"), "ts", F.col("event_id").alias("seq"), kind.alias("type"), F.col("event_type").alias("text"))
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stt.run_now(stt.sessions(frames, GAP, LONGEST, IDLE, late=LATE), home)
     return spark.read.schema(stt.OUTPUT).parquet(f"{home}/out")
 
 
+#: Chunks of an event's tone, and chunks of silence (of 0.04 seconds) that end an utterance.
+TONE, PAUSE = 2, 20
+
+
+@query(f"""WITH {_RELEASED},
+p AS (SELECT *, event_id % 30 AS rest, CAST(sum({TONE} + event_id % 30) OVER (PARTITION BY user_id ORDER BY k) AS BIGINT) - {TONE} - event_id % 30 AS chunk,
+  substr(event_type, 1, 1) AS letter FROM f),
+q AS (SELECT *, letter = lag(letter) OVER o AND lag(rest) OVER o = 0 AS merged, coalesce(sum(CASE WHEN rest >= {PAUSE} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM p WINDOW o AS (PARTITION BY user_id ORDER BY k)),
+t AS (SELECT *, string_agg(CASE WHEN coalesce(merged, false) THEN '' ELSE letter END, '') OVER (PARTITION BY user_id, u ORDER BY k) AS text FROM q)
+SELECT user_id AS stream_id, chunk, 'partial' AS type, text FROM t WHERE NOT coalesce(merged, false)
+UNION ALL SELECT user_id, chunk + {TONE + PAUSE - 1}, 'final', text FROM t WHERE rest >= {PAUSE} UNION ALL SELECT user_id, chunk + {TONE + PAUSE - 1}, 'endpoint', NULL FROM t WHERE rest >= {PAUSE}""")
+def stt_pcm_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PCM frames through a streaming recognizer: each event is a tone and a silence, cut in two frames within a chunk."""
+    from glintframe.streaming import stt
+    from glintframe.streaming.recognizer import RECOGNIZERS
+
+    _, frames = _streamed(spark, sf_dir)
+    model = RECOGNIZERS["low tones"]()
+    hertz = model.lowest + model.step * (F.instr(F.lit(model.letters), F.substring("event_type", 1, 1)) - 1)
+    tone = F.transform(F.sequence(F.lit(0), F.lit(TONE * model.chunk - 1)), lambda i: F.round(F.sin(i * hertz * (2 * 3.141592653589793 / model.rate)) * 8000).cast("short"))
+    pcm = F.concat(tone, F.array_repeat(F.lit(0).cast("short"), (F.col("event_id") % 30 * model.chunk).cast("int")))
+    frames = frames.select(F.col("user_id").alias("stream_id"), "ts", "event_id", pcm.alias("pcm"))
+    cut = F.array(F.slice("pcm", 1, 57), F.slice("pcm", 58, 1 << 20))
+    frames = frames.select("stream_id", "ts", "event_id", F.posexplode(cut).alias("half", "pcm"))
+    frames = frames.select("stream_id", "ts", (F.col("event_id") * 2 + F.col("half")).alias("seq"), F.lit("audio").alias("type"), "pcm")
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stt.run_now(stt.heard(frames, "low tones", late=LATE), home)
+    return spark.read.schema(stt.HEARD).parquet(f"{home}/out")
+
+
 @query("SELECT event_id, round(CAST(trunc(value * 60) - 16000 AS DOUBLE) / 32768, 8) AS a, round(CAST(event_id % 65536 - 32768 AS DOUBLE) / 32768, 8) AS b FROM events")
 def pcm_to_float(spark: SparkSession, sf_dir: str) -> DataFrame:
     pcm = F.array((F.col("value") * 60).cast("int") - 16000, (F.col("event_id") % 65536 - 32768).cast("int"))

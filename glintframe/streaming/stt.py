@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
 import math
-import sqlite3
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,40 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from glintframe.streaming.recognizer import RECOGNIZERS
+
 OUTPUT = "stream_id long, seq long, type string, text string"
 FRAMES = "stream_id long, ts timestamp, seq long, type string, text string"
-#: Frames of a stream that are sorted in memory (more of a batch are sorted on disk), and server frames given at once.
-HELD, GIVEN = 1 << 16, 1 << 14
-
-
-def in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """(seq, time in seconds, type, text) of all frames in order of seq; no more than about HELD are in memory."""
-    frames, count = [], 0
-    with contextlib.ExitStack() as stack:
-        db = None
-
-        def spool() -> None:
-            nonlocal count
-            while frames:
-                db.executemany("INSERT INTO frames VALUES (?, ?, ?, ?)", frames.pop(0))
-            count = 0
-
-        for pdf in rows:
-            frames.append([(r.seq, r.ts.timestamp(), r.type, r.text) for r in pdf.itertuples()])
-            count += len(pdf)
-            del pdf
-            if count > HELD:
-                if db is None:
-                    home = stack.enter_context(tempfile.TemporaryDirectory(prefix="frames-"))
-                    db = stack.enter_context(contextlib.closing(sqlite3.connect(f"{home}/frames.db", isolation_level=None)))
-                    for rule in ("PRAGMA journal_mode = OFF", "PRAGMA synchronous = OFF", "PRAGMA temp_store = FILE", "CREATE TABLE frames (seq INTEGER, at REAL, type TEXT, text TEXT)", "BEGIN"):
-                        db.execute(rule)
-                spool()
-        if db is None:
-            yield from sorted((f for part in frames for f in part), key=lambda f: f[0])
-        else:
-            spool()
-            yield from db.execute("SELECT seq, at, type, text FROM frames ORDER BY seq, rowid")
+HEARD = "stream_id long, chunk long, type string, text string"
+#: Server frames given at once.
+GIVEN = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -108,81 +78,232 @@ def utterances(frames: DataFrame, rules: Rules) -> DataFrame:
     return ordered.mapInArrow(cut, "stream_id long, utterance long, began double, ended double, frames long, said boolean, reason string")
 
 
-class Session(StatefulProcessor):
-    """One stream's frames in order of seq: audio, reset, close.
+class InOrder(StatefulProcessor):
+    """One stream's frames in order of (time, seq), whatever batches they come in.
 
-    A change of the recognized text gives a `partial`. Silence of `gap` seconds after the
-    last frame of an utterance with a text (`idle` without one), or an utterance of `longest`
-    seconds, gives a `final` (if there is a text) and an `endpoint`. A reset forgets the
-    utterance; a close ends the stream: its open partial is lost and its state goes. A timer in
-    event time does the same for a stream that falls silent: once the watermark has passed the
-    silence that ends its utterance (`expires`, where none does), that ends and the state goes.
+    Frames wait in a map state, by whole seconds, until the watermark has passed their second, as
+    then no earlier one can come: `take` gets them, second by second, and `quiet` learns how far
+    time has come without another. A timer in event time wakes the stream for the next second that
+    waits and for the silence that ends its utterance. In memory are one second's frames and GIVEN
+    rows; what waits is what came within the lateness that the watermark allows.
     """
 
-    def __init__(self, gap: float, longest: float, idle: float = math.inf, expires: float = 3600.0) -> None:
-        self.rules, self.expires = Rules(gap, longest, idle), expires
+    schema: pa.Schema  # of waiting frames: us, seq, type and what they carry
+    names: list[str]  # of the rows given, without the stream
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("utterance", "text string, began double, last double, seq long")
+        self.waiting = handle.getMapState("waiting", "second long", "frames binary")
+        self.opened(handle)
 
-    def _frames(self, out: list[tuple]) -> pd.DataFrame:
-        pdf = pd.DataFrame(out, columns=["stream_id", "seq", "type", "text"])
-        out.clear()
-        return pdf
+    def opened(self, handle: StatefulProcessorHandle) -> None: ...
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        text, began, last, seq = self.state.get() if self.state.exists() else ("", -1.0, -1.0, -1)
+    def loaded(self) -> None: ...
+
+    def take(self, frame: tuple, out: list[tuple]) -> None: ...
+
+    def quiet(self, now: float, out: list[tuple]) -> float | None:
+        """now: time up to which all frames have come, in seconds. Returns when to look again, None if the stream is over."""
+
+    def saved(self, over: bool) -> None: ...
+
+    def _packed(self, frames: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.schema) as w:
+            w.write_table(frames)
+        return sink.getvalue().to_pybytes()
+
+    def _wait(self, pdf: pd.DataFrame) -> None:
+        for second, part in pdf[self.schema.names].groupby(pdf["us"] // 1_000_000):
+            new, key = pa.Table.from_pandas(part, self.schema, preserve_index=False), (int(second),)
+            if self.waiting.containsKey(key):
+                new = pa.concat_tables([pa.ipc.open_stream(self.waiting.getValue(key)[0]).read_all(), new])
+            self.waiting.updateValue(key, (self._packed(new),))
+
+    def _advanced(self, key: tuple, timers) -> Iterator[pd.DataFrame]:
+        now = timers.getCurrentWatermarkInMs()
+        seconds = sorted(k[0] for k in self.waiting.keys()) if self.waiting.exists() else []
+        ready = [s for s in seconds if (s + 1) * 1000 <= now]
         out: list[tuple] = []
-        closed = False
-
-        def end(seq: int) -> None:
-            nonlocal text, began
-            if text:
-                out.append((key[0], seq, "final", text))
-            out.append((key[0], seq, "endpoint", None))
-            text, began = "", -1.0
-
-        for seq, at, kind, said in in_order(rows):
-            if began >= 0 and self.rules.silent(at - last, bool(text)):
-                end(seq)
-            closed = kind == "close"
-            if kind in ("reset", "close"):
-                text, began = "", -1.0
-            else:
-                if began < 0:
-                    began = at
-                if said and said != text:
-                    text = said
-                    out.append((key[0], seq, "partial", text))
-                if at - began >= self.rules.longest:
-                    end(seq)
-            last = at
+        self.loaded()
+        for second in ready:
+            frames = pa.ipc.open_stream(self.waiting.getValue((second,))[0]).read_all().sort_by([("us", "ascending"), ("seq", "ascending")])
+            for frame in zip(*(c.to_pylist() for c in frames.columns), strict=True):
+                self.take(frame, out)
+            self.waiting.removeKey((second,))
             if len(out) >= GIVEN:
-                yield self._frames(out)
-        for timer in self.handle.listTimers():
+                yield self._rows(key, out)
+        again = self.quiet(now / 1000, out)
+        next_ = [] if again is None else [int(again * 1000) + 1]
+        self.saved(over=again is None)
+        next_ += [(s + 1) * 1000 for s in seconds[len(ready) : len(ready) + 1]]
+        for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if closed:
-            self.state.clear()
-        else:
-            self.state.update((text, began, last, seq))
-            wait = self.rules.gap if text else min(self.rules.idle, self.expires)
-            self.handle.registerTimer(int((last + wait) * 1000) + 1)
-        yield self._frames(out)
+        if next_:
+            self.handle.registerTimer(max(min(next_), now + 1))
+        yield self._rows(key, out)
+
+    def _rows(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
+        pdf = pd.DataFrame([(key[0], *r) for r in out], columns=["stream_id", *self.names])
+        out.clear()
+        return pdf
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            self._wait(pdf)
+        yield from self._advanced(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        text, began, _, seq = self.state.get() if self.state.exists() else ("", -1.0, -1.0, -1)
-        self.state.clear()
-        out = [(key[0], seq, "final", text)] if text else []
-        if began >= 0:
-            out.append((key[0], seq, "endpoint", None))
-        yield self._frames(out)
+        yield from self._advanced(key, timerValues)
 
     def close(self) -> None:
         pass
 
 
+class Session(InOrder):
+    """A stream of recognized frames: audio, reset, close.
+
+    A change of the recognized text gives a `partial`. Silence of `gap` seconds after the last
+    frame of an utterance with a text (`idle` without one; `expires` where that is no end) or an
+    utterance of `longest` seconds gives a `final` (if there is a text) and an `endpoint`, both with
+    the seq of the utterance's last frame. A reset forgets the utterance; a close ends the stream:
+    its open partial is lost and its state goes.
+    """
+
+    schema = pa.schema([("us", pa.int64()), ("seq", pa.int64()), ("type", pa.string()), ("text", pa.string())])
+    names = ["seq", "type", "text"]
+
+    def __init__(self, gap: float, longest: float, idle: float = math.inf, expires: float = 3600.0) -> None:
+        self.rules = Rules(gap, longest, idle if math.isfinite(idle) else expires)
+
+    def opened(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("utterance", "text string, began double, last double, seq long")
+
+    def loaded(self) -> None:
+        self.text, self.began, self.last, self.seq = self.state.get() if self.state.exists() else ("", -1.0, -1.0, -1)
+
+    def _end(self, out: list[tuple]) -> None:
+        if self.text:
+            out.append((self.seq, "final", self.text))
+        out.append((self.seq, "endpoint", None))
+        self.text, self.began = "", -1.0
+
+    def take(self, frame: tuple, out: list[tuple]) -> None:
+        us, seq, kind, said = frame
+        at = us / 1e6
+        if self.began >= 0 and self.rules.silent(at - self.last, bool(self.text)):
+            self._end(out)
+        self.last, self.seq = at, seq
+        if kind in ("reset", "close"):
+            self.text, self.began = "", -1.0
+            return
+        if self.began < 0:
+            self.began = at
+        if said and said != self.text:
+            self.text = said
+            out.append((seq, "partial", said))
+        if at - self.began >= self.rules.longest:
+            self._end(out)
+
+    def quiet(self, now: float, out: list[tuple]) -> float | None:
+        if self.began >= 0 and self.rules.silent(now - self.last, bool(self.text)):
+            self._end(out)
+        return None if self.began < 0 else self.last + (self.rules.gap if self.text else self.rules.idle)
+
+    def saved(self, over: bool) -> None:
+        if not over:
+            self.state.update((self.text, self.began, self.last, self.seq))
+        elif self.state.exists():
+            self.state.clear()
+
+
+class Hearing(InOrder):
+    """A stream of PCM frames through a recognizer: audio, reset, close.
+
+    Samples are decoded in the recognizer's chunks wherever frames end, so partials, finals and
+    endpoints don't hang on how the stream was cut; each carries the number of its chunk since the
+    stream began. Silence and length count heard chunks. Between batches the state is less than a chunk of
+    samples and what the recognizer remembers. A stream without a frame for `expires` seconds is over.
+    """
+
+    schema = pa.schema([("us", pa.int64()), ("seq", pa.int64()), ("type", pa.string()), ("pcm", pa.list_(pa.int16()))])
+    names = ["chunk", "type", "text"]
+
+    def __init__(self, recognizer: str, rules: Rules, expires: float = 3600.0) -> None:
+        self.factory, self.rules, self.expires = RECOGNIZERS[recognizer], rules, expires
+        self.model = None
+
+    def opened(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("hearing", "rest binary, memory binary, text string, heard long, silent long, length long, last double")
+        self.model = self.factory()
+
+    def loaded(self) -> None:
+        rest, self.memory, self.text, self.heard, self.silent, self.length, self.last = self.state.get() if self.state.exists() else (b"", self.model.fresh(), "", 0, 0, 0, -1.0)
+        self.rest = [bytes(rest)]
+        self.memory = bytes(self.memory)
+
+    def _anew(self) -> None:
+        self.memory, self.text, self.silent, self.length = self.model.fresh(), "", 0, 0
+
+    def take(self, frame: tuple, out: list[tuple]) -> None:
+        us, _, kind, pcm = frame
+        self.last = us / 1e6
+        if kind in ("reset", "close"):
+            self.rest = []
+            self._anew()
+            if kind == "close":
+                self.heard, self.last = 0, -1.0
+            return
+        self.rest.append(pa.array(pcm or [], pa.int16()).to_numpy().tobytes())
+        whole, size = b"".join(self.rest), 2 * self.model.chunk
+        for at in range(0, len(whole) - size + 1, size):
+            self.memory, text, speech = self.model.decode(self.memory, whole[at : at + size])
+            self.silent, self.length = 0 if speech else self.silent + 1, self.length + 1
+            if text and text != self.text:
+                self.text = text
+                out.append((self.heard, "partial", text))
+            pause, length = (n * self.model.seconds for n in (self.silent, self.length))
+            if pause >= (self.rules.gap if self.text else self.rules.idle) - 1e-9 or length >= self.rules.longest - 1e-9:
+                if self.text:
+                    out.append((self.heard, "final", self.text))
+                out.append((self.heard, "endpoint", None))
+                self._anew()
+            self.heard += 1
+        self.rest = [whole[len(whole) - len(whole) % size :]]
+
+    def quiet(self, now: float, out: list[tuple]) -> float | None:
+        return None if self.last < 0 or now - self.last > self.expires else self.last + self.expires
+
+    def saved(self, over: bool) -> None:
+        if not over:
+            self.state.update((b"".join(self.rest), self.memory, self.text, self.heard, self.silent, self.length, self.last))
+        elif self.state.exists():
+            self.state.clear()
+
+
+def _by_stream(frames: DataFrame, what: str, processor: InOrder, output: str, late: float) -> DataFrame:
+    known = frames.where("stream_id is not null and ts is not null").withWatermark("ts", f"{late:g} seconds")
+    rows = known.select("stream_id", "ts", F.unix_micros("ts").alias("us"), "seq", "type", what)
+    return rows.groupBy("stream_id").transformWithStateInPandas(processor, output, "Append", "EventTime")
+
+
 def sessions(frames: DataFrame, gap: float, longest: float, idle: float = math.inf, expires: float = 3600.0, late: float = 60.0) -> DataFrame:
-    """Server frames of a stream of client frames (stream_id, ts, seq, type, text), which come up to `late` seconds late."""
-    marked = frames.withWatermark("ts", f"{late:g} seconds")
-    return marked.groupBy("stream_id").transformWithStateInPandas(Session(gap, longest, idle, expires), OUTPUT, "Append", "EventTime")
+    """Server frames of a stream of client frames (stream_id, ts, seq, type, text), which come up to `late` seconds late, in any order.
+
+    Needs the session's state store provider to be RocksDB. Rows without stream_id or ts are left out.
+    """
+    return _by_stream(frames, "text", Session(gap, longest, idle, expires), OUTPUT, late)
+
+
+def heard(frames: DataFrame, recognizer: str, rules: Rules = Rules(0.8, 20.0, 2.4), expires: float = 3600.0, late: float = 60.0) -> DataFrame:
+    """Server frames of a stream of PCM frames (stream_id, ts, seq, type, pcm: 16-bit samples), which come up to `late` seconds late, in any order.
+
+    Needs the session's state store provider to be RocksDB. Rows without stream_id or ts are left
+    out; a null pcm is an empty one.
+    """
+    return _by_stream(frames, "pcm", Hearing(recognizer, rules, expires), HEARD, late)
+
+
+def run_now(result: DataFrame, home: str) -> None:
+    """Runs a streaming result over all that is there, into Parquet under home/out."""
+    result.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()

@@ -1,16 +1,12 @@
-"""Mixdown and sessions of a user with most of the events."""
+"""Mixdown of a user with most of the events."""
 
 from __future__ import annotations
 
 import datetime as dt
 import random
-import weakref
 from collections import defaultdict
 
-import pandas as pd
-
 from glintframe.plans import all_queries
-from glintframe.streaming import stt
 
 START = dt.datetime(2024, 1, 1)
 
@@ -30,59 +26,3 @@ def test_mixdown_of_a_heavy_user(spark, tmp_path):
     df = all_queries.QUERIES["mono_mixdown"](spark, str(tmp_path))
     assert {(r.user_id, r.i): r.x for r in df.collect()} == want
     assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
-
-
-class State:
-    value = None
-
-    def exists(self):
-        return self.value is not None
-
-    def get(self):
-        return self.value
-
-    def update(self, value):
-        self.value = value
-
-
-class Handle:
-    def listTimers(self):
-        return iter(())
-
-    def registerTimer(self, at):
-        pass
-
-
-def served(frames, size):
-    """A session's output over pieces of `size` frames, and the most pieces that were alive at once."""
-    session = stt.Session(20, 100)
-    session.state, session.handle = State(), Handle()
-    alive, most = [], 0
-
-    def pieces():
-        nonlocal most
-        for at in range(0, len(frames), size):
-            pdf = pd.DataFrame(frames[at : at + size], columns=["stream_id", "ts", "seq", "type", "text"])
-            alive.append(weakref.ref(pdf))
-            most = max(most, sum(r() is not None for r in alive))
-            yield pdf
-            del pdf
-
-    out = [tuple(r) for pdf in session.handleInputRows((1,), pieces(), session.handle) for r in pdf.itertuples(index=False)]
-    return out, session.state.value, most
-
-
-def test_sessions_hold_bounded_pieces(monkeypatch):
-    rng = random.Random(2)
-    at, frames = 0.0, []
-    for k in range(4000):
-        at += rng.choice([1, 2, 30])
-        frames.append((1, pd.Timestamp(START) + pd.Timedelta(seconds=at), k, rng.choice(["audio"] * 8 + ["reset"]), rng.choice(["a", "b", None])))
-    whole, state, _ = served(frames, len(frames))
-    mixed = frames[:]
-    rng.shuffle(mixed)
-    monkeypatch.setattr(stt, "HELD", 100)
-    monkeypatch.setattr(stt, "GIVEN", 50)
-    out, last, most = served(mixed, 40)
-    assert out == whole and last == state
-    assert most <= 2
