@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.sources.images import given, image_of
+from glintframe.sources.images import as_text, from_text, given, image_of
 
 #: Digits to which sums are rounded before they become whole, so that halves don't hang on the order of adding.
 DIGITS = 9
@@ -152,9 +152,9 @@ def prepared(pictures: DataFrame, model: str, key: str = "path") -> DataFrame:
 
         yield from given(rows(), schema, lambda r: len(r[4] or b""))
 
-    rows = pictures.select(F.col(key).cast("string").alias("key"), "width", "height", "pixels")
+    rows = pictures.select(as_text(F.col(key), kind).alias("key"), "width", "height", "pixels")
     out = rows.mapInArrow(run, "key string, width int, height int, scale double, tensor binary")
-    return out.select(F.col("key").cast(kind).alias(key), "width", "height", "scale", "tensor")
+    return out.select(from_text(F.col("key"), kind).alias(key), "width", "height", "scale", "tensor")
 
 
 def to_quad(width: float, height: float, corners: np.ndarray) -> np.ndarray | None:
@@ -214,11 +214,12 @@ def per_picture(pictures: DataFrame, parts: DataFrame, columns: list[str], one:
     A picture's parts meet it in lists of about `most`, so a picture with very many is in several
     tasks. Pictures without pixels or parts, and parts without a picture, give no rows.
     """
+    kind = pictures.schema[key].dataType
     counts = parts.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count("*") / most).alias("lists"))
     listed = parts.join(counts, key).withColumn("list", F.pmod(F.xxhash64("part"), F.col("lists")))
     listed = listed.groupBy(key, "list").agg(F.array_sort(F.collect_list(F.struct("part", *columns))).alias("parts"))
     own = pictures.where("pixels is not null").select(key, F.col("width").alias("w"), F.col("height").alias("h"), "pixels")
-    met = own.join(listed, key).select(F.col(key).cast("string").alias("key"), "w", "h", "pixels", "parts")
+    met = own.join(listed, key).select(as_text(F.col(key), kind).alias("key"), "w", "h", "pixels", "parts")
     schema = pa.schema([("key", pa.string()), ("part", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +235,7 @@ def per_picture(pictures: DataFrame, parts: DataFrame, columns: list[str], one:
         yield from given(rows(), schema, lambda r: len(r[4] or b""))
 
     out = met.mapInArrow(run, "key string, part long, width int, height int, pixels binary")
-    return out.select(F.col("key").cast(pictures.schema[key].dataType).alias(key), "part", "width", "height", "pixels")
+    return out.select(from_text(F.col("key"), kind).alias(key), "part", "width", "height", "pixels")
 
 
 CORNERS = [f"{c}{i}" for i in range(4) for c in "xy"]

@@ -7,9 +7,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintframe.sources.images import as_text, from_text
+
 
 class Scorer(Protocol):
     """What a model offers: rows out for a batch of blobs. `schema` names its columns besides the key."""
@@ -19,6 +22,14 @@ class Scorer(Protocol):
     def score(self, content: pd.Series) -> list[list[tuple]]: ...
 
 
+class BatchScorer(Protocol):
+    """A model over tensors: n x 3 x height x width of float32, of which the first widths[i] columns are the i-th's own; rows out for each."""
+
+    schema: str
+
+    def score_batch(self, x: np.ndarray, widths: list[int]) -> list[list[tuple]]: ...
+
+
 _FACTORIES: dict[str, Callable[[], Scorer]] = {}
 _open: dict[str, Scorer] = {}
 
@@ -89,6 +100,95 @@ def by_image(crops: DataFrame, name: str) -> DataFrame:
     return listed.mapInPandas(score, f"image_id long, box_id int, {schema}")
 
 
+#: Bytes of tensors that a task holds before it calls the model, about, and most tensors of a call.
+HELD, BATCH = 64 << 20, 32
+
+
+def width_of(width: int, step: int = 64) -> int:
+    """The width that a tensor is filled up to: a multiple of step, so that few widths are left."""
+    return -(-width // step) * step
+
+
+def packs(shapes: list[tuple[int, int]], batch: int, step: int) -> list[list[int]]:
+    """Positions that go into one call each: tensors of one height and one filled-up width, in their order, at most `batch`."""
+    buckets: dict[tuple[int, int], list[int]] = {}
+    for i, (width, height) in enumerate(shapes):
+        buckets.setdefault((height, width_of(width, step)), []).append(i)
+    return [b[at : at + batch] for b in buckets.values() for at in range(0, len(b), batch)]
+
+
+def batched(tensors: DataFrame, name: str, key: str = "path", batch: int = BATCH, step: int = 64, profile: ResourceProfile | None = None) -> DataFrame:
+    """key and the model's columns of tensors (key, width, height, tensor: three channels of float32), many of them in a call, whatever picture they are of.
+
+    A task holds about HELD bytes of tensors. Those of one height whose widths fill up to the same
+    multiple of `step` go in calls of at most `batch`, filled with zeros; n tensors of b such
+    sizes take at most n / batch + b calls. Rows come in the order of the tensors. A null tensor
+    gives no rows. profile: resources that the stage asks for, as a GPU.
+    """
+    if name not in _FACTORIES:
+        raise KeyError(f"unknown model {name}; known: {', '.join(sorted(_FACTORIES))}")
+    factory = _FACTORIES[name]
+    schema, kind = factory().schema, tensors.schema[key].dataType
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _open.setdefault(name, factory())
+
+        def scored(held: list[tuple]) -> pd.DataFrame:
+            found: list[list[tuple]] = [[]] * len(held)
+            for pack in packs([(w, h) for _, w, h, _ in held], batch, step):
+                height = held[pack[0]][2]
+                wide = np.zeros((len(pack), 3, height, width_of(held[pack[0]][1], step)), np.float32)
+                for row, i in zip(wide, pack, strict=True):
+                    row[:, :, : held[i][1]] = np.frombuffer(held[i][3], np.float32).reshape(3, height, held[i][1])
+                for i, rows in zip(pack, model.score_batch(wide, [held[i][1] for i in pack]), strict=True):
+                    found[i] = rows
+            return pd.DataFrame([(k, *r) for (k, *_), rows in zip(held, found, strict=True) for r in rows], columns=["key", *names])
+
+        held, total = [], 0
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                held.append(row)
+                total += len(row[3])
+                if total >= HELD:
+                    yield scored(held)
+                    held, total = [], 0
+            del pdf
+        if held:
+            yield scored(held)
+
+    rows = tensors.where("tensor is not null").select(as_text(F.col(key), kind).alias("key"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "tensor")
+    out = rows.mapInPandas(run, f"key string, {schema}", profile=profile)
+    return out.select(from_text(F.col("key"), kind).alias(key), *names)
+
+
+class Linear:
+    """A model without training: weighted sums of a tensor, the weights by a rule from channel, row, column and output; filled-up columns add nothing."""
+
+    def __init__(self, outputs: int = 2) -> None:
+        self.outputs, self.schema = outputs, ", ".join(f"y{o} double" for o in range(outputs))
+
+    def score_batch(self, x: np.ndarray, widths: list[int]) -> list[list[tuple]]:
+        o, c, h, w = np.ogrid[: self.outputs, : x.shape[1], : x.shape[2], : x.shape[3]]
+        weights = ((c * 31 + h * 17 + w * 7 + o * 13) % 29 - 14) / 29
+        return [[tuple(r)] for r in np.einsum("nchw,ochw->no", x.astype(np.float64), weights).tolist()]
+
+
+class Bright:
+    """A detector without training: the probability of text in each pixel is how bright it is."""
+
+    schema = "wide int, prob binary"
+
+    def score_batch(self, x: np.ndarray, widths: list[int]) -> list[list[tuple]]:
+        from glintframe.operators.pixels import PREPS
+
+        prep = PREPS["detector"]
+        mean, deviation = (np.array(v)[:, None, None] for v in (prep.mean, prep.deviation))
+        light = (x * deviation + mean).mean(1)
+        light[(x == 0).all(1)] = 0  # filled up, not a picture's pixel
+        return [[(w, np.ascontiguousarray(p[:, :w], np.float32).tobytes())] for p, w in zip(light, widths, strict=True)]
+
+
 class Stub:
     """A stand-in without weights: length and first byte of a blob."""
 
@@ -114,6 +214,8 @@ class Rows:
         return [(float(t), wide.shape[1]) for t in wide.sum(1)]
 
 
+register("linear", Linear)
+register("bright", Bright)
 register("stub", Stub)
 register("stub-last", Last)
 register("stub-rows", Rows)

@@ -9,27 +9,30 @@ from pyspark.sql import functions as F
 
 from glintframe.operators import grid as G
 from glintframe.operators import scorer
+from glintframe.operators.pixels import prepared
 from glintframe.plans.registry import query
+from glintframe.sources.images import text_pictures
 from glintframe.sources.tables import BOXES_SQL, boxes, shared_folder, table
 
-IMAGES, WIDTH, HEIGHT = 20, 16, 12
-_GRID = f"""grid AS (SELECT CAST(i AS BIGINT) AS image_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, ((x * x * 3 + y * y * 5 + i * 7 + x * y) % 17) / 17.0::DOUBLE * 0.45 AS prob
-  FROM range({IMAGES}) a(i), range({WIDTH}) b(x), range({HEIGHT}) c(y)), white AS (SELECT image_id, x, y FROM grid WHERE prob > 0.3)"""
+#: A vector's entries, by size, are a probability map.
+WIDTH, HEIGHT = 8, 8
+_GRID = f"""grid AS (SELECT vec_id AS image_id, CAST(i % {WIDTH} AS INTEGER) AS x, CAST(i // {WIDTH} AS INTEGER) AS y, least(abs(CAST(embedding[i + 1] AS DOUBLE)) * 3, 1.0::DOUBLE) AS prob
+  FROM (SELECT vec_id, embedding, unnest(range({WIDTH * HEIGHT})) AS i FROM embeddings)), white AS (SELECT image_id, x, y FROM grid WHERE prob > 0.3)"""
 
 
-def _grid(spark: SparkSession) -> DataFrame:
-    cells = spark.range(IMAGES * WIDTH * HEIGHT).selectExpr(f"id div {WIDTH * HEIGHT} as image_id", f"cast(id % {WIDTH} as int) as x", f"cast(id div {WIDTH} % {HEIGHT} as int) as y")
-    return cells.withColumn("prob", F.expr("((x * x * 3 + y * y * 5 + image_id * 7 + x * y) % 17) / 17D * 0.45D"))
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode(F.slice("embedding", 1, WIDTH * HEIGHT)).alias("i", "v"))
+    return cells.selectExpr("image_id", f"i % {WIDTH} as x", f"cast(i div {WIDTH} as int) as y", "least(abs(cast(v as double)) * 3, 1D) as prob")
 
 
-def _white(spark: SparkSession) -> DataFrame:
-    return _grid(spark).where("prob > 0.3").select("image_id", "x", "y")
+def _white(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid(spark, sf_dir).where("prob > 0.3").select("image_id", "x", "y")
 
 
 @query(f"""WITH {_GRID}, d1 AS (SELECT * FROM white UNION SELECT image_id, x + dx, y + dy FROM white, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy) WHERE x + dx BETWEEN 1 AND {WIDTH - 2} AND y + dy BETWEEN 1 AND {HEIGHT - 2}),
 d2 AS (SELECT * FROM d1 UNION SELECT image_id, x + dx, y + dy FROM d1, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy) WHERE x + dx BETWEEN 1 AND {WIDTH - 2} AND y + dy BETWEEN 1 AND {HEIGHT - 2}) SELECT image_id, x, y FROM d2""")
 def binarize_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.dilated(_white(spark), WIDTH, HEIGHT)
+    return G.dilated(_white(spark, sf_dir), WIDTH, HEIGHT)
 
 
 @query(f"""WITH RECURSIVE {_GRID}, reach(image_id, x, y, rx, ry) AS (SELECT image_id, x, y, x, y FROM white UNION
@@ -38,21 +41,21 @@ root AS (SELECT image_id, x, y, min(ry * {WIDTH} + rx) AS c FROM reach GROUP BY
 g AS (SELECT r.image_id, r.c, min(r.x) AS x, min(r.y) AS y, max(r.x) - min(r.x) + 1 AS w, max(r.y) - min(r.y) + 1 AS h, count(*) AS area, avg(g.prob) AS score FROM root r JOIN grid g USING (image_id, x, y) GROUP BY r.image_id, r.c)
 SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY c) AS INTEGER) AS component, x, y, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h, area, round(score, 6) AS score, area >= 9 AND w >= 3 AND h >= 3 AND score >= 0.35 AS kept FROM g""")
 def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = G.components(_grid(spark))
+    found = G.components(_grid(spark, sf_dir))
     return found.withColumn("kept", F.expr("area >= 9 and w >= 3 and h >= 3 and score >= 0.35")).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {_GRID} SELECT w.image_id, w.x, w.y FROM white w WHERE (SELECT count(*) FROM white n WHERE n.image_id = w.image_id AND abs(n.x - w.x) + abs(n.y - w.y) = 1) < 4""")
 def hull_boundary_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White pixels with a neighbour that is not white: all that a hull needs."""
-    white = _white(spark)
+    white = _white(spark, sf_dir)
     sides = F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))))
     near = white.select("image_id", F.explode(sides).alias("p")).groupBy("image_id", "p.x", "p.y").agg(F.count("*").alias("n"))
     inner = near.where("n = 4")
     return white.join(inner, ["image_id", "x", "y"], "left_anti")
 
 
-_Q = [(3.2, 1.0), (13.0, 2.5), (12.0, 9.6), (2.0, 8.0)]
+_Q = [(1.2, 0.5), (6.5, 1.5), (6.0, 6.6), (1.0, 5.5)]
 _TURNS = [f"({b[0] - a[0]}::DOUBLE) * (y - {a[1]}::DOUBLE) - ({b[1] - a[1]}::DOUBLE) * (x - {a[0]}::DOUBLE)" for a, b in zip(_Q, [*_Q[1:], _Q[0]], strict=True)]
 
 
@@ -61,7 +64,7 @@ def point_in_quad_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean probability inside a quadrilateral, 0 without a pixel."""
     corners = [(F.lit(x), F.lit(y)) for x, y in _Q]
     inside = F.when(G.inside_quad(F.col("x"), F.col("y"), corners), F.col("prob"))
-    return _grid(spark).groupBy("image_id").agg(F.round(F.coalesce(F.avg(inside), F.lit(0.0)), 6).alias("score"))
+    return _grid(spark, sf_dir).groupBy("image_id").agg(F.round(F.coalesce(F.avg(inside), F.lit(0.0)), 6).alias("score"))
 
 
 @query(f"""WITH {_GRID}, s AS (SELECT image_id, x, y, least(greatest(x * 1.13::DOUBLE - 0.6, 0), {WIDTH - 1}) AS sx, least(greatest(y * 0.87::DOUBLE + 0.3, 0), {HEIGHT - 1}) AS sy FROM grid),
@@ -71,7 +74,7 @@ JOIN grid a ON a.image_id = f.image_id AND a.x = x0 AND a.y = y0 JOIN grid b ON
 JOIN grid c ON c.image_id = f.image_id AND c.x = x0 AND c.y = least(y0 + 1, {HEIGHT - 1}) JOIN grid d ON d.image_id = f.image_id AND d.x = least(x0 + 1, {WIDTH - 1}) AND d.y = least(y0 + 1, {HEIGHT - 1})""")
 def bilinear_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels between pixels, borders repeated; an image's map lies in one array, so nothing is joined."""
-    g = _grid(spark)
+    g = _grid(spark, sf_dir)
     maps = g.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "prob"))), lambda r: r["prob"]).alias("m"))
     s = maps.select("image_id", "m", F.explode(F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))).alias("i")).selectExpr("image_id", "m", f"i % {WIDTH} as x", f"i div {WIDTH} as y")
     clamp = lambda v, top: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(top)))
@@ -84,11 +87,11 @@ def bilinear_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.least(F.greatest(F.round(v * 255), F.lit(0)), F.lit(255)).cast("int").alias("v"))
 
 
-@query(f"WITH {_GRID}, l AS (SELECT image_id, avg(255 * prob) AS m FROM grid GROUP BY image_id) SELECT image_id, round(m, 6) AS luma, m < 55 AS inverted FROM l")
+@query(f"WITH {_GRID}, l AS (SELECT image_id, avg(255 * prob) AS m FROM grid GROUP BY image_id) SELECT image_id, round(m, 6) AS luma, m < 75 AS inverted FROM l")
 def mean_luminance_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dark crops are inverted before recognition."""
-    m = _grid(spark).groupBy("image_id").agg(F.avg(F.col("prob") * 255).alias("m"))
-    return m.select("image_id", F.round("m", 6).alias("luma"), (F.col("m") < 55).alias("inverted"))
+    m = _grid(spark, sf_dir).groupBy("image_id").agg(F.avg(F.col("prob") * 255).alias("m"))
+    return m.select("image_id", F.round("m", 6).alias("luma"), (F.col("m") < 75).alias("inverted"))
 
 
 def _per_image(spark: SparkSession, sf_dir: str, one, schema: str) -> DataFrame:
@@ -147,24 +150,7 @@ def perspective_coeffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_box_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.text_boxes(_grid(spark).withColumn("prob", F.least(F.col("prob") * 2, F.lit(1.0))), WIDTH, HEIGHT, 2.0)
-
-
-@query()
-def rotated_box_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turned boxes of components: hull, tight rectangle, score inside it, growth, limits, the picture's scale. Each image has a bar, turned by its number."""
-    width, height = 64, 48
-    cells = spark.range(IMAGES * width * height).selectExpr(f"id div {width * height} as image_id", f"cast(id % {width} as int) as x", f"cast(id div {width} % {height} as int) as y", f"(id div {width * height}) % 5 * 0.2D as turn")
-    bar = F.expr("abs((x - 32) + turn * (y - 24)) <= 9 and abs((y - 24) - turn * (x - 32)) <= 5")
-    cells = cells.select("image_id", "x", "y", F.when(bar, 0.9).otherwise(0.05).alias("prob"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        prob = np.zeros((height, width))
-        prob[pdf["y"], pdf["x"]] = pdf["prob"]
-        rows = [(pdf["image_id"].iloc[0], *r) for r in G.turned_boxes(prob, 2.0)]
-        return pd.DataFrame(rows, columns=["image_id", "component", "cx", "cy", "w", "h", "angle", "score"])
-
-    return cells.groupBy("image_id").applyInPandas(one, "image_id long, component int, cx double, cy double, w double, h double, angle double, score double")
+    return G.text_boxes(_grid(spark, sf_dir).withColumn("prob", F.least(F.col("prob") * 2, F.lit(1.0))), WIDTH, HEIGHT, 2.0)
 
 
 @query()
@@ -173,50 +159,18 @@ def sharpest_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_image(spark, sf_dir, G.sharpest, "n int, x double, y double")
 
 
-def _resized(image: np.ndarray, size: int, axis: int) -> np.ndarray:
-    """The image with `size` rows (axis 0) or columns (axis 1): means of bands where it shrinks, nearest neighbours where it grows; all of it takes part."""
-    have = image.shape[axis]
-    if have > size:
-        start = np.arange(size) * have // size
-        band = np.diff(np.append(start, have)).reshape((-1, 1, 1) if axis == 0 else (1, -1, 1))
-        return np.add.reduceat(image, start, axis=axis, dtype=np.float64) / band
-    return np.take(image, np.minimum((np.arange(size) + 0.5) * have / size, have - 1).astype(int), axis=axis)
-
-
-def _normalized(image: np.ndarray, width: int, height: int, mean, std) -> np.ndarray:
-    """Resize to width x height and per-channel normalization."""
-    return (_resized(_resized(image, height, 0), width, 1) / 255.0 - np.array(mean)) / np.array(std)
-
-
-def _image(content: bytes) -> np.ndarray:
-    """All bytes as rows of 32 RGB pixels; the last row is padded with zeros."""
-    rows = max(1, -(-len(content) // 96))
-    return np.frombuffer(content.ljust(rows * 96, b"\0"), np.uint8).reshape(rows, 32, 3)
-
-
-# Input sizes, means and deviations of the detector, orientation classifier and image encoder.
-_PREP = {
-    "detector": (32, 32, (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)),
-    "orientation": (192, 48, (0.5, 0.5, 0.5), (0.5, 0.5, 0.5)),
-    "encoder": (224, 224, (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711)),
-}
-
-
 @query()
 def image_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of prepared tensors of images made from document bytes; an image is as tall as its document is long."""
+    """Means of the models' tensors of pictures made from document bytes; a picture is as tall as its document is long."""
 
-    def prep(batches):
+    def means(batches):
         for pdf in batches:
-            rows = []
-            for key, content in zip(pdf["doc_id"], pdf["content"], strict=True):
-                image = _image(bytes(content))
-                for name, (w, h, mean, std) in _PREP.items():
-                    rows.append((key, name, w, h, round(float(_normalized(image, w, h, mean, std).mean()), 6)))
-            yield pd.DataFrame(rows, columns=["doc_id", "model", "w", "h", "mean"])
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    return docs.mapInPandas(prep, "doc_id long, model string, w int, h int, mean double")
+            rows = [(key, w, h, round(float(np.frombuffer(t, np.float32).mean(dtype=np.float64)), 6)) for key, w, h, t in zip(pdf["doc_id"], pdf["width"], pdf["height"], pdf["tensor"], strict=True)]
+            yield pd.DataFrame(rows, columns=["doc_id", "w", "h", "mean"])
+
+    pictures = text_pictures(table(spark, sf_dir, "documents"))
+    each = [prepared(pictures, m, "doc_id").mapInPandas(means, "doc_id long, w int, h int, mean double").select("doc_id", F.lit(m).alias("model"), "w", "h", "mean") for m in ("detector", "orientation", "encoder")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("SELECT label, vec_id, CAST(len(embedding) AS INTEGER) AS dims, (SELECT md5(string_agg(concat(label, ':', vec_id), ';' ORDER BY label, vec_id)) FROM embeddings WHERE vec_id < 100) AS fingerprint FROM embeddings WHERE vec_id < 100")

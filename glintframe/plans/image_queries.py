@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintframe.operators import pixels as P
+from glintframe.operators.ocr import detected
+from glintframe.operators.scorer import batched
 from glintframe.plans.registry import query
 from glintframe.sources import images as I
 from glintframe.sources.tables import BOXES_SQL, boxes, table
@@ -50,12 +52,14 @@ def _taps_sql(have: str, want: int, sizes: str) -> str:
         SELECT have, i, greatest(0, least(have - 1, CAST(floor((i + 0.5::DOUBLE) * have / {want} - {reach}) AS BIGINT))) AS lo FROM (SELECT DISTINCT {have} AS have FROM {sizes}), range({want}) r(i)))))"""
 
 
-@query(f"""WITH {PICTURES_SQL}, v AS (SELECT doc_id, height, y, c, CAST('0x' || substr(hx, CAST((y * {3 * WIDE} + c) * 2 + 1 AS BIGINT), 2) AS INTEGER) AS v
+_SMALL_SQL = f"""{PICTURES_SQL}, v AS (SELECT doc_id, height, y, c, CAST('0x' || substr(hx, CAST((y * {3 * WIDE} + c) * 2 + 1 AS BIGINT), 2) AS INTEGER) AS v
   FROM (SELECT *, unnest(range({3 * WIDE})) AS c FROM (SELECT *, unnest(range(height)) AS y FROM pictures))),
 down AS {_taps_sql("height", SIDE_H, "pictures")}, across AS {_taps_sql("width", SIDE_W, "pictures")},
 t AS (SELECT doc_id, i AS y, c // 3 AS x, c % 3 AS channel, sum(weight * v) AS v FROM v JOIN down ON have = height AND spot = y GROUP BY ALL),
-s AS (SELECT doc_id, y, i AS x, channel, least(greatest(floor(round(sum(weight * v), 9) + 0.5), 0), 255) AS v FROM t JOIN across ON spot = x GROUP BY doc_id, y, i, channel)
-SELECT doc_id, CAST(channel AS INTEGER) AS channel, 32 AS w, 32 AS h, round(sum((v / 255 - [{', '.join(map(str, _MEAN))}][channel + 1]::DOUBLE) / [{', '.join(map(str, _DEVIATION))}][channel + 1]::DOUBLE) / 1024, 6) AS mean,
+s AS (SELECT doc_id, y, i AS x, channel, least(greatest(floor(round(sum(weight * v), 9) + 0.5), 0), 255) AS v FROM t JOIN across ON spot = x GROUP BY doc_id, y, i, channel)"""
+
+
+@query(f"""WITH {_SMALL_SQL} SELECT doc_id, CAST(channel AS INTEGER) AS channel, 32 AS w, 32 AS h, round(sum((v / 255 - [{', '.join(map(str, _MEAN))}][channel + 1]::DOUBLE) / [{', '.join(map(str, _DEVIATION))}][channel + 1]::DOUBLE) / 1024, 6) AS mean,
   md5(string_agg(printf('%02X', CAST(v AS INTEGER)), '' ORDER BY y, x)) AS digest FROM s GROUP BY doc_id, channel""")
 def image_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cubic resampling, padding to multiples of 32 and normalization: means of the tensor's channels, and its bytes turned back to pixels."""
@@ -123,7 +127,32 @@ def face_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Face boxes cut from each picture with a margin of 10, and the side of the face model's tensor; nulls where less than 2 pixels a side are left."""
     c = F.col
     faces = boxes(spark, sf_dir).select(c("image_id").alias("doc_id"), c("box_id").alias("part"), (c("x") % 52 - 10).alias("x"), (c("y") % 52 - 10).alias("y"), (c("w") % 16).alias("w"), (c("h") % 16).alias("h"))
-    crops = P.box_crops(pictures(spark, sf_dir), faces, 10, "doc_id").withColumn("key", F.struct("doc_id", "part"))
-    ready = P.prepared(crops.withColumn("path", F.to_json(F.struct("doc_id", "part", "width", "height", F.md5(F.hex("pixels")).alias("digest")))), "face")
-    back = F.from_json("path", "doc_id long, part int, width int, height int, digest string")
-    return ready.select(back.alias("r"), F.col("width").alias("tensor_side")).select("r.*", "tensor_side")
+    crops = P.box_crops(pictures(spark, sf_dir), faces, 10, "doc_id")
+    key = F.struct("doc_id", F.col("part").cast("int").alias("part"), "width", "height", F.md5(F.hex("pixels")).alias("digest"))
+    ready = P.prepared(crops.withColumn("crop", key), "face", "crop")
+    return ready.select("crop.*", F.col("width").alias("tensor_side"))
+
+
+_LINEAR = "((ch * 31 + y * 17 + x * 7 + {o} * 13) % 29 - 14) / 29.0::DOUBLE"
+
+
+@query(f"""WITH {_SMALL_SQL}, z AS (SELECT doc_id, y, x, channel AS ch, CAST(CAST((v / 255 - [{', '.join(map(str, _MEAN))}][channel + 1]::DOUBLE) / [{', '.join(map(str, _DEVIATION))}][channel + 1]::DOUBLE AS FLOAT) AS DOUBLE) AS v FROM s)
+SELECT doc_id, round(sum(v * {_LINEAR.format(o=0)}), 6) AS y0, round(sum(v * {_LINEAR.format(o=1)}), 6) AS y1 FROM z GROUP BY doc_id""")
+def scorer_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tensors of all pictures through a linear model, many pictures in a call."""
+    out = batched(P.prepared(pictures(spark, sf_dir), "thumbnail", "doc_id"), "linear", "doc_id")
+    return out.select("doc_id", F.round("y0", 6).alias("y0"), F.round("y1", 6).alias("y1"))
+
+
+@query()
+def rotated_box_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turned boxes of bright bars, one in each picture, through a detector called in batches; place, size and slope of the bar come from the document."""
+    wide, high = 96, 64
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n"))
+    docs = docs.select("doc_id", (40 + F.col("n") % 16).alias("cx"), (26 + F.col("n") % 12).alias("cy"), (8 + F.col("n") % 9).alias("half"), (F.col("n") % 7 * 0.15 - 0.45).alias("slope"))
+    x, y = (lambda i: i % wide), (lambda i: F.floor(i / wide))
+    bar = lambda i: (F.abs(x(i) - F.col("cx") + F.col("slope") * (y(i) - F.col("cy"))) <= F.col("half")) & (F.abs(y(i) - F.col("cy") - F.col("slope") * (x(i) - F.col("cx"))) <= 5)
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(wide * high - 1)), lambda i: F.when(bar(i), "E6E6E6").otherwise("0D0D0D")), "")
+    made = docs.select("doc_id", F.lit(wide).alias("width"), F.lit(high).alias("height"), F.unhex(digits).alias("pixels"))
+    found = detected(made, "bright", "doc_id")
+    return found.select("doc_id", F.col("part").cast("int").alias("part"), *(F.round(c, 3).alias(c) for c in P.CORNERS), F.round("angle", 4).alias("angle"), F.round("score", 4).alias("score"))

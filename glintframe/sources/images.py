@@ -15,8 +15,9 @@ from itertools import cycle, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Longest side that is decoded.
 LONGEST = 10_000
@@ -188,6 +189,15 @@ def to_png(pixels: np.ndarray, kinds: Iterable[int] | None = None) -> bytes:
     return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(data.tobytes())) + chunk(b"IEND", b"")
 
 
+def as_text(key: Column, kind: T.DataType) -> Column:
+    """A key as text, so that it takes any type through Python; a struct as JSON."""
+    return F.to_json(key) if isinstance(kind, T.StructType) else key.cast("string")
+
+
+def from_text(key: Column, kind: T.DataType) -> Column:
+    return F.from_json(key, kind) if isinstance(kind, T.StructType) else key.cast(kind)
+
+
 def given(rows: Iterable[tuple], schema: pa.Schema, size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
     """Rows as record batches of about GIVEN bytes."""
     held, total = [], 0
@@ -229,9 +239,9 @@ def decoded(blobs: DataFrame, key: str = "path", content: str = "content") -> Da
 
         yield from given(rows(), schema, lambda r: len(r[3] or b""))
 
-    rows = blobs.select(F.col(key).cast("string").alias("key"), F.col(content).cast("binary").alias("content"))
+    rows = blobs.select(as_text(F.col(key), kind).alias("key"), F.col(content).cast("binary").alias("content"))
     out = rows.mapInArrow(read, "key string, width int, height int, pixels binary, error string")
-    return out.select(F.col("key").cast(kind).alias(key), "width", "height", "pixels", "error")
+    return out.select(from_text(F.col("key"), kind).alias(key), "width", "height", "pixels", "error")
 
 
 def images(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -257,8 +267,8 @@ def encoded(pictures: DataFrame, key: str = "path", kinds: tuple[int, ...] | Non
 
         yield from given(rows(), schema, lambda r: len(r[1] or b""))
 
-    rows = pictures.select(F.col(key).cast("string").alias("key"), "width", "height", "pixels")
-    return rows.mapInArrow(write, "key string, content binary").select(F.col("key").cast(kind).alias(key), "content")
+    rows = pictures.select(as_text(F.col(key), kind).alias("key"), "width", "height", "pixels")
+    return rows.mapInArrow(write, "key string, content binary").select(from_text(F.col("key"), kind).alias(key), "content")
 
 
 def text_pictures(docs: DataFrame, width: int = 32) -> DataFrame:
