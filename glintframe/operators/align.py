@@ -10,6 +10,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class Aligned(difflib.SequenceMatcher):
+    """The standard matcher with its longest common block found in linear time, by a suffix automaton of the second text's part.
+
+    Of blocks of one length the first in the first text wins, then the first in the second: the standard one's own rule.
+    """
+
+    def find_longest_match(self, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None) -> difflib.Match:
+        a, b = self.a, self.b
+        ahi, bhi = len(a) if ahi is None else ahi, len(b) if bhi is None else bhi
+        if alo >= ahi or blo >= bhi:
+            return difflib.Match(alo, blo, 0)
+        if a[alo:ahi] == b[blo:bhi]:
+            return difflib.Match(alo, blo, ahi - alo)
+        # states of the automaton: transitions, longest text, link, end of the first occurrence
+        steps, longest, link, first = [{}], [0], [-1], [-1]
+        last = 0
+        for j in range(blo, bhi):
+            c, new = b[j], len(steps)
+            steps.append({})
+            longest.append(longest[last] + 1)
+            link.append(0)
+            first.append(j)
+            p, last = last, new
+            while p >= 0 and c not in steps[p]:
+                steps[p][c] = new
+                p = link[p]
+            if p < 0:
+                continue
+            q = steps[p][c]
+            if longest[p] + 1 == longest[q]:
+                link[new] = q
+                continue
+            split = len(steps)
+            steps.append(steps[q].copy())
+            longest.append(longest[p] + 1)
+            link.append(link[q])
+            first.append(first[q])
+            while p >= 0 and steps[p].get(c) == q:
+                steps[p][c] = split
+                p = link[p]
+            link[q] = link[new] = split
+        state = size = 0
+        best = (alo, blo, 0)
+        for i in range(alo, ahi):
+            c = a[i]
+            while state and c not in steps[state]:
+                state = link[state]
+                size = longest[state]
+            if c in steps[state]:
+                state, size = steps[state][c], size + 1
+            if size > best[2]:
+                best = (i - size + 1, first[state] - size + 1, size)
+        return difflib.Match(*best)
+
+
 def shares(length: int, weights: list[int]) -> list[int]:
     """length split by weights, halves rounded to even, the rest to the last."""
     total, out = sum(weights), []
@@ -35,7 +90,7 @@ def merge(blocks: list[str], plain: str) -> list[str]:
         cut = [(k, max(a, s), min(b, e)) for k, (s, e) in enumerate(zip(starts, ends, strict=True))]
         return [x for x in cut if x[1] < x[2]]
 
-    for kind, a, b, c, d in difflib.SequenceMatcher(None, "\n".join(own), plain, autojunk=False).get_opcodes():
+    for kind, a, b, c, d in Aligned(None, "\n".join(own), plain, autojunk=False).get_opcodes():
         piece = plain[c:d]
         met = overlaps(a, b)
         if kind == "equal":

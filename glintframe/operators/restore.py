@@ -12,11 +12,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintframe.functions import text as X
-from glintframe.operators.segment import costs, segment
+from glintframe.operators.segment import Splitter, trie
 
 # Least frequency of a word that corrects another; letters of a word that is corrected; letters of a run that is not split.
 LEAST, SHORTEST, LONGEST, RUN = 5e-7, 5, 20, 7
@@ -35,12 +35,12 @@ def ranked(words: DataFrame) -> list[str]:
     return words.orderBy(F.desc("freq"), "word").select("word").toArrow().column("word").to_pylist()
 
 
-def split_runs(text: str, cost: dict[str, float], longest: int) -> str:
+def split_runs(text: str, words: Splitter) -> str:
     """The text with runs of more than RUN letters and apostrophes split into words; letters keep their case."""
 
     def one(m: re.Match) -> str:
         run, out, at = m[0], [], 0
-        for piece in segment(run.lower(), cost, longest):
+        for piece in words.split(run.lower()):
             out.append(run[at : at + len(piece)])
             at += len(piece)
         return " ".join(out)
@@ -48,13 +48,15 @@ def split_runs(text: str, cost: dict[str, float], longest: int) -> str:
     return re.sub(rf"[a-zA-Z']{{{RUN + 1},}}", one, text)
 
 
-def run_splitter(words: list[str]):
-    cost, longest = costs(words), max(map(len, words), default=1)
+def run_splitter(spark: SparkSession, words: list[str]):
+    """A Column function that splits the runs of texts; the words go out once, as a broadcast trie."""
+    sent = spark.sparkContext.broadcast(trie(words))
 
     @F.pandas_udf("string")
     def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Splitter(sent.value)
         for series in texts:
-            yield series.map(lambda t: None if t is None else split_runs(t, cost, longest))
+            yield series.map(lambda t: None if t is None else split_runs(t, known))
 
     return split
 
@@ -109,7 +111,7 @@ def restored(texts: DataFrame, words: DataFrame) -> DataFrame:
     Short or well-spaced texts are only spelled; mostly CJK ones stay as they are. A null text stays null.
     """
     gate = texts.withColumn("gate", X.space_gate(F.col("text")))
-    mended = run_splitter(ranked(words))(X.spaced(F.col("text")))
+    mended = run_splitter(texts.sparkSession, ranked(words))(X.spaced(F.col("text")))
     spaced = gate.select("id", "gate", F.when(F.col("gate") == "mend", mended).otherwise(F.col("text")).alias("text"))
     kept = spaced.where("gate = 'keep' or gate is null").select("id", "text")
     return spelled(spaced.where("gate != 'keep'").select("id", "text"), words).unionByName(kept)

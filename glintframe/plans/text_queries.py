@@ -9,6 +9,7 @@ from glintframe.functions import text as X
 from glintframe.operators import restore as R
 from glintframe.operators import wordpiece as W
 from glintframe.plans.registry import query
+from glintframe.sources.lines import framed, numbered
 from glintframe.sources.tables import literal, table
 
 # Characters that the tables lack, put around every text.
@@ -69,20 +70,21 @@ def _vocab(spark: SparkSession) -> DataFrame:
     return W.vocabulary(literal(spark, "id, line", _VOCAB))
 
 
-@query(f"WITH {_VOCAB_SQL} SELECT token, CAST(id AS INTEGER) AS id FROM vocab")
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
+v AS (SELECT row_number() OVER (ORDER BY doc_id, n) - 1 AS id, trim(line) AS token FROM l) SELECT md5(token) AS token, max(id) AS id FROM v WHERE token <> '' GROUP BY token""")
 def vocab_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vocab(spark)
+    """The lines of all documents as a vocabulary: every line takes an id, blank ones too, and the last of equal ones keeps its own."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = numbered(rows, "doc_id", "n").select(F.col("number").alias("id"), "line")
+    return W.vocabulary(lines).select(F.md5("token").alias("token"), "id")
 
 
-_CHARSET = ["a", "　", "b", " ", "é"]
-
-
-@query("SELECT idx, chr FROM (VALUES (0, ''), (1, 'a'), (2, chr(12288)), (3, 'b'), (4, ' '), (5, 'é'), (6, ' ')) AS t(idx, chr)")
+@query("""WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS chr FROM documents), n AS (SELECT row_number() OVER (ORDER BY chr) AS idx, chr FROM c WHERE chr NOT IN ('', chr(10)))
+SELECT 0 AS idx, '' AS chr UNION ALL SELECT * FROM n UNION ALL SELECT count(*) + 1, ' ' FROM n""")
 def ctc_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recognizer's dictionary: blank at 0, lines as they are (not trimmed), a space at the end."""
-    lines = literal(spark, "n, line", list(enumerate(_CHARSET, 1)))
-    last = lines.agg((F.max("n") + 1).alias("n")).select("n", F.lit(" "))
-    return literal(spark, "n, line", [(0, "")]).union(lines).union(last).select(F.col("n").alias("idx"), F.col("line").alias("chr"))
+    """A recognizer's dictionary of the documents' characters: blank at 0, lines as they are (not trimmed), a space at the end."""
+    letters = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("chr")).where("chr not in ('', '\\n')").distinct()
+    return framed(numbered(letters, "chr").select((F.col("number") + 1).alias("idx"), "chr"))
 
 
 _PIECES_SQL = f"""{_VOCAB_SQL},
@@ -182,7 +184,7 @@ def word_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without their spaces, long runs of letters split into the likeliest words by the documents' word frequencies."""
     words = R.frequencies(table(spark, sf_dir, "documents"))
     runs = table(spark, sf_dir, "benchmark").select("item_id", F.replace("text", F.lit(" "), F.lit("")).alias("run"))
-    return runs.select("item_id", R.run_splitter(R.ranked(words))("run").alias("words"))
+    return runs.select("item_id", R.run_splitter(spark, R.ranked(words))("run").alias("words"))
 
 
 _MISREAD = "substr(tok, 1, 2) || 'q' || substr(tok, 4)"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-import random
 import struct
 
 import numpy as np
@@ -15,7 +13,6 @@ from glintframe.functions import text as X
 from glintframe.functions import vectors as V
 from glintframe.operators import align, classify, ctc, grid, layout, segment, wordpiece
 from glintframe.operators import boxes as B
-from glintframe.streaming.stt import Rules, Session, utterances
 
 
 def one(spark, column):
@@ -126,9 +123,10 @@ def test_gate_and_case(spark):
 
 
 def test_segment():
-    cost = segment.costs(["the", "water", "people"])
-    assert segment.segment("thewaterpeople", cost, 6) == ["the", "water", "people"]
-    assert segment.segment("zzthe", cost, 6) == ["zz", "the"]
+    known = segment.Splitter(segment.trie(["the", "water", "people"]))
+    assert known.split("thewaterpeople") == ["the", "water", "people"]
+    assert known.split("zzthe") == ["zz", "the"] and known.split("") == []
+    assert segment.Splitter(segment.trie([])).split("ab") == ["ab"]
 
 
 def test_wav_depths(spark):
@@ -156,92 +154,6 @@ def test_geometry():
     assert grid.perspective(np.zeros((4, 2)), np.zeros((4, 2))) is None
 
 
-class Value:
-    v = None
-
-    def exists(self):
-        return self.v is not None
-
-    def get(self):
-        return self.v
-
-    def update(self, v):
-        self.v = v
-
-    def clear(self):
-        self.v = None
-
-
-class Handle:
-    """Stands in for Spark's handle."""
-
-    def __init__(self):
-        self.timers = []
-
-    def listTimers(self):
-        return iter(list(self.timers))
-
-    def deleteTimer(self, at):
-        self.timers.remove(at)
-
-    def registerTimer(self, at):
-        self.timers.append(at)
-
-
-def session(**rules):
-    made = Session(**rules)
-    made.state, made.handle = Value(), Handle()
-    return made
-
-
-def fed(made, rows):
-    frames = pd.DataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), *r) for s, *r in rows], columns=["ts", "seq", "type", "text"])
-    got = pd.concat(made.handleInputRows((1,), iter([frames]), made.handle))
-    return list(zip(got["seq"], got["type"], got["text"], strict=True))
-
-
-def test_stream_session_rules():
-    made = session(gap=2.0, longest=5.0)
-    rows = [(0, 0, "audio", "a"), (1, 1, "audio", "a"), (3, 2, "audio", "b"), (6, 3, "audio", "c"), (7, 4, "reset", None), (8, 5, "audio", "d"), (9, 6, "close", None)]
-    assert fed(made, rows) == [(0, "partial", "a"), (2, "partial", "b"), (3, "final", "b"), (3, "endpoint", None), (3, "partial", "c"), (5, "partial", "d")]
-    assert made.state.v is None and not made.handle.timers  # closed: nothing is kept
-
-
-def test_silence_without_a_text_takes_longer():
-    rows = [(0, 0, "audio", None), (3, 1, "audio", None), (9, 2, "audio", "a"), (12, 3, "audio", None)]
-    assert fed(session(gap=2.0, longest=50.0, idle=4.0), rows) == [(2, "endpoint", None), (2, "partial", "a"), (3, "final", "a"), (3, "endpoint", None)]
-
-
-def test_a_silent_stream_expires():
-    made = session(gap=2.0, longest=50.0, expires=10.0)
-    fed(made, [(0, 0, "audio", "a")])
-    fed(made, [(1, 1, "audio", "b")])
-    began = dt.datetime(2024, 1, 1, tzinfo=dt.UTC).timestamp()
-    assert made.handle.timers == [int((began + 3) * 1000) + 1]  # the last frame and the gap
-    got = pd.concat(made.handleExpiredTimer((1,), None, None))
-    assert list(zip(got["seq"], got["type"], got["text"], strict=True)) == [(1, "final", "b"), (1, "endpoint", None)]
-    assert made.state.v is None
-
-
-def test_recorded_and_streamed_frames_are_cut_alike(spark):
-    rng = random.Random(3)
-    rules, rows, at = Rules(2.0, 9.0, 4.0), [], 0.0
-    for k in range(300):
-        at += rng.choice([0.5, 1.0, 1.5, 2.5, 5.0])
-        rows.append((at, k, "audio", rng.choice(["x", "y", None, None])))
-    ended = [seq for seq, kind, _ in fed(session(gap=2.0, longest=9.0, idle=4.0), rows) if kind == "endpoint"]
-    frames = spark.createDataFrame([(1, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), k, said is not None) for s, k, _, said in rows], "stream_id long, ts timestamp, seq long, said boolean")
-    got = utterances(frames.repartition(3), rules).orderBy("utterance").collect()
-    assert [r.utterance for r in got] == list(range(1, len(got) + 1)) and sum(r.frames for r in got) == 300
-    # a silence is noticed at the next frame, a duration at the frame that reaches it
-    at, want = 0, []
-    for r in got:
-        at += r.frames
-        if r.reason != "open":
-            want.append(at if r.reason == "silence" else at - 1)
-    assert ended == want and {r.reason for r in got} >= {"silence", "length"}
-
-
 def test_malformed_wav_gives_an_error_row(spark):
     files = spark.createDataFrame([("a", bytearray(b"RIFF")), ("b", None), ("c", bytearray(b"x" * 12 + b"fmt \x04\x00\x00\x00abcd"))], "path string, content binary")
     got = audio.wav_samples(files).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from itertools import permutations
 
@@ -9,9 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glintframe.operators import cache, grid, restore, scorer
-from glintframe.operators.segment import costs, segment
-from glintframe.plans import grid_queries
+from glintframe.operators import cache, grid, pixels, restore, scorer
+from glintframe.operators.segment import Splitter, trie
 
 
 def test_hull_against_half_planes():
@@ -87,9 +87,9 @@ def test_text_boxes_find_a_planted_block(spark):
 
 
 def test_prepared_images_of_one_colour():
-    image = np.full((70, 32, 3), 102, np.uint8)
-    out = grid_queries._normalized(image, 24, 20, (0.1, 0.2, 0.3), (0.5, 0.25, 2.0))
-    assert out.shape == (20, 24, 3) and np.allclose(out, [0.6, 0.8, 0.05])
+    prep = pixels.Prep(lambda w, h: (24, 20), lambda w, h: (24, 20), (0.1, 0.2, 0.3), (0.5, 0.25, 2.0))
+    out = pixels.tensor_of(np.full((70, 32, 3), 102, np.uint8), prep)
+    assert out.shape == (3, 20, 24) and np.allclose(out, np.array([0.6, 0.8, 0.05])[:, None, None])
 
 
 def test_cache_is_built_once_and_again_for_another_mark(spark, tmp_path):
@@ -117,7 +117,8 @@ def test_routed_scorers(spark):
 
 def test_segment_against_all_splits():
     words = ["the", "water", "he", "at", "a", "wat", "er", "people"]
-    cost, rng = costs(words), random.Random(4)
+    cost, rng = {w: math.log((k + 1) * math.log(len(words))) for k, w in enumerate(words)}, random.Random(4)
+    known = Splitter(trie(words))
 
     def every(run):
         return [[run]] + [[run[:k], *rest] for k in range(1, len(run)) for rest in every(run[k:])] if run else [[]]
@@ -127,7 +128,7 @@ def test_segment_against_all_splits():
 
     for _ in range(40):
         run = "".join(rng.choices([*words, "z"], k=3))[:10]
-        assert total(segment(run, cost, 6)) == pytest.approx(min(map(total, every(run))))
+        assert total(known.split(run)) == pytest.approx(min(map(total, every(run))))
 
 
 def test_restored_texts(spark):

@@ -144,6 +144,49 @@ def test_order_is_kept_across_batches(size):
     assert size > 50 or waiting < 60 + size
 
 
+def fed(session, rows):
+    return played(session, [[(int(s * 1e6), *r) for s, *r in rows]], 1)[:2]
+
+
+def test_session_rules_by_hand():
+    rows = [(0, 0, "audio", "a"), (1, 1, "audio", "a"), (3, 2, "audio", "b"), (6, 3, "audio", "c"), (7, 4, "reset", None), (8, 5, "audio", "d"), (9, 6, "close", None)]
+    out, handle = fed(stt.Session(2.0, 5.0), rows)
+    assert out == [(0, "partial", "a"), (2, "partial", "b"), (2, "final", "b"), (2, "endpoint", None), (3, "partial", "c"), (5, "partial", "d")]
+    assert not handle.value.exists() and not handle.timers and not handle.map  # closed: nothing is kept
+
+
+def test_silence_without_a_text_takes_longer():
+    rows = [(0, 0, "audio", None), (3, 1, "audio", None), (9, 2, "audio", "a"), (12, 3, "audio", None), (13, 4, "close", None)]
+    assert fed(stt.Session(2.0, 50.0, 4.0), rows)[0] == [(1, "endpoint", None), (2, "partial", "a"), (2, "final", "a"), (2, "endpoint", None)]
+
+
+def test_a_silent_stream_ends_by_its_timer():
+    session, handle = stt.Session(2.0, 50.0, expires=10.0), Handle()
+    session.init(handle)
+    frame = lambda s, seq, text: iter([pd.DataFrame([(int(s * 1e6), seq, "audio", text)], columns=session.schema.names)])
+    rows = lambda parts: [tuple(r)[1:] for pdf in parts for r in pdf.itertuples(index=False)]
+    assert rows(session.handleInputRows((1,), frame(0.5, 0, "a"), Time(0))) == [] and handle.timers == [1000]
+    assert rows(session.handleInputRows((1,), frame(1.25, 1, "b"), Time(1000))) == [(0, "partial", "a")] and handle.timers == [2000]
+    assert rows(session.handleExpiredTimer((1,), Time(2000), None)) == [(1, "partial", "b")]
+    assert handle.timers == [3251]  # the last frame and the gap
+    assert rows(session.handleExpiredTimer((1,), Time(3251), None)) == [(1, "final", "b"), (1, "endpoint", None)]
+    assert not handle.value.exists() and not handle.timers
+
+
+def test_recorded_and_streamed_frames_are_cut_alike(spark):
+    rng = random.Random(3)
+    rules, rows, at = stt.Rules(2.0, 9.0, 4.0), [], 0.0
+    for k in range(300):
+        at += rng.choice([0.5, 1.0, 1.5, 2.5, 5.0])
+        rows.append((at, k, "audio", rng.choice(["x", "y", None, None])))
+    ended = [seq for seq, kind, _ in fed(stt.Session(2.0, 9.0, 4.0), rows)[0] if kind == "endpoint"]
+    frames = spark.createDataFrame([(1, START + dt.timedelta(seconds=s), k, said is not None) for s, k, _, said in rows], "stream_id long, ts timestamp, seq long, said boolean")
+    got = stt.utterances(frames.repartition(3), rules).orderBy("utterance").collect()
+    assert [r.utterance for r in got] == list(range(1, len(got) + 1)) and sum(r.frames for r in got) == 300
+    last = np.cumsum([r.frames for r in got]) - 1
+    assert ended == last.tolist() and {r.reason for r in got} >= {"silence", "length"}
+
+
 def test_rows_are_given_in_bounded_pieces(monkeypatch):
     monkeypatch.setattr(stt, "GIVEN", 10)
     frames = [(k * 100_000, k, "audio", f"t{k}") for k in range(500)]
