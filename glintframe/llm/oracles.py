@@ -94,7 +94,7 @@ FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
 SQL["op3_url_filter"] = r"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 rules(verdict, rule, rhost, rpath) AS (VALUES
@@ -112,10 +112,9 @@ t AS (
 u AS (SELECT page_id, unnest(tokens) AS tok FROM t),
 n AS (SELECT count(*) AS n FROM f),
 lu AS (SELECT u.page_id, u.tok, f.verdict FROM u JOIN f USING (page_id)),
-sets AS (
-  SELECT page_id, verdict, [tok] AS s FROM lu
-  UNION ALL SELECT a.page_id, a.verdict, [a.tok, b.tok] FROM lu a JOIN lu b ON a.page_id = b.page_id AND a.tok < b.tok
-  UNION ALL SELECT a.page_id, a.verdict, [a.tok, b.tok, c.tok] FROM lu a JOIN lu b ON a.page_id = b.page_id AND a.tok < b.tok JOIN lu c ON a.page_id = c.page_id AND b.tok < c.tok),
+sets(page_id, verdict, s) AS (
+  SELECT page_id, verdict, [tok] FROM lu
+  UNION ALL SELECT l.page_id, l.verdict, list_append(s, l.tok) FROM sets JOIN lu l ON l.page_id = sets.page_id AND l.tok > s[-1]),
 agg AS (SELECT s, verdict, count(*) AS both_n FROM sets GROUP BY s, verdict),
 ante AS (SELECT s, sum(both_n) AS all_n FROM agg GROUP BY s),
 mined AS (

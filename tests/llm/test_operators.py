@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -357,25 +358,42 @@ def test_url_rules(spark):
     assert got[9][3] == "allow" and got[10][3] == "block"  # learned
     none = url_rules.filtered(pages.limit(0), rules, labelled.limit(0))
     assert none.count() == 0
-    assert url_rules.mine(labelled.select(url_rules.tokens_of(F.col("url")).alias("tokens"), "label").limit(0)) == []
+    assert url_rules.mine(labelled.select(url_rules.tokens_of(F.col("url")).alias("tokens"), "label").limit(0)).rules == []
 
 
-def test_url_mining_matches_brute_force(spark):
-    rng = random.Random(4)
-    urls = [(f"http://{rng.choice('ab')}.{rng.choice(['com', 'net'])}/{rng.choice(['x', 'y'])}/{rng.randint(1, 9)}", rng.choice(["allow", "block", "block"])) for _ in range(200)]
-    rows = spark.createDataFrame(urls, "url string, label string").select(url_rules.tokens_of(F.col("url")).alias("tokens"), "label")
-    got = url_rules.mine(rows, support=0.02, confidence=0.6, tokens=2)
+def brute_verdict(tokens, baskets, fewest, confidence):
+    """The label of the best of all rules over all sets of the URL's tokens."""
     from itertools import combinations
 
-    baskets = [(r.tokens, r.label) for r in rows.collect()]
-    count, both = defaultdict(int), defaultdict(int)
-    for toks, lab in baskets:
-        for k in (1, 2):
-            for c in combinations(sorted(toks), k):
-                count[c] += 1
-                both[c, lab] += 1
-    want = [(-(n / count[c]), -n, len(c), " ".join(c), lab) for (c, lab), n in both.items() if n >= 4 and n / count[c] >= 0.6]
-    assert [(c, lab) for c, lab in got] == [(tuple(w[3].split(" ")), w[4]) for w in sorted(want)]
+    best = None
+    for k in range(1, len(tokens) + 1):
+        for s in combinations(sorted(tokens), k):
+            labels = [label for have, label in baskets if set(s) <= set(have)]
+            for label in set(labels):
+                n = labels.count(label)
+                if n >= fewest and n / len(labels) >= confidence:
+                    key = (-n / len(labels), -n, k, " ".join(s), label)
+                    best = key if best is None or key < best else best
+    return best[-1] if best else "allow"
+
+
+@pytest.mark.parametrize("long", [10, 2, 1])
+def test_url_verdicts_match_brute_force(spark, monkeypatch, long):
+    """Sets of any length, through FP-growth alone and through conditional passes; tokens that go together, labels of three kinds."""
+    monkeypatch.setattr(url_rules, "LONG", long)
+    rng = random.Random(4)
+    make = lambda: f"http://{rng.choice('ab')}.{rng.choice(['com', 'net'])}/{rng.choice(['x', 'y', 'x/z/w'])}/{rng.choice(['', '7', 'q?k=1', 'r#f'])}"
+    urls = [(make(), rng.choice(["allow", "block", "block", "other"])) for _ in range(120)] + [("http://c.org/deep/er", "block")] * 3 + [("http://d.org/x/y", None)]
+    rows = spark.createDataFrame(urls, "url string, label string").select(url_rules.tokens_of(F.col("url")).alias("tokens"), "label")
+    mined = url_rules.mine(rows, support=0.02, confidence=0.45)
+    baskets = [(r.tokens, r.label) for r in rows.collect() if r.label]
+    asked = spark.createDataFrame([(make(),) for _ in range(40)] + [("http://c.net/er",), ("http://b.org/deep/w",), ("http://nothing",)], "url string").select(url_rules.tokens_of(F.col("url")).alias("tokens"))
+    seen = set()
+    for r in asked.collect():
+        want = brute_verdict(r.tokens, baskets, max(2, math.ceil(0.02 * len(baskets))), 0.45)
+        assert url_rules.judge(r.tokens, mined) == want
+        seen.add(want)
+    assert len(seen) > 1
 
 
 def test_language_id(spark):
