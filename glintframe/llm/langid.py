@@ -140,7 +140,8 @@ def fit(labelled: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE)
                         yield from held()
         yield from held()
 
-    parts = chosen.coalesce(64).mapInArrow(sums, "lang string, at int, value long")
+    # written first: the whole table is scanned by as many tasks as it has, the sample's sums come from a few
+    parts = common.written(chosen).mapInArrow(sums, "lang string, at int, value long")
     whole = parts.groupBy("lang", "at").agg(F.sum("value").alias("value")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("v"))
     rows = whole.select("lang", "v.value").orderBy("lang").toArrow()
     values = rows.column("value").combine_chunks()

@@ -180,12 +180,16 @@ def removal(docs: DataFrame, width: int = 13) -> DataFrame:
     rest = docs.drop("n_words", "n_removed", "kept", "kept_sha256")
     names, at = rest.columns, common.free(rest, "at")
     known = rest.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n = common.pieces(docs.sparkSession, common.extent(known)[1], PIECE_BYTES)
+    size = common.extent(known)[1]
+    # groups and buckets follow the data; a partition holds one or several, one after another
+    parts = common.pieces(docs.sparkSession, size, PIECE_BYTES)
+    n = max(parts, -(-size // PIECE_BYTES))
     packed = known.mapInArrow(_hashed(width, BUCKETS * n, n), _PACK_DDL)
-    lost = packed.repartition(n, "at").sortWithinPartitions("at").mapInArrow(lambda batches: _counted(batches, n), _PACK_DDL)
+    lost = packed.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(lambda batches: _counted(batches, n), _PACK_DDL)
 
-    def settle(texts: pa.Table, gone: pa.Table) -> pa.Table:
+    def settle(texts: pa.Table | pa.RecordBatch, gone: pa.Table | None) -> pa.Table:
         losses: dict[int, list[np.ndarray]] = {}
+        gone = gone if gone is not None else _PACK.empty_table()
         for part in zip(*(gone.column(c).to_pylist() for c in ("docs", "runs", "hashes")), strict=True):
             ids, runs, hashes = (np.frombuffer(x, t) for x, t in zip(part, (np.int64, np.uint32, np.uint64), strict=True))
             for doc, h in zip(ids.tolist(), np.split(hashes, np.cumsum(runs)[:-1]), strict=True):
@@ -204,7 +208,8 @@ def removal(docs: DataFrame, width: int = 13) -> DataFrame:
         return pa.table([*(texts.column(c) for c in names), *new], names=[*names, "n_words", "n_removed", "kept", "kept_sha256"])
 
     out = common.schema_with(rest, n_words=T.LongType(), n_removed=T.LongType(), kept=T.StringType(), kept_sha256=T.StringType())
-    # a row without doc_id may go anywhere
-    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(F.col("text").cast("string")), F.lit(""))
-    grouped = rest.withColumn(at, (F.crc32(key) % n).cast("int"))
-    return grouped.groupBy(at).cogroup(lost.groupBy("at")).applyInArrow(settle, out)
+    grouped = rest.where("doc_id is not null").withColumn(at, (F.crc32(F.col("doc_id").cast("long").cast("string")) % n).cast("int"))
+    settled = grouped.groupBy(at).cogroup(lost.groupBy("at")).applyInArrow(settle, out)
+    # rows without a doc_id lose nothing, so they meet nothing
+    alone = rest.where("doc_id is null").mapInArrow(lambda batches: (b for batch in batches if len(batch) for b in settle(batch, None).to_batches()), out)
+    return settled.unionByName(alone)
