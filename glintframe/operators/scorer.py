@@ -189,6 +189,38 @@ class Bright:
         return [[(w, np.ascontiguousarray(p[:, :w], np.float32).tobytes())] for p, w in zip(light, widths, strict=True)]
 
 
+class TopLight:
+    """An orientation classifier without training: a crop whose lower half is the brighter one is upside down."""
+
+    schema = "upright double, turned double"
+
+    def score_batch(self, x: np.ndarray, widths: list[int]) -> list[list[tuple]]:
+        half = x.shape[2] // 2
+        out = []
+        for one, w in zip(x, widths, strict=True):
+            more = float(one[:, :half, :w].mean() - one[:, half:, :w].mean())
+            out.append([(0.95, 0.05) if more >= 0 else (0.05, 0.95)])
+        return out
+
+
+class Levels:
+    """A recognizer without training: steps of 8 columns, whose class is how much ink their middle rows have, in `classes` levels; little of it is blank."""
+
+    schema = "t int, cls int, val double"
+
+    def __init__(self, classes: int = 4, least: float = 0.25) -> None:
+        self.classes, self.least = classes, least
+
+    def score_batch(self, x: np.ndarray, widths: list[int]) -> list[list[tuple]]:
+        out = []
+        for one, w in zip(x, widths, strict=True):
+            ink = (1 - one[:, 18:30, :w].mean(0)) / 2
+            steps = [float(np.median(ink[:, a : a + 8])) for a in range(0, w, 8)]
+            level = [0 if v < self.least else 1 + min(int((v - self.least) / (1 - self.least) * self.classes), self.classes - 1) for v in steps]
+            out.append([(t, c, v * 4) for t, (c, v) in enumerate(zip(level, steps, strict=True))])
+        return out
+
+
 class Stub:
     """A stand-in without weights: length and first byte of a blob."""
 
@@ -216,6 +248,8 @@ class Rows:
 
 register("linear", Linear)
 register("bright", Bright)
+register("top light", TopLight)
+register("levels", Levels)
 register("stub", Stub)
 register("stub-last", Last)
 register("stub-rows", Rows)

@@ -307,3 +307,27 @@ def test_text_pictures(spark):
     docs = spark.createDataFrame([(1, "é" * 50), (2, ""), (3, None), (4, "x" * 96)], "doc_id long, text string").withColumn("width", F.lit("caller's"))
     got = {r.doc_id: (r.height, bytes(r.pixels)) for r in I.text_pictures(docs).collect()}
     assert got == {1: (2, ("é" * 50).encode().ljust(192, b"\0")), 2: (1, bytes(96)), 3: (1, bytes(96)), 4: (1, b"x" * 96)}
+
+
+def test_reading_pictures_end_to_end(spark):
+    """Bars of grey levels, turned by an angle or upside down, are found, straightened, turned upright and read."""
+    grey = {"b": 135, "c": 180, "d": 235}
+    rows = []
+    for k, (text, angle, down) in enumerate([("dcd", 0.0, False), ("cdc", 0.25, False), ("bcd", 0.0, True), ("dc", -0.2, True)]):
+        h, w = 140, 240
+        y, x = np.mgrid[:h, :w]
+        a = (x - 120) * math.cos(angle) + (y - 70) * math.sin(angle)
+        b = -(x - 120) * math.sin(angle) + (y - 70) * math.cos(angle)
+        if down:
+            a, b = -a, -b
+        letter = np.clip(((a + 60) / 120 * len(text)).astype(int), 0, len(text) - 1)
+        value = np.array([grey[c] for c in text])[letter]
+        value = np.where(b < -6, 250, np.where(b > 6, value * 0.6, value))  # light from above
+        picture = np.where((abs(a) <= 60) & (abs(b) <= 12), value, 5).astype(np.uint8)
+        rows.append((k, w, h, picture[..., None].repeat(3, 2).tobytes(), text, down))
+    df = spark.createDataFrame([r[:4] for r in rows], "path long, width int, height int, pixels binary")
+    charset = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "idx int, chr string")
+    out = {r.path: r for r in ocr.read(df, "bright", "top light", "levels", charset).collect()}
+    assert {k: r.text for k, r in out.items()} == {k: r[4] for k, r in enumerate(rows)}
+    assert {k: abs(r.angle) > 90 for k, r in out.items()} == {k: r[5] for k, r in enumerate(rows)}
+    assert all(0.5 < r.score < 1 and r.part == 1 for r in out.values())
