@@ -59,7 +59,8 @@ def _parts(text: Column, ends: str) -> Column:
 def sentences(text: Column) -> Column:
     """Array of sentences; long ones are split at clauses; never empty."""
     whole = F.flatten(F.transform(_parts(text, SENTENCE_END), lambda p: F.when(F.length(p) > LONG_SENTENCE, _parts(p, CLAUSE_END)).otherwise(F.array(p))))
-    return F.when(F.size(whole) == 0, F.array(text)).otherwise(whole)
+    # bound to a lambda's variable, so that the pieces are made once
+    return F.get(F.transform(F.array(whole), lambda w: F.when(F.size(w) == 0, F.array(text)).otherwise(w)), 0)
 
 
 # Places where a space was lost, in the order in which they are mended. Digits are ASCII ones, as the
