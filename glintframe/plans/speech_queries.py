@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -203,6 +205,33 @@ def wav_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("event_id"), "rate", F.get("samples", 0).alias("a"), F.get("samples", 1).alias("b"), F.col("error").isNotNull().alias("failed"))
 
 
+_LETTERS = "['v', 's', 'p', 'e', 'c']"
+
+
+@query(f"""WITH l AS (SELECT event_id, substr(event_type, 1, 1) AS a, {_LETTERS}[user_id % 5 + 1] AS b, {_LETTERS}[event_id % 5 + 1] AS c, event_id % 10 AS tenth FROM events)
+SELECT event_id, CASE tenth WHEN 3 THEN NULL WHEN 4 THEN round(0.48::DOUBLE, 3) ELSE round(0.72::DOUBLE, 3) END AS seconds, CASE WHEN tenth NOT IN (3, 4) THEN a || CASE WHEN b <> a THEN b ELSE '' END || CASE WHEN c <> b THEN c ELSE '' END END AS text,
+  CASE tenth WHEN 3 THEN 'no audio data' WHEN 4 THEN 'Audio too short (0.5s, need at least 0.5s)' END AS error FROM l""")
+def stt_transcribe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a WAV file of three tones, read and transcribed; some files are cut, some are too short."""
+    from glintframe.operators.transcribe import transcribed_files
+    from glintframe.streaming.recognizer import RECOGNIZERS
+
+    model = RECOGNIZERS["low tones"]()
+    each = 6 * model.chunk
+    wave = [np.sin(np.arange(each) * (model.lowest + model.step * k) * (2 * np.pi / model.rate)) * 8000 for k in range(len(model.letters))]
+    tones = F.array(*(F.lit(x.round().astype("<i2").tobytes()) for x in wave))
+    letters = [F.instr(F.lit(model.letters), F.substring("event_type", 1, 1)) - 1, F.col("user_id") % 5, F.col("event_id") % 5]
+    count = F.when(F.col("event_id") % 10 == 4, 2).otherwise(3)
+    low = lambda n: F.unhex(F.reverse(F.regexp_replace(F.lpad(F.hex(n), 8, "0"), "(.)(.)", "$2$1")))
+    # the header of a file of 16-bit mono at 2,000 samples a second
+    head = F.concat(F.lit(b"RIFF"), low(36 + 2 * each * count), F.lit(b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, model.rate, 2 * model.rate, 2, 16)))
+    said = F.array_join(F.slice(F.array(*(F.hex(F.get(tones, x.cast("int"))) for x in letters)), F.lit(1), count), "")
+    whole = F.concat(head, F.lit(b"data"), low(2 * each * count), F.unhex(said))
+    content = F.when(F.col("event_id") % 10 == 3, head).otherwise(whole)
+    found = transcribed_files(table(spark, sf_dir, "events").select(F.col("event_id").alias("path"), content.alias("content")), "low tones")
+    return found.select(F.col("path").alias("event_id"), F.round("seconds", 3).alias("seconds"), "text", "error")
+
+
 @query("SELECT user_id, count(*) AS samples, count(*) >= 131 // 2 AS enough FROM events GROUP BY user_id")
 def audio_min_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At least half a second of samples at a rate of 131."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 import random
 import uuid
 
@@ -11,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from glintframe.operators.transcribe import transcribed
 from glintframe.streaming import stt
 from glintframe.streaming.recognizer import RECOGNIZERS, Tones
 
@@ -278,3 +280,17 @@ def test_shuffled_files_through_spark(spark, tmp_path):
     for s, rows in frames.items():
         want = plain([(us, seq, kind, text) for us, seq, kind, text in rows], 20, 100, 25)
         assert sorted(((r.seq, r.type, r.text) for r in got if r.stream_id == s), key=repr) == sorted(want, key=repr)
+
+
+def test_recordings_are_transcribed(spark):
+    model = RECOGNIZERS["tones"]()
+    say = lambda text, gaps: (wave(text, model, gaps) / 32768).tolist()
+    rows = [
+        (1, 16_000, say("hello", [0, 0, 1, 0, 8]), None), (2, 16_000, [0.0] * 8000, None), (3, 16_000, [0.0] * 7999, None), (4, 8_000, [0.0] * 8000, None),
+        (5, None, None, "no audio data"), (6, 16_000, None, None), (7, 16_000, say("ab", [0, 9])[:-37] + [math.nan], None), (None, 16_000, say("abc", [0, 0, 9]), None),
+    ]
+    df = spark.createDataFrame(rows, "path long, rate int, samples array<double>, error string").repartition(3)
+    got = {r.path: (r.text, r.error) for r in transcribed(df, "tones").collect()}
+    assert got[1] == ("hello", None) and got[2] == ("", None) and got[7] == ("ab", None) and got[None] == ("abc", None)
+    assert got[3] == (None, "Audio too short (0.5s, need at least 0.5s)") and got[4][0] is None and "rate" in got[4][1]
+    assert got[5] == got[6] == (None, "no audio data")
