@@ -92,7 +92,7 @@ def frequent_shingles(docs: DataFrame, n: int, words: int) -> np.ndarray:
                 sets = list(shingle_sets(data, bounds, words))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
-    counted = some.select("text").mapInArrow(emit, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
+    counted = some.select("text").mapInArrow(common.tidy(emit), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
     rows = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
     return rows.column("h").to_numpy()[::-1].copy().view(np.uint64)
 
@@ -128,7 +128,7 @@ def _incidence(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
                         first.append(h[:p].tobytes())
                 yield pa.RecordBatch.from_arrays([ids[at:to], batch.column("t")[at:to], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.binary())], ["doc_id", "t", "n", "set", "first"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(emit, "doc_id long, t long, n long, set binary, first binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(common.tidy(emit), "doc_id long, t long, n long, set binary, first binary")
 
 
 _PACKED = pa.schema([("block", pa.int32()), ("row", pa.binary()), ("n", pa.binary()), ("h", pa.binary())])
@@ -235,7 +235,7 @@ def _sets(texts: DataFrame, words: int, repeated: bool) -> DataFrame:
 
     if repeated:
         texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    return texts.select("doc_id", "text").mapInArrow(emit, "row long, hashes binary")
+    return texts.select("doc_id", "text").mapInArrow(common.tidy(emit), "row long, hashes binary")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
@@ -257,7 +257,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int, repeat
     sets = common.written(_sets(_named(texts, ids), words, repeated))
     side = lambda c: sets.select(F.col("row").alias(c), F.col("hashes").alias(f"hashes_{c}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hashes_a", "hashes_b")
-    out = common.written(met.mapInArrow(emit, "a long, b long"))
+    out = common.written(met.mapInArrow(common.tidy(emit), "a long, b long"))
     common.discard(pairs, ids, sets)
     return out
 
@@ -335,8 +335,8 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     members, rows, twice = _rows(whole)
     repeated = not twice.isEmpty()
     blocks = common.pieces(docs.sparkSession, size, BLOCK_BYTES)
-    packed = rows.select("row", "n", "first").mapInArrow(_columns(blocks), "block int, row binary, n binary, h binary")
-    product = common.written(packed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_product(percent), _PRODUCT))
+    packed = rows.select("row", "n", "first").mapInArrow(common.tidy(_columns(blocks)), "block int, row binary, n binary, h binary")
+    product = common.written(packed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(common.tidy(_product(percent)), _PRODUCT))
     large = product.where("b is null").select("h", F.col("a").alias("row"), F.col("n_a").alias("n"))
     sums = product.where("b is not null").groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
     sums = common.written(sums)

@@ -109,7 +109,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             columns = [pa.array([i.astype(np.int32).tobytes() for i in at], pa.binary()), pa.array([x[i].tobytes() for x, i in zip(found, at, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *columns], ["doc_id", "quality", "at", "count"])
 
-    rows = one.mapInArrow(count, common.schema_with(one.select("doc_id", "quality"), at=T.BinaryType(), count=T.BinaryType())).orderBy("doc_id").toArrow()
+    rows = one.mapInArrow(common.tidy(count), common.schema_with(one.select("doc_id", "quality"), at=T.BinaryType(), count=T.BinaryType())).orderBy("doc_id").toArrow()
     terms = [(np.frombuffer(a.as_py(), np.int32), np.frombuffer(c.as_py(), np.float32)) for a, c in zip(rows.column("at"), rows.column("count"), strict=True)]
     return fit_rows(terms, [int(v > 0) for v in rows.column("quality").to_pylist()])
 
@@ -165,4 +165,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, neighbours: int
                 s = np.clip(votes(latent(terms, m.weights, m.axes), m, neighbours), 0.0, 1.0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
-    return rest.mapInArrow(apply, common.schema_with(rest, score=T.DoubleType(), predicted=T.IntegerType()))
+    return rest.mapInArrow(common.tidy(apply), common.schema_with(rest, score=T.DoubleType(), predicted=T.IntegerType()))

@@ -169,7 +169,7 @@ def encoded(docs: DataFrame, model: str, column: str = "text") -> DataFrame:
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
 
-    return rest.mapInArrow(apply, common.schema_with(rest, ids=T.ArrayType(T.IntegerType())))
+    return rest.mapInArrow(common.tidy(apply), common.schema_with(rest, ids=T.ArrayType(T.IntegerType())))
 
 
 def decoded(rows: DataFrame, model: str, column: str = "ids") -> DataFrame:
@@ -183,7 +183,7 @@ def decoded(rows: DataFrame, model: str, column: str = "ids") -> DataFrame:
             texts = [None if i is None else c.decode(i) for i in batch.column(batch.schema.get_field_index(column)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return rest.mapInArrow(apply, common.schema_with(rest, decoded=T.StringType()))
+    return rest.mapInArrow(common.tidy(apply), common.schema_with(rest, decoded=T.StringType()))
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
@@ -210,4 +210,4 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return known.mapInArrow(apply, "doc_id long, n_bytes long, n_ids long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return known.mapInArrow(common.tidy(apply), "doc_id long, n_bytes long, n_ids long, ids_sha256 string, decoded_sha256 string, exact boolean")

@@ -184,8 +184,8 @@ def removal(docs: DataFrame, width: int = 13) -> DataFrame:
     # groups and buckets follow the data; a partition holds one or several, one after another
     parts = common.pieces(docs.sparkSession, size, PIECE_BYTES)
     n = max(parts, -(-size // PIECE_BYTES))
-    packed = known.mapInArrow(_hashed(width, BUCKETS * n, n), _PACK_DDL)
-    lost = packed.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(lambda batches: _counted(batches, n), _PACK_DDL)
+    packed = known.mapInArrow(common.tidy(_hashed(width, BUCKETS * n, n)), _PACK_DDL)
+    lost = packed.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(common.tidy(lambda batches: _counted(batches, n)), _PACK_DDL)
 
     def settle(texts: pa.Table | pa.RecordBatch, gone: pa.Table | None) -> pa.Table:
         losses: dict[int, list[np.ndarray]] = {}
@@ -205,6 +205,7 @@ def removal(docs: DataFrame, width: int = 13) -> DataFrame:
             kept.append(line)
             sha.append(hashlib.sha256(line).hexdigest())
         new = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha, pa.string())]
+        common.give_back()
         return pa.table([*(texts.column(c) for c in names), *new], names=[*names, "n_words", "n_removed", "kept", "kept_sha256"])
 
     out = common.schema_with(rest, n_words=T.LongType(), n_removed=T.LongType(), kept=T.StringType(), kept_sha256=T.StringType())
