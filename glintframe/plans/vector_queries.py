@@ -80,6 +80,19 @@ def taxonomy_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("label").alias("cat_idx"), F.col("vec_id").alias("sub_idx"), F.format_string("cat%s", "label").alias("category"), F.format_string("一张sub%s的照片", "vec_id").alias("prompt"))
 
 
+@query("""WITH c AS (SELECT p_brand AS name, min(p_type) AS icon, list(p_name ORDER BY p_partkey) AS subs, row_number() OVER (ORDER BY p_brand, p_size) - 1 AS id FROM part GROUP BY p_brand, p_size),
+u AS (SELECT id, name, icon, unnest(range(len(subs))) AS sub_idx, unnest(subs) AS sub FROM c)
+SELECT id AS cat_idx, CAST(sub_idx AS INTEGER) AS sub_idx, name AS category, icon, sub, '一张' || sub || '的照片' AS prompt FROM u""")
+def taxonomy_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a brand and size as a category's line of JSON; numbered, parsed and turned into prompts."""
+    from glintframe.sources.lines import numbered
+    from glintframe.sources.taxonomy import prompts
+
+    subs = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda r: r["p_name"])
+    lines = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.to_json(F.struct(F.first("p_brand").alias("name"), F.min("p_type").alias("icon"), subs.alias("subs"))).alias("line"))
+    return prompts(numbered(lines, "p_brand", "p_size").select(F.col("number").alias("id"), "line"))
+
+
 @query("SELECT md5(string_agg(concat(label, ':', vec_id), ';' ORDER BY label, vec_id)) AS fingerprint, count(*) AS prompts FROM embeddings WHERE vec_id < 100")
 def taxonomy_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hash of the ordered taxonomy, to tell when derived data is stale; the taxonomy is a bounded dimension."""

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glintframe.operators import ocr, pixels, scorer
+from glintframe.operators import faces, ocr, pixels, scorer
 from glintframe.sources import images as I
 
 
@@ -331,3 +331,19 @@ def test_reading_pictures_end_to_end(spark):
     assert {k: r.text for k, r in out.items()} == {k: r[4] for k, r in enumerate(rows)}
     assert {k: abs(r.angle) > 90 for k, r in out.items()} == {k: r[5] for k, r in enumerate(rows)}
     assert all(0.5 < r.score < 1 and r.part == 1 for r in out.values())
+
+
+def test_embedded_faces(spark):
+    """Each face's vector is what the model gives for its crop alone; faces beyond the border have zeros."""
+    rng = np.random.default_rng(12)
+    image = rng.integers(0, 256, (40, 60, 3)).astype(np.uint8)
+    pictures = spark.createDataFrame([("p", 60, 40, image.tobytes())], "path string, width int, height int, pixels binary")
+    boxes = [("p", 1, 5, 5, 20, 20), ("p", 2, -4, 30, 9, 9), ("p", 3, 90, 5, 5, 5), ("p", 4, None, 5, 5, 5), ("q", 5, 1, 1, 9, 9)]
+    out = {r.part: r.embedding for r in faces.embedded(pictures, spark.createDataFrame(boxes, "path string, part long, x int, y int, w int, h int"), "linear", length=2).collect()}
+    assert set(out) == {1, 2, 3, 4} and out[3] == out[4] == [0.0, 0.0]
+    for part, (x, y, w, h) in {1: (0, 0, 40, 40), 2: (0, 20, 29, 20)}.items():
+        t = pixels.tensor_of(image[y : y + h, x : x + w], pixels.PREPS["face"])
+        assert t.shape == (3, 112, 112)
+        wide = np.zeros((1, 3, 112, 128), np.float32)
+        wide[0, :, :, :112] = t
+        assert out[part] == pytest.approx(list(scorer.Linear().score_batch(wide, [112])[0][0]), rel=1e-5)

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from glintframe.operators import wordpiece
-from glintframe.sources import lines
+from glintframe.sources import lines, taxonomy
 
 
 def small_splits(spark):
@@ -52,3 +52,10 @@ def test_numbers_follow_the_order(spark):
     assert [(r.a, r.b) for r in got.orderBy("number").collect()] == sorted(rows)
     assert sorted(r.number for r in got.collect()) == list(range(3000)) and got.columns == ["a", "b", "n", "before", "number"]
     assert lines.numbered(df.where("false"), "a").collect() == []
+
+
+def test_taxonomy_files(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"name": "food", "icon": "f", "subs": ["soup", null, "rice"]}\n\nnot json\n{"name": "empty", "subs": []}\n{"icon": "no name", "subs": ["x"]}\n')
+    (tmp_path / "b.jsonl").write_text('{"name": "food", "subs": ["soup"]}')
+    got = [tuple(r) for r in taxonomy.taxonomy(spark, str(tmp_path), "*.jsonl").orderBy("cat_idx", "sub_idx").collect()]
+    assert got == [(0, 0, "food", "f", "soup", "一张soup的照片"), (0, 2, "food", "f", "rice", "一张rice的照片"), (5, 0, "food", "", "soup", "一张soup的照片")]
