@@ -74,7 +74,8 @@ def shares(length: int, weights: list[int]) -> list[int]:
 
 
 def merge(blocks: list[str], plain: str) -> list[str]:
-    """The text of every block after alignment; a block that gets none keeps its own."""
+    """The text of every block after alignment; a block that gets none keeps its own. A null block is an empty one."""
+    blocks = [b or "" for b in blocks]
     own = [b.strip() for b in blocks]
     plain = plain.strip()
     if not plain or not blocks:

@@ -18,8 +18,10 @@ def iou(a: Column, b: Column) -> Column:
 def nms(boxes: DataFrame, limit: float = 0.4) -> DataFrame:
     """Boxes that stay: by falling confidence (ties: box_id) each stays unless it overlaps a kept one by more than limit.
 
-    One image's boxes are folded in one array; images are bounded by what a detector gives.
+    One image's boxes are folded in one array; images are bounded by what a detector gives. Boxes with
+    a null in a side or the confidence are left out.
     """
+    boxes = boxes.dropna(subset=["x", "y", "w", "h", "confidence"])
     box = F.struct((-F.col("confidence")).alias("c"), "box_id", "x", "y", "w", "h")
     ordered = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(box)).alias("all"))
     none = F.slice(F.col("all"), 1, 0)

@@ -79,7 +79,7 @@ def routed(blobs: DataFrame, default: str) -> DataFrame:
 
 
 def by_image(crops: DataFrame, name: str) -> DataFrame:
-    """(image_id, box_id, and the model's columns) of crops (image_id, box_id, pixels): one call an image, rows filled with zeros to the widest."""
+    """(image_id, box_id, and the model's columns) of crops (image_id, box_id, pixels): one call an image, rows filled with zeros to the widest; null pixels are none."""
     factory = _FACTORIES[name]
     schema = factory().schema
     names = [part.split()[0] for part in schema.split(",")]
@@ -91,6 +91,7 @@ def by_image(crops: DataFrame, name: str) -> DataFrame:
         for pdf in batches:
             rows = []
             for image, boxes, pixels in zip(pdf["image_id"], pdf["box_id"], pdf["pixels"], strict=True):
+                pixels = [() if p is None else p for p in pixels]
                 wide = np.zeros((len(pixels), max(map(len, pixels))))
                 for row, p in zip(wide, pixels, strict=True):
                     row[: len(p)] = p
@@ -222,19 +223,19 @@ class Levels:
 
 
 class Stub:
-    """A stand-in without weights: length and first byte of a blob."""
+    """A stand-in without weights: length and first byte of a blob; a null one has no row."""
 
     schema = "size long, first int"
 
     def score(self, content: pd.Series) -> list[list[tuple]]:
-        return [[(len(c), c[0] if len(c) else -1)] for c in content]
+        return [[] if c is None else [(len(c), c[0] if len(c) else -1)] for c in content]
 
 
 class Last(Stub):
     """Another stand-in: length and last byte."""
 
     def score(self, content: pd.Series) -> list[list[tuple]]:
-        return [[(len(c), c[-1] if len(c) else -1)] for c in content]
+        return [[] if c is None else [(len(c), c[-1] if len(c) else -1)] for c in content]
 
 
 class Rows:

@@ -52,9 +52,12 @@ def category_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, lead(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)
 SELECT vec_id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS cosine FROM p WHERE b IS NOT NULL""")
 def vector_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector against the next one of its label."""
-    after = F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
-    pairs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", after.alias("b")).where("b is not null")
+    """Each vector against the next one of its label: rows are numbered by ranges, so a label of any size is many tasks."""
+    from glintframe.sources.lines import numbered
+
+    rows = numbered(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id")
+    after = rows.select((F.col("number") - 1).alias("number"), F.col("label").alias("same"), F.col("embedding").alias("b"))
+    pairs = rows.join(after, "number").where(F.col("label").eqNullSafe(F.col("same")) & F.col("b").isNotNull())
     return pairs.select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("b")), 6).alias("cosine"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from glintframe.functions import audio

@@ -8,9 +8,8 @@ from itertools import permutations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from glintframe.operators import cache, grid, pixels, restore, scorer
+from glintframe.operators import align, cache, grid, pixels, restore, scorer
 from glintframe.operators.segment import Splitter, trie
 
 
@@ -115,6 +114,15 @@ def test_routed_scorers(spark):
     assert got == {"a": ("stub", 3, 120), "b": ("stub-last", 3, 122), "c": ("stub", 0, -1), "d": ("stub", 1, 113), "e": ("stub", 1, 113)}
 
 
+def test_null_blobs_crops_and_blocks(spark):
+    blobs = spark.createDataFrame([("a", None, "stub"), ("b", bytearray(b"xy"), "stub-last"), ("c", None, "stub-last")], "path string, content binary, model string")
+    assert [(r.path, r.size) for r in scorer.routed(blobs, "stub").collect()] == [("b", 2)]
+    assert [r.path for r in scorer.run(blobs, "stub").collect()] == ["b"]
+    crops = spark.createDataFrame([(1, 0, None), (1, 1, [2.0, 3.0]), (2, 0, None)], "image_id long, box_id int, pixels array<double>")
+    assert {(r.image_id, r.box_id): (r.total, r.padded) for r in scorer.by_image(crops, "stub-rows").collect()} == {(1, 0): (0.0, 2), (1, 1): (5.0, 2), (2, 0): (0.0, 0)}
+    assert align.merge(["ab", None, "cd"], "ab\ncd") == ["ab", "", "cd"] and align.merge([None], "") == [""]
+
+
 def test_segment_against_all_splits():
     words = ["the", "water", "he", "at", "a", "wat", "er", "people"]
     cost, rng = {w: math.log((k + 1) * math.log(len(words))) for k, w in enumerate(words)}, random.Random(4)
