@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.operators.pixels import box_crops, prepared
-from glintframe.operators.scorer import batched
+from glintframe.operators.pixels import box_crops
+from glintframe.operators.scorer import scored
 
 # Pixels around a face, and the length of the vector of zeros for one of which too little is in the picture.
 MARGIN, LENGTH = 10, 512
@@ -19,7 +19,7 @@ def embedded(pictures: DataFrame, faces: DataFrame, model: str, key: str = "path
     the picture, or whose box has a null, has `length` zeros. Faces without a picture give no rows.
     """
     crops = box_crops(pictures, faces, MARGIN, key).select(F.struct(key, "part").alias("crop"), "width", "height", "pixels")
-    scored = batched(prepared(crops, "face", "crop"), model, "crop")
-    vectors = scored.select("crop", F.array(*(F.col(c).cast("double") for c in scored.columns if c != "crop")).alias("embedding"))
+    found = scored(crops, "face", model, "crop")
+    vectors = found.select("crop", F.array(*(F.col(c).cast("double") for c in found.columns if c != "crop")).alias("embedding"))
     whole = crops.select("crop").join(vectors, "crop", "left")
     return whole.select("crop.*", F.coalesce("embedding", F.array_repeat(F.lit(0.0), length)).alias("embedding"))

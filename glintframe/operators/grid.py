@@ -95,19 +95,24 @@ def text_boxes(grid: DataFrame, width: int, height: int, scale: float = 1.0) ->
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull, counter-clockwise from the leftmost point, without points on edges."""
-    p = np.unique(points, axis=0)
-    if len(p) < 3:
-        return p
+    p = sorted(set(map(tuple, points.tolist())))
 
-    def half(rows) -> list:
-        out: list = []
+    def half(rows: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
         for q in rows:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
                 out.pop()
             out.append(q)
         return out[:-1]
 
-    return np.array(half(p) + half(p[::-1]))
+    return np.array(p if len(p) < 3 else half(p) + half(p[::-1]), points.dtype).reshape(-1, 2)
+
+
+def ends_of_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pixels in raster order the first and the last of each row: all that a hull needs."""
+    new = np.flatnonzero(np.diff(y)) + 1
+    at = np.concatenate([[0], new, new - 1, [len(y) - 1]])
+    return np.stack([x[at], y[at]], 1)
 
 
 def tight_rectangle(points: np.ndarray) -> tuple[float, float, float, float, float]:
@@ -154,7 +159,10 @@ def in_reading_order(corners: np.ndarray) -> np.ndarray:
 
 def mean_inside(prob: np.ndarray, corners: np.ndarray) -> float:
     """Mean of the pixels in a convex quadrilateral, edges included; 0 without any."""
-    y, x = np.indices(prob.shape)
+    low, high = np.floor(corners.min(0)).astype(int) - 1, np.ceil(corners.max(0)).astype(int) + 2
+    (left, top), (right, below) = np.maximum(low, 0), np.clip(high, 0, prob.shape[::-1])  # a pixel more a side than the corners span
+    prob = prob[top:below, left:right]
+    y, x = np.ogrid[top : top + prob.shape[0], left : left + prob.shape[1]]
     turns = [(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) for a, b in zip(corners, np.roll(corners, -1, axis=0), strict=True)]
     inside = (np.max(turns, axis=0) <= 0) | (np.min(turns, axis=0) >= 0)
     return float(prob[inside].mean()) if inside.any() else 0.0
@@ -167,23 +175,27 @@ MASK, SCORE, SIDE, GROWTH, SPAN, MOST = 0.3, 0.5, 3, 1.6, 0.8, 1000
 def grown(mask: np.ndarray, times: int) -> np.ndarray:
     """A mask grown by one pixel on all sides, `times` times; the border is never written."""
     for _ in range(times):
-        wide = np.pad(mask, 1)
-        around = np.any([wide[1 + dy : wide.shape[0] - 1 + dy, 1 + dx : wide.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-        mask = mask.copy()
-        mask[1:-1, 1:-1] |= around[1:-1, 1:-1]
+        mask, beside = mask.copy(), mask[:, :-2] | mask[:, 1:-1] | mask[:, 2:]
+        mask[1:-1, 1:-1] |= beside[:-2] | beside[1:-1] | beside[2:]
     return mask
 
 
 def turned_boxes(prob: np.ndarray, scale: float = 1.0) -> list[tuple[int, float, float, float, float, float, float]]:
     """(component, cx, cy, w, h, angle, score) of a probability map's turned text boxes, in the picture's coordinates."""
     height, width = prob.shape
-    parts = label(grown(prob > MASK, 2))
+    mask = grown(prob > MASK, 2)
+    rows, columns = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    if not len(rows):
+        return []
+    top, left = rows[0], columns[0]
+    parts = label(mask[top : rows[-1] + 1, left : columns[-1] + 1])
     out = []
     for k in range(1, min(int(parts.max()), MOST) + 1):
         y, x = np.nonzero(parts == k)
+        y, x = y + top, x + left
         if len(x) < SIDE * SIDE or np.ptp(x) + 1 > int(SPAN * width) or np.ptp(y) + 1 > int(SPAN * height):
             continue
-        around = hull(np.stack([x, y], 1))
+        around = hull(ends_of_rows(x, y))
         if len(around) < 3:
             continue
         cx, cy, w, h, angle = tight_rectangle(around)

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glintframe.operators import ctc, grid
-from glintframe.operators.pixels import CORNERS, PREPS, prepared, straight_crops
-from glintframe.operators.scorer import batched
+from glintframe.operators.pixels import CORNERS, PREPS, straight_crops
+from glintframe.operators.scorer import scored
 from glintframe.sources.images import as_text, from_text, given, image_of
 
 _FOUND = pa.schema([("key", pa.string()), ("part", pa.int64()), *((c, pa.float64()) for c in [*CORNERS, "angle", "score"])])
@@ -28,8 +28,7 @@ def detected(pictures: DataFrame, detector: str, key: str = "path") -> DataFrame
     the box's component, in raster order. A picture without pixels has no boxes.
     """
     own = F.struct(F.col(key).alias("key"), F.col("width").alias("w"), F.col("height").alias("h")).alias("picture")
-    tensors = prepared(pictures.where("pixels is not null").select(own, "width", "height", "pixels"), "detector", "picture")
-    maps = batched(tensors, detector, "picture")
+    maps = scored(pictures.select(own, "width", "height", "pixels"), "detector", detector, "picture")
     kind = pictures.schema[key].dataType
     size = PREPS["detector"].size
 
@@ -61,7 +60,7 @@ def upright(crops: DataFrame, classifier: str, key: str = "crop") -> DataFrame:
     is the larger one and over FLIPPED.
     """
     kind = crops.schema[key].dataType
-    found = batched(prepared(crops, "orientation", key), classifier, key)
+    found = scored(crops, "orientation", classifier, key)
     down = found.where((F.col("turned") > F.col("upright")) & (F.col("turned") > FLIPPED)).select(key, F.lit(True).alias("flipped"))
     marked = crops.where("pixels is not null").join(down, key, "left").select(as_text(F.col(key), kind).alias("key"), "width", "height", "pixels", F.coalesce("flipped", F.lit(False)).alias("flipped"))
 
@@ -81,7 +80,7 @@ def recognized(crops: DataFrame, recognizer: str, charset: DataFrame, key: str =
     The recognizer gives (t, cls, val) for each step of a crop: its best class and that class's
     value. charset: (idx, chr), the blank at 0.
     """
-    steps = batched(prepared(crops, "recognizer", key), recognizer, key)
+    steps = scored(crops, "recognizer", recognizer, key)
     return ctc.text(ctc.symbols(steps.withColumnRenamed(key, "crop_id"), charset)).withColumnRenamed("crop_id", key)
 
 

@@ -7,7 +7,7 @@ that depend on the sizes only and are kept while a task runs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -119,6 +119,12 @@ def luminance(image: np.ndarray) -> np.ndarray:
     return ((image.astype(np.int64) @ weights) // 10_000).astype(np.uint8)
 
 
+@lru_cache(maxsize=64)
+def normalized(prep: Prep) -> np.ndarray:
+    """(channel x 256) what the values of a pixel become."""
+    return ((np.arange(256)[:, None] / prep.unit - np.array(prep.mean)) / np.array(prep.deviation)).astype(np.float32).T.copy()
+
+
 def tensor_of(image: np.ndarray, prep: Prep) -> np.ndarray | None:
     """Channels x height x width; None for a picture under the least side."""
     high, wide = image.shape[:2]
@@ -129,11 +135,19 @@ def tensor_of(image: np.ndarray, prep: Prep) -> np.ndarray | None:
     w, h = prep.size(wide, high)
     pad_w, pad_h = prep.padded(w, h)
     out = np.zeros((3, pad_h, pad_w), np.float32)
-    values = (resized(image, w, h) / prep.unit - np.array(prep.mean)) / np.array(prep.deviation)
-    out[:, :h, :w] = values.transpose(2, 0, 1)
+    for plane, values, channel in zip(out, normalized(prep), resized(image, w, h).transpose(2, 0, 1), strict=True):
+        plane[:h, :w] = values[channel]
     return out
 
 
+def tensors_of(batches: Iterable[pa.RecordBatch], prep: Prep) -> Iterator[tuple[str, float | None, np.ndarray | None]]:
+    """(key, scale, tensor) of each picture (key, width, height, pixels); both None for one without pixels or under the least side."""
+    for batch in batches:
+        for name, w, h, p in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+            t = tensor_of(image_of(p.as_py(), w, h), prep) if p.is_valid and w and h else None
+            yield name, None if t is None else prep.size(w, h)[0] / w, t
+
+
 def prepared(pictures: DataFrame, model: str, key: str = "path") -> DataFrame:
     """key, width and height of the tensor, scale (tensor pixels a picture pixel along x, before padding) and tensor of each picture.
 
@@ -144,13 +158,8 @@ def prepared(pictures: DataFrame, model: str, key: str = "path") -> DataFrame:
     schema = pa.schema([("key", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("scale", pa.float64()), ("tensor", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for name, w, h, p in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                    t = tensor_of(image_of(p.as_py(), w, h), prep) if p.is_valid and w and h else None
-                    yield (name, None, None, None, None) if t is None else (name, t.shape[2], t.shape[1], prep.size(w, h)[0] / w, t.tobytes())
-
-        yield from given(rows(), schema, lambda r: len(r[4] or b""))
+        rows = ((k, None, None, None, None) if t is None else (k, t.shape[2], t.shape[1], scale, t.tobytes()) for k, scale, t in tensors_of(batches, prep))
+        yield from given(rows, schema, lambda r: len(r[4] or b""))
 
     rows = pictures.select(as_text(F.col(key), kind).alias("key"), "width", "height", "pixels")
     out = rows.mapInArrow(run, "key string, width int, height int, scale double, tensor binary")

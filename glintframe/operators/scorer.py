@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from glintframe.operators.pixels import PREPS, tensors_of
 from glintframe.sources.images import as_text, from_text
 
 
@@ -126,41 +130,68 @@ def batched(tensors: DataFrame, name: str, key: str = "path", batch: int = BATCH
     sizes take at most n / batch + b calls. Rows come in the order of the tensors. A null tensor
     gives no rows. profile: resources that the stage asks for, as a GPU.
     """
+    columns, scored = _calls(name, batch, step)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for pdf in batches for row in pdf.itertuples(index=False, name=None))
+        yield from scored((k, np.frombuffer(t, np.float32).reshape(3, h, w)) for k, w, h, t in rows)
+
+    kind = tensors.schema[key].dataType
+    rows = tensors.where("tensor is not null").select(as_text(F.col(key), kind).alias("key"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "tensor")
+    out = rows.mapInPandas(run, f"key string, {columns}", profile=profile)
+    return out.select(from_text(F.col("key"), kind).alias(key), *out.columns[1:])
+
+
+def _calls(name: str, batch: int, step: int) -> tuple[str, Callable[[Iterable[tuple[str, np.ndarray]]], Iterator[pd.DataFrame]]]:
+    """The model's columns, and what gives its rows for (key, tensor) in their order."""
     if name not in _FACTORIES:
         raise KeyError(f"unknown model {name}; known: {', '.join(sorted(_FACTORIES))}")
     factory = _FACTORIES[name]
-    schema, kind = factory().schema, tensors.schema[key].dataType
-    names = [part.split()[0] for part in schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = factory().schema
+    names = ["key", *(part.split()[0] for part in schema.split(","))]
+
+    def called(model: BatchScorer, held: list[tuple[str, np.ndarray]]) -> pd.DataFrame:
+        found: list[list[tuple]] = [[]] * len(held)
+        for pack in packs([(t.shape[2], t.shape[1]) for _, t in held], batch, step):
+            first = held[pack[0]][1]
+            wide = np.zeros((len(pack), 3, first.shape[1], width_of(first.shape[2], step)), np.float32)
+            for row, i in zip(wide, pack, strict=True):
+                row[:, :, : held[i][1].shape[2]] = held[i][1]
+            for i, rows in zip(pack, model.score_batch(wide, [held[i][1].shape[2] for i in pack]), strict=True):
+                found[i] = rows
+        return pd.DataFrame([(k, *r) for (k, _), rows in zip(held, found, strict=True) for r in rows], columns=names)
+
+    def scored(tensors: Iterable[tuple[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
         model = _open.setdefault(name, factory())
-
-        def scored(held: list[tuple]) -> pd.DataFrame:
-            found: list[list[tuple]] = [[]] * len(held)
-            for pack in packs([(w, h) for _, w, h, _ in held], batch, step):
-                height = held[pack[0]][2]
-                wide = np.zeros((len(pack), 3, height, width_of(held[pack[0]][1], step)), np.float32)
-                for row, i in zip(wide, pack, strict=True):
-                    row[:, :, : held[i][1]] = np.frombuffer(held[i][3], np.float32).reshape(3, height, held[i][1])
-                for i, rows in zip(pack, model.score_batch(wide, [held[i][1] for i in pack]), strict=True):
-                    found[i] = rows
-            return pd.DataFrame([(k, *r) for (k, *_), rows in zip(held, found, strict=True) for r in rows], columns=["key", *names])
-
-        held, total = [], 0
-        for pdf in batches:
-            for row in pdf.itertuples(index=False, name=None):
-                held.append(row)
-                total += len(row[3])
-                if total >= HELD:
-                    yield scored(held)
-                    held, total = [], 0
-            del pdf
+        held: list[tuple[str, np.ndarray]] = []
+        total = 0
+        for key, t in tensors:
+            held.append((key, t))
+            total += t.nbytes
+            if total >= HELD:
+                yield called(model, held)
+                held, total = [], 0
         if held:
-            yield scored(held)
+            yield called(model, held)
+
+    return schema, scored
 
-    rows = tensors.where("tensor is not null").select(as_text(F.col(key), kind).alias("key"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "tensor")
-    out = rows.mapInPandas(run, f"key string, {schema}", profile=profile)
-    return out.select(from_text(F.col("key"), kind).alias(key), *names)
+
+def scored(pictures: DataFrame, prep: str, name: str, key: str = "path", batch: int = BATCH, step: int = 64, profile: ResourceProfile | None = None) -> DataFrame:
+    """batched(prepared(pictures, prep, key), name, key) in one pass: a tensor is made and scored in the same task and never moves as a row."""
+    columns, calls = _calls(name, batch, step)
+    ready, kind = PREPS[prep], pictures.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in calls((k, t) for k, _, t in tensors_of(batches, ready) if t is not None):
+            yield pa.RecordBatch.from_pandas(pdf, arrow, preserve_index=False)
+
+    rows = pictures.where("pixels is not null").select(as_text(F.col(key), kind).alias("key"), "width", "height", "pixels")
+    schema = T.StructType().add("key", "string")
+    schema = T.StructType([*schema.fields, *T.StructType.fromDDL(columns).fields])
+    arrow = to_arrow_schema(schema)
+    out = rows.mapInArrow(run, schema, profile=profile)
+    return out.select(from_text(F.col("key"), kind).alias(key), *out.columns[1:])
 
 
 class Linear:
@@ -181,8 +212,6 @@ class Bright:
     schema = "wide int, prob binary"
 
     def score_batch(self, x: np.ndarray, widths: list[int]) -> list[list[tuple]]:
-        from glintframe.operators.pixels import PREPS
-
         prep = PREPS["detector"]
         mean, deviation = (np.array(v)[:, None, None] for v in (prep.mean, prep.deviation))
         light = (x * deviation + mean).mean(1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from glintframe.operators.ocr import detected
 from glintframe.operators.scorer import batched
 from glintframe.plans.registry import query
 from glintframe.sources import images as I
-from glintframe.sources.tables import BOXES_SQL, boxes, table
+from glintframe.sources.tables import BOXES_SQL, boxes, spread, table
 
 WIDE = 32
 #: The same pictures in DuckDB SQL, pixels as hexadecimal digits.
@@ -148,11 +150,23 @@ def scorer_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rotated_box_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turned boxes of bright bars, one in each picture, through a detector called in batches; place, size and slope of the bar come from the document."""
     wide, high = 96, 64
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n")), "doc_id", 4000)
     docs = docs.select("doc_id", (40 + F.col("n") % 16).alias("cx"), (26 + F.col("n") % 12).alias("cy"), (8 + F.col("n") % 9).alias("half"), (F.col("n") % 7 * 0.15 - 0.45).alias("slope"))
-    x, y = (lambda i: i % wide), (lambda i: F.floor(i / wide))
-    bar = lambda i: (F.abs(x(i) - F.col("cx") + F.col("slope") * (y(i) - F.col("cy"))) <= F.col("half")) & (F.abs(y(i) - F.col("cy") - F.col("slope") * (x(i) - F.col("cx"))) <= 5)
-    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(wide * high - 1)), lambda i: F.when(bar(i), "E6E6E6").otherwise("0D0D0D")), "")
-    made = docs.select("doc_id", F.lit(wide).alias("width"), F.lit(high).alias("height"), F.unhex(digits).alias("pixels"))
+    schema = pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())])
+
+    def bars(batches):
+        x, y = np.arange(wide), np.arange(high)[:, None]
+
+        def rows():
+            for batch in batches:
+                for doc, cx, cy, half, slope in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    bar = np.zeros((high, wide), bool)  # of a null text
+                    if cx is not None:
+                        bar = (abs(x - cx + slope * (y - cy)) <= half) & (abs(y - cy - slope * (x - cx)) <= 5)
+                    yield doc, wide, high, np.where(bar, np.uint8(0xE6), np.uint8(0x0D)).repeat(3).tobytes()
+
+        yield from I.given(rows(), schema, lambda r: len(r[3]))
+
+    made = docs.mapInArrow(bars, "doc_id long, width int, height int, pixels binary")
     found = detected(made, "bright", "doc_id")
     return found.select("doc_id", F.col("part").cast("int").alias("part"), *(F.round(c, 3).alias(c) for c in P.CORNERS), F.round("angle", 4).alias("angle"), F.round("score", 4).alias("score"))
