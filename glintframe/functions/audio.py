@@ -23,7 +23,7 @@ def mono(samples: Column, channels: int) -> Column:
     return F.when(F.size(samples) == 0, samples).otherwise(F.transform(frames, one))
 
 
-def read_wav(content: bytes) -> tuple[list[float], int]:
+def wav_array(content: bytes) -> tuple[np.ndarray, int]:
     """(mono samples, rate) of a RIFF file of 8 to 32-bit integers or 32-bit floats."""
     kind = channels = rate = bits = 0
     at = 12
@@ -39,30 +39,42 @@ def read_wav(content: bytes) -> tuple[list[float], int]:
                 x = np.frombuffer(body, "<f4").astype(float)
             elif width == 1:
                 x = (np.frombuffer(body, np.uint8).astype(float) - 128) / 128
+            elif width == 2:
+                x = np.frombuffer(body, "<i2") / 32768.0
             else:
                 raw = np.frombuffer(body, np.uint8).reshape(-1, width)
                 wide = np.zeros((len(raw), 4), np.uint8)
                 wide[:, 4 - width :] = raw
                 x = wide.view("<i4").ravel() / float(1 << 31)
+            if channels == 1:
+                return x, rate
             x = np.concatenate([x, np.zeros(-len(x) % channels)])
-            return (x.reshape(-1, channels).sum(1) / channels).tolist(), rate
+            return x.reshape(-1, channels).sum(1) / channels, rate
         at += 8 + size + size % 2
     raise ValueError("no audio data")
 
 
+def read_wav(content: bytes) -> tuple[list[float], int]:
+    """wav_array with the samples as a list."""
+    samples, rate = wav_array(content)
+    return samples.tolist(), rate
+
+
+def wav_of(content: bytes | None) -> tuple[int | None, np.ndarray | None, str | None]:
+    """(rate, samples, error) of a file."""
+    try:
+        samples, rate = wav_array(content)
+        return rate, samples, None
+    except (ValueError, TypeError, ZeroDivisionError, struct.error) as e:
+        return None, None, str(e) or type(e).__name__
+
+
 def wav_samples(files: DataFrame) -> DataFrame:
     """(path, rate, samples, error) of (path, content). A null or malformed file has an error and neither rate nor samples."""
 
-    def one(content) -> tuple:
-        try:
-            samples, rate = read_wav(bytes(content))
-            return rate, samples, None
-        except (ValueError, TypeError, ZeroDivisionError, struct.error) as e:
-            return None, None, str(e) or type(e).__name__
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rate, samples, error = zip(*map(one, batch.column("content").to_pylist()), strict=True) if len(batch) else ((), (), ())
+            rate, samples, error = zip(*map(wav_of, batch.column("content").to_pylist()), strict=True) if len(batch) else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(rate, pa.int32()), pa.array(samples, pa.list_(pa.float64())), pa.array(error, pa.string())], ["path", "rate", "samples", "error"])
 
     kind = dict(files.dtypes)["path"]

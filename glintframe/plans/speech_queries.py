@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glintframe.functions import audio
 from glintframe.plans.registry import query
-from glintframe.sources.tables import shared_folder, table
+from glintframe.sources.tables import shared_folder, spread, table
 
 #: Silence that ends an utterance with a text, and one without; the longest utterance: in seconds, at the pace of the events table.
 GAP, IDLE, LONGEST = 20_000, 60_000, 100_000
@@ -221,14 +221,18 @@ def stt_transcribe(spark: SparkSession, sf_dir: str) -> DataFrame:
     wave = [np.sin(np.arange(each) * (model.lowest + model.step * k) * (2 * np.pi / model.rate)) * 8000 for k in range(len(model.letters))]
     tones = F.array(*(F.lit(x.round().astype("<i2").tobytes()) for x in wave))
     letters = [F.instr(F.lit(model.letters), F.substring("event_type", 1, 1)) - 1, F.col("user_id") % 5, F.col("event_id") % 5]
-    count = F.when(F.col("event_id") % 10 == 4, 2).otherwise(3)
-    low = lambda n: F.unhex(F.reverse(F.regexp_replace(F.lpad(F.hex(n), 8, "0"), "(.)(.)", "$2$1")))
-    # the header of a file of 16-bit mono at 2,000 samples a second
-    head = F.concat(F.lit(b"RIFF"), low(36 + 2 * each * count), F.lit(b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, model.rate, 2 * model.rate, 2, 16)))
-    said = F.array_join(F.slice(F.array(*(F.hex(F.get(tones, x.cast("int"))) for x in letters)), F.lit(1), count), "")
-    whole = F.concat(head, F.lit(b"data"), low(2 * each * count), F.unhex(said))
-    content = F.when(F.col("event_id") % 10 == 3, head).otherwise(whole)
-    found = transcribed_files(table(spark, sf_dir, "events").select(F.col("event_id").alias("path"), content.alias("content")), "low tones")
+    tenth = F.col("event_id") % 10
+
+    def head(count: int) -> bytes:
+        """The header of a file of `count` tones, 16-bit mono."""
+        size = 2 * each * count
+        return b"RIFF" + struct.pack("<I", 36 + size) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, model.rate, 2 * model.rate, 2, 16) + b"data" + struct.pack("<I", size)
+
+    first, second, third = (F.get(tones, x.cast("int")) for x in letters)
+    whole = F.when(tenth == 4, F.concat(F.lit(head(2)), first, second)).otherwise(F.concat(F.lit(head(3)), first, second, third))
+    content = F.when(tenth == 3, F.lit(head(3)[:36])).otherwise(whole)
+    events = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id", 20_000)
+    found = transcribed_files(events.select(F.col("event_id").alias("path"), content.alias("content")), "low tones")
     return found.select(F.col("path").alias("event_id"), F.round("seconds", 3).alias("seconds"), "text", "error")
 
 

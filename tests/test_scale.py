@@ -7,9 +7,10 @@ import inspect
 import numpy as np
 from pyspark.sql import functions as F
 
-from glintframe.operators import grid, ocr, pixels, scorer
+from glintframe.operators import grid, ocr, pixels, scorer, transcribe
 from glintframe.plans import all_queries
 from glintframe.sources import tables
+from glintframe.streaming.recognizer import RECOGNIZERS, listened
 
 
 def one_file(spark, path, rows, schema):
@@ -69,3 +70,40 @@ def test_growing_and_ends_of_rows():
         y, x = np.nonzero(mask)
         if len(y):
             assert grid.hull(grid.ends_of_rows(x, y)).tolist() == grid.hull(np.stack([x, y], 1)).tolist()
+
+
+def tones(model, *kinds):
+    t = np.arange(2 * model.chunk) / model.rate
+    return [(8000 * np.sin(2 * np.pi * (model.lowest + model.step * k) * t)).round().astype(np.int16) if k is not None else np.zeros(2 * model.chunk, np.int16) for k in kinds]
+
+
+def test_chunks_listened_to_together_are_those_decoded_one_by_one():
+    model = RECOGNIZERS["low tones"]()
+    x = np.concatenate(tones(model, 0, None, 0, 3, 3, None, 4, 1))
+    chunks, follow = listened(model, x.tobytes())
+    assert len(chunks) == len(x) // model.chunk
+    one = many = model.fresh()
+    for at, chunk in enumerate(chunks):
+        one, *said = model.decode(one, x[at * model.chunk : (at + 1) * model.chunk].tobytes())
+        many, *heard = follow(many, chunk)
+        assert (one, said) == (many, heard)
+    assert said[0] == "vvecs"
+
+    class Plain:  # a recognizer that only decodes
+        chunk = 4
+        decode = staticmethod(lambda memory, samples: (memory, samples.hex(), True))
+
+    chunks, follow = listened(Plain(), bytes(range(16)))
+    assert [follow(b"", c)[1] for c in chunks] == [bytes(range(8)).hex(), bytes(range(8, 16)).hex()]
+
+
+def test_files_are_transcribed_in_one_pass_and_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(transcribe, "HELD", 1000)
+    rows = [(k, k % 7, ("view", "search", "purchase", "error", "click")[k % 5]) for k in range(200)]
+    one_file(spark, f"{tmp_path}/events.parquet", rows, "event_id long, user_id long, event_type string")
+    df = all_queries.QUERIES["stt_transcribe"](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() >= 4 and df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    for r in df.collect():
+        said = [rows[r.event_id][2][0], *("vspec"[k % 5] for k in (rows[r.event_id][1], r.event_id))]
+        want = "".join(c for c, before in zip(said, ["", *said], strict=False) if c != before)
+        assert r.text == (None if r.event_id % 10 in (3, 4) else want) and (r.error is None) == (r.text is not None)
