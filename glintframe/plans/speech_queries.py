@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glintframe.functions import audio
 from glintframe.plans.registry import query
-from glintframe.sources.tables import shared_folder, spread, table
+from glintframe.sources.tables import BATCH_BYTES, shared_folder, spread, table
 
 #: Silence that ends an utterance with a text, and one without; the longest utterance: in seconds, at the pace of the events table.
 GAP, IDLE, LONGEST = 20_000, 60_000, 100_000
@@ -100,8 +100,11 @@ def _streamed(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, DataFrame
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     frames = own.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*").parquet(sf_dir)
-    return own, frames.withColumn("ts", F.col("ts").cast("timestamp"))
+    # dealt by stream as the state is, before frames are made of events: what moves is narrow, and a file in one piece is many tasks
+    frames = frames.select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    return own, frames.repartition(int(own.conf.get("spark.sql.shuffle.partitions")), "stream_id")
 
 
 @query(f"""WITH RECURSIVE {_RELEASED},
@@ -123,7 +126,7 @@ def stt_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _, frames = _streamed(spark, sf_dir)
     kind = F.when(F.col("event_type") == "error", "reset").otherwise("audio")
-    frames = frames.select(F.col("user_id").alias("stream_id"), "ts", F.col("event_id").alias("seq"), kind.alias("type"), F.col("event_type").alias("text"))
+    frames = frames.select("stream_id", "ts", F.col("event_id").alias("seq"), kind.alias("type"), F.col("event_type").alias("text"))
     home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stt.run_now(stt.sessions(frames, GAP, LONGEST, IDLE, late=LATE), home)
     return spark.read.schema(stt.OUTPUT).parquet(f"{home}/out")
@@ -147,10 +150,11 @@ def stt_pcm_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _, frames = _streamed(spark, sf_dir)
     model = RECOGNIZERS["low tones"]()
-    hertz = model.lowest + model.step * (F.instr(F.lit(model.letters), F.substring("event_type", 1, 1)) - 1)
-    tone = F.transform(F.sequence(F.lit(0), F.lit(TONE * model.chunk - 1)), lambda i: F.round(F.sin(i * hertz * (2 * 3.141592653589793 / model.rate)) * 8000).cast("short"))
+    wave = [np.sin(np.arange(TONE * model.chunk) * (model.lowest + model.step * k) * (2 * np.pi / model.rate)) * 8000 for k in range(-1, len(model.letters))]
+    tones = F.array(*(F.array(*map(F.lit, x.round().astype(int).tolist())).cast("array<short>") for x in wave))  # one below the lowest: no letter of the model's
+    tone = F.get(tones, F.instr(F.lit(model.letters), F.substring("event_type", 1, 1)))
     pcm = F.concat(tone, F.array_repeat(F.lit(0).cast("short"), (F.col("event_id") % 30 * model.chunk).cast("int")))
-    frames = frames.select(F.col("user_id").alias("stream_id"), "ts", "event_id", pcm.alias("pcm"))
+    frames = frames.select("stream_id", "ts", "event_id", pcm.alias("pcm"))
     cut = F.array(F.slice("pcm", 1, 57), F.slice("pcm", 58, 1 << 20))
     frames = frames.select("stream_id", "ts", "event_id", F.posexplode(cut).alias("half", "pcm"))
     frames = frames.select("stream_id", "ts", (F.col("event_id") * 2 + F.col("half")).alias("seq"), F.lit("audio").alias("type"), "pcm")

@@ -6,19 +6,24 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from glintframe.streaming.recognizer import RECOGNIZERS
+from glintframe.streaming.recognizer import RECOGNIZERS, listened
 
 OUTPUT = "stream_id long, seq long, type string, text string"
 FRAMES = "stream_id long, ts timestamp, seq long, type string, text string"
 HEARD = "stream_id long, chunk long, type string, text string"
 #: Server frames given at once.
 GIVEN = 1 << 14
+#: Bytes of a block of waiting frames, about, and how they are ordered and packed.
+BLOCK = 1 << 16
+ORDER = [("us", "ascending"), ("seq", "ascending")]
+PACKED = pa.ipc.IpcWriteOptions(compression="lz4")
 
 
 @dataclass(frozen=True)
@@ -78,14 +83,29 @@ def utterances(frames: DataFrame, rules: Rules) -> DataFrame:
     return ordered.mapInArrow(cut, "stream_id long, utterance long, began double, ended double, frames long, said boolean, reason string")
 
 
+def _seconds(frames: pa.Table) -> np.ndarray:
+    return frames["us"].to_numpy() // 1_000_000
+
+
+def _values(column: pa.ChunkedArray) -> list:
+    """The column's values; lists as arrays that share its memory."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    one = column.chunk(0)
+    flat, ends = one.values.to_numpy(zero_copy_only=False), one.offsets.to_pylist()
+    return [flat[a:b] if known else None for a, b, known in zip(ends[:-1], ends[1:], one.is_valid().to_pylist(), strict=True)]
+
+
 class InOrder(StatefulProcessor):
     """One stream's frames in order of (time, seq), whatever batches they come in.
 
-    Frames wait in a map state, by whole seconds, until the watermark has passed their second, as
-    then no earlier one can come: `take` gets them, second by second, and `quiet` learns how far
-    time has come without another. A timer in event time wakes the stream for the next second that
-    waits and for the silence that ends its utterance. In memory are one second's frames and GIVEN
-    rows; what waits is what came within the lateness that the watermark allows.
+    Frames wait in a map state until the watermark has passed their second, as then no earlier one
+    can come: `take` gets them in order, and `quiet` learns how far time has come without another.
+    An entry is a block of ordered frames under its first second; blocks don't overlap, and one that
+    grows beyond BLOCK bytes is split between seconds, so a sparse stream has one for many seconds.
+    A timer in event time wakes the stream for the next second that waits and for the silence that
+    ends its utterance. In memory are a block and GIVEN rows; what waits is what came within the
+    lateness that the watermark allows.
     """
 
     schema: pa.Schema  # of waiting frames: us, seq, type and what they carry
@@ -107,36 +127,58 @@ class InOrder(StatefulProcessor):
 
     def saved(self, over: bool) -> None: ...
 
-    def _packed(self, frames: pa.Table) -> bytes:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, self.schema) as w:
-            w.write_table(frames)
-        return sink.getvalue().to_pybytes()
+    def _keep(self, frames: pa.Table) -> None:
+        """Ordered frames as blocks."""
+        seconds = _seconds(frames)
+        places = np.arange(1, -(-frames.nbytes // BLOCK)) * len(seconds) // -(-frames.nbytes // BLOCK)
+        cuts = np.unique([0, *np.searchsorted(seconds, seconds[places]), len(seconds)])
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.schema, options=PACKED) as w:
+                w.write_table(frames.slice(low, high - low))
+            self.waiting.updateValue((int(seconds[low]),), (sink.getvalue().to_pybytes(),))
+
+    def _kept(self, second: int) -> pa.Table:
+        return pa.ipc.open_stream(self.waiting.getValue((second,))[0]).read_all()
+
+    def _keys(self) -> list[int]:
+        return sorted(k[0] for k in self.waiting.keys()) if self.waiting.exists() else []
 
     def _wait(self, pdf: pd.DataFrame) -> None:
-        for second, part in pdf[self.schema.names].groupby(pdf["us"] // 1_000_000):
-            new, key = pa.Table.from_pandas(part, self.schema, preserve_index=False), (int(second),)
-            if self.waiting.containsKey(key):
-                new = pa.concat_tables([pa.ipc.open_stream(self.waiting.getValue(key)[0]).read_all(), new])
-            self.waiting.updateValue(key, (self._packed(new),))
+        new = pa.Table.from_pandas(pdf[self.schema.names], self.schema, preserve_index=False).sort_by(ORDER)
+        keys = self._keys()
+        block = np.searchsorted(keys, _seconds(new), side="right") - 1  # the last that begins no later; -1: one before all
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            part = new.slice(low, high - low)
+            if high > low:
+                self._keep(part if block[low] < 0 else pa.concat_tables([self._kept(keys[block[low]]), part]).sort_by(ORDER))
 
     def _advanced(self, key: tuple, timers) -> Iterator[pd.DataFrame]:
         now = timers.getCurrentWatermarkInMs()
-        seconds = sorted(k[0] for k in self.waiting.keys()) if self.waiting.exists() else []
-        ready = [s for s in seconds if (s + 1) * 1000 <= now]
+        passed, next_ = now // 1000, []
         out: list[tuple] = []
         self.loaded()
-        for second in ready:
-            frames = pa.ipc.open_stream(self.waiting.getValue((second,))[0]).read_all().sort_by([("us", "ascending"), ("seq", "ascending")])
-            for frame in zip(*(c.to_pylist() for c in frames.columns), strict=True):
-                self.take(frame, out)
+        for second in self._keys():
+            if second >= passed:
+                next_ = [(second + 1) * 1000]
+                break
+            frames = self._kept(second)
+            seconds = _seconds(frames)
+            n = int(np.searchsorted(seconds, passed))
             self.waiting.removeKey((second,))
-            if len(out) >= GIVEN:
-                yield self._rows(key, out)
+            if n < len(seconds):
+                self._keep(frames.slice(n))
+            for frame in zip(*map(_values, frames.slice(0, n).combine_chunks().columns), strict=True):
+                self.take(frame, out)
+                if len(out) >= GIVEN:
+                    yield self._rows(key, out)
+            if n < len(seconds):
+                next_ = [(int(seconds[n]) + 1) * 1000]
+                break
         again = self.quiet(now / 1000, out)
-        next_ = [] if again is None else [int(again * 1000) + 1]
+        next_ += [] if again is None else [int(again * 1000) + 1]
         self.saved(over=again is None)
-        next_ += [(s + 1) * 1000 for s in seconds[len(ready) : len(ready) + 1]]
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if next_:
@@ -254,16 +296,20 @@ class Hearing(InOrder):
             if kind == "close":
                 self.heard, self.last = 0, -1.0
             return
-        self.rest.append(pa.array(pcm or [], pa.int16()).to_numpy().tobytes())
-        whole, size = b"".join(self.rest), 2 * self.model.chunk
-        for at in range(0, len(whole) - size + 1, size):
-            self.memory, text, speech = self.model.decode(self.memory, whole[at : at + size])
+        self.rest.append(b"" if pcm is None else pcm.astype(np.int16).tobytes())
+        size = 2 * self.model.chunk
+        if sum(map(len, self.rest)) < size:
+            return
+        whole = b"".join(self.rest)
+        chunks, follow = listened(self.model, whole[: len(whole) - len(whole) % size])
+        seconds, gap, idle, longest = self.model.seconds, self.rules.gap - 1e-9, self.rules.idle - 1e-9, self.rules.longest - 1e-9
+        for chunk in chunks:
+            self.memory, text, speech = follow(self.memory, chunk)
             self.silent, self.length = 0 if speech else self.silent + 1, self.length + 1
             if text and text != self.text:
                 self.text = text
                 out.append((self.heard, "partial", text))
-            pause, length = (n * self.model.seconds for n in (self.silent, self.length))
-            if pause >= (self.rules.gap if self.text else self.rules.idle) - 1e-9 or length >= self.rules.longest - 1e-9:
+            if self.silent * seconds >= (gap if self.text else idle) or self.length * seconds >= longest:
                 if self.text:
                     out.append((self.heard, "final", self.text))
                 out.append((self.heard, "endpoint", None))

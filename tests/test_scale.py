@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import inspect
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from glintframe.operators import grid, ocr, pixels, scorer, transcribe
-from glintframe.plans import all_queries
+from glintframe.plans import all_queries, speech_queries
 from glintframe.sources import tables
+from glintframe.streaming import stt
 from glintframe.streaming.recognizer import RECOGNIZERS, listened
+from tests import test_streams
 
 
 def one_file(spark, path, rows, schema):
@@ -107,3 +110,45 @@ def test_files_are_transcribed_in_one_pass_and_many_tasks(spark, tmp_path, monke
         said = [rows[r.event_id][2][0], *("vspec"[k % 5] for k in (rows[r.event_id][1], r.event_id))]
         want = "".join(c for c, before in zip(said, ["", *said], strict=False) if c != before)
         assert r.text == (None if r.event_id % 10 in (3, 4) else want) and (r.error is None) == (r.text is not None)
+
+
+class Calls(test_streams.Map):
+    """A map state that counts what it is asked."""
+
+    asked = 0
+
+    def getValue(self, key):
+        self.asked += 1
+        return super().getValue(key)
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        super().updateValue(key, value)
+
+
+def test_sparse_frames_wait_in_few_blocks(monkeypatch):
+    frames = [(k * 50_000_000, k, "audio", "ab"[k % 2]) for k in range(500)]
+    states = []
+    monkeypatch.setattr(test_streams, "Map", lambda: states.append(Calls()) or states[-1])
+    rows, handle, waiting = test_streams.played(stt.Session(60, 10**6, 90), [frames], 1)
+    assert rows == test_streams.plain(frames, 60, 10**6, 90)
+    assert waiting == 1 and states[0].asked < 10  # an entry a second took 1,000 calls and more
+
+
+def test_blocks_are_split_between_seconds(monkeypatch):
+    monkeypatch.setattr(stt, "BLOCK", 2000)
+    rng = np.random.default_rng(5)
+    frames = [(int(us), k, "audio", f"t{k % 7}") for k, us in enumerate(np.sort(rng.integers(0, 10**8, 800)))]
+    mixed = [frames[k] for k in rng.permutation(len(frames))]
+    rows, handle, waiting = test_streams.played(stt.Session(5, 50, 9), [mixed[k : k + 90] for k in range(0, 800, 90)], 200)
+    assert rows == test_streams.plain(frames, 5, 50, 9) and 8 < waiting < 100 and not handle.map
+
+
+def test_streams_are_dealt_before_frames_are_made(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k, start + dt.timedelta(seconds=k), k % 3, ("view", "error", "search")[k % 4 % 3], 1.0) for k in range(90)]
+    one_file(spark, f"{tmp_path}/made", rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "events.parquet")
+    own, frames = speech_queries._streamed(spark, str(tmp_path))
+    assert "RepartitionByExpression" in frames._jdf.queryExecution().analyzed().toString() and "value" not in frames.columns
+    assert all_queries.QUERIES["stt_pcm_stream"](spark, str(tmp_path)).where("type = 'partial'").count() > 3
