@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -108,6 +110,40 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(p if len(p) < 3 else half(p) + half(p[::-1]), points.dtype).reshape(-1, 2)
 
 
+def hulls(points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which sets, their hulls: sets x vertices x 2) of sets x points x 2, for each number of vertices; hull of all sets at once."""
+    p = np.take_along_axis(points, np.lexsort((points[..., 1], points[..., 0]))[..., None], 1)
+    alone = (p[:, 1:] == p[:, :-1]).all(2).any(1) | (len(p) < 16)  # sets with repeated points, and too few to gain from going together
+    for k in np.flatnonzero(alone):
+        yield np.array([k]), hull(p[k])[None]
+    rest = np.flatnonzero(~alone)
+    p = p[rest]
+    n, size = p.shape[:2]
+    if size < 3 or not n:
+        yield from [(rest, p)] if n else []
+        return
+    every = np.arange(n)
+    parts, counts = np.empty((n, 2 * size, 2), p.dtype), np.zeros(n, int)
+    for half in (p, p[:, ::-1]):
+        out, top = np.empty((n, size + 1, 2), p.dtype), np.zeros(n, int)
+        for q in half.swapaxes(0, 1):
+            at = np.flatnonzero(top > 1)
+            while len(at):
+                a, b, c = out[at, top[at] - 2], out[at, top[at] - 1], q[at]
+                at = at[(b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0]) <= 0]
+                top[at] -= 1
+                at = at[top[at] > 1]
+            out[every, top] = q
+            top += 1
+        for k in range(int(top.max()) - 1):  # all but the last
+            at = np.flatnonzero(top - 1 > k)
+            parts[at, counts[at]] = out[at, k]
+            counts[at] += 1
+    for m in np.unique(counts):
+        at = np.flatnonzero(counts == m)
+        yield rest[at], parts[at, :m]
+
+
 def ends_of_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Of pixels in raster order the first and the last of each row: all that a hull needs."""
     new = np.flatnonzero(np.diff(y)) + 1
@@ -116,31 +152,39 @@ def ends_of_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def tight_rectangle(points: np.ndarray) -> tuple[float, float, float, float, float]:
-    """(cx, cy, w, h, angle) of the smallest rectangle with a side along an edge of a hull; the first of equals; w >= h.
+    """(cx, cy, w, h, angle) of the smallest rectangle with a side along an edge of a hull; the first of equals; w >= h."""
+    return tuple(tight_rectangles(np.asarray(points, float)[None])[0].tolist())
+
+
+def tight_rectangles(points: np.ndarray) -> np.ndarray:
+    """tight_rectangle of each of many hulls of as many vertices (hulls x vertices x 2).
 
     Projections stay multiples of the edge's length until the end, so that rectangles of equal area over whole numbers compare as equal.
     """
     p = np.asarray(points, float)
-    edges = np.roll(p, -1, axis=0) - p
-    square = (edges**2).sum(1)
-    at = np.flatnonzero(square >= 1e-12)
-    if not len(at):
-        return float(p[0][0]), float(p[0][1]), 0.0, 0.0, 0.0
-    dx, dy, square = edges[at, 0], edges[at, 1], square[at]
-    along, across = np.outer(dx, p[:, 0]) + np.outer(dy, p[:, 1]), np.outer(dx, p[:, 1]) - np.outer(dy, p[:, 0])
-    a0, a1, b0, b1 = along.min(1), along.max(1), across.min(1), across.max(1)
-    k = int(np.argmin((a1 - a0) * (b1 - b0) / square))
-    cx = (dx[k] * (a1[k] + a0[k]) / 2 - dy[k] * (b1[k] + b0[k]) / 2) / square[k]
-    cy = (dy[k] * (a1[k] + a0[k]) / 2 + dx[k] * (b1[k] + b0[k]) / 2) / square[k]
-    length = np.sqrt(square[k])
-    w, h, angle = (a1[k] - a0[k]) / length, (b1[k] - b0[k]) / length, float(np.arctan2(dy[k], dx[k]))
-    if w < h:
-        w, h, angle = h, w, angle + np.pi / 2
-    while angle > np.pi / 2:
-        angle -= np.pi
-    while angle < -np.pi / 2:
-        angle += np.pi
-    return float(cx), float(cy), float(w), float(h), float(angle)
+    edges = np.roll(p, -1, axis=1) - p
+    square = (edges**2).sum(2)
+    flat = ~(square >= 1e-12).any(1)
+    dx, dy, x, y = edges[..., 0], edges[..., 1], p[:, None, :, 0], p[:, None, :, 1]
+    along, across = dx[..., None] * x + dy[..., None] * y, dx[..., None] * y - dy[..., None] * x
+    a0, a1, b0, b1 = along.min(2), along.max(2), across.min(2), across.max(2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        k = np.argmin(np.where(square >= 1e-12, (a1 - a0) * (b1 - b0) / square, np.inf), axis=1)
+        dx, dy, square, a0, a1, b0, b1 = (v[np.arange(len(p)), k] for v in (dx, dy, square, a0, a1, b0, b1))
+        cx = (dx * (a1 + a0) / 2 - dy * (b1 + b0) / 2) / square
+        cy = (dy * (a1 + a0) / 2 + dx * (b1 + b0) / 2) / square
+        length = np.sqrt(square)
+        w, h, angle = (a1 - a0) / length, (b1 - b0) / length, np.arctan2(dy, dx)
+    turned = w < h
+    w, h, angle = np.where(turned, h, w), np.where(turned, w, h), np.where(turned, angle + np.pi / 2, angle)
+    while (over := angle > np.pi / 2).any():
+        angle = np.where(over, angle - np.pi, angle)
+    while (under := angle < -np.pi / 2).any():
+        angle = np.where(under, angle + np.pi, angle)
+    out = np.stack([cx, cy, w, h, angle], 1)
+    out[flat] = 0
+    out[flat, :2] = p[flat, 0]
+    return out
 
 
 def corners_of(cx: float, cy: float, w: float, h: float, angle: float) -> np.ndarray:
@@ -214,13 +258,16 @@ def turned_boxes(prob: np.ndarray, scale: float = 1.0) -> list[tuple[int, float,
 
 def sharpest(points: np.ndarray, keep: int = 4) -> list[tuple[int, float, float]]:
     """The vertices of a hull that turn most, numbered in the hull's order; none for a hull with fewer."""
+    return [] if len(points) < keep else [(n, x, y) for n, (x, y) in enumerate(sharpest_of(points[None], keep)[0].tolist())]
+
+
+def sharpest_of(points: np.ndarray, keep: int = 4) -> np.ndarray:
+    """The vertices, in the hull's order, of each of many hulls of as many vertices, `keep` at least."""
     p = points.astype(float)
-    if len(p) < keep:
-        return []
-    a, b = np.roll(p, 1, axis=0) - p, np.roll(p, -1, axis=0) - p
-    cos = (a * b).sum(1) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), 1e-12)
-    at = np.sort(np.argsort(np.arccos(np.clip(cos, -1, 1)), kind="stable")[:keep])
-    return [(n, float(x), float(y)) for n, (x, y) in enumerate(p[at])]
+    a, b = np.roll(p, 1, axis=1) - p, np.roll(p, -1, axis=1) - p
+    cos = (a * b).sum(2) / np.maximum(np.linalg.norm(a, axis=2) * np.linalg.norm(b, axis=2), 1e-12)
+    at = np.sort(np.argsort(np.arccos(np.clip(cos, -1, 1)), axis=1, kind="stable")[:, :keep], axis=1)
+    return np.take_along_axis(p, at[..., None], 1)
 
 
 def perspective(source: np.ndarray, target: np.ndarray) -> np.ndarray | None:
@@ -234,3 +281,14 @@ def perspective(source: np.ndarray, target: np.ndarray) -> np.ndarray | None:
     except np.linalg.LinAlgError:
         return None
     return out if np.isfinite(out).all() and abs(np.linalg.det(np.array(a, float))) > 1e-12 else None
+
+
+def perspectives(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """perspective of many corners (n x 4 x 2): n x 8 coefficients, and which are any."""
+    x, y, u, v = source[..., 0], source[..., 1], target[..., 0], target[..., 1]
+    zero, one = np.zeros(x.shape), np.ones(x.shape)
+    a = np.stack([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], 2), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], 2)], 2).reshape(-1, 8, 8)
+    known = abs(np.linalg.det(a)) > 1e-12
+    out = np.zeros((len(a), 8))
+    out[known] = np.linalg.solve(a[known], target[known].reshape(-1, 8, 1))[..., 0]
+    return out, known & np.isfinite(out).all(1)

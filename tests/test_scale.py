@@ -152,3 +152,29 @@ def test_streams_are_dealt_before_frames_are_made(spark, tmp_path):
     own, frames = speech_queries._streamed(spark, str(tmp_path))
     assert "RepartitionByExpression" in frames._jdf.queryExecution().analyzed().toString() and "value" not in frames.columns
     assert all_queries.QUERIES["stt_pcm_stream"](spark, str(tmp_path)).where("type = 'partial'").count() > 3
+
+
+def test_hulls_of_many_sets_at_once():
+    rng = np.random.default_rng(6)
+    for n, size, top in ((40, 1, 9), (40, 2, 3), (200, 3, 4), (300, 7, 6), (20, 60, 9), (5, 12, 4)):
+        sets = rng.integers(0, top, (n, size, 2))
+        seen = []
+        for at, found in grid.hulls(sets):
+            seen += at.tolist()
+            rectangles, corners = grid.tight_rectangles(found), grid.sharpest_of(found) if found.shape[1] >= 4 else None
+            for k, one in enumerate(found):
+                assert one.tolist() == grid.hull(sets[at[k]]).tolist()
+                assert tuple(rectangles[k].tolist()) == grid.tight_rectangle(one)
+                if corners is not None:
+                    assert [(x, y) for _, x, y in grid.sharpest(one)] == [tuple(c) for c in corners[k].tolist()]
+        assert sorted(seen) == list(range(n))
+
+
+def test_many_perspectives_are_those_of_each():
+    rng = np.random.default_rng(7)
+    source, target = rng.integers(0, 4, (300, 4, 2)).astype(float), rng.integers(0, 9, (300, 4, 2)).astype(float)
+    got, known = grid.perspectives(source, target)
+    for k in range(300):
+        one = grid.perspective(source[k], target[k])
+        assert known[k] == (one is not None) and (one is None or got[k].tolist() == one.tolist())
+    assert 0 < known.sum() < 300
