@@ -21,7 +21,7 @@ pictures AS (SELECT doc_id, {WIDE} AS width, high AS height, hx || repeat('0', C
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.text_pictures(table(spark, sf_dir, "documents"), WIDE)
+    return I.text_pictures(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 4000), WIDE)
 
 
 @query(f"""WITH {PICTURES_SQL} SELECT doc_id, CASE WHEN doc_id % 10 <> 3 THEN width END AS width, CASE WHEN doc_id % 10 <> 3 THEN height END AS height,

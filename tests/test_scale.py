@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glintframe.operators import grid, ocr, pixels, scorer, transcribe
 from glintframe.plans import all_queries, speech_queries
-from glintframe.sources import tables
+from glintframe.sources import images, tables
 from glintframe.streaming import stt
 from glintframe.streaming.recognizer import RECOGNIZERS, listened
 from tests import test_streams
@@ -178,3 +178,23 @@ def test_many_perspectives_are_those_of_each():
         one = grid.perspective(source[k], target[k])
         assert known[k] == (one is not None) and (one is None or got[k].tolist() == one.tolist())
     assert 0 < known.sum() < 300
+
+
+def test_blocks_of_any_size_are_unfiltered_together():
+    rng = np.random.default_rng(8)
+    blocks, want = [], []
+    for k in range(60):
+        step, high, wide = (1, 3, 4)[k % 3], int(rng.integers(1, 30)), int(rng.integers(1, 40))
+        lines, kinds = rng.integers(0, 256, (high, wide * step)).astype(np.uint8), rng.integers(0, 5, high)
+        blocks.append((images.filtered(lines, kinds, step), kinds, step))
+        want.append(lines.tolist())
+    assert [b.tolist() for b in images.unfiltered_all(blocks)] == want
+    assert [images.unfiltered(*b).tolist() for b in blocks] == want
+
+
+def test_pictures_in_one_file_are_many_tasks(spark, tmp_path):
+    one_file(spark, f"{tmp_path}/documents.parquet", [(k, "abc" * (k * 5)) for k in range(60)] + [(60, None)], "doc_id long, text string")
+    for name in ("image_decode", "image_tensor", "image_prep", "scorer_batched"):
+        df = all_queries.QUERIES[name](spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() >= 4
+    assert all_queries.QUERIES["image_decode"](spark, str(tmp_path)).where("invalid").count() == 6
