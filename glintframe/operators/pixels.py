@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from glintframe.sources.images import as_text, from_text, given, image_of
 
@@ -42,7 +44,21 @@ def taps(have: int, want: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def whole(values: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(np.round(values, DIGITS) + 0.5), 0, 255).astype(np.uint8)
+    out = np.round(values, DIGITS)
+    out += 0.5
+    np.floor(out, out)
+    return np.clip(out, 0, 255, out).astype(np.uint8)
+
+
+@lru_cache(maxsize=64)
+def dense(have: int, want: int) -> np.ndarray | None:
+    """taps as a matrix (want x have), where it is small or holds few zeros; else None."""
+    at, weight = taps(have, want)
+    if at.shape[1] * 8 < have:
+        return None
+    out = np.zeros((want, have))
+    np.add.at(out, (np.arange(want)[:, None], at), weight)
+    return out
 
 
 def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
@@ -51,6 +67,8 @@ def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
         return image
 
     def along(values: np.ndarray, want: int) -> np.ndarray:
+        if (matrix := dense(values.shape[0], want)) is not None:
+            return (matrix @ values.reshape(values.shape[0], -1)).reshape(want, *values.shape[1:])
         at, weight = taps(values.shape[0], want)
         out = np.zeros((want, *values.shape[1:]))
         for k in range(at.shape[1]):
@@ -166,6 +184,19 @@ def prepared(pictures: DataFrame, model: str, key: str = "path") -> DataFrame:
     return out.select(from_text(F.col("key"), kind).alias(key), "width", "height", "scale", "tensor")
 
 
+def summarized(pictures: DataFrame, model: str, columns: str, made: Callable[[np.ndarray | None], list[tuple]], key: str = "path") -> DataFrame:
+    """key and `columns` of the rows that `made` makes of each picture's tensor (None where prepared() has nulls), in the task that prepares it: tensors don't move as rows."""
+    prep, kind = PREPS[model], pictures.schema[key].dataType
+    fields = T.StructType([T.StructField("key", T.StringType()), *T.StructType.fromDDL(columns).fields])
+    schema = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from given(((k, *row) for k, _, t in tensors_of(batches, prep) for row in made(t)), schema, lambda r: 64)
+
+    rows = pictures.select(as_text(F.col(key), kind).alias("key"), "width", "height", "pixels")
+    return rows.mapInArrow(run, fields).select(from_text(F.col("key"), kind).alias(key), *fields.names[1:])
+
+
 def to_quad(width: float, height: float, corners: np.ndarray) -> np.ndarray | None:
     """Coefficients a to h that take (x, y) of a width x height rectangle to (ax + by + c, dx + ey + f) / (gx + hy + 1) in a quadrilateral.
 

@@ -106,7 +106,7 @@ def by_image(crops: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes of tensors that a task holds before it calls the model, about, and most tensors of a call.
-HELD, BATCH = 64 << 20, 32
+HELD, BATCH = 16 << 20, 32
 
 
 def width_of(width: int, step: int = 64) -> int:

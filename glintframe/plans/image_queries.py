@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glintframe.operators import pixels as P
 from glintframe.operators.ocr import detected
-from glintframe.operators.scorer import batched
+from glintframe.operators.scorer import scored
 from glintframe.plans.registry import query
 from glintframe.sources import images as I
 from glintframe.sources.tables import BOXES_SQL, boxes, spread, table
@@ -65,22 +65,16 @@ s AS (SELECT doc_id, y, i AS x, channel, least(greatest(floor(round(sum(weight *
   md5(string_agg(printf('%02X', CAST(v AS INTEGER)), '' ORDER BY y, x)) AS digest FROM s GROUP BY doc_id, channel""")
 def image_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cubic resampling, padding to multiples of 32 and normalization: means of the tensor's channels, and its bytes turned back to pixels."""
-    import numpy as np
-    import pandas as pd
-
-    tensors = P.prepared(pictures(spark, sf_dir), "thumbnail", "doc_id")
-
-    def means(batches):
-        for pdf in batches:
-            rows = []
-            for key, w, h, t in zip(pdf["doc_id"], pdf["width"], pdf["height"], pdf["tensor"], strict=True):
-                each = np.frombuffer(t, np.float32).reshape(3, h, w).astype(float)
-                back = np.rint((each[:, :SIDE_H, :SIDE_W] * np.array(_DEVIATION)[:, None, None] + np.array(_MEAN)[:, None, None]) * 255).astype(np.uint8)
-                exact = (back / 255 - np.array(_MEAN)[:, None, None]) / np.array(_DEVIATION)[:, None, None]
-                rows += [(key, c, w, h, float(exact[c].sum() / (w * h)), float(each[c].sum() / (w * h)), back[c].tobytes()) for c in range(3)]
-            yield pd.DataFrame(rows, columns=["doc_id", "channel", "w", "h", "mean", "single", "pixels"])
-
-    each = tensors.mapInPandas(means, "doc_id long, channel int, w int, h int, mean double, single double, pixels binary")
+    mean, deviation = (np.array(v)[:, None, None] for v in (_MEAN, _DEVIATION))
+
+    def means(t):
+        h, w = t.shape[1:]
+        each = t.astype(float)
+        back = np.rint((each[:, :SIDE_H, :SIDE_W] * deviation + mean) * 255).astype(np.uint8)
+        exact = (back / 255 - mean) / deviation
+        return [(c, w, h, float(exact[c].sum() / (w * h)), float(each[c].sum() / (w * h)), back[c].tobytes()) for c in range(3)]
+
+    each = P.summarized(pictures(spark, sf_dir), "thumbnail", "channel int, w int, h int, mean double, single double, pixels binary", means, "doc_id")
     close = F.when(F.abs(F.col("mean") - F.col("single")) < 1e-5, F.col("mean"))  # the tensor's own mean, in single precision, must agree
     return each.select("doc_id", "channel", "w", "h", F.round(close, 6).alias("mean"), F.md5(F.hex("pixels")).alias("digest"))
 
@@ -131,8 +125,8 @@ def face_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     faces = boxes(spark, sf_dir).select(c("image_id").alias("doc_id"), c("box_id").alias("part"), (c("x") % 52 - 10).alias("x"), (c("y") % 52 - 10).alias("y"), (c("w") % 16).alias("w"), (c("h") % 16).alias("h"))
     crops = P.box_crops(pictures(spark, sf_dir), faces, 10, "doc_id")
     key = F.struct("doc_id", F.col("part").cast("int").alias("part"), "width", "height", F.md5(F.hex("pixels")).alias("digest"))
-    ready = P.prepared(crops.withColumn("crop", key), "face", "crop")
-    return ready.select("crop.*", F.col("width").alias("tensor_side"))
+    ready = P.summarized(crops.withColumn("crop", key), "face", "tensor_side int", lambda t: [(None if t is None else t.shape[2],)], "crop")
+    return ready.select("crop.*", "tensor_side")
 
 
 _LINEAR = "((ch * 31 + y * 17 + x * 7 + {o} * 13) % 29 - 14) / 29.0::DOUBLE"
@@ -142,7 +136,7 @@ _LINEAR = "((ch * 31 + y * 17 + x * 7 + {o} * 13) % 29 - 14) / 29.0::DOUBLE"
 SELECT doc_id, round(sum(v * {_LINEAR.format(o=0)}), 6) AS y0, round(sum(v * {_LINEAR.format(o=1)}), 6) AS y1 FROM z GROUP BY doc_id""")
 def scorer_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tensors of all pictures through a linear model, many pictures in a call."""
-    out = batched(P.prepared(pictures(spark, sf_dir), "thumbnail", "doc_id"), "linear", "doc_id")
+    out = scored(pictures(spark, sf_dir), "thumbnail", "linear", "doc_id")
     return out.select("doc_id", F.round("y0", 6).alias("y0"), F.round("y1", 6).alias("y1"))
 
 

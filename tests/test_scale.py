@@ -198,3 +198,28 @@ def test_pictures_in_one_file_are_many_tasks(spark, tmp_path):
         df = all_queries.QUERIES[name](spark, str(tmp_path))
         assert df.rdd.getNumPartitions() >= 4
     assert all_queries.QUERIES["image_decode"](spark, str(tmp_path)).where("invalid").count() == 6
+
+
+def test_summaries_are_those_of_the_prepared_tensors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, 4 + k, 9, rng.integers(0, 256, (4 + k) * 27).astype(np.uint8).tobytes()) for k in range(6)] + [(6, None, None, None)]
+    pictures = spark.createDataFrame(rows, "path long, width int, height int, pixels binary")
+    want = {r.path: r.tensor and bytes(r.tensor) for r in pixels.prepared(pictures, "face").collect()}
+    got = pixels.summarized(pictures, "face", "tensor binary", lambda t: [(None if t is None else t.tobytes(),)])
+    assert {r.path: r.tensor and bytes(r.tensor) for r in got.collect()} == want and want[6] is None and len(want) == 7
+
+
+def test_dense_tables_resize_as_banded_ones_do(monkeypatch):
+    rng = np.random.default_rng(10)
+    images_ = [rng.integers(0, 256, (h, w, 3)).astype(np.uint8) for h, w in ((1, 32), (7, 32), (40, 32), (400, 32), (36, 31))]
+    got = [pixels.resized(x, 112, 50) for x in images_]
+    assert pixels.dense(32, 112) is not None and pixels.dense(4000, 224) is None
+    monkeypatch.setattr(pixels, "dense", lambda have, want: None)
+    assert all((a == pixels.resized(x, 112, 50)).all() for a, x in zip(got, images_, strict=True))
+
+
+def test_tensors_stay_in_their_task(spark, tmp_path):
+    one_file(spark, f"{tmp_path}/documents.parquet", [(k, "abc" * k) for k in range(5)], "doc_id long, text string")
+    for name in ("image_prep", "image_tensor", "scorer_batched"):
+        plan = all_queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "tensor" not in plan and "MapInPandas" not in plan
