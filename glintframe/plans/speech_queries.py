@@ -96,15 +96,17 @@ f AS (SELECT user_id, event_id, event_type, epoch_us(ts) / 1000000.0::DOUBLE AS
 
 def _streamed(spark: SparkSession, sf_dir: str) -> tuple[SparkSession, DataFrame]:
     """A session of its own, whose state is kept in RocksDB, and the events as a stream in it."""
+    from glintframe.streaming import stt
+
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(key, spark.conf.get(key))
     own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     frames = own.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*").parquet(sf_dir)
-    # dealt by stream as the state is, before frames are made of events: what moves is narrow, and a file in one piece is many tasks
+    # dealt by slot before frames are made of events, so a file in one piece is many tasks; the stateful operator deals its frames once more
     frames = frames.select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
-    return own, frames.repartition(int(own.conf.get("spark.sql.shuffle.partitions")), "stream_id")
+    return own, stt.slotted(frames).repartition(int(own.conf.get("spark.sql.shuffle.partitions")), "slot")
 
 
 @query(f"""WITH RECURSIVE {_RELEASED},
@@ -126,7 +128,7 @@ def stt_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _, frames = _streamed(spark, sf_dir)
     kind = F.when(F.col("event_type") == "error", "reset").otherwise("audio")
-    frames = frames.select("stream_id", "ts", F.col("event_id").alias("seq"), kind.alias("type"), F.col("event_type").alias("text"))
+    frames = frames.select("slot", "stream_id", "ts", F.col("event_id").alias("seq"), kind.alias("type"), F.col("event_type").alias("text"))
     home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stt.run_now(stt.sessions(frames, GAP, LONGEST, IDLE, late=LATE), home)
     return spark.read.schema(stt.OUTPUT).parquet(f"{home}/out")
@@ -154,10 +156,10 @@ def stt_pcm_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     tones = F.array(*(F.array(*map(F.lit, x.round().astype(int).tolist())).cast("array<short>") for x in wave))  # one below the lowest: no letter of the model's
     tone = F.get(tones, F.instr(F.lit(model.letters), F.substring("event_type", 1, 1)))
     pcm = F.concat(tone, F.array_repeat(F.lit(0).cast("short"), (F.col("event_id") % 30 * model.chunk).cast("int")))
-    frames = frames.select("stream_id", "ts", "event_id", pcm.alias("pcm"))
+    frames = frames.select("slot", "stream_id", "ts", "event_id", pcm.alias("pcm"))
     cut = F.array(F.slice("pcm", 1, 57), F.slice("pcm", 58, 1 << 20))
-    frames = frames.select("stream_id", "ts", "event_id", F.posexplode(cut).alias("half", "pcm"))
-    frames = frames.select("stream_id", "ts", (F.col("event_id") * 2 + F.col("half")).alias("seq"), F.lit("audio").alias("type"), "pcm")
+    frames = frames.select("slot", "stream_id", "ts", "event_id", F.posexplode(cut).alias("half", "pcm"))
+    frames = frames.select("slot", "stream_id", "ts", (F.col("event_id") * 2 + F.col("half")).alias("seq"), F.lit("audio").alias("type"), "pcm")
     home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stt.run_now(stt.heard(frames, "low tones", late=LATE), home)
     return spark.read.schema(stt.HEARD).parquet(f"{home}/out")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import collections
 import datetime as dt
 import inspect
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from glintframe.operators import grid, ocr, pixels, scorer, transcribe
@@ -144,6 +147,77 @@ def test_blocks_are_split_between_seconds(monkeypatch):
     assert rows == test_streams.plain(frames, 5, 50, 9) and 8 < waiting < 100 and not handle.map
 
 
+def in_one_slot(processor, frames, size, late):
+    """Rows by stream of frames (stream, us, seq, type, text) of streams that share a slot, in batches of size."""
+    handle, out, latest = test_streams.Handle(), collections.defaultdict(list), 0
+    processor.init(handle)
+
+    def given(parts):
+        for pdf in parts:
+            for stream, *row in pdf.itertuples(index=False):
+                out[stream].append(tuple(row))
+
+    for at in [*range(0, len(frames), size), None]:
+        now = latest // 1000 + 10**8 if at is None else max(0, latest - late * 1_000_000) // 1000
+        while handle.timers and min(handle.timers) <= now:
+            given(processor.handleExpiredTimer((7,), test_streams.Time(now), None))
+        if at is not None:
+            pdf = pd.DataFrame(frames[at : at + size], columns=["stream_id", *processor.schema.names])
+            given(processor.handleInputRows((7,), iter([pdf]), test_streams.Time(now)))
+            latest = max(latest, *pdf["us"])
+    return out, handle
+
+
+@pytest.mark.parametrize(("size", "block"), [(1, 1 << 16), (13, 600), (200, 2000), (5000, 700), (5000, 1 << 16)])
+def test_streams_that_share_a_slot_keep_apart(monkeypatch, size, block):
+    monkeypatch.setattr(stt, "BLOCK", block)
+    streams = {k: test_streams.speech(90, k) for k in range(12)}
+    rng = np.random.default_rng(8)
+    every = [(k, *frame) for k, frames in streams.items() for frame in frames]
+    every = [every[k] for k in np.argsort([us + rng.uniform(0, 40e6) for _, us, *_ in every])]
+    got, handle = in_one_slot(stt.Session(20, 100, 25), every, size, 41)
+    for k, frames in streams.items():
+        assert got[k] == test_streams.plain(frames, 20, 100, 25)
+    assert not handle.map and not handle.timers and not handle.value.exists()
+
+
+def test_many_streams_take_few_calls_to_the_state(monkeypatch):
+    states = []
+    monkeypatch.setattr(test_streams, "Map", lambda: states.append(Calls()) or states[-1])
+    frames = [(stream, us, seq, kind, text) for stream in range(300) for us, seq, kind, text in test_streams.speech(20, stream)]
+    got, _ = in_one_slot(stt.Session(20, 100, 25), frames, 10_000, 1)
+    assert all(got[stream] == test_streams.plain(test_streams.speech(20, stream), 20, 100, 25) for stream in range(300))
+    assert states[0].asked < 40  # a key a stream took 600 and more
+
+
+def test_frames_of_one_moment_wait_in_many_blocks(monkeypatch):
+    monkeypatch.setattr(stt, "BLOCK", 500)
+    frames = [(k % 3, 5_000_000, k, "audio", f"t{k}") for k in range(400)]
+    got, handle = in_one_slot(stt.Session(20, 100, 25), frames[::-1], 150, 1)
+    for stream in range(3):
+        assert [r for r in got[stream] if r[1] == "partial"] == [(k, "partial", f"t{k}") for k in range(stream, 400, 3)]
+    assert not handle.map
+
+
+def test_state_has_a_key_a_slot(spark, tmp_path):
+    """More streams than slots, through Spark."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k, start + dt.timedelta(seconds=k % 50), k % 400, "audio", "ab"[k // 400 % 2]) for k in range(2000)] + [(2000, start + dt.timedelta(hours=9), 400, "audio", "z")]
+    spark.createDataFrame(rows, "seq long, ts timestamp, stream_id long, type string, text string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    frames = stt.slotted(own.readStream.schema("seq long, ts timestamp, stream_id long, type string, text string").parquet(f"{tmp_path}/in"), 8).repartition(2, "slot")
+    run = stt.sessions(frames, 20, 100, 25).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    first = next(p for p in run.recentProgress if p.numInputRows)
+    assert first.stateOperators[0].customMetrics["numRegisteredTimers"] == 8  # 401 with a key a stream
+    got = spark.read.schema(stt.OUTPUT).parquet(f"{tmp_path}/out").collect()
+    for stream in (0, 7, 399):
+        want = test_streams.plain([(int((t - start).total_seconds()) * 10**6, seq, kind, text) for seq, t, s, kind, text in sorted(rows, key=lambda r: (r[1], r[0])) if s == stream], 20, 100, 25)
+        assert sorted(((r.seq, r.type, r.text) for r in got if r.stream_id == stream), key=repr) == sorted(want, key=repr)
+
+
 def test_streams_are_dealt_before_frames_are_made(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [(k, start + dt.timedelta(seconds=k), k % 3, ("view", "error", "search")[k % 4 % 3], 1.0) for k in range(90)]
